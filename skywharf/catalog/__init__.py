@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalar", "cleaning"]
+MODULES = ["scalar", "cleaning", "aggregates"]
 
 
 def load() -> None:

@@ -237,22 +237,29 @@ def last_valid_values(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return df.groupBy(*keys).agg(*[F.max_by(m, F.when(F.col(m).isNotNull(), place)).alias(m) for m in measures])
 
 
-def multistation_features(last: DataFrame, target_station: str, measures: Sequence[str], rain: str = "precipitation_1hr") -> DataFrame:
-    """Target's last values, neighbour statistics, active and rainy neighbour counts."""
-    near = F.col("station_id") != target_station
-    aggs = []
-    for m in measures:
-        v = F.when(near, F.col(m))
-        aggs += [
-            F.max(F.when(~near, F.col(m))).alias(f"target_{m}"), F.avg(v).alias(f"neighbor_{m}_mean"),
-            F.max(v).alias(f"neighbor_{m}_max"), F.min(v).alias(f"neighbor_{m}_min"),
-        ]
-    any_value = F.coalesce(*[F.col(m) for m in measures]).isNotNull()
+def multistation_features(df: DataFrame, groups: Sequence[str], target_station: str, order: Sequence[str],
+                          target_measures: Sequence[str], nearby_measures: Sequence[str],
+                          forbidden: Sequence[str] = (), rain: str = "precipitation_1hr") -> DataFrame:
+    """Target's last valid values next to statistics over all neighbour rows."""
+    near, place = F.col("station_id") != target_station, F.struct(*order)
+    aggs = [
+        F.max_by(m, F.when(~near & F.col(m).isNotNull(), place)).alias(m) for m in target_measures if m not in forbidden
+    ]
+    for m in nearby_measures:
+        if m not in forbidden:
+            aggs += _plain_spread(F.when(near, F.col(m)), f"nearby_{m}")
     aggs += [
-        F.count_if(near & any_value).alias("active_neighbor_count"),
-        F.count_if(near & (F.col(rain) > 0)).alias("rainy_neighbor_count"),
+        F.count_if(near).alias("nearby_active_station_count"),
+        F.count_if(near & (F.col(rain) > 0)).alias("nearby_rain_station_count"),
+    ]
+    return df.groupBy(*groups).agg(*aggs)
+
+
+def _plain_spread(value: Column, prefix: str) -> list[Column]:
+    return [
+        F.avg(value).alias(f"{prefix}_mean"), F.max(value).alias(f"{prefix}_max"),
+        F.min(value).alias(f"{prefix}_min"), F.stddev_pop(value).alias(f"{prefix}_std"),
     ]
-    return last.agg(*aggs)
 
 
 def rain_summary(latest: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
@@ -318,25 +325,49 @@ def data_status(df: DataFrame, as_of: Column, override: int | None = None) -> Da
     )
 
 
-def readiness(df: DataFrame, groups: Sequence[str], minimum_rows: int, minimum_days: int, minimum_valid: dict[str, int]) -> DataFrame:
+# Texts of failed readiness conditions.
+READINESS_TEXTS = {
+    "stations": "selected station count below threshold",
+    "samples": "sample_count below min_total_samples",
+    "days": "training_days below min_training_days",
+    "wind": "valid_wind_samples below threshold",
+    "gust": "valid_gust_samples below threshold",
+    "rain": "valid_rain_samples below threshold",
+    "feature_missing": "feature missing ratio above threshold",
+    "label_missing": "label missing ratio above threshold",
+    "horizon": "{} valid labels below threshold",
+}
+
+
+def _span_seconds(time: str = "obs_time") -> Column:
+    return (F.max(F.unix_micros(time)) - F.min(F.unix_micros(time))) / F.lit(1e6)
+
+
+def nearby_readiness(df: DataFrame, groups: Sequence[str], min_stations: int = 2, min_samples: int = 1000,
+                     min_days: int = 30, min_valid: int = 500) -> DataFrame:
     """Row count, whole-day span and valid counts, with the list of failed thresholds."""
     counted = df.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.floor((F.max(F.unix_seconds("obs_time")) - F.min(F.unix_seconds("obs_time"))) / 86400).alias("span_days"),
-        *[F.count(m).alias(f"valid_{m}_count") for m in minimum_valid],
+        F.count_distinct("station_id").alias("station_count"),
+        F.count(F.lit(1)).alias("sample_count"),
+        F.floor(_span_seconds() / 86400).alias("training_days"),
+        F.count("wind_speed").alias("valid_wind_samples"),
+        F.count("wind_gust").alias("valid_gust_samples"),
+        F.count("precipitation_1hr").alias("valid_rain_samples"),
     )
-    failures = [
-        F.when(F.col("row_count") < minimum_rows, F.lit("row_count")),
-        F.when(F.col("span_days") < minimum_days, F.lit("span_days")),
-        *[F.when(F.col(f"valid_{m}_count") < n, F.lit(f"valid_{m}")) for m, n in minimum_valid.items()],
+    checks = [
+        ("stations", F.col("station_count") < min_stations), ("samples", F.col("sample_count") < min_samples),
+        ("days", F.col("training_days") < min_days), ("wind", F.col("valid_wind_samples") < min_valid),
+        ("gust", F.col("valid_gust_samples") < min_valid), ("rain", F.col("valid_rain_samples") < min_valid),
     ]
-    reasons = F.array_compact(F.array(*failures))
-    return counted.withColumn("failed_reasons", reasons).withColumn("ready", F.size("failed_reasons") == 0)
+    failed = F.array_compact(F.array(*[F.when(bad, F.lit(READINESS_TEXTS[name])) for name, bad in checks]))
+    return counted.withColumn("failed_reasons", failed).withColumn("ready", F.size("failed_reasons") == 0)
 
 
-def dataset_readiness(df: DataFrame, groups: Sequence[str], features: Sequence[str], labels: dict[str, Sequence[str]]) -> DataFrame:
-    """Fractional days, worst missing ratios, and rows per horizon with all labels."""
-    all_labels = [c for cols in labels.values() for c in cols]
+def dataset_readiness(df: DataFrame, groups: Sequence[str], features: Sequence[str], labels: dict[str, Sequence[str]],
+                      min_samples: int = 500, min_days: float = 14.0, max_missing: float = 0.30,
+                      min_labels: int = 100) -> DataFrame:
+    """Fractional days, worst missing ratios, and rows per horizon with every label."""
+    label_columns = [c for columns in labels.values() for c in columns]
 
     def worst(columns: Sequence[str]) -> Column:
         ratios = [F.avg(F.col(c).isNull().cast("double")) for c in columns]
@@ -348,30 +379,39 @@ def dataset_readiness(df: DataFrame, groups: Sequence[str], features: Sequence[s
             whole = whole & F.col(c).isNotNull()
         return F.count_if(whole)
 
-    return df.groupBy(*groups).agg(
+    counted = df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("sample_count"),
-        ((F.max(F.unix_micros("obs_time")) - F.min(F.unix_micros("obs_time"))) / 86400e6).alias("coverage_days"),
-        worst(features).alias("max_feature_missing_ratio"),
-        worst(all_labels).alias("max_label_missing_ratio"),
-        *[complete(cols).alias(f"valid_rows_{h}") for h, cols in labels.items()],
+        (_span_seconds() / 86400).alias("training_days"),
+        worst(features).alias("feature_missing_ratio"),
+        worst(label_columns).alias("label_missing_ratio"),
+        *[complete(columns).alias(f"valid_{h}") for h, columns in labels.items()],
+    )
+    checks = [
+        F.when(F.col("sample_count") < min_samples, F.lit(READINESS_TEXTS["samples"])),
+        F.when(F.col("training_days") < min_days, F.lit(READINESS_TEXTS["days"])),
+        F.when(F.col("feature_missing_ratio") > max_missing, F.lit(READINESS_TEXTS["feature_missing"])),
+        F.when(F.col("label_missing_ratio") > max_missing, F.lit(READINESS_TEXTS["label_missing"])),
+        *[F.when(F.col(f"valid_{h}") < min_labels, F.lit(READINESS_TEXTS["horizon"].format(h))) for h in labels],
+    ]
+    return counted.withColumn("failed_reasons", F.array_compact(F.array(*checks))).withColumn(
+        "ready", F.size("failed_reasons") == 0
     )
 
 
-def station_readiness(df: DataFrame, columns: Sequence[str], minimum_days: float, minimum_rows: int) -> DataFrame:
-    """Coverage, non-null counts, usability and blockers per station."""
+def surge_readiness(df: DataFrame, columns: Sequence[str], main: str = "tide_level", min_days: float = 21, min_rows: int = 336) -> DataFrame:
+    """Coverage days, non-null counts and usability for residual training per station."""
     counted = df.groupBy("station_id").agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.round((F.max(F.unix_micros("obs_time")) - F.min(F.unix_micros("obs_time"))) / 86400e6, 3).alias("coverage_days"),
-        *[F.count(c).alias(f"{c}_count") for c in columns],
+        F.count(F.lit(1)).alias("rows"),
+        (_span_seconds() / 86400).alias("_days"),
+        *[F.count(c).alias(f"{c}_non_null") for c in columns],
     )
+    usable = (F.col(f"{main}_non_null") >= min_rows) & (F.col("_days") >= float(min_days))
     blockers = F.array_compact(
-        F.array(
-            F.when(F.col("coverage_days") < minimum_days, F.lit("coverage_days")),
-            F.when(F.col("row_count") < minimum_rows, F.lit("row_count")),
-            *[F.when(F.col(f"{c}_count") == 0, F.lit(f"no_{c}")) for c in columns],
-        )
+        F.array(F.when(F.col(f"{main}_non_null") < min_rows, F.lit("rows")), F.when(F.col("_days") < min_days, F.lit("coverage_days")))
     )
-    return counted.withColumn("blockers", blockers).withColumn("usable", F.size("blockers") == 0)
+    return counted.withColumns(
+        {"coverage_days": F.round("_days", 3), "usable": usable, "blockers": blockers}
+    ).drop("_days")
 
 
 def station_quality(df: DataFrame, keys: Sequence[str], station_type: str = "wind") -> DataFrame:

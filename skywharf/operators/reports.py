@@ -15,3 +15,9 @@ def normalization_status(df: DataFrame, keys: Sequence[str], required: Sequence[
     return counted.withColumn("missing_columns", missing).withColumn(
         "normalization_status", F.when(F.size("missing_columns") > 0, "degraded").otherwise("ok")
     ).drop(*[f"_n_{c}" for c in required])
+
+
+def station_diagnostics(df: DataFrame, stations: DataFrame) -> DataFrame:
+    """Rows and latest time per station with the station's attributes."""
+    counted = df.groupBy("station_id").agg(F.count(F.lit(1)).alias("row_count"), F.max("obs_time").alias("latest_time"))
+    return counted.join(stations, "station_id")
