@@ -26,8 +26,9 @@ def wind_v(speed: Column, direction: Column) -> Column:
 
 
 def wrap_angle(delta: Column) -> Column:
-    """Signed angle in [-180, 180)."""
-    return F.pmod(delta + F.lit(180.0), F.lit(360.0)) - F.lit(180.0)
+    """Signed angle in [-180, 180), by floor modulo."""
+    shifted = delta + F.lit(180.0)
+    return shifted - F.lit(360.0) * F.floor(shifted / F.lit(360.0)) - F.lit(180.0)
 
 
 def beaufort(speed: Column) -> Column:
