@@ -24,15 +24,14 @@ def value_buckets(df: DataFrame, groups: Sequence[str], value: str, splits: int
         F.percentile_approx(value, [i / splits for i in range(1, splits)], 1000).alias("_borders")
     )
     bucket = F.size(F.filter("_borders", lambda b: b < F.col(value)))
-    joined = counted.join(borders, groups) if groups else _with_single_row(counted, borders)
-    return joined.withColumn("_bucket", bucket).drop("_borders")
+    return attach(counted, borders, groups).withColumn("_bucket", bucket).drop("_borders")
 
 
-def _with_single_row(df: DataFrame, single: DataFrame) -> DataFrame:
-    """Attach the one row of a global aggregate through a constant key."""
-    return (
-        df.withColumn("_one", F.lit(1)).join(single.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    )
+def attach(df: DataFrame, grouped: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Join aggregates back to their groups; one global row goes through a constant key."""
+    if groups:
+        return df.join(grouped, list(groups))
+    return df.withColumn("_one", F.lit(1)).join(grouped.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def cumulative_counts(df: DataFrame, groups: Sequence[str], value: str, counts: Sequence[str]) -> DataFrame:
@@ -67,7 +66,7 @@ def exact_quantiles(
     groups = list(groups)
     counted = cumulative_counts(value_buckets(df, groups, value), groups, value, ["_count"])
     totals = df.filter(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = counted.join(totals, groups) if groups else _with_single_row(counted, totals)
+    ranked = attach(counted, totals, groups)
     first, last = F.col("_count_before"), F.col("_count_before") + F.col("_count") - 1
 
     def at(position: Column) -> Column:
