@@ -102,6 +102,7 @@ def gust_operation(gust: Column, buffer: float = GUST_BUFFER_MPS) -> Column:
 
 
 def level_rank(level: Column) -> Column:
+    """0 for normal up to 4 for stop; null for anything that is not a level."""
     return lookup(LEVEL_RANK, level)
 
 

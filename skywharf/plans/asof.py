@@ -30,16 +30,16 @@ def nearest_join(
     """
     keys = list(keys)
     pay_fields = [source_time, *[v for v in values if v != source_time]]
-    left = targets.withColumn("_at", F.col(target_time)).withColumn("_src", F.lit(None).cast(_struct_type(source, pay_fields)))
+    left = targets.withColumn("_event_time", F.col(target_time)).withColumn("_source", F.lit(None).cast(_struct_type(source, pay_fields)))
     right = source.select(
-        *keys, F.col(source_time).alias("_at"), F.struct(*pay_fields).alias("_src")
+        *keys, F.col(source_time).alias("_event_time"), F.struct(*pay_fields).alias("_source")
     )
     merged = left.withColumn("_is_target", F.lit(1)).unionByName(
         right.withColumn("_is_target", F.lit(0)), allowMissingColumns=True
     )
     # Source rows at exactly the target time must be seen by both directions.
     around = neighbours(
-        merged, keys, "_at", {"_near": F.col("_src")}, tie=["_is_target"], cell_seconds=cell_seconds
+        merged, keys, "_event_time", {"_near": F.col("_source")}, tie=["_is_target"], cell_seconds=cell_seconds
     ).withColumnsRenamed({"_near_prev": "_prev", "_near_next": "_next"}).filter(F.col("_is_target") == 1)
     back_gap = F.col(target_time).cast("double") - F.col(f"_prev.{source_time}").cast("double")
     ahead_gap = F.col(f"_next.{source_time}").cast("double") - F.col(target_time).cast("double")
@@ -55,7 +55,7 @@ def nearest_join(
         gap = F.when(F.col("_prev").isNotNull() & use_back, back_gap).otherwise(ahead_gap)
     if tolerance_seconds is not None:
         choice = F.when(gap <= F.lit(float(tolerance_seconds)), choice)
-    return around.withColumn("_match", choice).drop("_prev", "_next", "_at", "_src", "_is_target")
+    return around.withColumn("_match", choice).drop("_prev", "_next", "_event_time", "_source", "_is_target")
 
 
 def _struct_type(source: DataFrame, fields: Sequence[str]) -> str:

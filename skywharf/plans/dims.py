@@ -17,8 +17,6 @@ def dimension(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFr
 
 
 def lookup(mapping: dict, key, default=None):
-    """Literal map lookup as an expression: no join for a handful of entries."""
-    out = F.lit(default)
-    for name, value in reversed(list(mapping.items())):
-        out = F.when(key == F.lit(name), F.lit(value)).otherwise(out)
-    return out
+    """Value of ``key`` in a literal map: an expression, no join, key evaluated once."""
+    found = F.element_at(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair]), key)
+    return found if default is None else F.coalesce(found, F.lit(default))
