@@ -29,48 +29,62 @@ def first_number(*columns: Column) -> Column:
 
 # --- current weather JSON -------------------------------------------------
 
+# Where each measure may be found, and its label in list form.
+CURRENT_FIELDS = {
+    "wind_speed": (["WindSpeed", "WeatherElement.WindSpeed"], ["WindSpeed", "風速"]),
+    "wind_direction": (["WindDirection", "WeatherElement.WindDirection"], ["WindDirection", "風向"]),
+    "wind_gust": (["GustInfo.PeakGustSpeed", "WeatherElement.GustInfo.PeakGustSpeed", "WeatherElement.PeakGustSpeed"], ["PeakGustSpeed", "GustSpeed", "最大陣風"]),
+    "precipitation_10min": (["Precipitation10Min", "WeatherElement.Past10Min.Precipitation"], ["Precipitation10Min", "Past10Min", "10分鐘雨量"]),
+    "precipitation_1hr": (["Precipitation1hr", "WeatherElement.Now.Precipitation", "WeatherElement.Past1hr.Precipitation"], ["Precipitation1hr", "Past1hr", "Precipitation", "1小時雨量", "降水量"]),
+    "precipitation_24hr": (["Precipitation24hr", "WeatherElement.Past24hr.Precipitation"], ["Precipitation24hr", "Past24hr", "24小時雨量"]),
+    "air_temperature": (["AirTemperature", "WeatherElement.AirTemperature"], ["AirTemperature", "Temperature", "氣溫"]),
+    "relative_humidity": (["RelativeHumidity", "WeatherElement.RelativeHumidity"], ["RelativeHumidity", "Humidity", "相對濕度"]),
+    "air_pressure": (["AirPressure", "WeatherElement.AirPressure"], ["AirPressure", "Pressure", "測站氣壓"]),
+    "visibility": (["Visibility", "WeatherElement.Visibility"], ["Visibility", "能見度"]),
+}
+
+
 def flatten_current(df: DataFrame, payload: str, fetched_at: str, names: Sequence[str] = (), counties: Sequence[str] = (), zone: str = "Asia/Taipei") -> DataFrame:
     """One row per station of current-weather payloads.
 
-    Station arrays may sit under several names; they are located by path, so
+    The text is parsed once into a variant and fields are read by path, so
     spellings that differ only in case stay apart. Substring filters on name
     and county; stale when older than 20 minutes at fetch.
     """
-    text = F.col(payload)
+    document = F.try_parse_json(F.col(payload))
     paths = ["$.records.Station", "$.records.station", "$.records.location", "$.records.Location", "$.Station", "$.data"]
-    located = F.coalesce(*[F.get_json_object(text, p) for p in paths])
-    items = F.explode(F.from_json(located, "array<string>"))
+    items = F.explode(F.coalesce(*[F.try_variant_get(F.col("_doc"), p, "array<variant>") for p in paths]))
 
-    def at(*names: str) -> Column:
-        return present(*[F.get_json_object("_s", f"$.{n}") for n in names])
+    def text(*fields: str) -> Column:
+        return present(*[F.try_variant_get("_s", f"$.{f}", "string") for f in fields])
 
-    def number(*names: str) -> Column:
-        return first_number(*[F.get_json_object("_s", f"$.{n}") for n in names])
+    def listed(*labels: str) -> Column:
+        """Value of a named entry when elements come as a list of name and value."""
+        return present(*[F.element_at("_listed", label) for label in labels])
 
-    def element(*names: str) -> Column:
-        listed = F.from_json(
-            F.coalesce(F.get_json_object("_s", "$.weatherElement"), F.get_json_object("_s", "$.WeatherElement")),
-            "array<struct<elementName:string,elementValue:string>>",
-        )
-        named = F.filter(listed, lambda e: e["elementName"].isin(list(names)))
-        return F.coalesce(
-            number(*names, *[f"WeatherElement.{n}" for n in names], *[f"weatherElement.{n}" for n in names]), number_or_null(F.get(named, 0)["elementValue"])
-        )
-
-    rows = df.select(F.col(fetched_at).alias("fetched_at"), items.alias("_s"))
-    name, station = at("StationName", "stationName", "locationName", "LocationName"), at("StationId", "StationID", "stationId", "locationId", "LocationId")
-    county, town = at("GeoInfo.CountyName", "CountyName", "countyName"), at("GeoInfo.TownName", "TownName", "townName")
-    time = local_time(at("ObsTime.DateTime", "obsTime.DateTime", "obsTime", "time", "DateTime"), zone)
-    out = rows.select(
-        F.lit("cwa").alias("source"), F.coalesce(station, name).alias("station_id"), F.coalesce(name, station).alias("station_name"), F.coalesce(town, county).alias("location"),
-        county.alias("_county"), F.lit("WEATHER").alias("device_type"), F.coalesce(time, F.col("fetched_at")).alias("obs_time"),
-        number("StationLongitude", "longitude", "GeoInfo.StationLongitude", "GeoInfo.Coordinates[0].StationLongitude").alias("longitude"),
-        number("StationLatitude", "latitude", "GeoInfo.StationLatitude", "GeoInfo.Coordinates[0].StationLatitude").alias("latitude"),
-        element("WindSpeed", "風速").alias("wind_speed"), element("WindDirection", "風向").alias("wind_direction"),
-        F.coalesce(number("GustInfo.PeakGustSpeed", "WeatherElement.GustInfo.PeakGustSpeed"), element("PeakGustSpeed", "GustSpeed", "最大陣風")).alias("wind_gust"),
-        F.coalesce(number("WeatherElement.Now.Precipitation", "WeatherElement.Past1hr.Precipitation"), element("Precipitation1hr", "Past1hr", "Precipitation", "1小時雨量", "降水量")).alias("precipitation_1hr"),
-        element("AirTemperature", "Temperature", "氣溫").alias("air_temperature"), element("RelativeHumidity", "Humidity", "相對濕度").alias("relative_humidity"),
-        element("AirPressure", "Pressure", "測站氣壓").alias("air_pressure"), element("Visibility", "能見度").alias("visibility"), "fetched_at",
+    parsed = df.select(F.col(fetched_at).alias("fetched_at"), document.alias("_doc"))
+    entries = F.try_variant_get("_s", "$.weatherElement", "array<struct<elementName:string,elementValue:string>>")
+    rows = parsed.select("fetched_at", items.alias("_s")).withColumn(
+        "_listed", F.map_from_entries(F.coalesce(entries, F.array().cast("array<struct<elementName:string,elementValue:string>>")))
+    )
+    # Texts first, conversions second: each text is located once.
+    texts = rows.select(
+        "fetched_at",
+        text("StationId", "StationID", "stationId", "locationId", "LocationId").alias("station"),
+        text("StationName", "stationName", "locationName", "LocationName").alias("name"),
+        text("GeoInfo.CountyName", "CountyName", "countyName").alias("_county"),
+        text("GeoInfo.TownName", "TownName", "townName").alias("town"),
+        text("ObsTime.DateTime", "obsTime.DateTime", "obsTime", "time", "DateTime").alias("time"),
+        text("StationLongitude", "longitude", "GeoInfo.StationLongitude", "GeoInfo.Coordinates[0].StationLongitude").alias("longitude"),
+        text("StationLatitude", "latitude", "GeoInfo.StationLatitude", "GeoInfo.Coordinates[0].StationLatitude").alias("latitude"),
+        *[F.coalesce(text(*fields), listed(*labels)).alias(measure) for measure, (fields, labels) in CURRENT_FIELDS.items()],
+    )
+    out = texts.select(
+        F.lit("cwa").alias("source"), F.coalesce("station", "name").alias("station_id"), F.coalesce("name", "station").alias("station_name"),
+        F.coalesce("town", "_county").alias("location"), "_county", F.lit("WEATHER").alias("device_type"),
+        F.coalesce(local_time(F.col("time"), zone), F.col("fetched_at")).alias("obs_time"),
+        number_or_null(F.col("longitude")).alias("longitude"), number_or_null(F.col("latitude")).alias("latitude"),
+        *[number_or_null(F.col(measure)).alias(measure) for measure in CURRENT_FIELDS], "fetched_at",
     ).filter(F.col("station_id").isNotNull())
     for wanted, column in ((names, "station_name"), (counties, "_county")):
         if wanted:
