@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalar", "cleaning", "aggregates", "windows", "joins", "metrics", "decisions", "sources"]
+MODULES = ["scalar", "cleaning", "aggregates", "windows", "joins", "metrics", "decisions", "sources", "models"]
 
 
 def load() -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def pin_session(spark: SparkSession, zone: str = "UTC") -> SparkSession:
@@ -17,20 +17,30 @@ def pin_session(spark: SparkSession, zone: str = "UTC") -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; ``fallback`` only if unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Shared folder named by ``spark.checkpoint.dir``.
+
+    Only a local session without the setting gets a folder of its own; on a
+    cluster a machine-local folder would not be visible to other executors.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
-    return fallback
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    import tempfile
+
+    own = tempfile.mkdtemp(prefix="run-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
-def cut_lineage(df, fallback: str | None = None):
-    """Reliable checkpoint into the shared folder: survives the loss of executors."""
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared folder: survives the loss of executors.
+
+    Iterative training reads its rows many times; a checkpoint keeps the plan
+    short and the upstream work done once.
+    """
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark, fallback))
+    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
