@@ -50,8 +50,8 @@ def _(v):
 @query(
     "ml13_feature_selection",
     with_views(
-        """SELECT feature FROM (SELECT *, bool_or(running <= 0.95) OVER () AS some FROM (SELECT feature, row_number() OVER (ORDER BY importance DESC, feature) AS place,
-           SUM(importance) OVER (ORDER BY importance DESC, feature ROWS UNBOUNDED PRECEDING) / SUM(importance) OVER () AS running FROM importance)) WHERE running <= 0.95 OR (place = 1 AND NOT some)""",
+        """SELECT feature FROM (SELECT *, bool_or(running <= 0.95) OVER () AS any_inside FROM (SELECT feature, row_number() OVER (ORDER BY importance DESC, feature) AS place,
+           SUM(importance) OVER (ORDER BY importance DESC, feature ROWS UNBOUNDED PRECEDING) / SUM(importance) OVER () AS running FROM importance)) WHERE running <= 0.95 OR (place = 1 AND NOT any_inside)""",
         "importance",
     ),
 )
