@@ -169,7 +169,7 @@ def neighbours(
     )
     joined = rows.join(carried, [*keys, "_cell"])
     return joined.select(
-        *df.columns,
+        *[F.col(f"`{c}`") for c in df.columns],
         *[F.coalesce(f"_p_{n}", f"_cp_{n}").alias(f"{n}_prev") for n in names],
         *[F.coalesce(f"_n_{n}", f"_cn_{n}").alias(f"{n}_next") for n in names],
     )

@@ -13,7 +13,9 @@ from skywharf.operators.cleaning import keep_last, normalize_archive
 from skywharf.schema import ARCHIVE_MEASURES, OBSERVATION_ALIASES
 
 PARQUET_SUFFIXES = (".parquet", ".pq")
-ENCODINGS = ["UTF-8", "Big5", "x-MS950-HKSCS"]
+# Encodings archives come in; the last two need the Java charset switch.
+ENCODINGS = ["UTF-8", "Big5", "MS950"]
+JAVA_CHARSETS = {"Big5", "MS950"}
 
 
 def read_any(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -84,6 +86,8 @@ def load_archive_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", st
     Landing folders hold one encoding each; the station defaults to the part
     of the file name before the first underscore.
     """
+    if encoding in JAVA_CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     raw = spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE").csv(path)
     station = F.lit(station_id) if station_id else F.split(F.col("_metadata.file_name"), r"[_.]")[0]
     columns = [F.col(f"`{c}`") for c in raw.columns]
