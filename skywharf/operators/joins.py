@@ -74,15 +74,17 @@ def nearest_labels(area: DataFrame, keys: Sequence[str], time: str, values: Sequ
 
 
 def align_to_periods(anchors: DataFrame, periods: DataFrame, keys: Sequence[str], anchor_id: Sequence[str], at: str,
-                     raw: str = "raw_value") -> DataFrame:
+                     raw: str = "raw_value", carry: Sequence[str] = ()) -> DataFrame:
     """First forecast period containing each anchor, parsed with its quality.
 
+    ``carry`` names further period columns to return.
+
     Status: matched_forecast_period, no_matching_forecast_period, or
     no_forecast_timeseries when the key has no periods at all.
     """
     from skywharf.functions.weather import pop_quality
 
-    matched = interval_match(anchors, periods, keys, anchor_id, at, "start_ts", "end_ts", ["seq"], [raw])
+    matched = interval_match(anchors, periods, keys, anchor_id, at, "start_ts", "end_ts", ["seq"], [raw, *carry])
     known = periods.select(*keys).distinct().withColumn("_has_series", F.lit(True))
     quality = pop_quality(F.col(f"_period.{raw}"))
     status = (
@@ -97,6 +99,7 @@ def align_to_periods(anchors: DataFrame, periods: DataFrame, keys: Sequence[str]
         .select(
             *anchors.columns, "alignment_status", F.col("_quality.available").alias("available"),
             F.col("_quality.normalized_value").alias("pop"), F.col("_quality.parse_status").alias("parse_status"),
+            *[F.col(f"_period.{c}").alias(c) for c in carry],
         )
     )
 

@@ -11,20 +11,21 @@ SPLITS = 128
 
 
 def value_buckets(df: DataFrame, groups: Sequence[str], value: str, splits: int = SPLITS) -> DataFrame:
-    """Distinct values with their counts, each tagged with an order-preserving bucket.
+    """Distinct values with counts, the group total, and an order-preserving bucket.
 
     Bucket borders come from a mergeable quantile sketch, so a crowded value
     range is spread over many buckets. The sketch only balances the work;
     results do not depend on its accuracy.
     """
     groups = list(groups)
-    present = df.filter(F.col(value).isNotNull())
-    counted = present.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_count"))
-    borders = present.groupBy(*groups).agg(
-        F.percentile_approx(value, [i / splits for i in range(1, splits)], 1000).alias("_borders")
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_count"))
+    # Borders and totals come from the counted values, so the input is read once
+    # and the counting shuffle is shared.
+    shape = counted.groupBy(*groups).agg(
+        F.percentile_approx(value, [i / splits for i in range(1, splits)], 1000).alias("_borders"), F.sum("_count").alias("_n")
     )
     bucket = F.size(F.filter("_borders", lambda b: b < F.col(value)))
-    return attach(counted, borders, groups).withColumn("_bucket", bucket).drop("_borders")
+    return attach(counted, shape, groups).withColumn("_bucket", bucket).drop("_borders")
 
 
 def attach(df: DataFrame, grouped: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -64,9 +65,7 @@ def exact_quantiles(
     picked from running counts over distinct values.
     """
     groups = list(groups)
-    counted = cumulative_counts(value_buckets(df, groups, value), groups, value, ["_count"])
-    totals = df.filter(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = attach(counted, totals, groups)
+    ranked = cumulative_counts(value_buckets(df, groups, value), groups, value, ["_count"])
     first, last = F.col("_count_before"), F.col("_count_before") + F.col("_count") - 1
 
     def at(position: Column) -> Column:
