@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -49,13 +50,12 @@ def hash_runs(hashed: np.ndarray, size: int) -> np.ndarray:
     return runs
 
 
-def bounded_batches(frames, column: str, most: int = 4_000_000):
-    """Pandas batches cut so that each holds about ``most`` characters of ``column`` at most, or one row."""
-    for frame in frames:
-        sizes = frame[column].str.len().fillna(0).to_numpy()
-        group = (np.cumsum(sizes) // most).astype(np.int64)
-        if len(frame) and group[-1] == group[0]:
-            yield frame
-        else:
-            for _, part in frame.groupby(group, sort=True):
-                yield part
+def bounded(batches, column: str, most: int = 4_000_000):
+    """Arrow batches cut so that each holds about ``most`` bytes of ``column`` at most, or one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(sizes, dtype=np.int64) // most
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        for first, last in zip(cuts, cuts[1:]):
+            if last > first:
+                yield batch.slice(first, last - first)
