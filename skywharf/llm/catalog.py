@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skywharf.llm import decontaminate, html_text, mixing, secrets, shards
+from skywharf.llm import decontaminate, html_text, licenses, mixing, secrets, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,17 +29,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _license_sql() -> str:
+    """Rules and base phrases as SQL rows, and the detections they give, for DuckDB."""
+    rules = ", ".join(f"({k}, '{r.label}', '{r.keyword}', '{r.pattern}', CAST({r.confidence} AS DOUBLE))" for k, r in enumerate(licenses.RULES))
+    base = ", ".join(f"('{phrase}', '{label}')" for phrase, label in licenses.BASE)
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH rules(rank, label, keyword, pattern, confidence) AS (VALUES {rules}), base(phrase, label) AS (VALUES {base}),
+d AS (SELECT doc_id, {words} AS w FROM documents),
+p AS (SELECT doc_id, i, w[i + 1] AS word, array_to_string(w[i + 1 : i + {licenses.REACH}], ' ') || ' ' AS context FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d)),
+b AS (SELECT p.doc_id, p.i, base.label FROM p JOIN base ON starts_with(p.context, base.phrase || ' ')),
+found AS (
+  SELECT p.doc_id, p.i AS first, p.i + len(regexp_extract_all(regexp_extract(p.context, r.pattern), ' ')) AS last, r.rank, r.label, r.confidence
+  FROM p JOIN rules r ON p.word = r.keyword WHERE regexp_matches(p.context, r.pattern)
+),
+kept AS (
+  SELECT * FROM found f WHERE NOT EXISTS (
+    SELECT 1 FROM found e WHERE e.doc_id = f.doc_id AND e.first <= f.first AND e.last >= f.last AND e.rank < f.rank)
+),
+named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM kept UNION SELECT doc_id, label FROM b) GROUP BY doc_id),
+scored AS (SELECT doc_id, max(confidence) AS score FROM kept GROUP BY doc_id),
+based AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+       CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN based USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN scored USING (doc_id)
+"""
+
+
+@query("op1_licenses", sql=_license_sql())
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op4_secrets")
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = [rule.kind for rule in secrets.BASE]
-    counts = [F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in base]
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     def joined(spans):
         return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
     digest = F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256)
-    return found.select("doc_id", *counts, digest.alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, base), digest.alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 @query("op5_html_text")
