@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skywharf.llm import decontaminate, html_text, licenses, mixing, secrets, shards
+from skywharf.llm import decontaminate, html_text, licenses, mixing, quality_rules, secrets, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,6 +61,61 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op3_quality_rules", sql=r"""
+WITH t AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), runs AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5)
+), again AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM runs) WHERE c > 1
+  ) GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+         length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS capitals,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(n, 0) AS n_repeat_words
+  FROM t LEFT JOIN again USING (doc_id)
+), measured AS (
+  SELECT doc_id, lang, source, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words,
+         CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS symbol_rate,
+         CASE WHEN len(lines) > 0 THEN 1000 * (len(lines) - len(list_distinct(lines))) // len(lines) ELSE 0 END AS dup_line_rate,
+         CASE WHEN word_chars > 0 THEN 1000 * capitals // word_chars ELSE 0 END AS capital_rate,
+         CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS word_length
+  FROM counted
+), long AS (
+  SELECT lang, source, 'symbol_rate' AS metric, 300 AS slack, symbol_rate AS v FROM measured UNION ALL
+  SELECT lang, source, 'dup_line_rate', 300, dup_line_rate FROM measured UNION ALL
+  SELECT lang, source, 'capital_rate', 300, capital_rate FROM measured UNION ALL
+  SELECT lang, source, 'word_length', 150, word_length FROM measured
+), tops AS (
+  SELECT lang, source, metric, slack, CASE WHEN v < 64 THEN v ELSE ((v >> (length(bin(v)) - 6)) + 1) * (1 << (length(bin(v)) - 6)) - 1 END AS top FROM long
+), own AS (
+  SELECT lang, source, metric, slack, count(*) AS n, quantile_disc(top, 0.25) AS q25, quantile_disc(top, 0.75) AS q75 FROM tops GROUP BY ALL
+), by_lang AS (
+  SELECT lang, metric, count(*) AS n, quantile_disc(top, 0.25) AS q25, quantile_disc(top, 0.75) AS q75 FROM tops GROUP BY ALL
+), every AS (
+  SELECT metric, quantile_disc(top, 0.25) AS q25, quantile_disc(top, 0.75) AS q75 FROM tops GROUP BY ALL
+), fences AS (
+  SELECT o.lang, o.source, o.metric, o.slack, CASE WHEN o.n >= 200 THEN o.q25 WHEN l.n >= 200 THEN l.q25 ELSE e.q25 END AS q25,
+         CASE WHEN o.n >= 200 THEN o.q75 WHEN l.n >= 200 THEN l.q75 ELSE e.q75 END AS q75
+  FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN every e ON o.metric = e.metric
+), wide AS (
+  SELECT lang, source, max(q75 + 3 * (q75 - q25) + slack) FILTER (metric = 'symbol_rate') AS s, max(q75 + 3 * (q75 - q25) + slack) FILTER (metric = 'dup_line_rate') AS d,
+         max(q75 + 3 * (q75 - q25) + slack) FILTER (metric = 'capital_rate') AS c, max(q75 + 3 * (q75 - q25) + slack) FILTER (metric = 'word_length') AS h,
+         max(q25 - 3 * (q75 - q25) - slack) FILTER (metric = 'word_length') AS l
+  FROM fences GROUP BY lang, source
+)
+SELECT m.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND symbol_rate <= s AND dup_line_rate <= d AND capital_rate <= c AND word_length BETWEEN l AND h AS kept
+FROM measured m JOIN wide f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
+""")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op4_secrets")
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
