@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skywharf.llm import decontaminate, html_text, language_model, licenses, mixing, quality_rules, secret_scan, shards
+from skywharf.llm import decontaminate, html_text, language_model, licenses, mixing, ngram_join, quality_rules, secret_scan, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -136,6 +136,11 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op6_ngram_join")
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents"))
+
+
 @query("op7_language_model")
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
