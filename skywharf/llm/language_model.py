@@ -26,6 +26,8 @@ HELD_OUT = 5
 BLOCK_BYTES = 8_000_000
 #: Bits of the filter of trusted ids: its size is fixed, so it can go to every task.
 FILTER_BITS = 23
+#: Characters of average surprise that every text gets on top, so that a short text is not judged by a few characters.
+PRIOR = 64
 #: Histogram steps of a mean surprise of 1 (nat a character).
 STEPS = 1000
 
@@ -210,13 +212,31 @@ def surprises(docs: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]]) -
     )
 
 
+def averages(scores: DataFrame, ids: DataFrame) -> DataFrame:
+    """key, average: surprise of a character of held-out trusted texts, by language and pooled."""
+    held = scores.join(ids.where("held").select("doc_id"), "doc_id", "left_semi").where("n_chars > 0 AND surprise IS NOT NULL")
+    keyed = held.select(F.explode(F.array(_key(), F.lit(POOLED))).alias("key"), "surprise", "n_chars")
+    return keyed.groupBy("key").agg((F.sum(F.col("surprise") * F.col("n_chars")) / F.sum("n_chars")).alias("average"))
+
+
+def _key() -> Column:
+    return F.concat(F.lit("="), F.coalesce("lang", F.lit("")))
+
+
+def smoothed(scores: DataFrame, means: DataFrame) -> DataFrame:
+    """``scores`` with the surprise drawn to the average of its language by PRIOR characters."""
+    pooled = means.where(F.col("key") == POOLED).agg(F.max("average")).first()[0]
+    own = scores.withColumn("key", _key()).join(means, "key", "left").withColumn("average", F.coalesce("average", F.lit(pooled).cast("double"), "surprise"))
+    return own.withColumn("surprise", (F.col("surprise") * F.col("n_chars") + PRIOR * F.col("average")) / (F.col("n_chars") + PRIOR)).drop("average")
+
+
 def limits(scores: DataFrame, ids: DataFrame, part: float, stretch: float) -> DataFrame:
-    """lang, limit of the surprise: the median of held-out trusted texts and ``stretch`` times the way to quantile ``part``.
+    """key, limit of the smoothed surprise: from the median of held-out trusted texts ``stretch`` times the way to quantile ``part``.
 
-    Quantiles come from counts in steps of 1 / STEPS. The row of language null-safe key POOLED is for all others.
+    Quantiles come from counts in steps of 1 / STEPS, by language and pooled.
     """
-    held = scores.join(ids.where("held").select("doc_id"), "doc_id", "left_semi").where("surprise IS NOT NULL")
-    keyed = held.select(F.explode(F.array(F.concat(F.lit("="), F.coalesce("lang", F.lit(""))), F.lit(POOLED))).alias("key"), F.ceil(F.col("surprise") * STEPS).alias("bucket"))
+    held = scores.join(ids.where("held").select("doc_id"), "doc_id", "left_semi").where("n_chars > 0 AND surprise IS NOT NULL")
+    keyed = held.select(F.explode(F.array("key", F.lit(POOLED))).alias("key"), F.ceil(F.col("surprise") * STEPS).alias("bucket"))
     counted = keyed.groupBy("key", "bucket").agg(F.count("*").alias("n"))
     by = Window.partitionBy("key")
     ranked = counted.withColumns({"upto": F.sum("n").over(by.orderBy("bucket")), "all": F.sum("n").over(by)})
@@ -224,26 +244,26 @@ def limits(scores: DataFrame, ids: DataFrame, part: float, stretch: float) -> Da
     return ranked.groupBy("key").agg(middle.alias("m"), high.alias("h")).select("key", ((F.col("m") + F.lit(stretch) * (F.col("h") - F.col("m"))) / STEPS).alias("limit"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, part: float = 0.99, stretch: float = 2.0) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, part: float = 0.95, stretch: float = 8.0) -> DataFrame:
     """doc_id, text_key, lang, n_chars, perplexity, threshold and kept of every row of ``docs`` (doc_id, lang, text).
 
     ``labels`` (doc_id, quality, toxic) name the trusted documents; all of them are used. A text is kept while its
-    perplexity is at most the threshold. A null, empty or blank text has no perplexity and is not kept. A language
-    without trusted texts, null included, uses the pooled model and threshold; without any trusted text every text
-    with a character is kept. ``text_key`` tells rows of one id with different texts apart; repeated rows are judged
-    one by one; other columns are ignored; an empty table gives an empty result.
+    perplexity (smoothed by PRIOR characters) is at most the threshold. A null, empty or blank text has no perplexity
+    and is not kept. A language without trusted texts, null included, uses the pooled model and threshold; without any
+    trusted text every text with a character is kept. ``text_key`` tells rows of one id with different texts apart;
+    repeated rows are judged one by one; other columns are ignored; an empty table gives an empty result.
     """
     ids = cut_lineage(trusted_ids(labels))
-    tables = fit(trusted_texts(docs, ids.where("NOT held")))
-    scores = cut_lineage(surprises(docs, tables))
+    raw = cut_lineage(surprises(docs, fit(trusted_texts(docs, ids.where("NOT held")))))
+    scores = cut_lineage(smoothed(raw, averages(raw, ids)))
     fences = cut_lineage(limits(scores, ids, part, stretch))
-    own = fences.select(F.col("key").alias("_key"), F.col("limit").alias("_own"))
-    pooled = fences.where(F.col("key") == POOLED).agg(F.max("limit").alias("limit")).first()["limit"]
-    joined = scores.withColumn("_key", F.concat(F.lit("="), F.coalesce("lang", F.lit("")))).join(own, "_key", "left")
-    limit = F.coalesce("_own", F.lit(pooled).cast("double"))
+    pooled = fences.where(F.col("key") == POOLED).agg(F.max("limit")).first()[0]
+    joined = scores.join(fences, "key", "left")
+    limit = F.coalesce("limit", F.lit(pooled).cast("double"))
+    within = F.col("surprise").isNull() | limit.isNull() | (F.col("surprise") <= limit)
     return joined.select(
-        "doc_id", "text_key", "lang", "n_chars", F.exp("surprise").alias("perplexity"), F.exp(limit).alias("threshold"),
-        ((F.col("n_chars") > 0) & (F.col("surprise").isNull() | limit.isNull() | (F.col("surprise") <= limit))).alias("kept"),
+        "doc_id", "text_key", "lang", "n_chars", F.when(F.col("n_chars") > 0, F.exp("surprise")).alias("perplexity"), F.exp(limit).alias("threshold"),
+        ((F.col("n_chars") > 0) & within).alias("kept"),
     )
 
 
