@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skywharf.llm import decontaminate, html_text, language_model, licenses, mixing, ngram_join, quality_rules, secret_scan, shards
+from skywharf.llm import chat, decontaminate, html_text, language_model, licenses, mixing, ngram_join, quality_rules, secret_scan, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,6 +61,47 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op2_chat_preferences", sql=r"""
+WITH told AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+last AS (SELECT conv_id, max(turn) AS last, max({'t': turn, 'x': text}).x AS answer FROM told WHERE role = 'assistant' GROUP BY conv_id),
+rows AS (
+  SELECT t.*, l.last, o.conv_id IS NOT NULL AS has_other, o.answer AS other FROM told t LEFT JOIN last l USING (conv_id) LEFT JOIN last o ON o.conv_id = xor(t.conv_id, 1)
+  WHERE l.last IS NULL OR turn <= l.last
+), turns AS (
+  SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM rows UNION ALL
+  SELECT conv_id, 'rejected', turn, role, CASE WHEN turn = last AND role = 'assistant' THEN other ELSE text END FROM rows
+  WHERE NOT coalesce(turn = last AND role = 'assistant', false) OR has_other
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
+         '<|im_start|>' || coalesce(role, 'unknown') || chr(10) AS head, replace(coalesce(text, ''), '<|im_', '< |im_') || '<|im_end|>' AS body
+  FROM turns
+), sizes AS (
+  SELECT pair_id, count(*) FILTER (side = 'chosen') AS c, count(*) FILTER (side = 'rejected') AS r FROM placed GROUP BY pair_id
+), apart AS (
+  SELECT c.pair_id, min(c.k) AS k FROM placed c JOIN placed r ON c.pair_id = r.pair_id AND c.k = r.k AND c.side = 'chosen' AND r.side = 'rejected'
+  WHERE c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text GROUP BY c.pair_id
+), shared AS (SELECT pair_id, coalesce(k - 1, least(c, r)) AS shared FROM sizes LEFT JOIN apart USING (pair_id)),
+rest AS (
+  SELECT p.*, shared, sum(length(head) + length(body) + 1) OVER (PARTITION BY p.pair_id, side, k > shared ORDER BY k) - length(body) - 1 AS start FROM placed p JOIN shared USING (pair_id)
+)
+SELECT pair_id, coalesce(string_agg(head || body || chr(10), '' ORDER BY k) FILTER (side = 'chosen' AND k <= shared), '') AS prompt, CAST(max(shared) AS INTEGER) AS prompt_turns,
+       coalesce(string_agg(head || body || chr(10), '' ORDER BY k) FILTER (side = 'chosen' AND k > shared), '') AS chosen,
+       coalesce(string_agg(start || ':' || (start + length(body)), ',' ORDER BY k) FILTER (side = 'chosen' AND k > shared AND role = 'assistant'), '') AS chosen_mask,
+       CAST(count(*) FILTER (side = 'chosen' AND k > shared) AS INTEGER) AS chosen_turns,
+       coalesce(string_agg(head || body || chr(10), '' ORDER BY k) FILTER (side = 'rejected' AND k > shared), '') AS rejected,
+       coalesce(string_agg(start || ':' || (start + length(body)), ',' ORDER BY k) FILTER (side = 'rejected' AND k > shared AND role = 'assistant'), '') AS rejected_mask,
+       CAST(count(*) FILTER (side = 'rejected' AND k > shared) AS INTEGER) AS rejected_turns
+FROM rest GROUP BY pair_id
+""")
+def op2_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat.format_pairs(chat.contrast(table(spark, sf_dir, "conversations")))
+
+    def joined(name):
+        return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(name)
+
+    return pairs.select("pair_id", "prompt", "prompt_turns", "chosen", joined("chosen_mask"), "chosen_turns", "rejected", joined("rejected_mask"), "rejected_turns")
+
+
 @query("op3_quality_rules", sql=r"""
 WITH t AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
