@@ -179,7 +179,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_ngram_join")
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.groups(table(spark, sf_dir, "documents"))
+    return ngram_join.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op7_language_model")
@@ -219,7 +219,7 @@ FROM walked
 """)
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken")
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op9_decontamination", sql=r"""

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skywharf.llm.rows import matching
 from skywharf.llm.words import ALNUM, bounded, hash_runs, hash_words, spaced_words
 from skywharf.session import cut_lineage
 
@@ -60,7 +61,7 @@ def item_fingerprints(items: DataFrame) -> DataFrame:
 
 
 def scan_documents(docs: DataFrame, short: tuple[int, ...], bits) -> DataFrame:
-    """doc_id, n_words, fps that pass the filter, and the words of documents that have any."""
+    """doc_id, text_key, n_words, fps that pass the filter, and the words of documents that have any."""
 
     def scan(batches):
         passing = np.frombuffer(bits.value, dtype=np.uint8)
@@ -68,12 +69,12 @@ def scan_documents(docs: DataFrame, short: tuple[int, ...], bits) -> DataFrame:
             words = [spaced_words(t, ALNUM) for t in batch.column("text").to_pylist()]
             prints = [fps[passing[fps.view(np.uint64) >> np.uint64(64 - FILTER_BITS)] > 0] for fps in fingerprints(words, short)]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n_words": pa.array([len(w) for w in words], pa.int64()),
+                "doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "n_words": pa.array([len(w) for w in words], pa.int64()),
                 "fps": pa.array(prints, pa.list_(pa.int64())), "words": pa.array([b" ".join(w) if len(f) else None for w, f in zip(words, prints)], pa.binary()),
             })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n_words long, fps array<long>, words binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(scan, f"doc_id {kind}, text_key long, n_words long, fps array<long>, words binary")
 
 
 def _windows(item: bytes) -> tuple[int, frozenset]:
@@ -113,7 +114,7 @@ def extend(text: bytes, items: list[tuple[object, bytes]], known: dict[bytes, tu
 
 
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_words, spans (word places inside item windows), n_hit, item_ids, contaminated of every row of ``docs``.
+    """doc_id, text_key, n_words, spans (word places inside item windows), n_hit, item_ids, contaminated of every row of ``docs``.
 
     ``docs`` (doc_id, text), ``items`` (item_id, text). A window is 13 consecutive words of an item, or the whole item
     if it has fewer. A null text has no words; an item without words is never found; an item without an id marks words
@@ -149,7 +150,12 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
         verify, f"_row long, spans array<struct<first: long, end: long>>, item_ids array<{kind}>"
     )
     spans = F.coalesce(F.col("spans"), F.array().cast("array<struct<first: long, end: long>>"))
-    joined = scanned.select("_row", "doc_id", "n_words").join(verified, "_row", "left").select(
-        "doc_id", "n_words", spans.alias("spans"), F.array_distinct(F.coalesce(F.col("item_ids"), F.array().cast(f"array<{kind}>"))).alias("item_ids"),
+    joined = scanned.select("_row", "doc_id", "text_key", "n_words").join(verified, "_row", "left").select(
+        "doc_id", "text_key", "n_words", spans.alias("spans"), F.array_distinct(F.coalesce(F.col("item_ids"), F.array().cast(f"array<{kind}>"))).alias("item_ids"),
     ).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["first"]))
     return joined.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that are not contaminated, with their own columns; ``text_key`` tells rows of one id apart."""
+    return matching(docs, overlaps(docs, items).where("contaminated"), "left_anti")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skywharf.llm.rows import matching
 from skywharf.llm.words import bounded
 from skywharf.session import cut_lineage
 
@@ -269,5 +270,4 @@ def judge(docs: DataFrame, labels: DataFrame, part: float = 0.95, stretch: float
 
 def keep(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """Rows of ``docs`` that were kept, with their own columns."""
-    good = judged.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
+    return matching(docs, judged.where("kept"), "left_semi")

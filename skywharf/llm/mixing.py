@@ -16,14 +16,9 @@ WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _named(docs: DataFrame, *names: str) -> None:
-    if clash := {*names} & {*docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} are reserved for the mix")
-
-
 def source_sizes(sized: DataFrame) -> DataFrame:
     """source, position in code-point order (null last) and size; ranked by a distributed sort, not in one task."""
-    sizes = cut_lineage(sized.groupBy("source").agg(F.sum("mix_size").alias("source_size")))
+    sizes = cut_lineage(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     ranked = sizes.orderBy(F.col("source").asc_nulls_last()).rdd.zipWithIndex().map(lambda pair: (pair[0][0], pair[0][1], pair[1]))
     return sizes.sparkSession.createDataFrame(ranked, "source string, source_size long, rank long")
 
@@ -46,45 +41,41 @@ def water_level(sources: DataFrame, total: float, max_epochs: int) -> float:
         level = following
 
 
-def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", buckets: int = 3) -> DataFrame:
-    """``docs`` with mix_size, source_size, target, copies and taken, one row for each row of ``docs``.
+def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", digits: int = 3) -> DataFrame:
+    """row (all columns of ``docs``), size, source_size, target, copies and taken for each row of ``docs`` (doc_id, source, text).
 
-    ``weights`` repeat over the sources in code-point order, null last. ``buckets`` hex digits of the seeded order
+    ``weights`` repeat over the sources in code-point order, null last. ``digits`` of the seeded order (hexadecimal)
     split each source into ranges that are summed first, so that no source is walked by one task. A document takes
     part in the fraction when at least half of it fits. Null and empty texts have size 0 and take 0 words. Repeated
-    rows count one by one. Other columns pass through; names of the new ones must be free. Empty tables stay empty.
+    rows count one by one. Empty tables stay empty.
     """
-    _named(docs, "mix_size", "source_size", "target", "copies", "taken")
-    sized = docs.withColumn("mix_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
-    keyed = sized.withColumns({"_order": order}).withColumn("_range", F.substring("_order", 1, buckets))
+    keyed = docs.select(F.struct("*").alias("row"), "source", F.col("doc_id").alias("id"), size.alias("size"), order.alias("order"), F.substring(order, 1, digits).alias("range"))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights)).cast("int") + 1)
-    sources = cut_lineage(source_sizes(sized).withColumn("weight", weight))
+    sources = cut_lineage(source_sizes(keyed).withColumn("weight", weight))
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     level = water_level(sources, share * total, max_epochs) if total else 0.0
     cap = F.col("source_size") * F.lit(float(max_epochs))
     share_of = F.col("weight") * F.lit(level)
     plan = sources.select(
-        F.col("source").alias("_source"), "source_size", F.when(share_of > cap, cap).otherwise(share_of).cast("double").alias("target"),
-    ).withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    plan = plan.withColumn("_part", F.col("target") - F.col("_whole") * F.col("source_size"))
-    ranges = keyed.groupBy("source", "_range").agg(F.sum("mix_size").alias("_words"))
-    before = F.coalesce(F.sum("_words").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = ranges.select(F.col("source").alias("_source"), F.col("_range").alias("_at"), before.alias("_before"))
-    offsets = offsets.join(plan.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    within = F.sum("mix_size").over(
-        Window.partitionBy("source", "_range").orderBy("_order", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ) - F.col("mix_size")
-    walked = keyed.withColumn("_within", within)
-    joined = walked.join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_at")))
-    start = F.col("_before") + F.col("_within")
-    extra = (2 * start + F.col("mix_size") <= 2 * F.col("_part")).cast("long")
-    return joined.withColumn("copies", F.when(F.col("mix_size") > 0, F.least(F.col("_whole") + extra, F.lit(max_epochs))).otherwise(0).cast("long")).select(
-        *docs.columns, "mix_size", "source_size", "target", "copies", (F.col("mix_size") * F.col("copies")).alias("taken")
-    )
+        F.col("source").alias("plan_source"), "source_size", F.when(share_of > cap, cap).otherwise(share_of).cast("double").alias("target"),
+    ).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+    plan = plan.withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
+    ranges = keyed.groupBy("source", "range").agg(F.sum("size").alias("words"))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.select(F.col("source").alias("start_source"), F.col("range").alias("start_range"), before.alias("before"))
+    starts = starts.join(plan, F.col("start_source").eqNullSafe(F.col("plan_source")))
+    within = F.sum("size").over(
+        Window.partitionBy("source", "range").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ) - F.col("size")
+    joined = keyed.withColumn("within", within).join(starts, F.col("source").eqNullSafe(F.col("start_source")) & (F.col("range") == F.col("start_range")))
+    extra = (2 * (F.col("before") + F.col("within")) + F.col("size") <= 2 * F.col("part")).cast("long")
+    copies = F.when(F.col("size") > 0, F.least(F.col("whole") + extra, F.lit(max_epochs))).otherwise(0).cast("long")
+    return joined.select("row", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def repeat(mixed: DataFrame) -> DataFrame:
-    """The rows of a mix, each as often as it is taken, without the columns of the mix."""
-    rows = mixed.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.drop("mix_size", "source_size", "target", "copies", "taken", "_copy")
+    """The rows of a mix, each as often as it is taken, with their own columns."""
+    rows = mixed.where(F.col("copies") > 0)
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skywharf.llm.components import components
+from skywharf.llm.rows import carried
 from skywharf.llm.words import LOWER, hash_runs, hash_spaced
 from skywharf.session import cut_lineage
 
@@ -141,23 +142,23 @@ def _post(table: pa.Table, answers: pa.Table) -> pa.Table:
     sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (found, mixed)]
     prints = [(s[offsets[1:]] - s[offsets[:-1]]).view(np.int64) for s in sums]
     return pa.table([
-        table.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints[0]), pa.array(prints[1]), pa.array(tokens, pa.list_(pa.int64())),
+        table.column("doc_id"), table.column("text_key"), pa.array(sizes, pa.int64()), pa.array(prints[0]), pa.array(prints[1]), pa.array(tokens, pa.list_(pa.int64())),
         pa.array(places, pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int64())),
-    ], ["doc_id", "n", "print1", "print2", "tokens", "places", "shingles"])
+    ], ["doc_id", "text_key", "n", "print1", "print2", "tokens", "places", "shingles"])
 
 
 def posted(docs: DataFrame) -> DataFrame:
-    """doc_id, n, print1, print2, tokens, places, shingles of every row of ``docs``."""
+    """doc_id, text_key, n, print1, print2, tokens, places, shingles of every row of ``docs``."""
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(text_bytes // BLOCK_BYTES) + 1
     shards = 1 << max(int(text_bytes // SHARD_BYTES), 1).bit_length()
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
-    blocked = docs.select("doc_id", "text", block)
+    key = F.xxhash64("text")
+    blocked = docs.select("doc_id", "text", key.alias("text_key"), F.pmod(F.xxhash64("doc_id", key), F.lit(blocks)).cast("int").alias("block"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     asked = blocked.groupBy("block").applyInArrow(_ask(shards), "shard int, block int, grams binary, counts binary")
     answers = asked.groupBy("shard").applyInArrow(_answer, "block int, grams binary, counts binary")
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _post, f"doc_id {kind}, n long, print1 long, print2 long, tokens array<long>, places array<int>, shingles array<long>"
+        _post, f"doc_id {kind}, text_key long, n long, print1 long, print2 long, tokens array<long>, places array<int>, shingles array<long>"
     )
 
 
@@ -213,24 +214,38 @@ def links(postings: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
+    """doc_id, text_key, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text).
 
     The shingles are the distinct runs of five words (A-Z lower-cased, split at ASCII white space); a text with fewer
     words has its whole sequence as one. Rows link from a Jaccard similarity of 0.75; component_id is the smallest
     doc_id that links reach. Null and blank texts have no shingles, link with nothing and are their own component.
     Rows without an id take part; a component of such rows alone has a null id. Repeated rows fall into one component.
-    Other columns are ignored; an empty table gives an empty result.
+    ``kept`` marks the row of the smallest id, told by ``text_key`` from rows of the same id; rows equal in both are
+    all marked. Other columns are ignored; an empty table gives an empty result.
     """
     # Written once, so that row numbers stay when a task is repeated.
     rows = cut_lineage(posted(docs).withColumn("_row", F.monotonically_increasing_id()))
     same = ["n", "print1", "print2"]
-    classes = cut_lineage(rows.where("n > 0").groupBy(*same).agg(F.min("_row").alias("class"), F.min("doc_id").alias("least_id")))
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    classes = cut_lineage(rows.where("n > 0").groupBy(*same).agg(F.min("_row").alias("class"), F.min(first).alias("first")))
     chosen = rows.where("tokens IS NOT NULL").join(classes.select(F.col("class").alias("_row")), "_row", "left_semi")
     postings = chosen.select("_row", "n", F.explode(F.arrays_zip("tokens", "places")).alias("p")).select("_row", "n", F.col("p.tokens").alias("token"), F.col("p.places").alias("place"))
     of = components(links(cut_lineage(postings), chosen.select("_row", "shingles")))
     named = classes.join(of, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    labelled = named.join(least, "component").select(*(F.col(x).alias(f"_{x}") for x in same), "component_id")
+    least = named.groupBy("component").agg(F.min("first").alias("best"))
+    labelled = named.join(least, "component").select(*(F.col(x).alias(f"_{x}") for x in same), "best")
     equal = (F.col("n") == F.col("_n")) & (F.col("print1") == F.col("_print1")) & (F.col("print2") == F.col("_print2"))
-    joined = rows.select("doc_id", *same).join(labelled, equal, "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    joined = rows.select("doc_id", "text_key", *same).join(labelled, equal, "left")
+    kept = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.key")))
+    return joined.select(
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("best.id")).otherwise(F.col("doc_id")).alias("component_id"), kept.alias("kept"),
+    )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``docs``, and all rows without shingles, with the columns of ``docs``."""
+    good = groups(docs).where("kept").groupBy("doc_id", "text_key").agg((F.max("n_shingles") > 0).alias("one"))
+    same = F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_key") == F.col("text_key"))
+    rows = carried(docs).join(good, same).select("row", "row_id", "row_key", F.when(F.col("one"), F.lit(0)).otherwise(F.monotonically_increasing_id()).alias("alone"))
+    # Rows equal in id and text are copies of each other; those without words stay as they are.
+    return rows.dropDuplicates(["row_id", "row_key", "alone"]).select("row.*")
