@@ -25,6 +25,8 @@ BLOCK = frozenset(
     "details summary center".split()
 ) | CUT
 PARAGRAPH = frozenset("p pre td blockquote".split())
+#: Elements that are never the whole of a text: the container around them is.
+PARTS = frozenset("tr td th tbody thead tfoot table li ul ol dl dd dt p pre blockquote span b i em strong a font".split())
 #: What an opening tag closes, and the elements beyond which it closes nothing.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -167,6 +169,8 @@ def chosen(root: Node) -> list[Node]:
     if not scored:
         return [root]
     best = max(scored, key=lambda n: n.points * (1 - density(n)))
+    while best.tag in PARTS and best.parent is not None:
+        best = best.parent
     # An article inside is part of its page; a page of several articles keeps them all.
     up = best
     while up is not None and up.tag not in ("article", "main"):

@@ -105,7 +105,9 @@ def build_rules() -> list[Rule]:
             tiers[4 + plain].append(Rule(label, words[0], name, 0.5 if plain else 0.8))
         full_names = "|".join(names)
         tiers[3] += [Rule(label, grant, rf"{grant} (under|by)( the)?( terms)?( and conditions)?( of)?( the)? ({full_names})", 0.9) for grant in GRANTS]
-    return [Rule(r.label, r.keyword, "^" + r.pattern + " ", r.confidence) for tier in tiers for r in tier if "[" not in r.keyword]
+    # Within a tier the longer expression goes first: a version 2.1 before a 2, a lesser licence before the one it names.
+    ordered = [r for tier in tiers for r in sorted(tier, key=lambda r: -r.pattern.count(" "))]
+    return [Rule(r.label, r.keyword, "^" + r.pattern + " ", r.confidence) for r in ordered]
 
 
 RULES = build_rules()
