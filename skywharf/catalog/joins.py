@@ -488,14 +488,17 @@ def candidates(v):
         F.when(F.col("source") == "view", 1).when(F.col("source") == "click", 2).otherwise(3).alias("dataset_priority"),
         F.col("station_id").alias("location_name"), F.substring("station_id", 2, 2).cast("int").alias("location_index"), F.col("device_type").alias("element_name"),
         ranking.source_resolution(hours, F.col("device_type")).alias("source_resolution"),
-    ).agg(F.count_if(F.col("k") > 60).alias("record_count")).withColumn("element_index", F.lit(0))
+    ).agg(F.count_if(F.col("k") > 60).alias("record_count")).withColumns(
+        # Candidates are listed by dataset, location and element.
+        {"element_index": F.lit(0), "candidate_index": F.concat_ws("/", "dataset_id", "location_name", "element_name")}
+    )
 
 
 @query(
     "top04_best_forecast_source",
     with_views(
         f"""SELECT day, TRUE AS available, dataset_id, location_name, element_name, source_resolution, record_count FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY CASE source_resolution WHEN '3h' THEN 0 WHEN '6h' THEN 1 ELSE 4 END,
-              dataset_priority, location_index, dataset_id) AS rn FROM (SELECT *, {RESOLUTION_SQL} AS source_resolution FROM candidates) WHERE record_count > 0) WHERE rn = 1""",
+              dataset_priority, location_index, dataset_id || '/' || location_name || '/' || element_name) AS rn FROM (SELECT *, {RESOLUTION_SQL} AS source_resolution FROM candidates) WHERE record_count > 0) WHERE rn = 1""",
         "candidates",
     ),
 )

@@ -11,6 +11,7 @@ from skywharf.catalog.aggregates import clean_distance
 from skywharf.catalog.joins import irregular
 from skywharf.catalog.registry import query
 from skywharf.catalog.views import r, rounded, ts, tsql, with_views
+from skywharf.catalog.windows import W, back, frame, steps
 from skywharf.models import tide, training
 from skywharf.operators import cleaning, features, joins, metrics
 from skywharf.plans.area import area_dataset, dataset_report, port_dataset
@@ -33,11 +34,11 @@ PIPE = ["wind_speed_lag_1h", "wind_speed_roll_3h_mean", "wind_speed_change_1h",
 @query(
     "ml13_feature_pipeline",
     with_views(
-        f"""SELECT station_id, {tsql('obs_time')} AS obs_time, lag(wind_speed, 2) OVER w AS wind_speed_lag_1h, round(AVG(wind_speed) OVER (PARTITION BY station_id ORDER BY obs_time ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 8) AS wind_speed_roll_3h_mean,
-            round(wind_speed - lag(wind_speed, 2) OVER w, 8) AS wind_speed_change_1h, round(sin(2 * pi() * hour(obs_time) / 24.0), 8) AS hour_sin, CAST(hour(obs_time) >= 18 OR hour(obs_time) < 6 AS INT) AS is_night,
-            station_pressure - lag(station_pressure, 6) OVER w AS pressure_change_3h, round((station_pressure - lag(station_pressure, 6) OVER w) * relative_humidity / 100, 8) AS pressure_humidity_interaction
-            FROM station_hour WINDOW w AS (PARTITION BY station_id ORDER BY obs_time)""",
-        "station_hour",
+        f"""SELECT station_id, {tsql('obs_time')} AS obs_time, {back('wind_speed', 1)} AS wind_speed_lag_1h, round(AVG(wind_speed) OVER {frame(steps(3))}, 8) AS wind_speed_roll_3h_mean,
+            round(wind_speed - {back('wind_speed', 1)}, 8) AS wind_speed_change_1h, round(sin(2 * pi() * hour(obs_time) / 24.0), 8) AS hour_sin, CAST(hour(obs_time) >= 18 OR hour(obs_time) < 6 AS INT) AS is_night,
+            station_pressure - {back('station_pressure', 3)} AS pressure_change_3h, round((station_pressure - {back('station_pressure', 3)}) * relative_humidity / 100, 8) AS pressure_humidity_interaction
+            FROM stepped {W}""",
+        "stepped",
     ),
 )
 def _(v):

@@ -38,18 +38,10 @@ def drained(v, build, sink=None, mode="append"):
     target = f"{folder}/table"
     stream = build(StreamViews(spark, v.sf_dir))
 
-    def parquet(batch, batch_id):
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(target)
-
-    jobs.run(stream, f"{folder}/state", (sink(target) if sink else parquet), mode=mode).awaitTermination()
+    jobs.run(stream, f"{folder}/state", sink(target) if sink else jobs.batch_sink(target), mode=mode).awaitTermination()
     return spark.read.parquet(target)
 
 
-def final_rows(table, keys):
-    """Last emitted version of every key of an update-mode query."""
-    return cleaning.keep_last(table, keys, "_batch").drop("_batch")
-
-
 def masked(sv):
     return cleaning.mask_ranges(sv.obs)
 
@@ -75,9 +67,9 @@ def _(v):
 @query("str02_first_wins_keys", with_views("SELECT COUNT(*) AS n_rows, COUNT(DISTINCT station_id) AS n_stations FROM (SELECT DISTINCT station_id, obs_hour FROM obs)", "obs"))
 def _(v):
     def build(sv):
-        return jobs.first_per_key(sv.obs.select("station_id", F.col("obs_hour").alias("obs_time"), "seq"))
+        return sv.obs.select("station_id", F.col("obs_hour").alias("obs_time"), "seq")
 
-    return drained(v, build).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("station_id").alias("n_stations"))
+    return drained(v, build, lambda path: jobs.first_sink(path, ["station_id", "obs_time"], ["seq"])).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("station_id").alias("n_stations"))
 
 
 @query(
@@ -131,8 +123,9 @@ def _(v):
     ),
 )
 def _(v):
-    out = drained(v, lambda sv: jobs.tumbling_mean(masked(sv), ["wind_speed", "wind_gust"]), mode="update")
-    return rounded(final_rows(out, ["station_id", "obs_time"]), "wind_speed", "wind_gust").withColumn("obs_time", ts("obs_time"))
+    measures = ["wind_speed", "wind_gust"]
+    parts = drained(v, masked, lambda path: jobs.batch_sink(path, lambda batch: jobs.tumbling_parts(batch, measures)))
+    return rounded(jobs.tumbling_mean(parts, measures), *measures).withColumn("obs_time", ts("obs_time"))
 
 
 @query(
@@ -146,8 +139,8 @@ def _(v):
     ),
 )
 def _(v):
-    out = drained(v, lambda sv: jobs.sliding_trend(masked(sv)), mode="update")
-    return final_rows(out, ["station_id", "device_type", "window_end", "offset_minutes"]).withColumn("window_end", ts("window_end"))
+    parts = drained(v, masked, lambda path: jobs.batch_sink(path, jobs.trend_parts))
+    return jobs.sliding_trend(parts).withColumn("window_end", ts("window_end"))
 
 
 @query(

@@ -17,8 +17,27 @@ STATION = ["station_id"]
 W = "WINDOW w AS (PARTITION BY station_id ORDER BY obs_time)"
 
 
-def frame(rows: int) -> str:
-    return f"(PARTITION BY station_id ORDER BY obs_time ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
+def frame(rows: str) -> str:
+    return f"(PARTITION BY station_id ORDER BY obs_time ROWS BETWEEN {rows} - 1 PRECEDING AND CURRENT ROW)"
+
+
+def steps(hours: float) -> str:
+    """Rows that make up a number of hours at the station's own rate."""
+    return f"greatest(1, CAST(round_even({hours} * steps, 0) AS BIGINT))"
+
+
+def back(measure: str, hours: float, window: str = "w") -> str:
+    return f"lag({measure}, {steps(hours)}) OVER {window}"
+
+
+# The hourly series with the rows per hour that its median gap shows.
+define_view(
+    "stepped",
+    """SELECT h.*, row_number() OVER (PARTITION BY station_id ORDER BY obs_time) AS rn, coalesce(CASE WHEN med > 0 THEN greatest(1, CAST(round_even(60.0 / med, 0) AS INT)) END, 2) AS steps
+       FROM station_hour h JOIN (SELECT station_id, quantile_cont(gap, 0.5) AS med FROM (
+         SELECT station_id, (epoch_us(obs_time) - epoch_us(lag(obs_time) OVER (PARTITION BY station_id ORDER BY obs_time))) / 60e6 AS gap FROM station_hour) GROUP BY station_id) USING (station_id)""",
+    ["station_hour"],
+)
 
 
 def stations(v):
@@ -34,13 +53,13 @@ def shown(df, *names, places=9, keys=("station_id",)):
     "win01_lags",
     with_views(
         f"SELECT station_id, {tsql('obs_time')} AS obs_time, "
-        + ", ".join(f"round(lag({m}, {n}) OVER w, 9) AS \"{m}_lag_{h}\"" for m in ("wind_speed", "wind_gust") for h, n in (("0.5h", 1), ("1h", 2), ("2h", 4), ("3h", 6), ("6h", 12)))
-        + f" FROM station_hour {W}",
-        "station_hour",
+        + ", ".join(f"round({back(m, h)}, 9) AS \"{m}_lag_{h:g}h\"" for m in ("wind_speed", "wind_gust") for h in (0.5, 1, 2, 3, 6))
+        + f" FROM stepped {W}",
+        "stepped",
     ),
 )
 def _(v):
-    out = features.apply_features(stations(v), STATION, "obs_time", [features.lags(["wind_speed", "wind_gust"])])
+    out = features.hourly_features(stations(v), STATION, "obs_time", lambda n: [features.lags(["wind_speed", "wind_gust"], steps=n)])
     names = [f"{m}_lag_{h}" for m in ("wind_speed", "wind_gust") for h in ("0.5h", "1h", "2h", "3h", "6h")]
     quoted = {n: F.round(F.col(f"`{n}`"), 9) for n in names}
     return out.select("station_id", ts("obs_time").alias("obs_time"), *[c.alias(n) for n, c in quoted.items()])
@@ -68,40 +87,37 @@ ROLL_NAMES = [f"{m}_roll_{w}_{s}" for m in ("wind_speed",) for w in ("1h", "3h",
     with_views(
         f"SELECT station_id, {tsql('obs_time')} AS obs_time, "
         + ", ".join(
-            f"round({f}(wind_speed) OVER {frame(n)}, 8) AS wind_speed_roll_{w}_{s}"
-            for w, n in (("1h", 2), ("3h", 6), ("6h", 12)) for f, s in (("AVG", "mean"), ("MAX", "max"), ("MIN", "min"), ("STDDEV_POP", "std"), ("SUM", "sum"))
+            f"round({f}(wind_speed) OVER {frame(steps(h))}, 8) AS wind_speed_roll_{h}h_{s}"
+            for h in (1, 3, 6) for f, s in (("AVG", "mean"), ("MAX", "max"), ("MIN", "min"), ("STDDEV_POP", "std"), ("SUM", "sum"))
         )
-        + " FROM station_hour",
-        "station_hour",
+        + " FROM stepped",
+        "stepped",
     ),
 )
 def _(v):
-    out = features.apply_features(stations(v), STATION, "obs_time", [features.rolling(["wind_speed"])])
+    out = features.hourly_features(stations(v), STATION, "obs_time", lambda n: [features.rolling(["wind_speed"], steps=n)])
     return shown(out, *ROLL_NAMES, places=8)
 
 
-def trend_sql(measure: str, rows: int) -> str:
+def trend_sql(measure: str, hours: float) -> str:
     """Least-squares slope over the last rows, by centred positions; needs a full frame."""
-    w = frame(rows)
+    w = frame(steps(hours))
     return (
-        f"CASE WHEN COUNT({measure}) OVER {w} = {rows} THEN regr_slope({measure}, rn) OVER {w} END"
+        f"CASE WHEN COUNT({measure}) OVER {w} = {steps(hours)} THEN regr_slope({measure}, rn) OVER {w} END"
     )
 
 
-NUMBERED = "(SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY obs_time) AS rn FROM station_hour)"
-
-
 @query(
     "win04_changes",
     with_views(
         f"SELECT station_id, {tsql('obs_time')} AS obs_time, "
-        + ", ".join(f"round(tide_level - lag(tide_level, {n}) OVER w, 9) AS \"tide_level_change_{h}\"" for h, n in (("0.5h", 1), ("1h", 2), ("3h", 6), ("6h", 12)))
-        + f" FROM station_hour {W}",
-        "station_hour",
+        + ", ".join(f"round(tide_level - {back('tide_level', h)}, 9) AS \"tide_level_change_{h:g}h\"" for h in (0.5, 1, 3, 6))
+        + f" FROM stepped {W}",
+        "stepped",
     ),
 )
 def _(v):
-    out = features.apply_features(stations(v), STATION, "obs_time", [features.changes(["tide_level"])])
+    out = features.hourly_features(stations(v), STATION, "obs_time", lambda n: [features.changes(["tide_level"], steps=n)])
     names = [f"tide_level_change_{h}" for h in ("0.5h", "1h", "3h", "6h")]
     return out.select("station_id", ts("obs_time").alias("obs_time"), *[F.round(F.col(f"`{n}`"), 9).alias(n) for n in names])
 
@@ -109,12 +125,12 @@ def _(v):
 @query(
     "win05_rolling_trend",
     with_views(
-        f"SELECT station_id, {tsql('obs_time')} AS obs_time, round({trend_sql('wind_speed', 6)}, 7) AS wind_speed_trend_3h, round({trend_sql('station_pressure', 6)}, 7) AS station_pressure_trend_3h FROM {NUMBERED}",
-        "station_hour",
+        f"SELECT station_id, {tsql('obs_time')} AS obs_time, round({trend_sql('wind_speed', 3)}, 7) AS wind_speed_trend_3h, round({trend_sql('station_pressure', 3)}, 7) AS station_pressure_trend_3h FROM stepped",
+        "stepped",
     ),
 )
 def _(v):
-    out = features.apply_features(stations(v), STATION, "obs_time", [features.changes(["wind_speed", "station_pressure"])])
+    out = features.hourly_features(stations(v), STATION, "obs_time", lambda n: [features.changes(["wind_speed", "station_pressure"], steps=n)])
     return shown(out, "wind_speed_trend_3h", "station_pressure_trend_3h", places=7)
 
 
@@ -124,16 +140,17 @@ PRESSURE_NAMES = ["pressure_change_0.5h", "pressure_change_1h", "pressure_change
 @query(
     "win06_pressure_features",
     with_views(
-        f"SELECT station_id, {tsql('obs_time')} AS obs_time, "
-        + ", ".join(f"station_pressure - lag(station_pressure, {n}) OVER w AS \"pressure_change_{h}\"" for h, n in (("0.5h", 1), ("1h", 2), ("3h", 6), ("6h", 12)))
-        + f""", (station_pressure - lag(station_pressure, 2) OVER w) - (lag(station_pressure, 2) OVER w - lag(station_pressure, 4) OVER w) AS pressure_acceleration_1h,
-            round({trend_sql('station_pressure', 6)}, 7) AS pressure_trend_3h, station_pressure AS pressure_current,
-            round(station_pressure - AVG(station_pressure) OVER {frame(ANOMALY_HOURS * 2)}, 8) AS pressure_anomaly FROM {NUMBERED} {W}""",
-        "station_hour",
+        f"""SELECT * EXCLUDE (c, k), c - lag(c, k) OVER (PARTITION BY station_id ORDER BY obs_time) AS pressure_acceleration_1h FROM (
+            SELECT station_id, {tsql('obs_time')} AS obs_time, """
+        + ", ".join(f"station_pressure - {back('station_pressure', h)} AS \"pressure_change_{h:g}h\"" for h in (0.5, 1, 3, 6))
+        + f""", station_pressure - {back('station_pressure', 1)} AS c, {steps(1)} AS k,
+            round({trend_sql('station_pressure', 3)}, 7) AS pressure_trend_3h, station_pressure AS pressure_current,
+            round(station_pressure - AVG(station_pressure) OVER {frame(steps(ANOMALY_HOURS))}, 8) AS pressure_anomaly FROM stepped {W})""",
+        "stepped",
     ),
 )
 def _(v):
-    out = features.apply_features(stations(v), STATION, "obs_time", [features.pressure_features("station_pressure")])
+    out = features.hourly_features(stations(v), STATION, "obs_time", lambda n: [features.pressure_features("station_pressure", n)])
     return out.select(
         "station_id", ts("obs_time").alias("obs_time"), *[F.col(f"`{n}`").alias(n) for n in PRESSURE_NAMES],
         r("pressure_trend_3h", 7).alias("pressure_trend_3h"), "pressure_current", r("pressure_anomaly", 8).alias("pressure_anomaly"),
@@ -148,46 +165,46 @@ DEW_NAMES = ["temp_dewpoint_diff", "temp_dewpoint_diff_lag_1h", "temp_dewpoint_d
     "win07_dewpoint_features",
     with_views(
         f"""SELECT station_id, {tsql('obs_time')} AS obs_time, round(temperature - dew, 8) AS temp_dewpoint_diff,
-            round(lag(temperature - dew, 2) OVER w, 8) AS temp_dewpoint_diff_lag_1h, round(lag(temperature - dew, 4) OVER w, 8) AS temp_dewpoint_diff_lag_2h,
-            round(lag(temperature - dew, 12) OVER w, 8) AS temp_dewpoint_diff_lag_6h, round(temperature - lag(temperature, 2) OVER w, 8) AS temp_change_1h,
-            round(dew - lag(dew, 2) OVER w, 8) AS dewpoint_change_1h, round(exp(-0.06 * (temperature - dew)), 8) AS saturation_ratio
-            FROM (SELECT *, {DEW} AS dew FROM station_hour) {W}""",
-        "station_hour",
+            round({back('temperature - dew', 1)}, 8) AS temp_dewpoint_diff_lag_1h, round({back('temperature - dew', 2)}, 8) AS temp_dewpoint_diff_lag_2h,
+            round({back('temperature - dew', 6)}, 8) AS temp_dewpoint_diff_lag_6h, round(temperature - {back('temperature', 1)}, 8) AS temp_change_1h,
+            round(dew - {back('dew', 1)}, 8) AS dewpoint_change_1h, round(exp(-0.06 * (temperature - dew)), 8) AS saturation_ratio
+            FROM (SELECT *, {DEW} AS dew FROM stepped) {W}""",
+        "stepped",
     ),
 )
 def _(v):
     base = stations(v).withColumn("dewpoint", weather.dew_point(F.col("temperature"), F.col("relative_humidity")))
-    return shown(features.apply_features(base, STATION, "obs_time", [features.dewpoint_features()]), *DEW_NAMES, places=8)
+    return shown(features.hourly_features(base, STATION, "obs_time", lambda n: [features.dewpoint_features(steps=n)]), *DEW_NAMES, places=8)
 
 
 @query(
     "win08_humidity_features",
     with_views(
-        f"""SELECT station_id, {tsql('obs_time')} AS obs_time, relative_humidity - lag(relative_humidity, 2) OVER w AS humidity_change_1h,
-            relative_humidity - lag(relative_humidity, 6) OVER w AS humidity_change_3h, round(AVG(relative_humidity) OVER {frame(6)}, 9) AS humidity_roll_3h_mean,
-            COUNT(*) FILTER (WHERE relative_humidity > 85) OVER {frame(12)} / 2.0::DOUBLE AS high_humidity_hours FROM station_hour {W}""",
-        "station_hour",
+        f"""SELECT station_id, {tsql('obs_time')} AS obs_time, relative_humidity - {back('relative_humidity', 1)} AS humidity_change_1h,
+            relative_humidity - {back('relative_humidity', 3)} AS humidity_change_3h, round(AVG(relative_humidity) OVER {frame(steps(3))}, 9) AS humidity_roll_3h_mean,
+            round(COUNT(*) FILTER (WHERE relative_humidity > 85) OVER {frame(steps(6))} / CAST(steps AS DOUBLE), 9) AS high_humidity_hours FROM stepped {W}""",
+        "stepped",
     ),
 )
 def _(v):
-    out = features.apply_features(stations(v), STATION, "obs_time", [features.humidity_features("relative_humidity")])
+    out = features.hourly_features(stations(v), STATION, "obs_time", lambda n: [features.humidity_features("relative_humidity", n)])
     return shown(out, "humidity_change_1h", "humidity_change_3h", "humidity_roll_3h_mean", "high_humidity_hours")
 
 
 @query(
     "win09_wind_features",
     with_views(
-        f"""SELECT station_id, {tsql('obs_time')} AS obs_time, round(u, 8) AS wind_u, round(lag(u, 2) OVER w, 8) AS wind_u_lag_1h, round(lag(v, 4) OVER w, 8) AS wind_v_lag_2h,
-            round(lag(u, 12) OVER w, 8) AS wind_u_lag_6h, round(wind_speed - lag(wind_speed, 2) OVER w, 8) AS wind_speed_change_1h,
+        f"""SELECT station_id, {tsql('obs_time')} AS obs_time, round(u, 8) AS wind_u, round({back('u', 1)}, 8) AS wind_u_lag_1h, round({back('v', 2)}, 8) AS wind_v_lag_2h,
+            round({back('u', 6)}, 8) AS wind_u_lag_6h, round(wind_speed - {back('wind_speed', 1)}, 8) AS wind_speed_change_1h,
             round(d + 180 - 360 * floor((d + 180) / 360) - 180, 8) AS wind_direction_change_1h,
-            round(STDDEV_POP(wind_speed) OVER {frame(2)}, 8) AS wind_speed_std_1h, round(STDDEV_POP(wind_speed) OVER {frame(6)}, 8) AS wind_speed_std_3h FROM (
+            round(STDDEV_POP(wind_speed) OVER {frame(steps(1))}, 8) AS wind_speed_std_1h, round(STDDEV_POP(wind_speed) OVER {frame(steps(3))}, 8) AS wind_speed_std_3h FROM (
               SELECT *, -wind_speed * sin(radians(wind_direction)) AS u, -wind_speed * cos(radians(wind_direction)) AS v,
-                     wind_direction - lag(wind_direction, 2) OVER (PARTITION BY station_id ORDER BY obs_time) AS d FROM station_hour) {W}""",
-        "station_hour",
+                     wind_direction - {back('wind_direction', 1, '(PARTITION BY station_id ORDER BY obs_time)')} AS d FROM stepped) {W}""",
+        "stepped",
     ),
 )
 def _(v):
-    out = features.apply_features(stations(v), STATION, "obs_time", [features.wind_features()])
+    out = features.hourly_features(stations(v), STATION, "obs_time", lambda n: [features.wind_features(steps=n)])
     return shown(out, "wind_u", "wind_u_lag_1h", "wind_v_lag_2h", "wind_u_lag_6h", "wind_speed_change_1h", "wind_direction_change_1h", "wind_speed_std_1h", "wind_speed_std_3h", places=8)
 
 

@@ -7,8 +7,9 @@ any number of features in one ordered pass over skew-safe chunks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +71,21 @@ def apply_features(df: DataFrame, keys: Sequence[str], time: str, features: Sequ
                        tie=tie, chunk_rows=chunk_rows, cell_seconds=cell_seconds)
 
 
+def hourly_features(df: DataFrame, keys: Sequence[str], time: str, build: Callable[[int], Sequence[Feature]], tie: Sequence[str] = (),
+                    chunk_rows: int = CHUNK_ROWS, cell_seconds: int = HOUR) -> DataFrame:
+    """Features named by hours, with the rows per hour that each key's own gaps show.
+
+    Only the distinct rates reach the driver: whole numbers, one for each kind of feed. Keys of one rate share a pass.
+    """
+    rates = steps_per_hour(df, keys, time).select(*keys, "steps_per_hour")
+    found = sorted(row[0] for row in rates.select("steps_per_hour").distinct().collect()) or [DEFAULT_STEPS_PER_HOUR]
+    parts = []
+    for steps in found:
+        own = df.join(rates.where(F.col("steps_per_hour") == steps), list(keys), "left_semi") if len(found) > 1 else df
+        parts.append(apply_features(own, keys, time, build(steps), tie, chunk_rows, cell_seconds))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- generic features -----------------------------------------------------
 
 
@@ -261,12 +277,14 @@ def port_lag_roll(columns: Sequence[str]) -> Feature:
 
 
 def feature_pipeline(df: DataFrame, keys: Sequence[str], time: str, variables: Sequence[str], pressure: str | None = None,
-                     steps: int = DEFAULT_STEPS_PER_HOUR, tie: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Lags, rolls, changes, cycles, periods, pressure and interactions in one pass."""
-    parts = [lags(variables, steps=steps), rolling(variables, steps=steps), changes(variables, steps=steps)]
-    if pressure:
-        parts.append(pressure_features(pressure, steps))
-    out = apply_features(df, keys, time, parts, tie, chunk_rows)
+                     tie: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Lags, rolls, changes, cycles, periods, pressure and interactions in one pass for each rate of rows."""
+
+    def parts(steps: int) -> list[Feature]:
+        generic = [lags(variables, steps=steps), rolling(variables, steps=steps), changes(variables, steps=steps)]
+        return generic + ([pressure_features(pressure, steps)] if pressure else [])
+
+    out = hourly_features(df, keys, time, parts, tie, chunk_rows)
     at = F.col(time)
     out = out.withColumns({**clock.cyclic_time(at), **clock.special_periods(at)})
     products = interactions(out.columns)

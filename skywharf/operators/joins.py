@@ -203,9 +203,13 @@ def merge_sources(frames: dict[str, DataFrame], how: str = "outer") -> DataFrame
     return out
 
 
-def attach_to_latest(df: DataFrame, features: DataFrame, station: str, time: str, columns: Sequence[str]) -> DataFrame:
-    """Put per-station feature values on the station's latest row, zero elsewhere."""
-    newest = df.groupBy(station).agg(F.max(time).alias(time))
+def attach_to_latest(df: DataFrame, features: DataFrame, station: str, time: str, columns: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
+    """Put per-station feature values on the station's latest row, zero elsewhere.
+
+    ``tie`` orders rows of one time; with it the last one alone is the latest.
+    """
+    order = [time, *tie]
+    newest = df.groupBy(station).agg(F.max(F.struct(*order)).alias("_o")).select(station, "_o.*")
     placed = newest.join(features.select(station, *columns), station, "left")
-    joined = df.join(placed, [station, time], "left")
+    joined = df.join(placed, [station, *order], "left")
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in columns})

@@ -84,12 +84,15 @@ def source_resolution(hours: Column, element: Column) -> Column:
     return F.when(hours.isNotNull(), known).otherwise(guessed)
 
 
-def best_source(candidates: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """Available candidate with the lowest (resolution score, dataset priority, location index)."""
+def best_source(candidates: DataFrame, groups: Sequence[str] = (), position: str = "candidate_index") -> DataFrame:
+    """Available candidate with the lowest (resolution score, dataset priority, location index, element index).
+
+    ``position`` is unique in its group and decides ties: the first candidate of the list wins.
+    """
     from skywharf.plans.dims import lookup
 
     score = F.struct(
-        lookup(RESOLUTION_SCORE, F.col("source_resolution"), 3).alias("s"), F.col("dataset_priority"), F.col("location_index"), F.col("element_index")
+        lookup(RESOLUTION_SCORE, F.col("source_resolution"), 3).alias("s"), F.col("dataset_priority"), F.col("location_index"), F.col("element_index"), F.col(position),
     )
     fields = F.struct("dataset_id", "location_name", "element_name", "source_resolution", "record_count")
     usable = F.col("record_count") > 0

@@ -182,12 +182,13 @@ ARCHIVE_PAYLOAD_SCHEMA = (
 
 
 def flatten_climate_archive(df: DataFrame, payload: str, station: str, full_hours_only: bool = True, zone: str = "Asia/Taipei") -> DataFrame:
-    """data[].dts[] rows, visibility in metres, one row per (station, time)."""
-    parsed = df.select(F.col(station).alias("station_id"), F.from_json(F.col(payload), ARCHIVE_PAYLOAD_SCHEMA).alias("_p"))
-    rows = parsed.select("station_id", F.explode("_p.data").alias("_d")).select("station_id", F.explode("_d.dts").alias("_r"))
+    """data[].dts[] rows, visibility in metres, one row per (station, time): the first of its payload wins."""
+    parsed = df.select(F.col(station).alias("station_id"), F.xxhash64(payload).alias("_text"), F.from_json(F.col(payload), ARCHIVE_PAYLOAD_SCHEMA).alias("_p"))
+    groups = parsed.select("station_id", "_text", F.posexplode("_p.data").alias("_i", "_d"))
+    rows = groups.select("station_id", "_text", "_i", F.posexplode("_d.dts").alias("_j", "_r"))
     kilometres = F.coalesce(number_or_null(F.col("_r.Visibility.AutoMean")), number_or_null(F.col("_r.Visibility.Instantaneous")))
     out = rows.select(
-        "station_id", local_time(F.col("_r.DataTime"), zone).alias("obs_time"), number_or_null(F.col("_r.WindSpeed.Mean")).alias("wind_speed"),
+        "station_id", F.struct("_text", "_i", "_j").alias("_place"), local_time(F.col("_r.DataTime"), zone).alias("obs_time"), number_or_null(F.col("_r.WindSpeed.Mean")).alias("wind_speed"),
         number_or_null(F.col("_r.PeakGust.Maximum")).alias("wind_gust"), number_or_null(F.col("_r.WindDirection.Mean")).alias("wind_direction"),
         number_or_null(F.col("_r.Precipitation.Accumulation")).alias("precipitation_1hr"), number_or_null(F.col("_r.AirTemperature.Instantaneous")).alias("air_temperature"),
         number_or_null(F.col("_r.RelativeHumidity.Instantaneous")).alias("relative_humidity"), number_or_null(F.col("_r.StationPressure.Instantaneous")).alias("air_pressure"),
@@ -195,7 +196,9 @@ def flatten_climate_archive(df: DataFrame, payload: str, station: str, full_hour
     ).filter(F.col("obs_time").isNotNull())
     if full_hours_only:
         out = out.filter(F.minute("obs_time") == 0)
-    return out.dropDuplicates(["station_id", "obs_time"])
+    keys = ["station_id", "obs_time"]
+    values = [c for c in out.columns if c not in (*keys, "_place")]
+    return out.groupBy(*keys).agg(F.min_by(F.struct(*values), "_place").alias("_v")).select(*keys, "_v.*")
 
 
 # --- harbour panel rows ---------------------------------------------------
@@ -271,22 +274,22 @@ def normalize_panel(df: DataFrame, fetched_at: str, wind_mode: int = 1) -> DataF
     )
 
 
-# Patterns of the realtime panel text and the longest text span of one record.
+# Patterns of the realtime panel text.
 PANEL_VALUE = r"\s*=\s*(-?\d+(?:\.\d+)?)"
 PANEL_TIME = r"(\d{4}[/-]\d{1,2}[/-]\d{1,2}(?:\s*[^\d\s]{0,4}\s*)?\d{1,2}:\d{2}(?::\d{2})?)"
-PANEL_SPAN = 900
 
 
 def parse_panel_text(df: DataFrame, document: str, station_ids: Sequence[str], doc_id: str | None = None, station_pattern: str = r"KHWD\d{2}[A-Z0-9]*") -> DataFrame:
     """Best record per station (and document) in free panel text.
 
     Text is cut at every station reference; each piece holds one reference
-    and its values. The newest, then the most complete record wins.
+    and its values, however long. The newest, then the most complete record
+    wins, and of equal ones the first.
     """
     groups = [doc_id] if doc_id else []
     plain = F.regexp_replace(F.regexp_replace(F.col(document), r"<[^>]+>", "\n"), r"[\r;\t]+", "\n")
     pieces = F.regexp_extract_all(plain, F.lit(rf"(\b{station_pattern}(?:(?!\b{station_pattern})[\s\S])*)"), F.lit(1))
-    cut = df.select(*groups, F.explode(pieces).alias("_piece")).withColumn("_piece", F.substring("_piece", 1, PANEL_SPAN))
+    cut = df.select(*groups, F.posexplode(pieces).alias("_place", "_piece"))
     reference = F.regexp_extract("_piece", rf"^({station_pattern})", 1)
 
     def number(key: str) -> Column:
@@ -295,7 +298,7 @@ def parse_panel_text(df: DataFrame, document: str, station_ids: Sequence[str], d
     stamp = F.coalesce(F.nullif(F.regexp_extract("_piece", r"MAX_T\s*=\s*" + PANEL_TIME, 1), F.lit("")), F.nullif(F.regexp_extract("_piece", PANEL_TIME, 1), F.lit("")))
     station = F.coalesce(*[F.when(reference.startswith(s), F.lit(s)) for s in station_ids])
     rows = cut.select(
-        *groups, station.alias("station_id"), reference.alias("raw_station_ref"), meridiem_time(stamp).alias("obs_time"), number("WS_AVG").alias("wind_speed"),
+        *groups, "_place", station.alias("station_id"), reference.alias("raw_station_ref"), meridiem_time(stamp).alias("obs_time"), number("WS_AVG").alias("wind_speed"),
         number("WD_AVG").alias("wind_direction"), number("WS_MAX").alias("wind_gust"), number("WD_MAX").alias("wind_gust_direction"),
     ).filter(F.col("station_id").isNotNull() & (F.col("wind_speed").isNotNull() | F.col("wind_gust").isNotNull()))
     flagged = rows.withColumn(
@@ -304,7 +307,7 @@ def parse_panel_text(df: DataFrame, document: str, station_ids: Sequence[str], d
     measures = ["wind_speed", "wind_direction", "wind_gust", "wind_gust_direction"]
     complete = sum((F.col(m).isNotNull().cast("int") for m in measures), F.lit(0))
     suffix = F.when(F.col("raw_station_ref").endswith("M01"), 2).when(F.col("raw_station_ref").endswith("M10"), 1).otherwise(0)
-    rank = F.struct(F.coalesce(F.col("obs_time").cast("timestamp").cast("double"), F.lit(-1.0)).alias("t"), complete.alias("n"), suffix.alias("s"))
+    rank = F.struct(F.coalesce(F.col("obs_time").cast("timestamp").cast("double"), F.lit(-1.0)).alias("t"), complete.alias("n"), suffix.alias("s"), (-F.col("_place")).alias("p"))
     best = flagged.groupBy(*groups, "station_id").agg(F.max_by(F.struct("raw_station_ref", "obs_time", *measures, "quality_flag"), rank).alias("_b"))
     return best.select(*groups, "station_id", "_b.*")
 
@@ -324,12 +327,16 @@ def flatten_forecast(df: DataFrame, payload: str, carry: Sequence[str] = (), zon
     """One row per (location, period) with probability and wind text.
 
     Location, element and time arrays are exploded in turn; items with only a
-    DataTime cover one hour. Quantities of one period meet in one aggregation.
+    DataTime cover one hour. Quantities of one period meet in one aggregation:
+    of a period listed more than once the last item wins, the last one with a
+    number for the probability, with all values of that item.
     """
-    parsed = df.select(*carry, F.from_json(F.col(payload), FORECAST_SCHEMA).alias("_f"))
-    located = parsed.select(*carry, F.explode("_f.records.Locations").alias("_g")).select(*carry, F.explode("_g.Location").alias("_l"))
-    elements = located.select(*carry, F.col("_l.LocationName").alias("location_name"), F.explode("_l.WeatherElement").alias("_e"))
-    items = elements.select(*carry, "location_name", F.col("_e.ElementName").alias("_name"), F.explode("_e.Time").alias("_t"))
+    parsed = df.select(*carry, F.xxhash64(payload).alias("_text"), F.from_json(F.col(payload), FORECAST_SCHEMA).alias("_f"))
+    located = parsed.select(*carry, "_text", F.posexplode("_f.records.Locations").alias("_i", "_g")).select(*carry, "_text", "_i", F.posexplode("_g.Location").alias("_j", "_l"))
+    elements = located.select(*carry, "_text", "_i", "_j", F.col("_l.LocationName").alias("location_name"), F.posexplode("_l.WeatherElement").alias("_k", "_e"))
+    items = elements.select(
+        *carry, "_text", "_i", "_j", "_k", "location_name", F.col("_e.ElementName").alias("_name"), F.posexplode("_e.Time").alias("_n", "_t")
+    ).withColumn("_place", F.struct("_text", "_i", "_j", "_k", "_n"))
     start = local_time(F.coalesce("_t.StartTime", "_t.DataTime"), zone)
     end = F.coalesce(local_time(F.col("_t.EndTime"), zone), start + F.expr("interval 1 hour"))
     value = F.get(F.col("_t.ElementValue"), 0)
@@ -339,12 +346,17 @@ def flatten_forecast(df: DataFrame, payload: str, carry: Sequence[str] = (), zon
     wind_text = F.coalesce(value["WindSpeed"], value["Value"])
     is_pop, is_wind = F.col("_name").isin(POP_ELEMENTS), F.col("_name").isin(WIND_ELEMENTS)
     flat = items.select(
-        *carry, "location_name", start.alias("start_ts"), end.alias("end_ts"), F.when(is_pop, raw_pop).alias("raw_value"), F.when(is_pop & percent.isNotNull(), pop).alias("pop"),
-        F.when(is_wind, wind_text).alias("wind_speed_text"), F.when(is_wind, F.trim(wind_text).try_cast("double")).alias("wind_speed_mps"),
-        F.when(is_wind, value["BeaufortScale"]).alias("beaufort_scale_text"), F.when(is_wind, beaufort_from_text(F.coalesce(value["BeaufortScale"], wind_text))).alias("beaufort_scale_min"),
+        *carry, "location_name", "_place", start.alias("start_ts"), end.alias("end_ts"), is_pop.alias("_is_pop"), is_wind.alias("_is_wind"),
+        F.struct(raw_pop.alias("raw_value"), F.when(percent.isNotNull(), pop).alias("pop")).alias("_pop"),
+        F.struct(
+            wind_text.alias("wind_speed_text"), F.trim(wind_text).try_cast("double").alias("wind_speed_mps"), value["BeaufortScale"].alias("beaufort_scale_text"),
+            beaufort_from_text(F.coalesce(value["BeaufortScale"], wind_text)).alias("beaufort_scale_min"),
+        ).alias("_wind"),
     ).filter(F.col("start_ts").isNotNull())
-    names = ["raw_value", "pop", "wind_speed_text", "wind_speed_mps", "beaufort_scale_text", "beaufort_scale_min"]
-    return flat.groupBy(*carry, "location_name", "start_ts", "end_ts").agg(*[F.max(n).alias(n) for n in names])
+    numbered = F.struct(F.col("_pop.pop").isNotNull(), "_place")
+    return flat.groupBy(*carry, "location_name", "start_ts", "end_ts").agg(
+        F.max_by("_pop", F.when(F.col("_is_pop"), numbered)).alias("_pop"), F.max_by("_wind", F.when(F.col("_is_wind"), F.col("_place"))).alias("_wind"),
+    ).select(*carry, "location_name", "start_ts", "end_ts", "_pop.*", "_wind.*")
 
 
 # Rain forecast offsets in minutes.

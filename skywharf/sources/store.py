@@ -20,9 +20,9 @@ def upsert(existing: DataFrame | None, incoming: DataFrame, order: Sequence[str]
     new = incoming.withColumn("_age", F.lit(1))
     both = new if existing is None else existing.withColumn("_age", F.lit(0)).unionByName(new, allowMissingColumns=True)
     place = F.struct("_age", *order)
-    last_names = list(dict.fromkeys(c for c in [*replaced, *order] if c in both.columns and c not in keys))
+    last_names = list(dict.fromkeys(c for c in [*replaced, *order] if c in both.columns and c not in keys and c not in kept))
     first_names = [c for c in kept if c in both.columns]
-    aggs = [F.max_by(F.struct(*last_names), place).alias("_last")]
+    aggs = [F.max_by(F.struct(*last_names), place).alias("_last")] if last_names else []
     if first_names:
         aggs.append(F.min_by(F.struct(*first_names), place).alias("_first"))
     return both.groupBy(*keys).agg(*aggs).select(

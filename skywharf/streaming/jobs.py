@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,27 +20,41 @@ from skywharf.operators.cleaning import keep_last
 from skywharf.session import cut_lineage
 from skywharf.sources import store
 
-LATE = "2 days"
 
 
-def landing_stream(spark: SparkSession, folders: dict[str, str], schema: T.StructType, fmt: str = "parquet", max_files: int = 1000) -> DataFrame:
-    """Union of one file stream per source folder; a source without new files does not block others.
+def landing_streams(spark: SparkSession, folders: dict[str, str], schema: T.StructType, fmt: str = "parquet", max_files: int = 1000) -> dict[str, DataFrame]:
+    """One file stream per source folder. An unreadable file fails the query of its source, and no other."""
+    return {
+        source: spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).format(fmt).load(folder).withColumn("landing_source", F.lit(source))
+        for source, folder in folders.items()
+    }
 
-    Unreadable files are skipped, as one failing source must not stop the rest.
+
+def run_sources(streams: dict[str, DataFrame], checkpoint: str, sink: Callable[[DataFrame, int], None]) -> DataFrame:
+    """Run one query for each source over what is available; one row for each tells how it ended.
+
+    Rows: source, failed, error, all_failed. A source that failed starts again at its last finished batch.
     """
-    out = None
-    for source, folder in folders.items():
-        part = (
-            spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("ignoreCorruptFiles", True).format(fmt).load(folder)
-            .withColumn("landing_source", F.lit(source))
-        )
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    spark = next(iter(streams.values())).sparkSession
+    running = {source: run(stream, f"{checkpoint}/{source}", sink) for source, stream in streams.items()}
+    ended = []
+    for source, started in running.items():
+        try:
+            started.awaitTermination()
+            ended.append((source, False, None))
+        except StreamingQueryException as error:
+            ended.append((source, True, str(error)))
+    failed = all(row[1] for row in ended)
+    return spark.createDataFrame([(*row, failed) for row in ended], "source string, failed boolean, error string, all_failed boolean")
 
 
-def first_per_key(stream: DataFrame, keys: Sequence[str] = ("station_id", "obs_time"), time: str = "obs_time", late: str = LATE) -> DataFrame:
-    """Drop repeats of a key within the watermark; the first arrival wins."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
+def batch_sink(path: str, build: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer of ``build(batch)`` to the batch's own partition: a repeated batch replaces itself."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        build(batch).write.mode("overwrite").parquet(f"{path}/_batch={batch_id}")
+
+    return write
 
 
 def upsert_partitions(spark: SparkSession, batch: DataFrame, path: str, order: Sequence[str], keys: Sequence[str], kept: Sequence[str], replaced: Sequence[str],
@@ -78,6 +92,16 @@ def upsert_sink(path: str, order: Sequence[str], keys: Sequence[str], kept: Sequ
     return write
 
 
+def first_sink(path: str, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer that keeps the first row per key, however late a repeat comes."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rest = [c for c in batch.columns if c not in keys]
+        upsert_partitions(batch.sparkSession, batch, path, order, keys, rest, ())
+
+    return write
+
+
 def append_last_sink(path: str, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """foreachBatch writer that keeps the last row per key, as repeated polls do."""
 
@@ -112,27 +136,37 @@ def stamped_stale(stream: DataFrame, limit_minutes: int = 20) -> DataFrame:
     return stream.withColumn("stale_at_fetch", age > limit_minutes * 60)
 
 
-def tumbling_mean(stream: DataFrame, measures: Sequence[str], minutes: int = 10, time: str = "obs_time", late: str = LATE) -> DataFrame:
-    """Mean per station and grid step once the watermark closes the step."""
-    return (
-        stream.withWatermark(time, late).groupBy(F.window(time, f"{minutes} minutes").alias("_w"), "station_id")
-        .agg(*[F.avg(m).alias(m) for m in measures]).select("station_id", F.col("_w.start").alias(time), *measures)
-    )
+def tumbling_parts(rows: DataFrame, measures: Sequence[str], minutes: int = 10, time: str = "obs_time") -> DataFrame:
+    """Sums and counts per station and grid step. Parts of any batches add up, so a row is never too late."""
+    return rows.groupBy(F.window(time, f"{minutes} minutes").alias("_w"), "station_id").agg(
+        *[F.sum(m).alias(f"{m}_sum") for m in measures], *[F.count(m).alias(f"{m}_n") for m in measures]
+    ).select("station_id", F.col("_w.start").alias(time), *[f"{m}_{x}" for m in measures for x in ("sum", "n")])
+
+
+def tumbling_mean(parts: DataFrame, measures: Sequence[str], time: str = "obs_time") -> DataFrame:
+    """Mean per station and grid step from the parts of all batches."""
+    return parts.groupBy("station_id", time).agg(*[(F.sum(f"{m}_sum") / F.nullif(F.sum(f"{m}_n"), F.lit(0))).alias(m) for m in measures])
 
 
-def sliding_trend(stream: DataFrame, offsets: Sequence[int] = (10, 30, 60, 90), time: str = "obs_time", late: str = LATE) -> DataFrame:
+TREND_KEYS = ["station_id", "device_type", "window_end"]
+
+
+def trend_parts(rows: DataFrame, time: str = "obs_time") -> DataFrame:
+    """First and last point and number of points of each two-hour window; parts of any batches merge."""
+    point = F.struct(F.col(time).alias("t"), F.col("seq").alias("s"), F.col("wind_speed").alias("v"))
+    return rows.filter(F.col("wind_speed").isNotNull()).groupBy(F.window(time, "2 hours", "10 minutes").alias("_w"), "station_id", "device_type").agg(
+        F.min(point).alias("first"), F.max(point).alias("last"), F.count(F.lit(1)).alias("points")
+    ).select("station_id", "device_type", F.col("_w.end").alias("window_end"), "first", "last", "points")
+
+
+def sliding_trend(parts: DataFrame, offsets: Sequence[int] = (10, 30, 60, 90)) -> DataFrame:
     """Straight-line wind forecast from the first and last point of each two-hour window."""
-    order = F.struct(time, "seq")
-    ends = (
-        stream.filter(F.col("wind_speed").isNotNull()).withWatermark(time, late)
-        .groupBy(F.window(time, "2 hours", "10 minutes").alias("_w"), "station_id", "device_type")
-        .agg(F.min_by(F.struct(time, "wind_speed"), order).alias("_a"), F.max_by(F.struct(time, "wind_speed"), order).alias("_b"), F.count(F.lit(1)).alias("points"))
-    )
-    minutes = F.greatest((F.col(f"_b.{time}").cast("double") - F.col(f"_a.{time}").cast("double")) / 60, F.lit(1.0))
-    slope = (F.col("_b.wind_speed") - F.col("_a.wind_speed")) / minutes
+    ends = parts.groupBy(*TREND_KEYS).agg(F.min("first").alias("a"), F.max("last").alias("b"), F.sum("points").alias("points"))
+    minutes = F.greatest((F.col("b.t").cast("double") - F.col("a.t").cast("double")) / 60, F.lit(1.0))
+    slope = (F.col("b.v") - F.col("a.v")) / minutes
     spread = ends.withColumn("offset_minutes", F.explode(F.array(*[F.lit(o) for o in offsets])))
-    value = F.when(F.col("points") < 2, F.col("_b.wind_speed")).otherwise(F.round(F.col("_b.wind_speed") + slope * F.col("offset_minutes"), 3))
-    return spread.select("station_id", "device_type", F.col("_w.end").alias("window_end"), "offset_minutes", value.alias("wind_speed"))
+    value = F.when(F.col("points") < 2, F.col("b.v")).otherwise(F.round(F.col("b.v") + slope * F.col("offset_minutes"), 3))
+    return spread.select(*TREND_KEYS, "offset_minutes", value.alias("wind_speed"))
 
 
 # Wind speeds (m/s) above which an alert is raised.
@@ -151,10 +185,8 @@ def alerts(stream: DataFrame) -> DataFrame:
     return leveled.filter(F.col("alert").isNotNull() | F.col("wind_level").isin(serious) | F.col("gust_level").isin(serious))
 
 
-def run(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None, name: str | None = None, mode: str = "append", every: str | None = None):
+def run(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append", every: str | None = None):
     """Start a query; without ``every`` it processes what is available and stops."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    if sink is not None:
-        return writer.foreachBatch(sink).start()
-    return writer.format("memory").queryName(name).start()
+    return writer.foreachBatch(sink).start()

@@ -9,7 +9,6 @@ from skywharf.functions import clock, text, weather, wind
 from skywharf.operators import aggregates, cleaning, decisions, labels, ranking
 from skywharf.plans.dispatch import extended_windows  # noqa: F401
 from skywharf.sources import files, payloads, store
-from skywharf.streaming import jobs  # noqa: F401
 
 AT = dt.datetime(2024, 7, 1, 12)
 
