@@ -516,12 +516,14 @@ def _(v):
     with_views(
         """SELECT role, COUNT(*) AS configured_count, COUNT(o.station_id) AS available_count, coalesce(string_agg(o.station_id, ',' ORDER BY o.station_id), '') AS available_ids,
            coalesce(string_agg(CASE WHEN o.station_id IS NULL THEN s.station_id END, ',' ORDER BY s.station_id), '') AS missing_ids, COUNT(o.station_id) > 1 AS multi_station_input, COUNT(o.station_id) <= 1 AS fallback_to_single_station
-           FROM station s LEFT JOIN (SELECT DISTINCT station_id FROM obs WHERE station_id NOT IN ('S02', 'S09')) o ON s.station_id = o.station_id GROUP BY role""",
+           FROM (SELECT station_id, role FROM station UNION ALL VALUES ('S97', 'core'), ('S98', 'extra')) s
+           LEFT JOIN (SELECT DISTINCT station_id FROM obs) o ON s.station_id = o.station_id GROUP BY role""",
         "obs", "station",
     ),
 )
 def _(v):
-    return decisions.station_input_summary(v.station, v.obs.filter(~F.col("station_id").isin("S02", "S09")))
+    silent = dimension(v.spark, [("S97", "core"), ("S98", "extra")], "station_id string, role string")
+    return decisions.station_input_summary(v.station.select("station_id", "role").unionByName(silent), v.obs)
 
 
 @query(

@@ -156,13 +156,14 @@ def _(v):
     return out.select("target_area", ts("obs_time").alias("obs_time"), *names)
 
 
-# Three-hour forecast periods with holes; anchors every hour and horizon.
+# Three-hour forecast periods, some without a value; anchors every hour and horizon.
 define_view(
     "periods",
     """SELECT target_area, start_ts, start_ts + INTERVAL 3 HOUR AS end_ts, seq,
-         CASE n % 6 WHEN 0 THEN '' WHEN 1 THEN pct || '%' ELSE pct END AS raw_value, CASE WHEN n % 6 <> 0 THEN CAST(pct AS INT) / 100.0::DOUBLE END AS pop
+         CASE WHEN n % 6 = 0 OR n % 5 = 0 THEN '' WHEN n % 6 = 1 THEN pct || '%' ELSE pct END AS raw_value,
+         CASE WHEN n % 6 <> 0 AND n % 5 <> 0 THEN CAST(pct AS INT) / 100.0::DOUBLE END AS pop
        FROM (SELECT target_area, time_bucket(INTERVAL 3 HOUR, obs_time, TIMESTAMP '2000-01-01') AS start_ts, MIN(seq) AS seq, COUNT(*) AS n, CAST(CAST(round(AVG(k)) AS INT) AS VARCHAR) AS pct
-             FROM obs GROUP BY ALL) WHERE n % 5 <> 0""",
+             FROM obs GROUP BY ALL)""",
     ["obs"],
 )
 define_view(
@@ -178,12 +179,12 @@ def periods(v):
     start = F.timestamp_seconds((F.floor(F.unix_seconds("obs_time") / 10800) * 10800).cast("long"))
     grouped = v.obs.groupBy("target_area", start.alias("start_ts")).agg(
         F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"), F.round(F.avg("k")).cast("int").alias("pct")
-    ).filter("n % 5 <> 0")
-    text = F.col("pct").cast("string")
+    )
+    text, silent = F.col("pct").cast("string"), (F.col("n") % 6 == 0) | (F.col("n") % 5 == 0)
     return grouped.select(
         "target_area", "start_ts", (F.col("start_ts") + F.expr("interval 3 hours")).alias("end_ts"), "seq",
-        F.when(F.col("n") % 6 == 0, "").when(F.col("n") % 6 == 1, F.concat(text, F.lit("%"))).otherwise(text).alias("raw_value"),
-        F.when(F.col("n") % 6 != 0, F.col("pct") / 100.0).alias("pop"),
+        F.when(silent, "").when(F.col("n") % 6 == 1, F.concat(text, F.lit("%"))).otherwise(text).alias("raw_value"),
+        F.when(~silent, F.col("pct") / 100.0).alias("pop"),
     )
 
 
@@ -271,7 +272,7 @@ def scored(v):
 )
 def _(v):
     base = scored(v)
-    forecast = base.filter("k % 5 <> 0").select("station_id", "obs_time", "cwa_wind_speed")
+    forecast = base.select("station_id", "obs_time", "cwa_wind_speed")
     out = joins.merge_predictions(base.select("station_id", "obs_time", "wind_speed"), base, forecast, ["station_id", "obs_time"], "wind_speed")
     return out.withColumn("obs_time", ts("obs_time"))
 
@@ -355,12 +356,12 @@ def _(v):
     "join15_nearest_planar",
     with_views(
         f"""SELECT day, station_id, round(d, 9) AS distance_degrees FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY d, station_id) AS rn FROM (
-            SELECT DISTINCT strftime(obs_time, '%Y-%m-%d') AS day, station_id, sqrt(pow(latitude - 22.61, 2) + pow(longitude - 120.31, 2)) AS d FROM obs JOIN station USING (station_id) WHERE k > 90) WHERE d <= 0.05) WHERE rn = 1""",
+            SELECT DISTINCT strftime(obs_time, '%Y-%m-%d') AS day, station_id, sqrt(pow(latitude - 22.61, 2) + pow(longitude - 120.31, 2)) AS d FROM obs JOIN station USING (station_id)) WHERE d <= 0.05) WHERE rn = 1""",
         "obs", "station",
     ),
 )
 def _(v):
-    seen = v.obs.filter("k > 90").select(F.date_format("obs_time", "yyyy-MM-dd").alias("day"), "station_id").distinct()
+    seen = v.obs.select(F.date_format("obs_time", "yyyy-MM-dd").alias("day"), "station_id").distinct()
     located = seen.join(v.station.select("station_id", "latitude", "longitude"), "station_id")
     return rounded(joins.nearest_planar(located, F.lit(22.61), F.lit(120.31), 0.05, ["day"]), "distance_degrees")
 
@@ -388,14 +389,13 @@ def _(v):
 @query(
     "join17_merge_sources",
     with_views(
-        f"""SELECT {tsql('obs_time')} AS obs_time, station_id, source, wind_speed, NULL::DOUBLE AS tide_level FROM clean WHERE source IN ('view') UNION ALL
-            SELECT {tsql('obs_time')}, station_id, 'marine', NULL, tide_level FROM clean WHERE source = 'click'""",
+        f"""SELECT {tsql('obs_time')} AS obs_time, station_id, source, wind_speed, NULL::DOUBLE AS tide_level FROM clean UNION ALL
+            SELECT {tsql('obs_time')}, station_id, 'marine', NULL, tide_level FROM clean""",
         "clean",
     ),
 )
 def _(v):
-    land = v.clean.filter("source = 'view'").select("obs_time", "station_id", "source", "wind_speed")
-    marine = v.clean.filter("source = 'click'").select("obs_time", "station_id", "tide_level")
+    land, marine = v.clean.select("obs_time", "station_id", "source", "wind_speed"), v.clean.select("obs_time", "station_id", "tide_level")
     return joins.merge_sources({"land": land, "marine": marine}).withColumn("obs_time", ts("obs_time"))
 
 
@@ -403,16 +403,17 @@ def _(v):
     "join17_merge_inner",
     with_views(
         f"""SELECT {tsql('obs_time')} AS obs_time, a.station_id, a.w AS land_wind, b.w AS marine_wind FROM
-            (SELECT station_id, obs_hour AS obs_time, MAX(wind_speed) AS w FROM clean WHERE source = 'view' GROUP BY ALL) a JOIN
-            (SELECT station_id, obs_hour AS obs_time, MAX(wind_speed) AS w FROM clean WHERE source = 'click' GROUP BY ALL) b USING (station_id, obs_time)""",
+            (SELECT station_id, obs_hour AS obs_time, MAX(wind_speed) AS w FROM clean GROUP BY ALL) a JOIN
+            (SELECT station_id, obs_hour + INTERVAL 1 HOUR AS obs_time, MAX(wind_gust) AS w FROM clean GROUP BY ALL) b USING (station_id, obs_time)""",
         "clean",
     ),
 )
 def _(v):
-    def one(source):
-        return v.clean.filter(F.col("source") == source).groupBy("station_id", F.col("obs_hour").alias("obs_time")).agg(F.max("wind_speed").alias("wind"))
+    def one(time, measure):
+        return v.clean.groupBy("station_id", time.alias("obs_time")).agg(F.max(measure).alias("wind"))
 
-    out = joins.merge_sources({"land": one("view"), "marine": one("click")}, how="inner")
+    later = F.col("obs_hour") + F.expr("interval 1 hour")
+    out = joins.merge_sources({"land": one(F.col("obs_hour"), "wind_speed"), "marine": one(later, "wind_gust")}, how="inner")
     return out.select(ts("obs_time").alias("obs_time"), "station_id", "land_wind", "marine_wind")
 
 
@@ -552,12 +553,12 @@ def _(v):
 @query(
     "set03_intersect_except",
     with_views(
-        """SELECT 'both' AS kind, station_id FROM (SELECT station_id FROM obs WHERE k > 95 INTERSECT SELECT station_id FROM obs WHERE source = 'view' AND k < 3)
-           UNION ALL SELECT 'only_first', station_id FROM (SELECT station_id FROM obs WHERE k > 95 EXCEPT SELECT station_id FROM obs WHERE source = 'view' AND k < 3)""",
+        """SELECT 'both' AS kind, station_id, source, k FROM (SELECT station_id, source, k FROM obs INTERSECT SELECT station_id, source, k + 1 FROM obs)
+           UNION ALL SELECT 'only_first', station_id, source, k FROM (SELECT station_id, source, k FROM obs EXCEPT SELECT station_id, source, k + 1 FROM obs)""",
         "obs",
     ),
 )
 def _(v):
-    first, second = v.obs.filter("k > 95").select("station_id"), v.obs.filter("source = 'view' AND k < 3").select("station_id")
-    both = first.intersect(second).select(F.lit("both").alias("kind"), "station_id")
-    return both.unionByName(first.subtract(second).select(F.lit("only_first").alias("kind"), "station_id"))
+    first, second = v.obs.select("station_id", "source", "k"), v.obs.select("station_id", "source", (F.col("k") + 1).alias("k"))
+    both = first.intersect(second).select(F.lit("both").alias("kind"), "*")
+    return both.unionByName(first.subtract(second).select(F.lit("only_first").alias("kind"), "*"))

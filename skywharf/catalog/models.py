@@ -5,6 +5,10 @@ Trained-model queries have no SQL text: tree fits are not expressible in SQL.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skywharf.catalog.aggregates import clean_distance
@@ -16,12 +20,11 @@ from skywharf.models import tide, training
 from skywharf.operators import cleaning, features, joins, metrics
 from skywharf.plans.area import area_dataset, dataset_report, port_dataset
 from skywharf.schema import HORIZONS
-from skywharf.session import cut_lineage
+from skywharf.session import checkpoint_dir, cut_lineage
 
 AREA = ["target_area"]
 WIND_FEATURES = ["nearby_cwa_wind_speed_mean", "nearby_cwa_wind_speed_max", "nearby_cwa_wind_gust_max", "nearby_cwa_wind_speed_max_lag1", "nearby_cwa_wind_speed_max_roll3",
                  "nearby_cwa_wind_gust_max_lag1", "nearby_cwa_station_count", "hour_sin", "hour_cos"]
-TREES = 10
 
 
 def dataset(v):
@@ -93,44 +96,67 @@ def _(v):
                       "target_nearby_wind_speed_H1", "target_rain_event_H2")
 
 
+WIND_TARGETS = {"wind_speed": "nearby_cwa_wind_speed_max", "wind_gust": "nearby_cwa_wind_gust_max"}
+
+
+def reports(data, names, targets, label):
+    """Report of one model for each target and horizon; ``targets`` maps targets to the column that persists."""
+    out = []
+    for target, persistence in targets.items():
+        _, held_out = training.train_regressors(data, AREA, "obs_time", names, {h: label.format(target, h) for h in HORIZONS}, persistence)
+        out.append(training.regression_report(held_out).withColumn("target", F.lit(target)))
+    return reduce(DataFrame.unionByName, out)
+
+
+def each_horizon(build):
+    return reduce(DataFrame.unionByName, [build(h).withColumn("horizon", F.lit(h)) for h in HORIZONS])
+
+
 @query("ml01_wind_regressors")
 def _(v):
-    targets = {h: f"target_nearby_wind_speed_{h}" for h in HORIZONS}
-    _, held_out = training.train_regressors(dataset(v), AREA, "obs_time", WIND_FEATURES, targets, "nearby_cwa_wind_speed_max", trees=TREES)
-    return training.regression_report(held_out)
+    return reports(dataset(v), WIND_FEATURES, WIND_TARGETS, "target_nearby_{}_{}")
 
 
 RAIN_FEATURES = ["nearby_cwa_precipitation_1hr_mean", "nearby_cwa_precipitation_1hr_max", "nearby_cwa_precipitation_roll3", "nearby_cwa_rainy_station_count", "hour_sin", "hour_cos"]
 
 
-def split_rain(v, label):
-    return training.prepare(dataset(v).filter(F.col(label).isNotNull()), AREA, "obs_time", RAIN_FEATURES)
+def split_rain(data, label):
+    return training.prepare(data.filter(F.col(label).isNotNull()), AREA, "obs_time", RAIN_FEATURES)
 
 
 @query("ml02_rain_event_classifier")
 def _(v):
-    rows = split_rain(v, "target_rain_event_H2")
-    model = training.fit_event_model(rows.filter("is_train"), RAIN_FEATURES, "target_rain_event_H2", TREES)
-    scored = training.event_probability(model, rows.filter("NOT is_train"))
-    return metrics.event_scores(scored, ["target_area"], "target_rain_event_H2", "event_probability")
+    data = dataset(v)
+
+    def one(horizon):
+        label = f"target_rain_event_{horizon}"
+        rows = split_rain(data, label)
+        scored = training.event_probability(training.fit_event_model(rows.filter("is_train"), RAIN_FEATURES, label), rows.filter("NOT is_train"))
+        return metrics.event_scores(scored, ["target_area"], label, "event_probability")
+
+    return each_horizon(one)
 
 
 @query("ml03_rain_amount")
 def _(v):
-    label = "target_nearby_precipitation_1hr_H2"
-    rows = split_rain(v, label)
-    model = training.fit_amount_model(rows.filter("is_train"), cleaning.rain_amount_features(RAIN_FEATURES), label, trees=TREES)
-    scored = training.predicted_amount(model, rows.filter("NOT is_train"))
-    return metrics.anchor_scores(scored, ["target_area"], label, "amount")
+    data = dataset(v)
+
+    def one(horizon):
+        label = f"target_nearby_precipitation_1hr_{horizon}"
+        rows = split_rain(data, label)
+        model = training.fit_amount_model(rows.filter("is_train"), cleaning.rain_amount_features(RAIN_FEATURES), label)
+        return metrics.anchor_scores(training.predicted_amount(model, rows.filter("NOT is_train")), ["target_area"], label, "amount")
+
+    return each_horizon(one)
+
+
+PORT_FEATURES = ["khwd_wind_speed_mean", "khwd_wind_speed_max", "khwd_wind_gust_max", "khwd_wind_speed_max_lag1", "khwd_wind_speed_max_roll3", "hour_sin", "hour_cos"]
+PORT_TARGETS = {"wind_speed": "khwd_wind_speed_max", "wind_gust": "khwd_wind_gust_max"}
 
 
 @query("ml04_port_regressors")
 def _(v):
-    data = port_dataset(irregular_rows(v), AREA, "obs_time")
-    names = ["khwd_wind_speed_mean", "khwd_wind_speed_max", "khwd_wind_gust_max", "khwd_wind_speed_max_lag1", "khwd_wind_speed_max_roll3", "hour_sin", "hour_cos"]
-    targets = {h: f"target_wind_gust_{h}" for h in ("H1", "H2")}
-    _, held_out = training.train_regressors(data, AREA, "obs_time", names, targets, "khwd_wind_gust_max", trees=TREES)
-    return training.regression_report(held_out)
+    return reports(port_dataset(irregular_rows(v), AREA, "obs_time"), PORT_FEATURES, PORT_TARGETS, "target_{}_{}")
 
 
 def irregular_rows(v):
@@ -139,29 +165,57 @@ def irregular_rows(v):
 
 @query("ml05_two_stage_rain")
 def _(v):
-    label = "target_nearby_precipitation_1hr_H2"
-    rows = split_rain(v, label)
-    scored = training.two_stage_rain(rows.filter("is_train"), rows.filter("NOT is_train"), RAIN_FEATURES, label, trees=TREES)
-    return metrics.categorical_rain(scored, ["target_area"], label, "predicted")
+    data = dataset(v)
+
+    def one(horizon):
+        label = f"target_nearby_precipitation_1hr_{horizon}"
+        rows = split_rain(data, label)
+        scored = training.two_stage_rain(rows.filter("is_train"), rows.filter("NOT is_train"), RAIN_FEATURES, label)
+        return metrics.categorical_rain(scored, ["target_area"], label, "predicted")
+
+    return each_horizon(one)
 
 
 @query("ml07_stacking")
 def _(v):
-    label = "target_nearby_wind_speed_H2"
-    rows = training.prepare(dataset(v).filter(F.col(label).isNotNull()).select(*AREA, "obs_time", *WIND_FEATURES, label), AREA, "obs_time", WIND_FEATURES)
-    scored = training.stacked(rows.filter("is_train"), rows.filter("NOT is_train"), AREA, "obs_time", WIND_FEATURES, label, folds=2, trees=5)
-    return metrics.anchor_scores(scored, ["target_area"], label, "predicted")
+    data = dataset(v)
+
+    def one(horizon):
+        label = f"target_nearby_wind_speed_{horizon}"
+        rows = training.prepare(data.filter(F.col(label).isNotNull()).select(*AREA, "obs_time", *WIND_FEATURES, label), AREA, "obs_time", WIND_FEATURES)
+        return metrics.anchor_scores(training.stacked(rows.filter("is_train"), rows.filter("NOT is_train"), AREA, "obs_time", WIND_FEATURES, label), ["target_area"], label, "predicted")
+
+    return each_horizon(one)
+
+
+ALGORITHMS = ["random_forest", "gradient_boosting", "linear"]
 
 
 @query("ml08_algorithm_benchmark")
 def _(v):
-    return training.benchmark(dataset(v), AREA, "obs_time", WIND_FEATURES, "target_nearby_wind_speed_H2", ["random_forest", "linear"], trees=TREES)
+    data = dataset(v)
+    return each_horizon(lambda h: training.benchmark(data, AREA, "obs_time", WIND_FEATURES, f"target_nearby_wind_speed_{h}", ALGORITHMS))
 
 
 @query("ml09_rain_benchmark")
 def _(v):
     names = cleaning.rain_benchmark_features(RAIN_FEATURES)
-    return training.rain_benchmark(dataset(v), AREA, "obs_time", names, ["H2"], trees=TREES)
+    return training.rain_benchmark(dataset(v), AREA, "obs_time", names, list(HORIZONS), ALGORITHMS[:2])
+
+
+@query("ml12_batch_scoring")
+def _(v):
+    """Every row scored by the stored models of all four horizons."""
+    data = cut_lineage(dataset(v).select(*AREA, "obs_time", *WIND_FEATURES, *[f"target_nearby_wind_speed_{h}" for h in HORIZONS]))
+    folder, paths = f"{checkpoint_dir(v.spark)}/models-{uuid.uuid4().hex}", {}
+    for horizon in HORIZONS:
+        label = f"target_nearby_wind_speed_{horizon}"
+        rows = training.chronological(data.filter(F.col(label).isNotNull()), AREA, "obs_time").filter("is_train")
+        fills = cut_lineage(training.train_fills(rows, WIND_FEATURES))
+        paths[horizon] = f"{folder}/{horizon}"
+        training.save_model(training.fit_pipeline(training.filled(rows, WIND_FEATURES, fills), WIND_FEATURES, training.regressor("random_forest", label)), fills, paths[horizon])
+    out = training.score_stored(data, WIND_FEATURES, paths, [*AREA, "obs_time"])
+    return out.select("target_area", ts("obs_time").alias("obs_time"), *[f"prediction_{h}" for h in HORIZONS], "available")
 
 
 @query("ml10_tide_harmonics")
@@ -172,18 +226,22 @@ def _(v):
 @query("ml11_surge_residual")
 def _(v):
     hourly = v.station_hour
-    target = hourly.filter("station_id = 'S01'").select("station_id", "obs_time", "tide_level")
-    others = ["S04", "S05"]
-    wide = joins.prefix_stations(target, hourly.filter(F.col("station_id").isin(others)), "obs_time", others, ["station_pressure", "wind_speed"])
-    return tide.surge_model(wide, ["station_id"], "obs_time", [f"{s}_{m}" for s in others for m in ("station_pressure", "wind_speed")], trees=TREES)
+
+    def one(station):
+        target = hourly.filter(F.col("station_id") == station).select("station_id", "obs_time", "tide_level")
+        others = [s for s in ("S01", "S04", "S05") if s != station][-2:]
+        wide = joins.prefix_stations(target, hourly.filter(F.col("station_id").isin(others)), "obs_time", others, ["station_pressure", "wind_speed"])
+        return tide.surge_model(wide, ["station_id"], "obs_time", [f"{s}_{m}" for s in others for m in ("station_pressure", "wind_speed")])
+
+    # One model for each station of the dimension table.
+    names = sorted(row["station_id"] for row in v.station.select("station_id").collect())
+    return reduce(DataFrame.unionByName, [one(s) for s in names])
 
 
 @query("ml14_staged_ablation")
 def _(v):
-    label, event = "target_nearby_precipitation_1hr_H2", "target_rain_event_H2"
-    clean = dataset(v)
-    raw = area_dataset(v.obs.withColumn("obs_time", F.col("obs_hour")), AREA, "obs_time")
-    return training.staged_ablation(raw, clean, AREA, "obs_time", RAIN_FEATURES, label, event, trees=5)
+    clean, raw = dataset(v), area_dataset(v.obs.withColumn("obs_time", F.col("obs_hour")), AREA, "obs_time")
+    return each_horizon(lambda h: training.staged_ablation(raw, clean, AREA, "obs_time", RAIN_FEATURES, f"target_nearby_precipitation_1hr_{h}", f"target_rain_event_{h}"))
 
 
 @query("win17_fold_validation")
@@ -191,11 +249,16 @@ def _(v):
     def rmse(truth, predicted):
         return F.sqrt(F.avg(F.pow(truth - predicted, 2)))
 
-    return training.validate_folds(dataset(v), AREA, "obs_time", WIND_FEATURES, "target_nearby_wind_speed_H2", rmse, n_splits=2, trees=5)
+    data = dataset(v)
+    return each_horizon(lambda h: training.validate_folds(data, AREA, "obs_time", WIND_FEATURES, f"target_nearby_wind_speed_{h}", rmse))
 
 
 @query("top06_feature_importance")
 def _(v):
-    data = cut_lineage(dataset(v).select(*AREA, "obs_time", *WIND_FEATURES, "target_nearby_wind_speed_H2").dropna())
-    model = training.fit_pipeline(data, WIND_FEATURES, training.regressor("random_forest", "target_nearby_wind_speed_H2", TREES))
-    return training.top_importance(training.importance_table(model, WIND_FEATURES, v.spark), 20)
+    data = cut_lineage(dataset(v).select(*AREA, "obs_time", *WIND_FEATURES, *[f"target_nearby_wind_speed_{h}" for h in HORIZONS]).dropna())
+
+    def one(horizon):
+        model = training.fit_pipeline(data, WIND_FEATURES, training.regressor("random_forest", f"target_nearby_wind_speed_{horizon}"))
+        return training.top_importance(training.importance_table(model, WIND_FEATURES, v.spark), 20)
+
+    return each_horizon(one)

@@ -15,6 +15,7 @@ from skywharf.catalog.scalar import haversine_sql
 from skywharf.catalog.views import define_view, r, rounded, ts, tsql, with_views
 from skywharf.functions import text
 from skywharf.operators import cleaning, ranking
+from skywharf.plans.dims import dimension
 from skywharf.sources import files, payloads, stations, store
 
 EVENT_ALIASES = {"ts": "obs_time", "value": "wind_speed", "event_type": "source"}
@@ -49,12 +50,13 @@ def _(v):
     with_views(
         """SELECT COUNT(o.station_id) AS input_station_count, string_agg(o.station_id, ',' ORDER BY o.station_id) AS available_ids, coalesce(string_agg(CASE WHEN o.station_id IS NULL THEN s.station_id END, ',' ORDER BY s.station_id), '') AS missing_ids,
            bool_or(o.station_id = 'S00') AS target_available, COUNT(CASE WHEN o.station_id <> 'S00' THEN 1 END) = 0 AS fallback_to_single_station
-           FROM station s LEFT JOIN (SELECT DISTINCT station_id FROM obs WHERE station_id NOT IN ('S03', 'S07')) o ON s.station_id = o.station_id""",
+           FROM (SELECT station_id FROM station UNION ALL VALUES ('S97'), ('S98')) s LEFT JOIN (SELECT DISTINCT station_id FROM obs) o ON s.station_id = o.station_id""",
         "obs", "station",
     ),
 )
 def _(v):
-    return stations.load_summary(v.station.select("station_id"), v.obs.filter(~F.col("station_id").isin("S03", "S07")), "S00")
+    silent = dimension(v.spark, [("S97",), ("S98",)], "station_id string")
+    return stations.load_summary(v.station.select("station_id").unionByName(silent), v.obs, "S00")
 
 
 @query(
@@ -64,13 +66,14 @@ def _(v):
            coalesce(string_agg(CASE WHEN o.station_id IS NULL THEN s.station_id END, ',' ORDER BY s.station_id), '') AS missing_ids,
            CASE WHEN priority_group = 'port_local' THEN CASE WHEN COUNT(o.station_id) >= 4 THEN 'port_local_postprocess' ELSE 'fallback_baseline' END END AS prediction_mode,
            CASE WHEN priority_group = 'port_local' AND COUNT(o.station_id) < 4 THEN 'Only ' || COUNT(o.station_id) || ' valid KHWD wind station(s) available; require 4.' END AS fallback_reason
-           FROM station s LEFT JOIN (SELECT DISTINCT station_id FROM obs WHERE station_id NOT IN ('S03', 'S07')) o ON s.station_id = o.station_id GROUP BY priority_group""",
+           FROM (SELECT station_id, priority_group FROM station UNION ALL VALUES ('S97', 'port_local'), ('S98', 'outer')) s
+           LEFT JOIN (SELECT DISTINCT station_id FROM obs) o ON s.station_id = o.station_id GROUP BY priority_group""",
         "obs", "station",
     ),
 )
 def _(v):
-    seen = v.obs.filter(~F.col("station_id").isin("S03", "S07"))
-    return stations.priority_summary(v.station.select("station_id", "priority_group"), seen, "port_local", minimum=4)
+    silent = dimension(v.spark, [("S97", "port_local"), ("S98", "outer")], "station_id string, priority_group string")
+    return stations.priority_summary(v.station.select("station_id", "priority_group").unionByName(silent), v.obs, "port_local", minimum=4)
 
 
 @query(
@@ -357,7 +360,7 @@ def _(v):
         f"""SELECT day, """
         + ", ".join(f"coalesce(MAX(CASE WHEN rn = {i} THEN p END), 0) AS nearby_precip_{i}" for i in (1, 2, 3))
         + f""", 1.0::DOUBLE AS nearby_available FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY km, station_id) AS rn FROM (
-            SELECT strftime(obs_time, '%Y-%m-%d') AS day, station_id, MAX(precipitation_1hr) AS p, round(MIN({haversine_sql('22.6', '120.3', 'latitude', 'longitude', 6371.0)}), 2) AS km FROM clean JOIN station USING (station_id) WHERE k % 3 = 0 GROUP BY ALL) WHERE km <= 12) GROUP BY day""",
+            SELECT strftime(obs_time, '%Y-%m-%d') AS day, station_id, MAX(precipitation_1hr) AS p, round(MIN({haversine_sql('22.6', '120.3', 'latitude', 'longitude', 6371.0)}), 2) AS km FROM clean JOIN station USING (station_id) GROUP BY ALL) WHERE km <= 12) GROUP BY day""",
         "clean", "station",
     ),
 )
@@ -366,21 +369,20 @@ def _(v):
 
     km = F.round(haversine_km(F.lit(22.6), F.lit(120.3), F.col("latitude"), F.col("longitude")), 2)
     near = v.station.select("station_id", km.alias("km")).filter("km <= 12")
-    daily = v.clean.filter("k % 3 = 0").groupBy(F.date_format("obs_time", "yyyy-MM-dd").alias("day"), "station_id").agg(F.max("precipitation_1hr").alias("p"))
+    daily = v.clean.groupBy(F.date_format("obs_time", "yyyy-MM-dd").alias("day"), "station_id").agg(F.max("precipitation_1hr").alias("p"))
     return ranking.nearest_vector(daily.join(near, "station_id"), ["day"], ["km", "station_id"], "p")
 
 
 @query(
     "src22_history_union",
     with_views(
-        f"""SELECT source, station_id, {tsql('obs_time')} AS obs_time, wind_speed, tide_level FROM (SELECT 'land' AS source, station_id, obs_time, wind_speed, NULL::DOUBLE AS tide_level FROM clean WHERE source = 'view'
-            UNION ALL SELECT 'marine', station_id, obs_time, NULL, tide_level FROM clean WHERE source = 'click') WHERE obs_time >= TIMESTAMP '2024-01-12 00:00:00'""",
+        f"""SELECT source, station_id, {tsql('obs_time')} AS obs_time, wind_speed, tide_level FROM (SELECT 'land' AS source, station_id, obs_time, wind_speed, NULL::DOUBLE AS tide_level FROM clean
+            UNION ALL SELECT 'marine', station_id, obs_time, NULL, tide_level FROM clean) WHERE obs_time >= TIMESTAMP '2024-01-12 00:00:00'""",
         "clean",
     ),
 )
 def _(v):
-    land = v.clean.filter("source = 'view'").select("station_id", "obs_time", "wind_speed")
-    marine = v.clean.filter("source = 'click'").select("station_id", "obs_time", "tide_level")
+    land, marine = v.clean.select("station_id", "obs_time", "wind_speed"), v.clean.select("station_id", "obs_time", "tide_level")
     return store.history({"land": land, "marine": marine}, "2024-01-12 00:00:00").withColumn("obs_time", ts("obs_time")).select("source", "station_id", "obs_time", "wind_speed", "tide_level")
 
 

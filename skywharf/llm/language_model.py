@@ -33,6 +33,18 @@ PRIOR = 64
 STEPS = 1000
 
 
+def runs_of(texts: list[str | None], most: int = 500_000):
+    """Ranges of texts of about ``most`` characters each, or one text: arrays of a task stay small whatever its block."""
+    first = size = 0
+    for k, text in enumerate(texts):
+        if size and size + len(text or "") > most:
+            yield first, k
+            first, size = k, 0
+        size += len(text or "")
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Packed trigrams (16 bits a character) of texts end to end, and the offsets of the texts.
 
@@ -86,7 +98,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
     """lang, g, c: trigram counts of each language and of all languages together."""
 
     def count(batches):
-        for batch in bounded(batches, "text", 8_000_000):
+        for batch in bounded(batches, "text", 1_000_000):
             frame = pd.DataFrame({"lang": batch.column("lang").to_pylist(), "text": batch.column("text").to_pylist()})
             for lang, part in frame.groupby(frame["lang"].fillna("").map(lambda x: f"={x}"), sort=False):
                 packed, _ = grams([t for t in part["text"] if t])
@@ -175,15 +187,15 @@ def surprises(docs: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]]) -
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def by_language(table: pa.Table):
-        """(language key, row numbers, trigrams, offsets) of a block."""
+        """(language key, row numbers, texts) of a block."""
         langs = np.array([f"={x or ''}" for x in table.column("lang").to_pylist()], dtype=object)
         texts = table.column("text").to_pylist()
         for lang in sorted(set(langs)):
             rows = np.flatnonzero(langs == lang)
-            yield lang, rows, *grams([texts[r] or "" for r in rows])
+            yield lang, rows, [texts[r] or "" for r in rows]
 
     def ask(table: pa.Table) -> pa.Table:
-        parts = [(lang, pd.unique(packed)) for lang, _, packed, _ in by_language(table)]
+        parts = [(lang, pd.unique(np.concatenate([pd.unique(grams(texts[a:b])[0]) for a, b in runs_of(texts)]))) for lang, _, texts in by_language(table)]
         block = table.column("block")[0].as_py()
         found = np.concatenate([g for _, g in parts])
         names = np.repeat(np.array([lang for lang, _ in parts], dtype=object), [len(g) for _, g in parts])
@@ -193,15 +205,18 @@ def surprises(docs: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]]) -
         count, mean = np.zeros(table.num_rows, dtype=np.int64), np.full(table.num_rows, np.nan)
         langs = answers.column("lang").to_numpy(zero_copy_only=False)
         asked, values = answers.column("g").to_numpy(), answers.column("surprise").to_numpy()
-        for lang, rows, packed, offsets in by_language(table):
-            own = langs == lang
-            order = np.argsort(asked[own])
-            codes, found = pd.factorize(packed)
-            each = values[own][order][np.searchsorted(asked[own][order], found)][codes]
-            sums = np.add.reduceat(np.append(each, 0.0), offsets[:-1])
-            sizes = np.diff(offsets)
-            count[rows] = sizes
-            mean[rows] = np.where(sizes > 0, sums / np.maximum(sizes, 1), np.nan)
+        for lang, rows, texts in by_language(table):
+            own = np.flatnonzero(langs == lang)
+            own = own[np.argsort(asked[own])]
+            known, surprise = asked[own], values[own]
+            for a, b in runs_of(texts):
+                packed, offsets = grams(texts[a:b])
+                codes, found = pd.factorize(packed)
+                each = surprise[np.searchsorted(known, found)][codes]
+                sums = np.add.reduceat(np.append(each, 0.0), offsets[:-1])
+                sizes = np.diff(offsets)
+                count[rows[a:b]] = sizes
+                mean[rows[a:b]] = np.where(sizes > 0, sums / np.maximum(sizes, 1), np.nan)
         return pa.table([
             table.column("doc_id"), table.column("text_key"), table.column("lang"), pa.array(count), pa.array(mean, from_pandas=True),
         ], ["doc_id", "text_key", "lang", "n_chars", "surprise"])

@@ -28,7 +28,7 @@ SIZE = 5
 PERCENT = 75
 BLOCK_BYTES = 6_000_000
 SHARD_BYTES = 16_000_000
-CHUNK = 1_500_000
+CHUNK = 750_000
 #: Frequencies are counted for the upper 48 bits of a shingle's hash: shingles that share them share a frequency.
 COUNTED = np.uint64(16)
 
@@ -228,7 +228,8 @@ def groups(docs: DataFrame) -> DataFrame:
     same = ["n", "print1", "print2"]
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     classes = cut_lineage(rows.where("n > 0").groupBy(*same).agg(F.min("_row").alias("class"), F.min(first).alias("first")))
-    chosen = rows.where("tokens IS NOT NULL").join(classes.select(F.col("class").alias("_row")), "_row", "left_semi")
+    # Written once: the sets are joined to pairs several times, and copies of a class are out of it.
+    chosen = cut_lineage(rows.where("tokens IS NOT NULL").join(classes.select(F.col("class").alias("_row")), "_row", "left_semi").select("_row", "n", "tokens", "places", "shingles"))
     postings = chosen.select("_row", "n", F.explode(F.arrays_zip("tokens", "places")).alias("p")).select("_row", "n", F.col("p.tokens").alias("token"), F.col("p.places").alias("place"))
     of = components(links(cut_lineage(postings), chosen.select("_row", "shingles")))
     named = classes.join(of, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))

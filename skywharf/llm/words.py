@@ -82,7 +82,7 @@ def hash_runs(hashed: np.ndarray, size: int) -> np.ndarray:
     return runs
 
 
-def bounded(batches, column: str, most: int = 4_000_000):
+def bounded(batches, column: str, most: int = 2_000_000):
     """Arrow batches cut so that each holds about ``most`` bytes of ``column`` at most, or one row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

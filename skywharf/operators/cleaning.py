@@ -349,6 +349,5 @@ def labelled_rows(df: DataFrame, label: str, event: str | None = None) -> DataFr
     if event is None:
         return labelled
     events = labelled.filter(F.col(event) == 1)
-    has_events = events.limit(1).select(F.lit(1).alias("_has"))
-    tagged = labelled.withColumn("_k", F.lit(1)).join(has_events.withColumn("_k", F.lit(1)), "_k", "left")
-    return tagged.filter(F.col("_has").isNull() | (F.col(event) == 1)).drop("_k", "_has")
+    any_event = events.limit(1).select(F.lit(1).alias("_has")).scalar()
+    return labelled.filter(any_event.isNull() | (F.col(event) == 1))

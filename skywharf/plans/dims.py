@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_LIMIT = 100_000
 
 
-def dimension(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """Configuration rows as a DataFrame; broadcast only while they stay few."""
+def dimension(spark: SparkSession, rows: Sequence[tuple], schema: str, broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Configuration rows, which the driver holds as literals, as a DataFrame.
+
+    Up to ``broadcast_rows`` of them are marked for broadcast; more are joined
+    by shuffle. The parameter changes the plan only, never the rows.
+    """
     frame = spark.createDataFrame(list(rows), schema)
-    return F.broadcast(frame) if len(rows) <= BROADCAST_ROW_LIMIT else frame
+    return F.broadcast(frame) if len(rows) <= broadcast_rows else frame
 
 
 def lookup(mapping: dict, key, default=None):

@@ -29,10 +29,11 @@ def value_buckets(df: DataFrame, groups: Sequence[str], value: str, splits: int
 
 
 def attach(df: DataFrame, grouped: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Join aggregates back to their groups; one global row goes through a constant key."""
+    """Join aggregates back to their groups; one global row comes as a scalar subquery, without a join."""
     if groups:
         return df.join(grouped, list(groups))
-    return df.withColumn("_one", F.lit(1)).join(grouped.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    row = grouped.select(F.struct("*").alias("_row")).scalar()
+    return df.withColumn("_row", row).select(*df.columns, "_row.*")
 
 
 def cumulative_counts(df: DataFrame, groups: Sequence[str], value: str, counts: Sequence[str]) -> DataFrame:
