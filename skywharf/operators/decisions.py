@@ -51,23 +51,8 @@ PRIOR_PROFILES = {
 PERSISTENCE_WEIGHTS = {"H1": 0.8, "H2": 0.6, "H3": 0.4, "H4": 0.2}
 AMOUNT_PROBABILITY_THRESHOLD = 0.35
 
-# Prediction modes, preferred first, and the reasons that block each.
+# Prediction modes, preferred first.
 MODES = ["port_local_model", "port_local_postprocess", "nearby_cwa_historical_model", "fallback_baseline"]
-REASONS = {
-    "DATASET_NOT_READY": "port_local_model",
-    "PORT_LOCAL_MODEL_NOT_TRAINED": "port_local_model",
-    "PORT_LOCAL_MODEL_UNAVAILABLE": "port_local_model",
-    "PORT_LOCAL_MODEL_NOT_ACCEPTED": "port_local_model",
-    "CRITICAL_UNDER_WARNING_COUNT_GT_0": "port_local_model, nearby_cwa_historical_model",
-    "KHWD_REALTIME_DISABLED_BY_REQUEST": "port_local_postprocess",
-    "KHWD_REALTIME_UNAVAILABLE": "port_local_postprocess",
-    "VALID_KHWD_STATION_COUNT_LT_2": "port_local_postprocess",
-    "NEARBY_CWA_TRAINING_DISABLED": "nearby_cwa_historical_model",
-    "NEARBY_CWA_MODEL_UNAVAILABLE": "nearby_cwa_historical_model",
-    "NEARBY_CWA_MODEL_NOT_ACCEPTED": "nearby_cwa_historical_model",
-    "NEARBY_CWA_STATIONS_NOT_ALL_CLOSER_THAN_467441": "nearby_cwa_historical_model",
-    "NEARBY_CWA_USED_AS_PORT_LOCAL_CORE": "nearby_cwa_historical_model",
-}
 CASE_IDS = {
     "port_local_model": "PORT_LOCAL_MODEL_ACCEPTED",
     "nearby_cwa_historical_model": "KHWD_UNAVAILABLE_NEARBY_ACCEPTED",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skywharf.plans.dims import dimension, lookup
-from skywharf.plans.ranks import attach, cumulative_counts, exact_quantiles
+from skywharf.plans.ranks import attach, bordered, cumulative_counts, exact_quantiles
 from skywharf.schema import GRADE_CUTOFFS
 
 MAPE_EPSILON = 1e-10
@@ -177,15 +177,12 @@ def scenario_scores(df: DataFrame, groups: Sequence[str], truth: str, predicted:
 
 # --- probabilities --------------------------------------------------------
 
-PROBABILITY_BUCKETS = 1024
-
-
 def event_scores(df: DataFrame, groups: Sequence[str], label: str, probability: str, cut: float = 0.5) -> DataFrame:
     """Brier score, exact AUC with ties, and event scores at the cut.
 
     AUC sums, over distinct probabilities, positives times the negatives
     ranked below plus half of those tied; probabilities are pre-counted, then
-    ordered inside fixed probability buckets, so no group is sorted in one task.
+    ordered inside buckets of a quantile sketch, however they crowd, so no group is sorted in one task.
     """
     rows = df.filter(F.col(label).isNotNull() & F.col(probability).isNotNull())
     y, p = F.col(label).cast("double"), F.col(probability)
@@ -193,10 +190,8 @@ def event_scores(df: DataFrame, groups: Sequence[str], label: str, probability:
     base = rows.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.pow(p - y, 2)).alias("brier"), *[c.alias(n) for n, c in counts.items()]
     )
-    tied = rows.groupBy(*groups, p.alias("_p")).agg(F.sum(y).alias("pos"), F.sum(1.0 - y).alias("neg")).withColumn(
-        "_bucket", F.floor(F.col("_p") * PROBABILITY_BUCKETS)
-    )
-    ranked = cumulative_counts(tied, groups, "_p", ["neg"])
+    tied = rows.groupBy(*groups, p.alias("_p")).agg(F.sum(y).alias("pos"), F.sum(1.0 - y).alias("neg"))
+    ranked = cumulative_counts(bordered(tied, groups, "_p", "neg"), groups, "_p", ["neg"])
     areas = ranked.groupBy(*groups).agg(
         F.try_divide(
             F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")

@@ -19,10 +19,17 @@ def value_buckets(df: DataFrame, groups: Sequence[str], value: str, splits: int
     """
     groups = list(groups)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_count"))
-    # Borders and totals come from the counted values, so the input is read once
-    # and the counting shuffle is shared.
+    return bordered(counted.withColumnRenamed("_count", "_n"), groups, value, "_n", splits).withColumnsRenamed({"_n": "_count", "_total": "_n"})
+
+
+def bordered(counted: DataFrame, groups: Sequence[str], value: str, weight: str, splits: int = SPLITS) -> DataFrame:
+    """Add ``_bucket``, monotone in value, and ``_total``, the sum of ``weight`` of the group, to distinct values.
+
+    Borders and totals come from the counted values, so the input is read once
+    and the counting shuffle is shared.
+    """
     shape = counted.groupBy(*groups).agg(
-        F.percentile_approx(value, [i / splits for i in range(1, splits)], 1000).alias("_borders"), F.sum("_count").alias("_n")
+        F.percentile_approx(value, [i / splits for i in range(1, splits)], 1000).alias("_borders"), F.sum(weight).alias("_total")
     )
     bucket = F.size(F.filter("_borders", lambda b: b < F.col(value)))
     return attach(counted, shape, groups).withColumn("_bucket", bucket).drop("_borders")

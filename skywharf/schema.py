@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # --------------------------------------------------------------------------
-# Schemas
+# Fixed values
 # --------------------------------------------------------------------------
 
 KEY_COLUMNS = ["source", "station_id", "device_type", "obs_time", "is_forecast"]
@@ -23,49 +21,6 @@ UPSERT_REPLACED = ["station_name", "location", *MEASURES, "raw_data", "raw_last_
                    "confidence", "stale", "fetched_at"]
 UPSERT_KEPT = ["port_code", "longitude", "latitude", "elevation", "tide_level_unit"]
 
-OBSERVATION_SCHEMA = T.StructType(
-    [
-        T.StructField("source", T.StringType(), False),
-        T.StructField("port_code", T.StringType()),
-        T.StructField("station_id", T.StringType(), False),
-        T.StructField("station_name", T.StringType()),
-        T.StructField("location", T.StringType()),
-        T.StructField("device_type", T.StringType(), False),
-        T.StructField("obs_time", T.TimestampType(), False),
-        T.StructField("longitude", T.DoubleType()),
-        T.StructField("latitude", T.DoubleType()),
-        T.StructField("elevation", T.DoubleType()),
-        *[T.StructField(name, T.DoubleType()) for name in MEASURES],
-        T.StructField("tide_level_unit", T.StringType()),
-        T.StructField("raw_data", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("raw_last_data_str", T.StringType()),
-        T.StructField("is_forecast", T.BooleanType()),
-        T.StructField("confidence", T.StringType()),
-        T.StructField("stale", T.BooleanType()),
-        T.StructField("fetched_at", T.TimestampType()),
-    ]
-)
-
-FORECAST_PERIOD_SCHEMA = T.StructType(
-    [
-        T.StructField("location_name", T.StringType()),
-        T.StructField("data_id", T.StringType()),
-        T.StructField("start_ts", T.TimestampType()),
-        T.StructField("end_ts", T.TimestampType()),
-        T.StructField("raw_value", T.StringType()),
-        T.StructField("pop", T.DoubleType()),
-        T.StructField("wind_speed_mps", T.DoubleType()),
-        T.StructField("wind_speed_text", T.StringType()),
-        T.StructField("beaufort_scale_min", T.IntegerType()),
-        T.StructField("beaufort_scale_text", T.StringType()),
-        T.StructField("fetched_at", T.TimestampType()),
-    ]
-)
-
-# --------------------------------------------------------------------------
-# Fixed values
-# --------------------------------------------------------------------------
-
 # Column aliases accepted by the observation reader.
 OBSERVATION_ALIASES = {
     "wind_speed_mps": "wind_speed",
@@ -220,6 +175,29 @@ ACTION_TEXTS = {
     "delay_high_risk_tasks": "不建議安排高風險戶外作業，優先改派低風險工作。",
     "suspend_exposed_tasks": "建議暫停戶外暴露或高風險作業，待風險降低後再復工。",
 }
+LOW_RELIABILITY = {
+    "normal": "normal_dispatch",
+    "watch": "observe_only",
+    "warning": "monitor",
+    "high_risk": "restrict_sensitive_tasks",
+    "stop": "delay_high_risk_tasks",
+}
+ACTION_LABELS = {
+    "normal_dispatch": "正常派工",
+    "observe_only": "觀察",
+    "monitor": "監控",
+    "restrict_sensitive_tasks": "限制敏感作業",
+    "delay_high_risk_tasks": "延後高風險作業",
+    "suspend_exposed_tasks": "暫停暴露作業",
+}
+ACTION_TEXTS = {
+    "normal_dispatch": "可正常安排作業，持續監測天氣變化。",
+    "observe_only": "風險來源可靠度較低，建議先觀察並加強現場回報。",
+    "monitor": "可派工但需提高警戒，持續監控風速、陣風與降雨。",
+    "restrict_sensitive_tasks": "建議限制吊掛、高處、臨水或其他受天氣影響較大的作業。",
+    "delay_high_risk_tasks": "不建議安排高風險戶外作業，優先改派低風險工作。",
+    "suspend_exposed_tasks": "建議暫停戶外暴露或高風險作業，待風險降低後再復工。",
+}
 SUGGESTION_TEXTS = {
     "normal": "可正常派工，持續監測天氣變化。",
     "watch": "可派工但需提高警戒，留意降雨、風速與陣風變化。",

@@ -95,9 +95,13 @@ def load_archive_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", st
 
 
 def write_observations(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet partitioned by day, so time filters prune folders. Runs a job."""
+    """Parquet partitioned by day, so time filters prune folders. Runs a job.
+
+    Rows are gathered by day and split again by size, so that a busy day is
+    written by as many tasks as it needs.
+    """
     daily = df.withColumn("obs_date", F.to_date("obs_time"))
-    daily.repartition("obs_date", F.pmod(F.hash("station_id"), F.lit(16))).write.mode(mode).partitionBy("obs_date").parquet(path)
+    daily.hint("rebalance", "obs_date").write.mode(mode).partitionBy("obs_date").parquet(path)
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
