@@ -231,7 +231,7 @@ def _(v):
         target = hourly.filter(F.col("station_id") == station).select("station_id", "obs_time", "tide_level")
         others = [s for s in ("S01", "S04", "S05") if s != station][-2:]
         wide = joins.prefix_stations(target, hourly.filter(F.col("station_id").isin(others)), "obs_time", others, ["station_pressure", "wind_speed"])
-        return tide.surge_model(wide, ["station_id"], "obs_time", [f"{s}_{m}" for s in others for m in ("station_pressure", "wind_speed")])
+        return tide.surge_model(wide, ["station_id"], "obs_time", [f"{s}_{m}" for s in others for m in ("station_pressure", "wind_speed")]).withColumn("station_id", F.lit(station))
 
     # One model for each station of the dimension table.
     names = sorted(row["station_id"] for row in v.station.select("station_id").collect())
