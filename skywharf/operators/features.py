@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from skywharf.functions import clock, wind
 from skywharf.functions.weather import saturation_ratio
 from skywharf.plans.ranks import exact_quantiles
-from skywharf.plans.timeline import CHUNK_ROWS, HOUR, Stage, over_chunks
+from skywharf.plans.timeline import CHUNK_ROWS, HOUR, Stage, fitting_cell, over_chunks
 
 DEFAULT_STEPS_PER_HOUR = 2
 
@@ -72,11 +72,13 @@ def apply_features(df: DataFrame, keys: Sequence[str], time: str, features: Sequ
 
 
 def hourly_features(df: DataFrame, keys: Sequence[str], time: str, build: Callable[[int], Sequence[Feature]], tie: Sequence[str] = (),
-                    chunk_rows: int = CHUNK_ROWS, cell_seconds: int = HOUR) -> DataFrame:
+                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Features named by hours, with the rows per hour that each key's own gaps show.
 
     Only the distinct rates reach the driver: whole numbers, one for each kind of feed. Keys of one rate share a pass.
+    Cells are as narrow as the fullest one needs.
     """
+    cell_seconds = fitting_cell(df, keys, time)
     rates = steps_per_hour(df, keys, time).select(*keys, "steps_per_hour")
     found = sorted(row[0] for row in rates.select("steps_per_hour").distinct().collect()) or [DEFAULT_STEPS_PER_HOUR]
     parts = []

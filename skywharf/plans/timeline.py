@@ -36,6 +36,21 @@ def cell_of(time: str, seconds: int) -> Column:
     return F.floor(F.unix_seconds(F.col(time)) / F.lit(seconds)).cast("long")
 
 
+def fitting_cell(df: DataFrame, keys: Sequence[str], time: str, widest: int = HOUR, most_rows: int = 10 * CHUNK_ROWS) -> int:
+    """Seconds of a cell so that the fullest one holds about ``most_rows`` at most. Runs a job over keys and times.
+
+    Cells are counted at the widest width and narrowed until the fullest fits;
+    only its count reaches the driver. Results do not depend on the width.
+    """
+    width = widest
+    while True:
+        counts = df.groupBy(*keys, cell_of(time, width).alias("_cell")).agg(F.count(F.lit(1)).alias("n"))
+        fullest = counts.agg(F.max("n")).first()[0] or 0
+        if fullest <= most_rows or width == 1:
+            return width
+        width = max(1, min(width // 2, width * most_rows // fullest))
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],

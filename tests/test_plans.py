@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skywharf.operators import cleaning, features, labels, metrics
 from skywharf.plans.asof import interval_match, nearest_join
 from skywharf.plans.ranks import exact_quantiles
-from skywharf.plans.timeline import neighbours, number_rows, over_chunks
+from skywharf.plans.timeline import cell_of, fitting_cell, neighbours, number_rows, over_chunks
 
 START = dt.datetime(2024, 3, 1)
 
@@ -146,3 +146,15 @@ def test_rolling_plan_has_no_python_and_prunes_columns(spark):
     plan = view.clean.select("seq", "wind_speed")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
     assert "user_id" not in plan.split("ReadSchema")[1]
+
+
+def test_cells_narrow_to_a_crowded_hour(spark):
+    """One key with nine tenths of its rows in one hour: no cell holds more than the bound, positions stay exact."""
+    rows = [("hot", START + dt.timedelta(seconds=(k * 7) % 3600), k) for k in range(1800)] + [("hot", START + dt.timedelta(hours=k), k) for k in range(1800, 2000)]
+    frame = spark.createDataFrame(rows, "station_id string, obs_time timestamp, seq long")
+    width = fitting_cell(frame, ["station_id"], "obs_time", most_rows=100)
+    counts = frame.groupBy("station_id", cell_of("obs_time", width)).count().agg(F.max("count")).first()[0]
+    assert width < 3600 and counts <= 100
+    plain = frame.withColumn("_rn", F.row_number().over(Window.partitionBy("station_id").orderBy("obs_time", "seq")).cast("long"))
+    same(number_rows(frame, ["station_id"], "obs_time", ["seq"], cell_seconds=width), plain, ("station_id", "obs_time", "seq"))
+    assert fitting_cell(frame, ["station_id"], "obs_time") == 3600
