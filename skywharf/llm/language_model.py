@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,20 +30,19 @@ BLOCK_BYTES = 8_000_000
 FILTER_BITS = 23
 #: Characters of average surprise that every text gets on top, so that a short text is not judged by a few characters.
 PRIOR = 64
+#: Files of tables whose size depends on the alphabet and the languages alone.
+TABLE_FILES = 8
 #: Histogram steps of a mean surprise of 1 (nat a character).
 STEPS = 1000
 
 
-def runs_of(texts: list[str | None], most: int = 500_000):
-    """Ranges of texts of about ``most`` characters each, or one text: arrays of a task stay small whatever its block."""
-    first = size = 0
-    for k, text in enumerate(texts):
-        if size and size + len(text or "") > most:
-            yield first, k
-            first, size = k, 0
-        size += len(text or "")
-    if first < len(texts):
-        yield first, len(texts)
+def runs_of(column: pa.ChunkedArray, rows: np.ndarray, most: int = 500_000):
+    """(rows, texts) of about ``most`` bytes each, or one text: what a task holds stays small whatever its block."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy()[rows]
+    group = np.cumsum(sizes, dtype=np.int64) // most
+    for part in np.split(rows, np.flatnonzero(np.diff(group)) + 1):
+        if len(part):
+            yield part, [t or "" for t in column.take(pa.array(part)).to_pylist()]
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +108,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
                 })
 
     own = texts.mapInArrow(count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
-    own = cut_lineage(own)
+    own = cut_lineage(own.coalesce(TABLE_FILES))
     return own.unionByName(own.groupBy("g").agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("lang"), "g", "c"))
 
 
@@ -153,8 +153,8 @@ def fit(texts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
     tables, lower = {}, None
     for order in range(1, ORDER + 1):
         probabilities, weights = level(counts[order], order, lower)
-        lower = cut_lineage(probabilities)
-        tables[order] = lower, cut_lineage(weights)
+        lower = cut_lineage(probabilities.coalesce(TABLE_FILES))
+        tables[order] = lower, cut_lineage(weights.coalesce(TABLE_FILES))
     return tables
 
 
@@ -187,16 +187,14 @@ def surprises(docs: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]]) -
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def by_language(table: pa.Table):
-        """(language key, row numbers, texts) of a block."""
+        """(language key, row numbers) of a block."""
         langs = np.array([f"={x or ''}" for x in table.column("lang").to_pylist()], dtype=object)
-        texts = table.column("text").to_pylist()
         for lang in sorted(set(langs)):
-            rows = np.flatnonzero(langs == lang)
-            yield lang, rows, [texts[r] or "" for r in rows]
+            yield lang, np.flatnonzero(langs == lang)
 
     def ask(table: pa.Table) -> pa.Table:
-        parts = [(lang, pd.unique(np.concatenate([pd.unique(grams(texts[a:b])[0]) for a, b in runs_of(texts)]))) for lang, _, texts in by_language(table)]
-        block = table.column("block")[0].as_py()
+        text, block = table.column("text"), table.column("block")[0].as_py()
+        parts = [(lang, pd.unique(np.concatenate([pd.unique(grams(texts)[0]) for _, texts in runs_of(text, rows)]))) for lang, rows in by_language(table)]
         found = np.concatenate([g for _, g in parts])
         names = np.repeat(np.array([lang for lang, _ in parts], dtype=object), [len(g) for _, g in parts])
         return pa.table({"block": pa.array(np.full(len(found), block), pa.int32()), "lang": pa.array(names, pa.string()), "g": pa.array(found, pa.int64())})
@@ -205,27 +203,28 @@ def surprises(docs: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]]) -
         count, mean = np.zeros(table.num_rows, dtype=np.int64), np.full(table.num_rows, np.nan)
         langs = answers.column("lang").to_numpy(zero_copy_only=False)
         asked, values = answers.column("g").to_numpy(), answers.column("surprise").to_numpy()
-        for lang, rows, texts in by_language(table):
+        for lang, rows in by_language(table):
             own = np.flatnonzero(langs == lang)
             own = own[np.argsort(asked[own])]
             known, surprise = asked[own], values[own]
-            for a, b in runs_of(texts):
-                packed, offsets = grams(texts[a:b])
+            for part, texts in runs_of(table.column("text"), rows):
+                packed, offsets = grams(texts)
                 codes, found = pd.factorize(packed)
                 each = surprise[np.searchsorted(known, found)][codes]
                 sums = np.add.reduceat(np.append(each, 0.0), offsets[:-1])
                 sizes = np.diff(offsets)
-                count[rows[a:b]] = sizes
-                mean[rows[a:b]] = np.where(sizes > 0, sums / np.maximum(sizes, 1), np.nan)
+                count[part] = sizes
+                mean[part] = np.where(sizes > 0, sums / np.maximum(sizes, 1), np.nan)
         return pa.table([
             table.column("doc_id"), table.column("text_key"), table.column("lang"), pa.array(count), pa.array(mean, from_pandas=True),
         ], ["doc_id", "text_key", "lang", "n_chars", "surprise"])
 
     asked = blocked.groupBy("block").applyInArrow(ask, "block int, lang string, g long").repartition("lang", "g")
     answers = asked.join(look_up(asked.select("lang", "g").distinct(), tables), ["lang", "g"]).select("block", "lang", "g", "surprise")
+    # No more files than blocks: small inputs leave few, large ones as many as there are partitions.
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         tell, f"doc_id {kind}, text_key long, lang string, n_chars long, surprise double"
-    )
+    ).coalesce(blocks)
 
 
 def averages(scores: DataFrame, ids: DataFrame) -> DataFrame:
@@ -269,10 +268,10 @@ def judge(docs: DataFrame, labels: DataFrame, part: float = 0.95, stretch: float
     trusted text every text with a character is kept. ``text_key`` tells rows of one id with different texts apart;
     repeated rows are judged one by one; other columns are ignored; an empty table gives an empty result.
     """
-    ids = cut_lineage(trusted_ids(labels))
+    ids = trusted_ids(labels)
     raw = cut_lineage(surprises(docs, fit(trusted_texts(docs, ids.where("NOT held")))))
-    scores = cut_lineage(smoothed(raw, averages(raw, ids)))
-    fences = cut_lineage(limits(scores, ids, part, stretch))
+    scores = smoothed(raw, cut_lineage(averages(raw, ids).coalesce(TABLE_FILES)))
+    fences = cut_lineage(limits(scores, ids, part, stretch).coalesce(TABLE_FILES))
     pooled = fences.where(F.col("key") == POOLED).agg(F.max("limit")).first()[0]
     joined = scores.join(fences, "key", "left")
     limit = F.coalesce("limit", F.lit(pooled).cast("double"))
