@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from skywharf.session import cut_lineage
 
+#: Pairs that one file of a round holds at least, while there are that many.
+FILE_PAIRS = 500_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node of ``edges`` (a, b, whole numbers).
@@ -16,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     nothing. Repeated edges and loops do no harm; no edges give no rows.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    state, pairs = None, cut_lineage(pairs)
+    state, files, pairs = None, None, cut_lineage(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -24,8 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
-        pairs = cut_lineage(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        linked = small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        # Rounds never add pairs, so the last count sizes the files of the next round.
+        pairs = cut_lineage(linked.coalesce(files) if files else linked)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == state:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-        state = now
+        state, files = now, int(now[0] // FILE_PAIRS) + 1

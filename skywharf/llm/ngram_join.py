@@ -77,6 +77,10 @@ def prefix_size(n):
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+def block_count(text_bytes: int) -> int:
+    return int(text_bytes // BLOCK_BYTES) + 1
+
+
 def _ask(shards: int):
     bits = np.uint64(48 - (shards.bit_length() - 1))
 
@@ -147,10 +151,9 @@ def _post(table: pa.Table, answers: pa.Table) -> pa.Table:
     ], ["doc_id", "text_key", "n", "print1", "print2", "tokens", "places", "shingles"])
 
 
-def posted(docs: DataFrame) -> DataFrame:
+def posted(docs: DataFrame, text_bytes: int) -> DataFrame:
     """doc_id, text_key, n, print1, print2, tokens, places, shingles of every row of ``docs``."""
-    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(text_bytes // BLOCK_BYTES) + 1
+    blocks = block_count(text_bytes)
     shards = 1 << max(int(text_bytes // SHARD_BYTES), 1).bit_length()
     key = F.xxhash64("text")
     blocked = docs.select("doc_id", "text", key.alias("text_key"), F.pmod(F.xxhash64("doc_id", key), F.lit(blocks)).cast("int").alias("block"))
@@ -194,23 +197,26 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(check, "a long, b long")
 
 
-def links(postings: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that join every linked representative to its component. ``postings``: token, place, n, _row."""
+def links(postings: DataFrame, sets: DataFrame, files: int) -> DataFrame:
+    """Pairs that join every linked representative to its component. ``postings``: token, place, n, _row.
+
+    What is written in between takes at most ``files`` files.
+    """
     hubs = postings.groupBy("token").agg(F.min(F.struct("_row", "place", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     spoke = postings.join(hubs, "token").where((F.col("_row") > F.col("hub._row")) & _may_link(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place")))
-    tested = cut_lineage(spoke.select(F.col("hub._row").alias("a"), F.col("_row").alias("b")).distinct())
-    found = cut_lineage(verify(tested, sets))
+    tested = cut_lineage(spoke.select(F.col("hub._row").alias("a"), F.col("_row").alias("b")).distinct().coalesce(files))
+    found = cut_lineage(verify(tested, sets).coalesce(files))
     of = components(found).select(F.col("node").alias("_row"), "component")
     placed = postings.join(of, "_row", "left").withColumn("component", F.coalesce("component", "_row"))
     # The largest partner that the positional filter lets a member have at this shingle.
     placed = placed.withColumn("most", F.floor((100 + PERCENT) * (F.col("n") - F.col("place")) / PERCENT) - F.col("n"))
     spread = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")).where("low <> high")
-    opened = cut_lineage(placed.join(spread.select("token", "least"), "token").where("most >= least").drop("least", "most"))
+    opened = cut_lineage(placed.join(spread.select("token", "least"), "token").where("most >= least").drop("least", "most").coalesce(files))
     other = opened.select("token", *(F.col(x).alias(f"o_{x}") for x in ("place", "n", "_row", "component")))
     apart = (F.col("_row") < F.col("o__row")) & (F.col("component") != F.col("o_component"))
     crossing = opened.join(other, "token").where(apart & _may_link(F.col("n"), F.col("place"), F.col("o_n"), F.col("o_place")))
     fresh = crossing.select(F.col("_row").alias("a"), F.col("o__row").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    return cut_lineage(found.unionByName(verify(fresh, sets)))
+    return found.unionByName(verify(fresh, sets))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -223,15 +229,17 @@ def groups(docs: DataFrame) -> DataFrame:
     ``kept`` marks the row of the smallest id, told by ``text_key`` from rows of the same id; rows equal in both are
     all marked. Other columns are ignored; an empty table gives an empty result.
     """
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # No more files than blocks: small inputs leave few, large ones as many as there are partitions.
+    files = block_count(text_bytes)
     # Written once, so that row numbers stay when a task is repeated.
-    rows = cut_lineage(posted(docs).withColumn("_row", F.monotonically_increasing_id()))
+    rows = cut_lineage(posted(docs, text_bytes).coalesce(files).withColumn("_row", F.monotonically_increasing_id()))
     same = ["n", "print1", "print2"]
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
-    classes = cut_lineage(rows.where("n > 0").groupBy(*same).agg(F.min("_row").alias("class"), F.min(first).alias("first")))
-    # Written once: the sets are joined to pairs several times, and copies of a class are out of it.
-    chosen = cut_lineage(rows.where("tokens IS NOT NULL").join(classes.select(F.col("class").alias("_row")), "_row", "left_semi").select("_row", "n", "tokens", "places", "shingles"))
+    classes = cut_lineage(rows.where("n > 0").groupBy(*same).agg(F.min("_row").alias("class"), F.min(first).alias("first")).coalesce(files))
+    chosen = rows.where("tokens IS NOT NULL").join(classes.select(F.col("class").alias("_row")), "_row", "left_semi")
     postings = chosen.select("_row", "n", F.explode(F.arrays_zip("tokens", "places")).alias("p")).select("_row", "n", F.col("p.tokens").alias("token"), F.col("p.places").alias("place"))
-    of = components(links(cut_lineage(postings), chosen.select("_row", "shingles")))
+    of = components(links(cut_lineage(postings.coalesce(files)), chosen.select("_row", "shingles"), files))
     named = classes.join(of, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("first").alias("best"))
     labelled = named.join(least, "component").select(*(F.col(x).alias(f"_{x}") for x in same), "best")
