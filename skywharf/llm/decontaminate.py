@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skywharf.llm.rows import matching
+from skywharf.llm.rows import matching, text_batches
 from skywharf.llm.words import ALNUM, bounded, hash_runs, hash_words, spaced_words
 from skywharf.session import cut_lineage
 
@@ -122,6 +122,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     empty table of items leaves every document clean; an empty table of documents gives an empty result.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     prints = cut_lineage(item_fingerprints(items).dropDuplicates(["item_id", "words"]))
     short = tuple(sorted(r["n"] for r in prints.where(F.col("n") < SPAN).select("n").distinct().collect()))  # 12 lengths at most
     exploded = prints.select("item_id", "words", F.explode("fps").alias("fp"))

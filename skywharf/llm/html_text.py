@@ -14,6 +14,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from skywharf.llm.rows import text_batches
 from skywharf.llm.words import bounded
 
 #: Elements of HTML by their role.
@@ -236,6 +237,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Whole pages are parsed; a null or empty page has an empty text. Repeated rows are taken one by one, other columns
     are ignored, an empty table gives an empty result.
     """
+    text_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches):

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skywharf.llm.rows import matching
+from skywharf.llm.rows import matching, text_batches
 from skywharf.llm.words import bounded
 from skywharf.session import cut_lineage
 
@@ -268,6 +268,7 @@ def judge(docs: DataFrame, labels: DataFrame, part: float = 0.95, stretch: float
     trusted text every text with a character is kept. ``text_key`` tells rows of one id with different texts apart;
     repeated rows are judged one by one; other columns are ignored; an empty table gives an empty result.
     """
+    text_batches(docs.sparkSession)
     ids = trusted_ids(labels)
     raw = cut_lineage(surprises(docs, fit(trusted_texts(docs, ids.where("NOT held")))))
     scores = smoothed(raw, cut_lineage(averages(raw, ids).coalesce(TABLE_FILES)))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skywharf.llm.components import components
-from skywharf.llm.rows import carried
+from skywharf.llm.rows import carried, text_batches
 from skywharf.llm.words import LOWER, hash_runs, hash_spaced
 from skywharf.session import cut_lineage
 
@@ -229,6 +229,7 @@ def groups(docs: DataFrame) -> DataFrame:
     ``kept`` marks the row of the smallest id, told by ``text_key`` from rows of the same id; rows equal in both are
     all marked. Other columns are ignored; an empty table gives an empty result.
     """
+    text_batches(docs.sparkSession)
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # No more files than blocks: small inputs leave few, large ones as many as there are partitions.
     files = block_count(text_bytes)

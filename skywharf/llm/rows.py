@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch: texts are long, and the usual 10,000 of them take tens of megabytes outside the heap.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Have the session hand texts to Python in batches of TEXT_ROWS rows; a smaller setting of its own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
+
 
 def carried(docs: DataFrame) -> DataFrame:
     """row (all columns of ``docs``), row_id (doc_id) and row_key (hash of the text)."""

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from skywharf.llm.rows import text_batches
 from skywharf.llm.words import bounded
 
 
@@ -327,6 +328,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     are scanned one by one, other columns are ignored, an empty table gives an empty result. The automata depend on
     the rules alone and are compiled once on the driver.
     """
+    text_batches(docs.sparkSession)
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(rules))
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
