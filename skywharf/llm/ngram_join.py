@@ -202,9 +202,10 @@ def links(postings: DataFrame, sets: DataFrame, files: int) -> DataFrame:
 
     What is written in between takes at most ``files`` files.
     """
-    hubs = postings.groupBy("token").agg(F.min(F.struct("_row", "place", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    spoke = postings.join(hubs, "token").where((F.col("_row") > F.col("hub._row")) & _may_link(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place")))
-    tested = cut_lineage(spoke.select(F.col("hub._row").alias("a"), F.col("_row").alias("b")).distinct().coalesce(files))
+    # The hub has the fewest rarer shingles before this one: of a group of copies it is the one nearest to their origin.
+    hubs = postings.groupBy("token").agg(F.min(F.struct("place", "_row", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+    spoke = postings.join(hubs, "token").where((F.col("_row") != F.col("hub._row")) & _may_link(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place")))
+    tested = cut_lineage(spoke.select(F.least("hub._row", "_row").alias("a"), F.greatest("hub._row", "_row").alias("b")).distinct().coalesce(files))
     found = cut_lineage(verify(tested, sets).coalesce(files))
     of = components(found).select(F.col("node").alias("_row"), "component")
     placed = postings.join(of, "_row", "left").withColumn("component", F.coalesce("component", "_row"))
