@@ -16,7 +16,7 @@ from skywharf.session import checkpoint_dir
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is below the threshold of their language."""
-    return language_model.keep(docs, language_model.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return language_model.keep(docs, language_model.quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -184,7 +184,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_language_model")
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
+    return language_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
 
 
 @query("op8_mixing", sql=r"""

@@ -34,6 +34,8 @@ PRIOR = 64
 TABLE_FILES = 8
 #: Histogram steps of a mean surprise of 1 (nat a character).
 STEPS = 1000
+#: The queries keep a text up to this quantile of the held-out trusted texts of its language.
+QUANTILE = 0.99
 
 
 def runs_of(column: pa.ChunkedArray, rows: np.ndarray, most: int = 500_000):
@@ -283,6 +285,11 @@ def judge(docs: DataFrame, labels: DataFrame, part: float = 0.95, stretch: float
     )
 
 
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``judge`` as the queries use it: the threshold is the plain quantile QUANTILE, without a stretch."""
+    return judge(docs, labels, part=QUANTILE, stretch=1.0)
+
+
 def keep(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """Rows of ``docs`` that were kept, with their own columns."""
     return matching(docs, judged.where("kept"), "left_semi")
