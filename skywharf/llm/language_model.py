@@ -4,6 +4,9 @@ Training counts n-grams of all trusted texts, combined in each task before they
 counts, discounts and back-off weights are tables sharded by language and n-gram. Scoring splits the documents into
 blocks by hash. A block asks the shards once for each of its distinct n-grams, and the answers meet the texts of the
 block again, so what moves are the distinct n-grams of blocks and never one row for each character.
+Orders up to ORDER are joined as tables. Longer n-grams (the queries use DEPTH characters) grow with the texts: their
+counts and the requests of blocks meet in shards by language and the three characters before the last, which hold every
+n-gram and context of four characters or more that a request can back off to.
 A text is kept while its perplexity is below a threshold from quantiles of held-out trusted texts of its language.
 """
 
@@ -21,6 +24,8 @@ from skywharf.llm.words import bounded
 from skywharf.session import cut_lineage
 
 ORDER = 3
+#: Characters of the n-grams of the queries: the last three are packed in ``g``, those before them in ``u``.
+DEPTH = 6
 POOLED = "*"
 START = 2
 #: Of five trusted texts, one sets the thresholds and the others train the model.
@@ -36,6 +41,8 @@ TABLE_FILES = 8
 STEPS = 1000
 #: The queries keep a text up to this quantile of the held-out trusted texts of its language.
 QUANTILE = 0.99
+#: ``u`` of requests and answers for the last three characters alone.
+SHORT = -1
 
 
 def runs_of(column: pa.ChunkedArray, rows: np.ndarray, most: int = 500_000):
@@ -47,28 +54,81 @@ def runs_of(column: pa.ChunkedArray, rows: np.ndarray, most: int = 500_000):
             yield part, [t or "" for t in column.take(pa.array(part)).to_pylist()]
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed trigrams (16 bits a character) of texts end to end, and the offsets of the texts.
+def pairs(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed n-grams (16 bits a character; all but the last three characters, and those) of texts end to end, and the offsets of the texts.
 
     White space runs count as one space and digits as 0; characters above U+FFFF share one code. Every character gives
-    one trigram; a text is preceded by two start marks.
+    one n-gram; a text is preceded by ``order`` - 1 start marks.
     """
-    clean = [" ".join(t.split()) for t in texts]
+    clean, marks = [" ".join(t.split()) for t in texts], order - 1
     sizes = np.array([len(t) for t in clean], dtype=np.int64)
-    joined = "".join("\x02\x02" + t for t in clean)
+    joined = "".join("\x02" * marks + t for t in clean)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     codes = np.minimum(codes, 0xFFFF)
     codes[(codes >= 48) & (codes <= 57)] = 48
-    if len(codes) < ORDER:
-        packed = np.empty(0, dtype=np.int64)
-    else:
-        packed = (codes[:-2] << 32) | (codes[1:-1] << 16) | codes[2:]
+    many = max(len(codes) - marks, 0)
+    u, g = np.zeros(many, dtype=np.int64), np.zeros(many, dtype=np.int64)
+    for k in range(order):
+        part = u if k < order - ORDER else g
+        part <<= 16
+        part |= codes[k : k + many]
     offsets = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum(sizes, out=offsets[1:])
-    # Each text has two marks before it, so its trigrams begin two places further on than those of the text before.
-    begins = offsets[:-1] + 2 * np.arange(len(texts))
+    # Each text has marks before it, so its n-grams begin so many places further on than those of the text before.
+    begins = offsets[:-1] + marks * np.arange(len(texts))
     keep = np.repeat(begins - offsets[:-1], sizes) + np.arange(offsets[-1])
-    return packed[keep], offsets
+    return u[keep], g[keep], offsets
+
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed trigrams of texts end to end, and the offsets of the texts."""
+    return pairs(texts, ORDER)[1:]
+
+
+def distinct(u: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code of each pair, and u and g of each code."""
+    (cu, nu), (cg, ng) = pd.factorize(u), pd.factorize(g)
+    codes, found = pd.factorize(cu.astype(np.int64) * max(len(ng), 1) + cg)
+    return codes, nu[found // max(len(ng), 1)], ng[found % max(len(ng), 1)]
+
+
+def places(u: np.ndarray, g: np.ndarray, among_u: np.ndarray, among_g: np.ndarray) -> np.ndarray:
+    """Place of each pair among distinct pairs, -1 for none."""
+    cu, (cg, ng) = pd.factorize(np.append(among_u, u))[0], pd.factorize(np.append(among_g, g))
+    key = cu.astype(np.int64) * max(len(ng), 1) + cg
+    return pd.Index(key[: len(among_u)]).get_indexer(key[len(among_u) :])
+
+
+def context(u, g):
+    """All characters of packed n-grams but the last, packed in the same way."""
+    return u >> 16, (g >> 16) | ((u & 0xFFFF) << 32)
+
+
+def back_off(u: np.ndarray, g: np.ndarray, counts: tuple[np.ndarray, np.ndarray, np.ndarray], cuts: dict[int, tuple[float, float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """a and b of n-grams, whose probability is a + b * the probability of their last three characters.
+
+    ``counts`` (u, g, c) has all n-grams of the highest order with the contexts asked for; ``cuts`` the discounts of the orders above ORDER.
+    """
+    codes, u, g = distinct(u, g)
+    a, b = np.zeros(len(u)), np.ones(len(u))
+    levels = {max(cuts): counts}
+    for n in range(max(cuts) - 1, ORDER, -1):
+        above_u, above_g, _ = levels[n + 1]
+        seen, own_u, own_g = distinct(above_u & ((1 << 16 * (n - ORDER)) - 1), above_g)
+        levels[n] = own_u, own_g, np.bincount(seen, minlength=len(own_u))
+    for n in range(ORDER + 1, max(cuts) + 1):
+        own_u, own_g, c = levels[n]
+        discount = np.asarray(cuts[n])[np.minimum(c, 3) - 1]
+        of, context_u, context_g = distinct(*context(own_u, own_g))
+        total, freed = np.bincount(of, c, len(context_u)), np.bincount(of, discount, len(context_u))
+        asked = u & ((1 << 16 * (n - ORDER)) - 1)
+        at, inside = places(asked, g, own_u, own_g), places(*context(asked, g), context_u, context_g)
+        known = inside >= 0
+        mass = np.where(at >= 0, np.maximum(c - discount, 0.0)[at], 0.0)
+        own = np.where(known, mass / total[inside], 0.0)
+        weight = np.where(known, freed[inside] / total[inside], 1.0)
+        a, b = own + weight * a, weight * b
+    return a[codes], b[codes]
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -96,45 +156,58 @@ def trusted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return near.join(ids, "doc_id", "left_semi").select("lang", "text")
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """lang, g, c: trigram counts of each language and of all languages together."""
+def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """lang, u (above ORDER), g, c: n-gram counts of each language and of all languages together."""
+    key = ["g"] if order == ORDER else ["u", "g"]
 
     def count(batches):
         for batch in bounded(batches, "text", 1_000_000):
             frame = pd.DataFrame({"lang": batch.column("lang").to_pylist(), "text": batch.column("text").to_pylist()})
             for lang, part in frame.groupby(frame["lang"].fillna("").map(lambda x: f"={x}"), sort=False):
-                packed, _ = grams([t for t in part["text"] if t])
-                codes, found = pd.factorize(packed)
-                yield pa.RecordBatch.from_pydict({
-                    "lang": pa.array([lang] * len(found), pa.string()), "g": pa.array(found, pa.int64()), "c": pa.array(np.bincount(codes, minlength=len(found)), pa.int64()),
-                })
+                codes, u, g = distinct(*pairs([t for t in part["text"] if t], order)[:2])
+                columns = {"lang": pa.array([lang] * len(g), pa.string()), "u": pa.array(u, pa.int64()), "g": pa.array(g, pa.int64()), "c": pa.array(np.bincount(codes, minlength=len(g)), pa.int64())}
+                yield pa.RecordBatch.from_pydict({x: columns[x] for x in ("lang", *key, "c")})
 
-    own = texts.mapInArrow(count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
-    own = cut_lineage(own.coalesce(TABLE_FILES))
-    return own.unionByName(own.groupBy("g").agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("lang"), "g", "c"))
+    own = texts.mapInArrow(count, f"lang string, {', '.join(f'{x} long' for x in key)}, c long").groupBy("lang", *key).agg(F.sum("c").alias("c"))
+    own = cut_lineage(own.coalesce(TABLE_FILES) if order == ORDER else own)
+    return own.unionByName(own.groupBy(*key).agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("lang"), *key, "c"))
+
+
+def shorter(counts: DataFrame, order: int) -> DataFrame:
+    """Counts of the distinct characters seen before the n-grams of an order, from the counts of the order above."""
+    if order > ORDER:
+        key = [_last(F.col("u"), order - ORDER).alias("u"), F.col("g")]
+    else:
+        key = [_last(F.col("g"), order).alias("g")]
+    return counts.groupBy("lang", *key).agg(F.count("*").alias("c"))
 
 
 def _last(g: Column, characters: int) -> Column:
     return g.bitwiseAND(F.lit((1 << 16 * characters) - 1))
 
 
-def discounts(counts: DataFrame) -> DataFrame:
-    """lang, d1, d2, d3 of one order, from the numbers of n-grams seen once to four times."""
+def discounts(counts: DataFrame, positive: bool = False) -> DataFrame:
+    """lang, d1, d2, d3 of one order, from the numbers of n-grams seen once to four times.
+
+    ``positive`` takes k / 2 where these give none above 0: a discount of 0 can leave nothing to n-grams not seen in a
+    context, and texts with one get an infinite surprise.
+    """
     seen = [F.count(F.when(F.col("c") == k, 1)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     usable = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
-    sides = {f"d{k}": F.when(usable, F.greatest(F.lit(0.0), F.lit(float(k)) - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")))).otherwise(k / 2.0) for k in (1, 2, 3)}
+    raw = {k: F.lit(float(k)) - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")) for k in (1, 2, 3)}
+    sides = {f"d{k}": F.when(usable & (d > 0) if positive else usable, F.greatest(F.lit(0.0), d)).otherwise(k / 2.0) for k, d in raw.items()}
     return counts.groupBy("lang").agg(*seen).select("lang", *(c.alias(x) for x, c in sides.items()))
 
 
-def level(counts: DataFrame, order: int, lower: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def level(counts: DataFrame, order: int, lower: DataFrame | None, positive: bool = False) -> tuple[DataFrame, DataFrame]:
     """Probabilities (lang, g, p) of the n-grams of one order, and back-off weights (lang, h, w) of their contexts.
 
     ``counts`` has lang, g, c; ``lower`` the probabilities of the order below. Single characters have none and
     interpolate with a uniform share over the characters seen and one for all others.
     """
     discount = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = counts.join(discounts(counts), "lang").withColumns({"h": F.shiftright("g", 16), "d": discount})
+    rows = counts.join(discounts(counts, positive), "lang").withColumns({"h": F.shiftright("g", 16), "d": discount})
     contexts = rows.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("freed"), F.count("*").alias("types"))
     share = F.col("freed") / F.col("total")
     weights = contexts.select("lang", "h", "total", (share if lower is not None else share / (F.col("types") + 1)).alias("w"))
@@ -147,19 +220,55 @@ def level(counts: DataFrame, order: int, lower: DataFrame | None) -> tuple[DataF
     return full.select("lang", "g", (own + F.col("w") * F.col("_p")).alias("p")), weights.select("lang", "h", "w")
 
 
-def fit(texts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
-    """Order -> (probabilities, back-off weights). Lower orders count the distinct characters seen before."""
-    counts = {ORDER: count_grams(texts)}
-    for order in range(ORDER - 1, 0, -1):
-        counts[order] = counts[order + 1].groupBy("lang", _last(F.col("g"), order).alias("g")).agg(F.count("*").alias("c"))
+def fit(texts: DataFrame, order: int = ORDER) -> dict[int, tuple]:
+    """Order -> (probabilities, back-off weights). Lower orders count the distinct characters seen before.
+
+    An order above ORDER adds itself -> (counts, discounts by language and order), for the shards of ``long_answers``.
+    """
+    counts = {order: count_grams(texts, order)}
+    for n in range(order - 1, 0, -1):
+        counts[n] = shorter(counts[n + 1], n)
+        if n == ORDER:
+            counts[n] = cut_lineage(counts[n].coalesce(TABLE_FILES))
     tables, lower = {}, None
-    for order in range(1, ORDER + 1):
-        probabilities, weights = level(counts[order], order, lower)
+    for n in range(1, ORDER + 1):
+        probabilities, weights = level(counts[n], n, lower, order > ORDER)
         lower = cut_lineage(probabilities.coalesce(TABLE_FILES))
-        tables[order] = lower, cut_lineage(weights.coalesce(TABLE_FILES))
+        tables[n] = lower, cut_lineage(weights.coalesce(TABLE_FILES))
+    if order > ORDER:
+        cuts: dict[str, dict[int, tuple[float, float, float]]] = {}
+        for n in range(ORDER + 1, order + 1):
+            # One row for each language.
+            for row in discounts(counts[n], True).toLocalIterator():
+                cuts.setdefault(row["lang"], {})[n] = row["d1"], row["d2"], row["d3"]
+        tables[order] = counts[order], cuts
     return tables
 
 
+def long_answers(asked: DataFrame, counts: DataFrame, cuts: dict[str, dict[int, tuple[float, float, float]]], shards: int) -> DataFrame:
+    """block, lang, u, g, a, b of requests (block, lang, u, g); see ``back_off``. Languages without a model use the pooled one."""
+    known = [x for x in cuts if x != POOLED]
+
+    def sharded(rows: DataFrame) -> DataFrame:
+        middle = F.shiftright("g", 16).bitwiseOR(F.shiftleft(_last(F.col("u"), 1), 32))
+        return rows.withColumn("shard", F.pmod(F.xxhash64("model", middle), F.lit(shards)).cast("int"))
+
+    def answer(wanted: pa.Table, own: pa.Table) -> pa.Table:
+        a, b = np.zeros(wanted.num_rows), np.ones(wanted.num_rows)
+        models, names = (t.column("model").to_numpy(zero_copy_only=False) for t in (wanted, own))
+        u, g = wanted.column("u").to_numpy(), wanted.column("g").to_numpy()
+        table = [own.column(x).to_numpy() for x in ("u", "g", "c")]
+        for model in pd.unique(models):
+            rows, mine = np.flatnonzero(models == model), np.flatnonzero(names == model)
+            if len(mine):
+                a[rows], b[rows] = back_off(u[rows], g[rows], tuple(x[mine] for x in table), cuts[model])
+        return pa.table([*(wanted.column(x) for x in ("block", "lang", "u", "g")), pa.array(a), pa.array(b)], ["block", "lang", "u", "g", "a", "b"])
+
+    model = F.when(F.col("lang").isin(known), F.col("lang")).otherwise(POOLED)
+    left, right = sharded(asked.withColumn("model", model)), sharded(counts.withColumnRenamed("lang", "model"))
+    return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(answer, "block int, lang string, u long, g long, a double, b double")
+
+
 def look_up(wanted: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """lang, g, surprise (negative log probability) of wanted n-grams; languages without a model use the pooled one."""
     known = tables[1][1].select(F.col("lang").alias("_m"))
@@ -180,10 +289,10 @@ def _joined(rows: DataFrame, side: DataFrame, key: str, value: str, at: Column,
     return rows.withColumn("_k", at).join(right, ["_m", "_k"], "left").drop("_k")
 
 
-def surprises(docs: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+def surprises(docs: DataFrame, tables: dict[int, tuple]) -> DataFrame:
     """doc_id, text_key, lang, n_chars, surprise (mean over the characters; null without any) of every row of ``docs``."""
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(text_bytes // BLOCK_BYTES) + 1
+    blocks, order = int(text_bytes // BLOCK_BYTES) + 1, max(tables)
     key = F.xxhash64("text")
     blocked = docs.select("doc_id", "lang", "text", key.alias("text_key"), F.pmod(F.xxhash64("doc_id", key), F.lit(blocks)).cast("int").alias("block"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -194,25 +303,44 @@ def surprises(docs: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]]) -
         for lang in sorted(set(langs)):
             yield lang, np.flatnonzero(langs == lang)
 
-    def ask(table: pa.Table) -> pa.Table:
-        text, block = table.column("text"), table.column("block")[0].as_py()
-        parts = [(lang, pd.unique(np.concatenate([pd.unique(grams(texts)[0]) for _, texts in runs_of(text, rows)]))) for lang, rows in by_language(table)]
-        found = np.concatenate([g for _, g in parts])
-        names = np.repeat(np.array([lang for lang, _ in parts], dtype=object), [len(g) for _, g in parts])
-        return pa.table({"block": pa.array(np.full(len(found), block), pa.int32()), "lang": pa.array(names, pa.string()), "g": pa.array(found, pa.int64())})
+    def asking(length: int):
+        def ask(table: pa.Table) -> pa.Table:
+            text, block = table.column("text"), table.column("block")[0].as_py()
+            parts = []
+            for lang, rows in by_language(table):
+                runs = [distinct(*pairs(texts, length)[:2])[1:] for _, texts in runs_of(text, rows)]
+                parts.append((lang, *distinct(*(np.concatenate(x) for x in zip(*runs)))[1:]))
+            found = {"u": np.concatenate([u for _, u, _ in parts]), "g": np.concatenate([g for _, _, g in parts])}
+            names = np.repeat(np.array([lang for lang, _, _ in parts], dtype=object), [len(g) for _, _, g in parts])
+            out = {"block": pa.array(np.full(len(names), block), pa.int32()), "lang": pa.array(names, pa.string())}
+            return pa.table(out | {x: pa.array(found[x], pa.int64()) for x in (("g",) if length == ORDER else ("u", "g"))})
+
+        return ask
 
     def tell(table: pa.Table, answers: pa.Table) -> pa.Table:
         count, mean = np.zeros(table.num_rows, dtype=np.int64), np.full(table.num_rows, np.nan)
         langs = answers.column("lang").to_numpy(zero_copy_only=False)
-        asked, values = answers.column("g").to_numpy(), answers.column("surprise").to_numpy()
+        asked_u, asked_g, a, b = (answers.column(x).to_numpy(zero_copy_only=False) for x in ("u", "g", "a", "b"))
         for lang, rows in by_language(table):
-            own = np.flatnonzero(langs == lang)
-            own = own[np.argsort(asked[own])]
-            known, surprise = asked[own], values[own]
+            own = langs == lang
+            short, long = np.flatnonzero(own & (asked_u == SHORT)), np.flatnonzero(own & (asked_u != SHORT))
+            short = short[np.argsort(asked_g[short])]
+            known, surprise = asked_g[short], a[short]
+            # A long n-gram as one number: the places of its two parts among those of the block.
+            before = np.unique(asked_u[long])
+            number = np.searchsorted(before, asked_u[long]) * len(known) + np.searchsorted(known, asked_g[long])
+            long = long[np.argsort(number)]
+            number = np.sort(number)
             for part, texts in runs_of(table.column("text"), rows):
-                packed, offsets = grams(texts)
-                codes, found = pd.factorize(packed)
-                each = surprise[np.searchsorted(known, found)][codes]
+                u, g, offsets = pairs(texts, order)
+                codes, found = pd.factorize(g)
+                at = np.searchsorted(known, found)
+                each = surprise[at][codes]
+                if order > ORDER:
+                    first, starts = pd.factorize(u)
+                    wanted, which = pd.factorize(np.searchsorted(before, starts)[first] * len(known) + at[codes])
+                    which = long[np.searchsorted(number, which)]
+                    each = -np.log(a[which][wanted] + b[which][wanted] * np.exp(-each))
                 sums = np.add.reduceat(np.append(each, 0.0), offsets[:-1])
                 sizes = np.diff(offsets)
                 count[part] = sizes
@@ -221,8 +349,13 @@ def surprises(docs: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]]) -
             table.column("doc_id"), table.column("text_key"), table.column("lang"), pa.array(count), pa.array(mean, from_pandas=True),
         ], ["doc_id", "text_key", "lang", "n_chars", "surprise"])
 
-    asked = blocked.groupBy("block").applyInArrow(ask, "block int, lang string, g long").repartition("lang", "g")
-    answers = asked.join(look_up(asked.select("lang", "g").distinct(), tables), ["lang", "g"]).select("block", "lang", "g", "surprise")
+    asked = blocked.groupBy("block").applyInArrow(asking(ORDER), "block int, lang string, g long").repartition("lang", "g")
+    answers = asked.join(look_up(asked.select("lang", "g").distinct(), tables), ["lang", "g"]).select(
+        "block", "lang", F.lit(SHORT).cast("long").alias("u"), "g", F.col("surprise").alias("a"), F.lit(0.0).alias("b")
+    )
+    if order > ORDER:
+        requests = blocked.groupBy("block").applyInArrow(asking(order), "block int, lang string, u long, g long")
+        answers = answers.unionByName(long_answers(requests, *tables[order], blocks))
     # No more files than blocks: small inputs leave few, large ones as many as there are partitions.
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         tell, f"doc_id {kind}, text_key long, lang string, n_chars long, surprise double"
@@ -261,10 +394,10 @@ def limits(scores: DataFrame, ids: DataFrame, part: float, stretch: float) -> Da
     return ranked.groupBy("key").agg(middle.alias("m"), high.alias("h")).select("key", ((F.col("m") + F.lit(stretch) * (F.col("h") - F.col("m"))) / STEPS).alias("limit"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, part: float = 0.95, stretch: float = 8.0) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, part: float = 0.95, stretch: float = 8.0, order: int = ORDER) -> DataFrame:
     """doc_id, text_key, lang, n_chars, perplexity, threshold and kept of every row of ``docs`` (doc_id, lang, text).
 
-    ``labels`` (doc_id, quality, toxic) name the trusted documents; all of them are used. A text is kept while its
+    ``order`` is the length of the n-grams (ORDER to 2 * ORDER). ``labels`` (doc_id, quality, toxic) name the trusted documents; all of them are used. A text is kept while its
     perplexity (smoothed by PRIOR characters) is at most the threshold. A null, empty or blank text has no perplexity
     and is not kept. A language without trusted texts, null included, uses the pooled model and threshold; without any
     trusted text every text with a character is kept. ``text_key`` tells rows of one id with different texts apart;
@@ -272,7 +405,7 @@ def judge(docs: DataFrame, labels: DataFrame, part: float = 0.95, stretch: float
     """
     text_batches(docs.sparkSession)
     ids = trusted_ids(labels)
-    raw = cut_lineage(surprises(docs, fit(trusted_texts(docs, ids.where("NOT held")))))
+    raw = cut_lineage(surprises(docs, fit(trusted_texts(docs, ids.where("NOT held")), order)))
     scores = smoothed(raw, cut_lineage(averages(raw, ids).coalesce(TABLE_FILES)))
     fences = cut_lineage(limits(scores, ids, part, stretch).coalesce(TABLE_FILES))
     pooled = fences.where(F.col("key") == POOLED).agg(F.max("limit")).first()[0]
@@ -286,8 +419,8 @@ def judge(docs: DataFrame, labels: DataFrame, part: float = 0.95, stretch: float
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``judge`` as the queries use it: the threshold is the plain quantile QUANTILE, without a stretch."""
-    return judge(docs, labels, part=QUANTILE, stretch=1.0)
+    """``judge`` as the queries use it: n-grams of DEPTH characters, and the plain quantile QUANTILE as threshold."""
+    return judge(docs, labels, part=QUANTILE, stretch=1.0, order=DEPTH)
 
 
 def keep(docs: DataFrame, judged: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
-"""Thresholds of the quality queries."""
+"""Thresholds and n-grams of the quality queries."""
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import oracle
 
 from skywharf.llm import language_model
 
+from test_stages import KneserNey, letters  # noqa: E402
+
 
 def test_threshold_is_a_quantile_of_held_out_texts(spark):
     """No threshold lies above the worst held-out text of its language, and at least 99 % of them are kept."""
@@ -22,3 +24,62 @@ def test_threshold_is_a_quantile_of_held_out_texts(spark):
     for lang, values in seen.items():
         assert math.log(limit[lang]) <= math.log(max(values)) + 1 / language_model.STEPS
         assert sum(v <= limit[lang] for v in values) >= 0.99 * len(values)
+
+
+class Long(KneserNey):
+    """Interpolated modified Kneser-Ney n-grams of DEPTH characters, in plain dictionaries."""
+
+    def __init__(self, texts):
+        n = language_model.DEPTH
+        self.counts = {n: Counter()}
+        for text in texts:
+            chars = ["\x02"] * (n - 1) + letters(text)
+            self.counts[n].update(tuple(chars[k : k + n]) for k in range(len(chars) - n + 1))
+        for order in range(n - 1, 0, -1):
+            self.counts[order] = Counter(g[1:] for g in self.counts[order + 1])
+        self.discounts, self.totals, self.freed = {}, {}, {}
+        for order, counts in self.counts.items():
+            seen = Counter(counts.values())
+            if seen[1] and seen[2] and seen[3]:
+                y = seen[1] / (seen[1] + 2 * seen[2])
+                raw = [k - (k + 1) * y * seen[k + 1] / seen[k] for k in (1, 2, 3)]
+                self.discounts[order] = [d if d > 0 else (k + 1) / 2 for k, d in enumerate(raw)]
+            else:
+                self.discounts[order] = [0.5, 1.0, 1.5]
+            self.totals[order], self.freed[order] = Counter(), Counter()
+            for g, c in counts.items():
+                self.totals[order][g[:-1]] += c
+                self.freed[order][g[:-1]] += self.discounts[order][min(c, 3) - 1]
+
+    def mean(self, text):
+        n = language_model.DEPTH
+        chars = ["\x02"] * (n - 1) + letters(text)
+        each = [-math.log(self.probability(tuple(chars[k : k + n]))) for k in range(len(chars) - n + 1)]
+        return sum(each) / len(each)
+
+
+def test_long_grams_equal_plain_kneser_ney(spark):
+    texts = [("en", "abracadabra banana bandana and a cabana band"), ("en", "a bad cad had a banana 12 times"), ("de", "das band der bananen und das bad der anden"), ("de", "das rad")]
+    tables = language_model.fit(spark.createDataFrame(texts, "lang string, text string"), language_model.DEPTH)
+    models = {x: Long([t for lang, t in texts if x in (lang, None)]) for x in ("en", "de", None)}
+    asked = [(1, "en", "a banana band"), (2, "de", "a banana band"), (3, "fr", "das bad and  zzz 9"), (4, None, "b"), (5, "en", "")]
+    rows = language_model.surprises(spark.createDataFrame(asked, "doc_id long, lang string, text string"), tables).collect()
+    got = {r["doc_id"]: r["surprise"] for r in rows}
+    assert len(rows) == 5 and got[5] is None
+    for k, lang, text in asked[:4]:
+        assert math.isclose(got[k], models[lang if lang in models else None].mean(text), rel_tol=1e-9)
+
+
+def test_every_text_has_a_finite_surprise(spark):
+    """Copies make counts of counts that rise (more n-grams seen four times than three times)."""
+    texts = ["abcdefgh", "abcdefxy", *["the same line again"] * 4, *["another one twice"] * 2, *["three of these"] * 3]
+    tables = language_model.fit(spark.createDataFrame([("en", t) for t in texts], "lang string, text string"), language_model.DEPTH)
+    asked = spark.createDataFrame([(1, "en", "the same lime"), (2, "en", "anothex thse")], "doc_id long, lang string, text string")
+    assert all(math.isfinite(r["surprise"]) for r in language_model.surprises(asked, tables).collect())
+
+
+def test_counts_grow_with_the_texts(spark):
+    """Four times the trusted text gives more than twice the n-grams (1.7 times with trigrams)."""
+    rows = spark.read.parquet(f"{oracle.DATA}/sf0.01/documents.parquet").where("lang = 'en'").orderBy("doc_id").select("lang", "text")
+    few, many = (language_model.count_grams(rows.limit(n), language_model.DEPTH).where("lang = '=en'").count() for n in (50, 200))
+    assert many > 2 * few
