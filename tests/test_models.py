@@ -62,3 +62,26 @@ def test_tide_fit_equals_least_squares(spark):
     np.testing.assert_allclose(fit["beta"], expected, rtol=1e-6, atol=1e-6)
     row = tide.evaluate_harmonic(frame, ["station_id"], tie=["seq"]).first()
     assert row["r2"] > 0.98 and row["mae"] < 0.06 and abs(row["bias"]) < 0.02
+
+
+def test_rain_benchmark_has_a_classifier_for_each_algorithm_and_gates_amounts(spark):
+    """Both algorithms score events on their own, and dry hours get an amount of 0."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(600):
+        x, y = rng.uniform(0, 10), rng.uniform(0, 10)
+        wet = x > 7
+        rows.append(("A", START + dt.timedelta(hours=k), x, y, float(wet != (rng.random() < 0.1)), 10.0 + x if wet else 0.0))
+    frame = spark.createDataFrame(rows, "target_area string, obs_time timestamp, x double, y double, target_rain_event_H1 double, target_nearby_precipitation_1hr_H1 double")
+    out = {r["algorithm"]: r for r in training.rain_benchmark(frame, ["target_area"], "obs_time", ["x", "y"], ["H1"], ["random_forest", "gradient_boosting"]).collect()}
+    assert out["random_forest"]["brier"] != out["gradient_boosting"]["brier"]
+    assert all(r["mae"] < 1.5 and r["r2"] > 0.8 for r in out.values())
+
+
+def test_rain_amounts_are_zero_where_no_event_is_expected(spark):
+    """No event in training: every amount is 0, so the error is the mean of the truth."""
+    rows = [("A", START + dt.timedelta(hours=k), float(k % 7), 0.0, float(k % 3)) for k in range(200)]
+    frame = spark.createDataFrame(rows, "target_area string, obs_time timestamp, x double, target_rain_event_H1 double, target_nearby_precipitation_1hr_H1 double")
+    row = training.rain_benchmark(frame, ["target_area"], "obs_time", ["x"], ["H1"]).first()
+    truth = [k % 3 for k in range(160, 200)]
+    assert math.isclose(row["mae"], sum(truth) / len(truth), rel_tol=1e-3)
