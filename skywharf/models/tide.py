@@ -21,6 +21,7 @@ from skywharf.plans.timeline import number_rows
 from skywharf.schema import TIDAL_PERIODS_HOURS
 
 MIN_ROWS, TRAIN_SHARE = 24, 0.85
+SURGE_TREES = 120
 
 
 def design_columns(hours: Column) -> list[Column]:
@@ -90,7 +91,7 @@ def surge_residuals(df: DataFrame, keys: Sequence[str], time: str = "obs_time",
     return predicted.withColumn("surge_residual", F.col(value) - F.col("tide_level_pred"))
 
 
-def surge_model(df: DataFrame, keys: Sequence[str], time: str, features: Sequence[str], value: str = "tide_level", trees: int = 40) -> DataFrame:
+def surge_model(df: DataFrame, keys: Sequence[str], time: str, features: Sequence[str], value: str = "tide_level", trees: int = SURGE_TREES) -> DataFrame:
     """Forest on the residual; total tide = harmonic + predicted residual, scored on held-out rows."""
     residual = surge_residuals(df.filter(F.col(value).isNotNull()), keys, time, value)
     prepared = training.prepare(residual, keys, time, features)

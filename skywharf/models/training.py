@@ -29,16 +29,24 @@ TREES, MIN_LEAF, SEED = 80, 2, 42
 TRAIN_SHARE = 0.8
 RAIN_CAP_MM = 200.0
 EVENT_CUT = 0.5
+# Sizes of the reference: rounds and depth of boosting, and of the stacked forest; folds of stacking and validation.
+ROUNDS, ROUNDS_NAMED, BOOSTED_DEPTH = 100, 120, 3
+STACKED_TREES, STACKED_DEPTH, FOLDS = 50, 8, 5
 # The rain benchmark trains amounts on rows above this.
 RAINY_MM = 0.5
 
 
-def regressor(algorithm: str, label: str, trees: int = TREES, weight: str | None = None):
-    """MLlib estimator by name; every boosting name maps to gradient-boosted trees."""
+def rounds(algorithm: str) -> int:
+    return ROUNDS if algorithm == "gradient_boosting" else ROUNDS_NAMED
+
+
+def regressor(algorithm: str, label: str, trees: int = TREES, weight: str | None = None, depth: int | None = None):
+    """MLlib estimator by name; every boosting name maps to gradient-boosted trees. ``depth`` is that of a forest."""
     if algorithm == "random_forest":
         model = RandomForestRegressor(numTrees=trees, minInstancesPerNode=MIN_LEAF, seed=SEED)
+        model = model.setMaxDepth(depth) if depth else model
     elif algorithm in ("gradient_boosting", "lightgbm", "xgboost"):
-        model = GBTRegressor(maxIter=20, minInstancesPerNode=MIN_LEAF, seed=SEED)
+        model = GBTRegressor(maxIter=rounds(algorithm), maxDepth=BOOSTED_DEPTH, minInstancesPerNode=MIN_LEAF, seed=SEED)
     elif algorithm == "linear":
         model = LinearRegression(regParam=1.0, elasticNetParam=0.0)
     else:
@@ -121,7 +129,7 @@ def classifier(algorithm: str, label: str, trees: int = TREES):
     if algorithm == "random_forest":
         model = RandomForestClassifier(numTrees=trees, minInstancesPerNode=MIN_LEAF, seed=SEED)
     elif algorithm in ("gradient_boosting", "lightgbm", "xgboost"):
-        model = GBTClassifier(maxIter=20, minInstancesPerNode=MIN_LEAF, seed=SEED)
+        model = GBTClassifier(maxIter=rounds(algorithm), maxDepth=BOOSTED_DEPTH, minInstancesPerNode=MIN_LEAF, seed=SEED)
     else:
         raise ValueError(f"unknown classifier {algorithm}")
     return model.setLabelCol(label).setFeaturesCol("features")
@@ -205,7 +213,7 @@ def rain_benchmark(dataset: DataFrame, keys: Sequence[str], time: str, features:
 # --- ensembles and benchmarks ---------------------------------------------
 
 
-def stacked(train: DataFrame, test: DataFrame, keys: Sequence[str], time: str, features: Sequence[str], label: str, folds: int = 3, trees: int = 20,
+def stacked(train: DataFrame, test: DataFrame, keys: Sequence[str], time: str, features: Sequence[str], label: str, folds: int = FOLDS, trees: int = STACKED_TREES,
             base: Sequence[str] = ("random_forest", "gradient_boosting")) -> DataFrame:
     """Contiguous-fold out-of-fold predictions of the base models under a ridge head."""
     numbered = number_rows(train, keys, time, total="_n").withColumn("_fold", F.floor((F.col("_rn") - 1) * folds / F.col("_n")).cast("int")).drop("_rn", "_n")
@@ -215,12 +223,12 @@ def stacked(train: DataFrame, test: DataFrame, keys: Sequence[str], time: str, f
     for fold in range(folds):
         part = numbered.filter(F.col("_fold") == fold)
         for name in base:
-            part = with_prediction(fit_pipeline(numbered.filter(F.col("_fold") != fold), features, regressor(name, label, trees)), part, f"_base_{name}")
+            part = with_prediction(fit_pipeline(numbered.filter(F.col("_fold") != fold), features, regressor(name, label, trees, depth=STACKED_DEPTH)), part, f"_base_{name}")
         out_of_fold = part if out_of_fold is None else out_of_fold.unionByName(part)
     head = fit_pipeline(out_of_fold, columns, regressor("linear", label))
     scored = test
     for name in base:
-        scored = with_prediction(fit_pipeline(numbered, features, regressor(name, label, trees)), scored, f"_base_{name}")
+        scored = with_prediction(fit_pipeline(numbered, features, regressor(name, label, trees, depth=STACKED_DEPTH)), scored, f"_base_{name}")
     return with_prediction(head, scored, "predicted").drop(*columns)
 
 
@@ -246,8 +254,8 @@ def top_importance(table: DataFrame, n: int = 20) -> DataFrame:
     return table.orderBy(F.col("importance").desc(), "feature").limit(n)
 
 
-def validate_folds(dataset: DataFrame, keys: Sequence[str], time: str, features: Sequence[str], label: str, score, n_splits: int = 3, gap: int = 0,
-                   algorithm: str = "random_forest", trees: int = 10) -> DataFrame:
+def validate_folds(dataset: DataFrame, keys: Sequence[str], time: str, features: Sequence[str], label: str, score, n_splits: int = FOLDS, gap: int = 0,
+                   algorithm: str = "random_forest", trees: int = TREES) -> DataFrame:
     """Refit per expanding fold. ``score(truth, predicted)`` returns an aggregate Column."""
     complete = dataset.select(*keys, time, *features, label).dropna()
     folds = cut_lineage(labels.expanding_folds(complete, keys, time, n_splits, gap=gap))
@@ -262,7 +270,7 @@ def validate_folds(dataset: DataFrame, keys: Sequence[str], time: str, features:
     return attach(out, summary, [])
 
 
-def staged_ablation(raw: DataFrame, clean: DataFrame, keys: Sequence[str], time: str, features: Sequence[str], label: str, event: str, trees: int = 20) -> DataFrame:
+def staged_ablation(raw: DataFrame, clean: DataFrame, keys: Sequence[str], time: str, features: Sequence[str], label: str, event: str, trees: int = TREES) -> DataFrame:
     """Clean rows, then event-only training, then log1p: a stage is kept if its error drops."""
     prepared = {}
     for name, frame in (("raw", raw), ("clean", clean)):

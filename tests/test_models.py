@@ -1,6 +1,7 @@
 """Trained models by error band, and tide coefficients by value."""
 
 import datetime as dt
+import inspect
 import math
 import random
 
@@ -85,3 +86,14 @@ def test_rain_amounts_are_zero_where_no_event_is_expected(spark):
     row = training.rain_benchmark(frame, ["target_area"], "obs_time", ["x"], ["H1"]).first()
     truth = [k % 3 for k in range(160, 200)]
     assert math.isclose(row["mae"], sum(truth) / len(truth), rel_tol=1e-3)
+
+
+def test_models_have_the_sizes_of_the_reference(spark):
+    def default(function, name):
+        return inspect.signature(function).parameters[name].default
+
+    assert (default(training.stacked, "folds"), default(training.stacked, "trees")) == (5, 50)
+    assert (default(training.validate_folds, "n_splits"), default(training.validate_folds, "trees")) == (5, training.TREES)
+    assert (default(training.staged_ablation, "trees"), default(tide.surge_model, "trees")) == (training.TREES, 120)
+    assert training.regressor("gradient_boosting", "label").getMaxIter() == 100 and training.regressor("random_forest", "label", depth=8).getMaxDepth() == 8
+    assert training.classifier("gradient_boosting", "event").getMaxIter() == 100
