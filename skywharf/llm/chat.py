@@ -66,12 +66,13 @@ def contrast(conversations: DataFrame) -> DataFrame:
 
     Chosen is a conversation up to its last assistant turn; rejected is the same with that turn's text taken from the
     neighbour (ids 2k and 2k + 1 are neighbours), or without that turn if the neighbour has none. A conversation
-    without an assistant is on both sides as it is. Rows without conv_id are left out.
+    without an assistant is on both sides as it is. Rows without conv_id
+    and turns after the last answer are left out; rows without a turn number stay, ordered first.
     """
     told = conversations.where("conv_id IS NOT NULL").select("conv_id", "turn", "role", "text")
     last = told.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"), F.max(F.struct("turn", "text"))["text"].alias("answer"))
     other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.struct(F.col("answer").alias("text")).alias("other"))
-    rows = told.join(last.select("conv_id", "last"), "conv_id", "left").join(other, "conv_id", "left").where("last IS NULL OR turn <= last")
+    rows = told.join(last.select("conv_id", "last"), "conv_id", "left").join(other, "conv_id", "left").where("last IS NULL OR turn IS NULL OR turn <= last")
     swapped = (F.col("turn") == F.col("last")) & (F.col("role") == "assistant")
     chosen = rows.select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), "turn", "role", "text")
     rejected = rows.where(~F.coalesce(swapped, F.lit(False)) | F.col("other").isNotNull()).select(
