@@ -79,7 +79,7 @@ def test_every_text_has_a_finite_surprise(spark):
 
 
 def test_counts_grow_with_the_texts(spark):
-    """Four times the trusted text gives more than twice the n-grams (1.7 times with trigrams)."""
+    """Four times the trusted text gives more than twice the n-grams."""
     rows = spark.read.parquet(f"{oracle.DATA}/sf0.01/documents.parquet").where("lang = 'en'").orderBy("doc_id").select("lang", "text")
     few, many = (language_model.count_grams(rows.limit(n), language_model.DEPTH).where("lang = '=en'").count() for n in (50, 200))
     assert many > 2 * few
