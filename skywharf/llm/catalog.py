@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skywharf.llm import chat, decontaminate, html_text, language_model, licenses, mixing, ngram_join, quality_rules, secret_scan, shards
+from skywharf.llm import chat, decontaminate, html_text, language_model, licenses, mixing, ngram_join, periodic_runs, piece_codec, prefix_trie, quality_rules, secret_scan, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -256,3 +256,29 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"))
+
+
+@query("op11_piece_codec")
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        return piece_codec.digests(table(spark, sf_dir, "documents"), file.read())
+
+
+@query("op12_prefix_trie")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths, conversations = prefix_trie.grafted(prefix_trie.ordered(table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(paths, conversations).drop("digest")
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.runs(table(spark, sf_dir, "documents"), periodic_runs.repeated_tail)
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))), 1)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[x].cast("string") for x in ("start", "length", "period"))), F.lit("\n"))), "")
+    top = found.withColumn("top", F.when(F.size("runs") > 0, longest))
+    return top.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.s").alias("start"), (-F.col("top.l")).alias("length"), F.col("top.p").alias("period"),
+        F.floor(-1000 * F.col("top.l") / F.col("top.p")).cast("long").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
