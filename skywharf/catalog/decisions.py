@@ -43,7 +43,7 @@ def runs(v):
     from skywharf.plans.timeline import over_chunks
 
     followed = over_chunks(periods(v), ["target_area"], "start_ts", [lambda w: {"next_pop": F.lead("pop").over(w)}], reach_back=0, reach_ahead=1, tie=["seq"])
-    external = joins.align_to_periods(anchors(v), followed, ["target_area"], ANCHOR_ID, "anchor_ts", carry=["next_pop"]).drop("anchor_ts", "alignment_status")
+    external = joins.align_to_periods(anchors(v), followed, ["target_area"], "anchor_ts", carry=["next_pop"]).drop("anchor_ts", "alignment_status")
     lead = F.col("minutes") / F.lit(120.0)
     decay = F.lit(1.0) - F.col("minutes") / F.lit(600.0)
     mean = F.round("nearby_cwa_precipitation_1hr_mean", 6)

@@ -207,7 +207,7 @@ def anchors(v):
     ),
 )
 def _(v):
-    out = joins.align_to_periods(anchors(v), periods(v), ["target_area"], ANCHOR_ID, "anchor_ts")
+    out = joins.align_to_periods(anchors(v), periods(v), ["target_area"], "anchor_ts")
     return out.select("target_area", ts("obs_time").alias("obs_time"), "label", "alignment_status", "available", r("pop").alias("pop"), "parse_status")
 
 
@@ -221,7 +221,7 @@ def _(v):
     ),
 )
 def _(v):
-    out = joins.period_or_nearest(anchors(v), periods(v), ["target_area"], ANCHOR_ID, "anchor_ts", "pop")
+    out = joins.period_or_nearest(anchors(v), periods(v), ["target_area"], "anchor_ts", ["pop"])
     return out.select("target_area", ts("obs_time").alias("obs_time"), "label", r("pop").alias("pop"))
 
 
@@ -238,7 +238,7 @@ def _(v):
     ),
 )
 def _(v):
-    out = joins.current_and_next(anchors(v), periods(v), ["target_area"], ANCHOR_ID, "anchor_ts", "pop")
+    out = joins.current_and_next(anchors(v), periods(v), ["target_area"], "anchor_ts", "pop")
     return out.select("target_area", ts("obs_time").alias("obs_time"), "label", r("current_value").alias("current_value"), r("next_value").alias("next_value"))
 
 

@@ -6,7 +6,7 @@ Trained-model queries have no SQL text: tree fits are not expressible in SQL.
 from __future__ import annotations
 
 import uuid
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from skywharf.catalog.registry import query
 from skywharf.catalog.views import r, rounded, ts, tsql, with_views
 from skywharf.catalog.windows import W, back, frame, steps
 from skywharf.models import tide, training
+from skywharf.models.fits import side_by_side
 from skywharf.operators import cleaning, features, joins, metrics
 from skywharf.plans.area import area_dataset, dataset_report, port_dataset
 from skywharf.schema import HORIZONS
@@ -101,15 +102,17 @@ WIND_TARGETS = {"wind_speed": "nearby_cwa_wind_speed_max", "wind_gust": "nearby_
 
 def reports(data, names, targets, label):
     """Report of one model for each target and horizon; ``targets`` maps targets to the column that persists."""
-    out = []
-    for target, persistence in targets.items():
+
+    def one(target, persistence):
         _, held_out = training.train_regressors(data, AREA, "obs_time", names, {h: label.format(target, h) for h in HORIZONS}, persistence)
-        out.append(training.regression_report(held_out).withColumn("target", F.lit(target)))
-    return reduce(DataFrame.unionByName, out)
+        return training.regression_report(held_out).withColumn("target", F.lit(target))
+
+    return reduce(DataFrame.unionByName, side_by_side(data.sparkSession, [partial(one, *x) for x in targets.items()]))
 
 
-def each_horizon(build):
-    return reduce(DataFrame.unionByName, [build(h).withColumn("horizon", F.lit(h)) for h in HORIZONS])
+def each_horizon(spark, build):
+    """Rows of every horizon, whose fits run side by side."""
+    return reduce(DataFrame.unionByName, side_by_side(spark, [lambda h=h: build(h).withColumn("horizon", F.lit(h)) for h in HORIZONS]))
 
 
 @query("ml01_wind_regressors")
@@ -134,7 +137,7 @@ def _(v):
         scored = training.event_probability(training.fit_event_model(rows.filter("is_train"), RAIN_FEATURES, label), rows.filter("NOT is_train"))
         return metrics.event_scores(scored, ["target_area"], label, "event_probability")
 
-    return each_horizon(one)
+    return each_horizon(v.spark, one)
 
 
 @query("ml03_rain_amount")
@@ -147,7 +150,7 @@ def _(v):
         model = training.fit_amount_model(rows.filter("is_train"), cleaning.rain_amount_features(RAIN_FEATURES), label)
         return metrics.anchor_scores(training.predicted_amount(model, rows.filter("NOT is_train")), ["target_area"], label, "amount")
 
-    return each_horizon(one)
+    return each_horizon(v.spark, one)
 
 
 PORT_FEATURES = ["khwd_wind_speed_mean", "khwd_wind_speed_max", "khwd_wind_gust_max", "khwd_wind_speed_max_lag1", "khwd_wind_speed_max_roll3", "hour_sin", "hour_cos"]
@@ -173,7 +176,7 @@ def _(v):
         scored = training.two_stage_rain(rows.filter("is_train"), rows.filter("NOT is_train"), RAIN_FEATURES, label)
         return metrics.categorical_rain(scored, ["target_area"], label, "predicted")
 
-    return each_horizon(one)
+    return each_horizon(v.spark, one)
 
 
 @query("ml07_stacking")
@@ -185,7 +188,7 @@ def _(v):
         rows = training.prepare(data.filter(F.col(label).isNotNull()).select(*AREA, "obs_time", *WIND_FEATURES, label), AREA, "obs_time", WIND_FEATURES)
         return metrics.anchor_scores(training.stacked(rows.filter("is_train"), rows.filter("NOT is_train"), AREA, "obs_time", WIND_FEATURES, label), ["target_area"], label, "predicted")
 
-    return each_horizon(one)
+    return each_horizon(v.spark, one)
 
 
 ALGORITHMS = ["random_forest", "gradient_boosting", "linear"]
@@ -194,7 +197,7 @@ ALGORITHMS = ["random_forest", "gradient_boosting", "linear"]
 @query("ml08_algorithm_benchmark")
 def _(v):
     data = dataset(v)
-    return each_horizon(lambda h: training.benchmark(data, AREA, "obs_time", WIND_FEATURES, f"target_nearby_wind_speed_{h}", ALGORITHMS))
+    return each_horizon(v.spark, lambda h: training.benchmark(data, AREA, "obs_time", WIND_FEATURES, f"target_nearby_wind_speed_{h}", ALGORITHMS))
 
 
 @query("ml09_rain_benchmark")
@@ -235,13 +238,13 @@ def _(v):
 
     # One model for each station of the dimension table.
     names = sorted(row["station_id"] for row in v.station.select("station_id").collect())
-    return reduce(DataFrame.unionByName, [one(s) for s in names])
+    return reduce(DataFrame.unionByName, side_by_side(v.spark, [partial(one, s) for s in names]))
 
 
 @query("ml14_staged_ablation")
 def _(v):
     clean, raw = dataset(v), area_dataset(v.obs.withColumn("obs_time", F.col("obs_hour")), AREA, "obs_time")
-    return each_horizon(lambda h: training.staged_ablation(raw, clean, AREA, "obs_time", RAIN_FEATURES, f"target_nearby_precipitation_1hr_{h}", f"target_rain_event_{h}"))
+    return each_horizon(v.spark, lambda h: training.staged_ablation(raw, clean, AREA, "obs_time", RAIN_FEATURES, f"target_nearby_precipitation_1hr_{h}", f"target_rain_event_{h}"))
 
 
 @query("win17_fold_validation")
@@ -250,7 +253,7 @@ def _(v):
         return F.sqrt(F.avg(F.pow(truth - predicted, 2)))
 
     data = dataset(v)
-    return each_horizon(lambda h: training.validate_folds(data, AREA, "obs_time", WIND_FEATURES, f"target_nearby_wind_speed_{h}", rmse))
+    return each_horizon(v.spark, lambda h: training.validate_folds(data, AREA, "obs_time", WIND_FEATURES, f"target_nearby_wind_speed_{h}", rmse))
 
 
 @query("top06_feature_importance")
@@ -261,4 +264,4 @@ def _(v):
         model = training.fit_pipeline(data, WIND_FEATURES, training.regressor("random_forest", f"target_nearby_wind_speed_{horizon}"))
         return training.top_importance(training.importance_table(model, WIND_FEATURES, v.spark), 20)
 
-    return each_horizon(one)
+    return each_horizon(v.spark, one)

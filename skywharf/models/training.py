@@ -7,6 +7,7 @@ Only fitted models and one-row counts reach the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial, reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skywharf.functions.weather import clip
+from skywharf.models.fits import side_by_side, vectors
 from skywharf.operators import cleaning, labels, metrics
 from skywharf.plans.dims import dimension
 from skywharf.plans.ranks import attach, exact_quantiles
@@ -90,6 +92,11 @@ def with_prediction(model: PipelineModel, df: DataFrame, name: str) -> DataFrame
     return model.transform(df).withColumnRenamed("prediction", name).drop("features", "rawPrediction", "probability")
 
 
+def added(model, table: DataFrame, name: str) -> DataFrame:
+    """``table`` with the prediction of a model of its vectors, which it keeps for further models."""
+    return model.transform(table).withColumnRenamed("prediction", name)
+
+
 # --- regressors per horizon -----------------------------------------------
 
 
@@ -101,10 +108,14 @@ def train_regressors(dataset: DataFrame, keys: Sequence[str], time: str, feature
     keys, time, horizon, truth, predicted, persistence, train_mean.
     """
     prepared = prepare(dataset, keys, time, features)
-    models, held_out = {}, None
+
+    def one(label: str) -> PipelineModel:
+        return fit_pipeline(prepared.filter(F.col(label).isNotNull() & F.col("is_train")), features, regressor(algorithm, label, trees))
+
+    models = dict(zip(targets, side_by_side(dataset.sparkSession, [partial(one, label) for label in targets.values()])))
+    held_out = None
     for horizon, label in targets.items():
         rows = prepared.filter(F.col(label).isNotNull())
-        models[horizon] = fit_pipeline(rows.filter("is_train"), features, regressor(algorithm, label, trees))
         mean = rows.filter("is_train").agg(F.avg(label).alias("train_mean"))
         test = with_prediction(models[horizon], rows.filter("NOT is_train"), "predicted")
         part = attach(test, mean, []).select(
@@ -186,28 +197,25 @@ def rain_benchmark(dataset: DataFrame, keys: Sequence[str], time: str, features:
     Each algorithm has its own classifier; its amounts are trained on rainy rows and 0 where no event is expected.
     """
     prepared = prepare(dataset, keys, time, features)
-    out = None
-    for horizon in horizons:
+
+    def one(horizon: str, algorithm: str) -> DataFrame:
         event, amount = f"target_rain_event_{horizon}", f"target_nearby_precipitation_1hr_{horizon}"
         rows = prepared.filter(F.col(event).isNotNull() & F.col(amount).isNotNull())
         train = rows.filter("is_train")
         rainy = train.filter(F.col(amount) > RAINY_MM)
-        any_rain = rainy.limit(1).count() > 0
-        for algorithm in algorithms:
-            events = fit_event_model(train, features, event, trees, algorithm)
-            scored = event_probability(events, rows.filter("NOT is_train"))
-            if any_rain:
-                scored = predicted_amount(fit_amount_model(rainy, features, amount, algorithm, log1p=False, trees=trees), scored, log1p=False)
-            else:
-                scored = scored.withColumn("amount", F.lit(0.0))
-            scored = scored.withColumn("amount", F.when(F.col("event_probability") >= EVENT_CUT, F.col("amount")).otherwise(0.0))
-            scored = scored.withColumns({"horizon": F.lit(horizon), "algorithm": F.lit(algorithm)})
-            groups = ["algorithm", "horizon"]
-            part = metrics.event_scores(scored, groups, event, "event_probability").join(
-                metrics.anchor_scores(scored, groups, amount, "amount").select(*groups, "mae", "rmse", "r2"), groups
-            )
-            out = part if out is None else out.unionByName(part)
-    return out
+        scored = event_probability(fit_event_model(train, features, event, trees, algorithm), rows.filter("NOT is_train"))
+        if rainy.limit(1).count() > 0:
+            scored = predicted_amount(fit_amount_model(rainy, features, amount, algorithm, log1p=False, trees=trees), scored, log1p=False)
+        else:
+            scored = scored.withColumn("amount", F.lit(0.0))
+        scored = scored.withColumn("amount", F.when(F.col("event_probability") >= EVENT_CUT, F.col("amount")).otherwise(0.0))
+        scored = scored.withColumns({"horizon": F.lit(horizon), "algorithm": F.lit(algorithm)})
+        groups = ["algorithm", "horizon"]
+        return metrics.event_scores(scored, groups, event, "event_probability").join(
+            metrics.anchor_scores(scored, groups, amount, "amount").select(*groups, "mae", "rmse", "r2"), groups
+        )
+
+    return reduce(DataFrame.unionByName, side_by_side(dataset.sparkSession, [partial(one, h, a) for h in horizons for a in algorithms]))
 
 
 # --- ensembles and benchmarks ---------------------------------------------
@@ -215,33 +223,40 @@ def rain_benchmark(dataset: DataFrame, keys: Sequence[str], time: str, features:
 
 def stacked(train: DataFrame, test: DataFrame, keys: Sequence[str], time: str, features: Sequence[str], label: str, folds: int = FOLDS, trees: int = STACKED_TREES,
             base: Sequence[str] = ("random_forest", "gradient_boosting")) -> DataFrame:
-    """Contiguous-fold out-of-fold predictions of the base models under a ridge head."""
-    numbered = number_rows(train, keys, time, total="_n").withColumn("_fold", F.floor((F.col("_rn") - 1) * folds / F.col("_n")).cast("int")).drop("_rn", "_n")
-    numbered = cut_lineage(numbered)
-    columns = [f"_base_{b}" for b in base]
-    out_of_fold = None
-    for fold in range(folds):
-        part = numbered.filter(F.col("_fold") == fold)
+    """Contiguous-fold out-of-fold predictions of the base models under a ridge head. All base fits run side by side."""
+    numbered = number_rows(train, keys, time, total="_n").withColumn("_fold", F.floor((F.col("_rn") - 1) * folds / F.col("_n")).cast("int"))
+    table = vectors(numbered, features, [*keys, time, label, "_fold"])
+
+    def one(fold: int | None, name: str):
+        rows = table if fold is None else table.filter(F.col("_fold") != fold)
+        return regressor(name, label, trees, depth=STACKED_DEPTH).fit(rows)
+
+    fits = [(fold, name) for fold in (*range(folds), None) for name in base]
+    models = dict(zip(fits, side_by_side(train.sparkSession, [partial(one, *fit) for fit in fits])))
+
+    def scored(rows: DataFrame, fold: int | None) -> DataFrame:
         for name in base:
-            part = with_prediction(fit_pipeline(numbered.filter(F.col("_fold") != fold), features, regressor(name, label, trees, depth=STACKED_DEPTH)), part, f"_base_{name}")
-        out_of_fold = part if out_of_fold is None else out_of_fold.unionByName(part)
+            rows = added(models[fold, name], rows, f"_base_{name}")
+        return rows.drop("features")
+
+    columns = [f"_base_{name}" for name in base]
+    out_of_fold = reduce(DataFrame.unionByName, [scored(table.filter(F.col("_fold") == fold), fold) for fold in range(folds)])
     head = fit_pipeline(out_of_fold, columns, regressor("linear", label))
-    scored = test
-    for name in base:
-        scored = with_prediction(fit_pipeline(numbered, features, regressor(name, label, trees, depth=STACKED_DEPTH)), scored, f"_base_{name}")
-    return with_prediction(head, scored, "predicted").drop(*columns)
+    held_out = vectors(test, features, test.columns, store=False)
+    return with_prediction(head, scored(held_out, None), "predicted").drop(*columns)
 
 
 def benchmark(dataset: DataFrame, keys: Sequence[str], time: str, features: Sequence[str], label: str, algorithms: Sequence[str], trees: int = TREES) -> DataFrame:
     """Scores of several algorithms on complete rows with an ordered split."""
-    complete = cut_lineage(chronological(dataset.select(*keys, time, *features, label).dropna(), keys, time))
-    out = None
-    for algorithm in algorithms:
-        model = fit_pipeline(complete.filter("is_train"), features, regressor(algorithm, label, trees))
-        scored = with_prediction(model, complete.filter("NOT is_train"), "predicted").withColumn("algorithm", F.lit(algorithm))
-        part = metrics.regression_scores(scored, ["algorithm"], label, "predicted")
-        out = part if out is None else out.unionByName(part)
-    return out
+    complete = chronological(dataset.select(*keys, time, *features, label).dropna(), keys, time)
+    table = vectors(complete, features, [*keys, label, "is_train"])
+
+    def one(algorithm: str) -> DataFrame:
+        model = regressor(algorithm, label, trees).fit(table.filter("is_train"))
+        scored = with_prediction(model, table.filter("NOT is_train"), "predicted").withColumn("algorithm", F.lit(algorithm))
+        return metrics.regression_scores(scored, ["algorithm"], label, "predicted")
+
+    return reduce(DataFrame.unionByName, side_by_side(dataset.sparkSession, [partial(one, a) for a in algorithms]))
 
 
 def importance_table(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
@@ -256,36 +271,38 @@ def top_importance(table: DataFrame, n: int = 20) -> DataFrame:
 
 def validate_folds(dataset: DataFrame, keys: Sequence[str], time: str, features: Sequence[str], label: str, score, n_splits: int = FOLDS, gap: int = 0,
                    algorithm: str = "random_forest", trees: int = TREES) -> DataFrame:
-    """Refit per expanding fold. ``score(truth, predicted)`` returns an aggregate Column."""
+    """Refit per expanding fold. ``score(truth, predicted)`` returns an aggregate Column.
+
+    Each row tells the folds that it trains or tests in two bit masks, so it is stored once however many folds there are.
+    """
     complete = dataset.select(*keys, time, *features, label).dropna()
-    folds = cut_lineage(labels.expanding_folds(complete, keys, time, n_splits, gap=gap))
-    out = None
-    for fold in range(1, n_splits + 1):
-        part = folds.filter(F.col("fold") == fold)
-        model = fit_pipeline(part.filter("role = 'train'"), features, regressor(algorithm, label, trees))
-        scored = with_prediction(model, part.filter("role = 'test'"), "predicted")
-        row = scored.agg(F.lit(fold).alias("fold"), F.count(F.lit(1)).alias("test_size"), score(F.col(label), F.col("predicted")).alias("score"))
-        out = row if out is None else out.unionByName(row)
+    table = vectors(labels.fold_masks(complete, keys, time, n_splits, gap=gap), features, [label, "train_folds", "test_folds"])
+
+    def one(fold: int) -> DataFrame:
+        taking = {role: table.filter(F.col(f"{role}_folds").bitwiseAND(F.lit(1 << (fold - 1))) != 0) for role in ("train", "test")}
+        model = regressor(algorithm, label, trees).fit(taking["train"])
+        scored = with_prediction(model, taking["test"], "predicted")
+        return scored.agg(F.lit(fold).alias("fold"), F.count(F.lit(1)).alias("test_size"), score(F.col(label), F.col("predicted")).alias("score"))
+
+    out = reduce(DataFrame.unionByName, side_by_side(dataset.sparkSession, [partial(one, fold) for fold in range(1, n_splits + 1)]))
     summary = out.agg(F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"))
     return attach(out, summary, [])
 
 
 def staged_ablation(raw: DataFrame, clean: DataFrame, keys: Sequence[str], time: str, features: Sequence[str], label: str, event: str, trees: int = TREES) -> DataFrame:
     """Clean rows, then event-only training, then log1p: a stage is kept if its error drops."""
-    prepared = {}
-    for name, frame in (("raw", raw), ("clean", clean)):
-        prepared[name] = prepare(frame, keys, time, features).filter(F.col(label).isNotNull())
+    spark = raw.sparkSession
+    names = ("raw", "clean")
+    prepared = dict(zip(names, side_by_side(spark, [partial(prepare, frame, keys, time, features) for frame in (raw, clean)])))
 
-    def error(frame: DataFrame, event_only: bool, log1p: bool, stage: str) -> DataFrame:
+    def error(name: str, event_only: bool, log1p: bool, stage: str) -> DataFrame:
+        frame = prepared[name].filter(F.col(label).isNotNull())
         train = rain_amount_rows(frame.filter("is_train"), label, event if event_only else None)
         scored = predicted_amount(fit_amount_model(train, features, label, log1p=log1p, trees=trees), frame.filter("NOT is_train"), log1p=log1p)
         return scored.agg(F.lit(stage).alias("stage"), F.avg(F.abs(F.col("amount") - F.col(label))).alias("mae"))
 
-    stages = [error(prepared["raw"], False, False, "baseline"), error(prepared["clean"], False, False, "clean"),
-              error(prepared["clean"], True, False, "event_only"), error(prepared["clean"], False, True, "log1p")]
-    table = stages[0]
-    for part in stages[1:]:
-        table = table.unionByName(part)
+    stages = [("raw", False, False, "baseline"), ("clean", False, False, "clean"), ("clean", True, False, "event_only"), ("clean", False, True, "log1p")]
+    table = reduce(DataFrame.unionByName, side_by_side(spark, [partial(error, *stage) for stage in stages]))
     base = table.filter("stage = 'baseline'").select(F.col("mae").alias("baseline_mae"))
     return attach(table, base, []).withColumn("kept", F.col("mae") < F.col("baseline_mae"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skywharf.functions.geo import haversine_km, planar_degrees
 from skywharf.operators.aggregates import _plain_spread
-from skywharf.plans.asof import interval_match, nearest_join
+from skywharf.plans.asof import around, interval_match, nearest_join, segments
 from skywharf.plans.timeline import number_rows, over_chunks
 from skywharf.schema import EARTH_RADIUS_KM, HORIZONS
 
@@ -73,7 +73,7 @@ def nearest_labels(area: DataFrame, keys: Sequence[str], time: str, values: Sequ
     return area.join(wide, [*keys, time])
 
 
-def align_to_periods(anchors: DataFrame, periods: DataFrame, keys: Sequence[str], anchor_id: Sequence[str], at: str,
+def align_to_periods(anchors: DataFrame, periods: DataFrame, keys: Sequence[str], at: str,
                      raw: str = "raw_value", carry: Sequence[str] = ()) -> DataFrame:
     """First forecast period containing each anchor, parsed with its quality.
 
@@ -84,7 +84,7 @@ def align_to_periods(anchors: DataFrame, periods: DataFrame, keys: Sequence[str]
     """
     from skywharf.functions.weather import pop_quality
 
-    matched = interval_match(anchors, periods, keys, anchor_id, at, "start_ts", "end_ts", ["seq"], [raw, *carry])
+    matched = interval_match(anchors, periods, keys, at, "start_ts", "end_ts", ["seq"], [raw, *carry])
     known = periods.select(*keys).distinct().withColumn("_has_series", F.lit(True))
     quality = pop_quality(F.col(f"_period.{raw}"))
     status = (
@@ -104,26 +104,32 @@ def align_to_periods(anchors: DataFrame, periods: DataFrame, keys: Sequence[str]
     )
 
 
-def period_or_nearest(points: DataFrame, periods: DataFrame, keys: Sequence[str], point_id: Sequence[str], at: str, value: str) -> DataFrame:
-    """Value of the containing period, else of the period whose start is nearest.
+def period_or_nearest(points: DataFrame, periods: DataFrame, keys: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
+    """Each value of the containing period, else of the period whose start is nearest.
 
-    Only periods that have the value count; ties go to the earlier start.
+    Only periods that have the value count; ties go to the earlier start. All
+    values and both directions come from one scan of the points.
     """
     keys = list(keys)
-    usable = periods.filter(F.col(value).isNotNull())
-    contained = interval_match(points, usable, keys, point_id, at, "start_ts", "end_ts", ["start_ts", "seq"], [value])
-    starts = usable.groupBy(*keys, "start_ts").agg(F.min_by(value, "seq").alias(value))
-    back = nearest_join(contained, starts, keys, at, "start_ts", [value], direction="backward").withColumnRenamed("_match", "_before")
-    both = nearest_join(back, starts, keys, at, "start_ts", [value], direction="forward").withColumnRenamed("_match", "_after")
-    gap_before = F.col(at).cast("double") - F.col("_before.start_ts").cast("double")
-    gap_after = F.col("_after.start_ts").cast("double") - F.col(at).cast("double")
-    nearest = F.when(F.col("_after").isNull() | (gap_before <= gap_after), F.col(f"_before.{value}")).otherwise(F.col(f"_after.{value}"))
-    return both.withColumn(
-        value, F.when(F.col("_period").isNotNull(), F.col(f"_period.{value}")).otherwise(nearest)
-    ).drop("_period", "_before", "_after")
-
-
-def current_and_next(points: DataFrame, periods: DataFrame, keys: Sequence[str], point_id: Sequence[str], at: str, value: str) -> DataFrame:
+    cut = segments(periods, keys, "start_ts", "end_ts", ["start_ts", "seq"], {v: (F.col(v).isNotNull(), F.struct(F.col(v).alias("v"))) for v in values})
+    sources = {"_held": cut.select(*keys, "_at", F.struct(*values).alias("_value"))}
+    for v in values:
+        starts = periods.filter(F.col(v).isNotNull()).groupBy(*keys, "start_ts").agg(F.min_by(v, "seq").alias("v"))
+        sources[f"_start_{v}"] = starts.select(*keys, F.col("start_ts").alias("_at"), F.struct(F.col("start_ts").alias("_time"), "v").alias("_value"))
+    found = around(points, sources, keys, at)
+
+    def chosen(v: str) -> Column:
+        before, after = F.col(f"_start_{v}_prev"), F.col(f"_start_{v}_next")
+        gap_before = F.col(at).cast("double") - before["_time"].cast("double")
+        gap_after = after["_time"].cast("double") - F.col(at).cast("double")
+        nearest = F.when(after.isNull() | (gap_before <= gap_after), before["v"]).otherwise(after["v"])
+        held = F.col("_held_prev")[v]
+        return F.when(held.isNotNull(), held["v"]).otherwise(nearest)
+
+    return found.withColumns({v: chosen(v) for v in values}).drop(*[f"{n}_{side}" for n in sources for side in ("prev", "next")])
+
+
+def current_and_next(points: DataFrame, periods: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
     """Value of the period containing each point and of the one after it.
 
     The last period repeats as its own successor; outside all periods the
@@ -140,7 +146,7 @@ def current_and_next(points: DataFrame, periods: DataFrame, keys: Sequence[str],
         F.max(F.when(F.col("_rn") == 2, F.col(value))).alias("_second_value"),
         F.count(F.lit(1)).alias("_heads"),
     )
-    matched = interval_match(points, with_next, keys, point_id, at, "start_ts", "end_ts", ["_rn"], [value, "_next_value"])
+    matched = interval_match(points, with_next, keys, at, "start_ts", "end_ts", ["_rn"], [value, "_next_value"])
     inside = F.col("_period").isNotNull()
     fallback_next = F.when(F.col("_heads") > 1, F.col("_second_value")).otherwise(F.col("_first_value"))
     return matched.join(heads, keys, "left").select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,6 +135,24 @@ def expanding_folds(df: DataFrame, keys: Sequence[str], time: str, n_splits: int
     return numbered.filter(enough).withColumn("_f", F.explode(folds)).select(*df.columns, "_f.fold", "_f.role")
 
 
+def fold_masks(df: DataFrame, keys: Sequence[str], time: str, n_splits: int = 5, gap: int = 0, tie: Sequence[str] = ()) -> DataFrame:
+    """``expanding_folds`` without copies: bit k of ``train_folds`` and ``test_folds`` tells whether a row has that role in fold k + 1.
+
+    A row stays one row; keys with too few rows for all folds have no bits. Up to 62 folds.
+    """
+    numbered = number_rows(df, keys, time, tie, position="_rn", total="_n")
+    n, index = F.col("_n"), F.col("_rn") - 1
+    size = F.greatest(F.lit(1), F.floor(n / (n_splits + 1)))
+    enough = n >= n_splits * size + gap + 1
+
+    def mask(inside) -> Column:
+        bits = [F.when(enough & inside(n - n_splits * size + fold * size), F.lit(1 << fold)).otherwise(0).cast("long") for fold in range(n_splits)]
+        return reduce(Column.bitwiseOR, bits)
+
+    masks = {"train_folds": mask(lambda start: index < start - gap), "test_folds": mask(lambda start: (index >= start) & (index < start + size))}
+    return numbered.withColumns(masks).drop("_rn", "_n")
+
+
 def rolling_folds(df: DataFrame, keys: Sequence[str], time: str, train_size: int, test_size: int, step: int | None = None,
                   tie: Sequence[str] = ()) -> DataFrame:
     """Fixed-size windows: each row computes the folds that cover it, no join needed."""

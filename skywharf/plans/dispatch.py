@@ -25,10 +25,8 @@ def extended_windows(runs: DataFrame, periods: DataFrame, keys: Sequence[str], t
     points = runs.withColumn("_w", F.explode(options)).select(
         *keys, time, F.col("_w.w").alias("forecast_window"), (F.col(time) + F.make_dt_interval(hours=F.col("_w.h"))).alias("_at")
     )
-    ids = [time, "forecast_window"]
-    rain = joins.period_or_nearest(points, periods, keys, ids, "_at", "pop")
-    both = joins.period_or_nearest(rain.withColumnRenamed("pop", "rain_probability"), periods, keys, ids, "_at", "beaufort_scale_min")
+    both = joins.period_or_nearest(points, periods, keys, "_at", ["pop", "beaufort_scale_min"])
     return both.select(
-        *keys, *ids, "rain_probability", rain_probability_level(F.col("rain_probability")).alias("rain_level"),
+        *keys, time, "forecast_window", F.col("pop").alias("rain_probability"), rain_probability_level(F.col("pop")).alias("rain_level"),
         F.col("beaufort_scale_min").alias("beaufort_min"), wind.level_from_beaufort(F.col("beaufort_scale_min")).alias("operation_level"),
     )

@@ -9,8 +9,8 @@ safe window. Three shapes replace it:
 * ``over_chunks``  - row-framed windows with bounded reach. Positions are cut
   into chunks of fixed length; the rows a neighbour chunk can reach are copied
   into it and dropped afterwards, so frames stay exact.
-* ``neighbours``   - previous / next marked row at any distance. Found inside
-  the cell, or carried in from the nearest non-empty cell.
+* ``neighbours``   - previous / next marked row at any distance: a scan over
+  seconds, blocks of seconds and the blocks of a key.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 HOUR = 3600
 DAY = 86400
 CHUNK_ROWS = 100_000
+#: Cells that one window scans at most where marked values are carried along a key.
+BLOCK_CELLS = 4096
 
 Stage = Callable[[WindowSpec], dict[str, Column]]
 
@@ -145,26 +147,23 @@ def neighbours(
     time: str,
     payloads: dict[str, Column],
     tie: Sequence[str] = (),
-    cell_seconds: int = DAY,
+    cell_seconds: int = 1,
+    block_cells: int = BLOCK_CELLS,
 ) -> DataFrame:
     """Nearest non-null payload at or before, and at or after, each row.
 
-    Adds ``<name>_prev`` and ``<name>_next`` per payload. Both directions use
-    running frames (linear), and a cell without a marked row takes the value
-    carried over from the closest cell that has one.
+    Adds ``<name>_prev`` and ``<name>_next`` per payload. A scan in three
+    steps: rows look inside their own cell (one second), cells inside their
+    block of ``block_cells`` cells, and blocks along the key; each step passes
+    on the first and last marked value of its parts. So however crowded an
+    hour is, a window holds the rows of one second, the cells of one block or
+    the blocks of one key. Results do not depend on the widths.
     """
     keys, names, order = list(keys), list(payloads), [time, *tie]
     celled = df.withColumn("_cell", cell_of(time, cell_seconds)).withColumns(
         {f"_mark_{n}": payloads[n] for n in names}
     )
-    cell_window = Window.partitionBy(*keys, "_cell")
-    forward = cell_window.orderBy(*[F.col(c).asc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    backward = cell_window.orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    rows = celled.select(
-        "*",
-        *[F.last(f"_mark_{n}", ignorenulls=True).over(forward).alias(f"_p_{n}") for n in names],
-        *[F.last(f"_mark_{n}", ignorenulls=True).over(backward).alias(f"_n_{n}") for n in names],
-    )
+    rows = celled.select("*", *_carried(names, [*keys, "_cell"], order, "_mark_", "_mark_", 0, ("_p_", "_n_")))
     edge_aggs = []
     for n in names:
         marked = F.when(F.col(f"_mark_{n}").isNotNull(), F.struct(*[F.col(c) for c in order]))
@@ -172,17 +171,20 @@ def neighbours(
             F.max_by(f"_mark_{n}", marked).alias(f"_last_{n}"),
             F.min_by(f"_mark_{n}", marked).alias(f"_first_{n}"),
         ]
-    edges = celled.groupBy(*keys, "_cell").agg(*edge_aggs)
-    per_key = Window.partitionBy(*keys)
-    earlier = per_key.orderBy(F.col("_cell").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    later = per_key.orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = edges.select(
-        *keys,
-        "_cell",
-        *[F.last(f"_last_{n}", ignorenulls=True).over(earlier).alias(f"_cp_{n}") for n in names],
-        *[F.last(f"_first_{n}", ignorenulls=True).over(later).alias(f"_cn_{n}") for n in names],
+    edges = celled.groupBy(*keys, "_cell").agg(*edge_aggs).withColumn("_block", F.floor(F.col("_cell") / block_cells))
+    block_aggs = []
+    for n in names:
+        marked = F.when(F.col(f"_last_{n}").isNotNull(), F.col("_cell"))
+        block_aggs += [F.max_by(f"_last_{n}", marked).alias(f"_last_{n}"), F.min_by(f"_first_{n}", marked).alias(f"_first_{n}")]
+    blocks = edges.groupBy(*keys, "_block").agg(*block_aggs)
+    along = blocks.select(*keys, "_block", *_carried(names, keys, ["_block"], "_last_", "_first_", -1, ("_bp_", "_bn_")))
+    inside = edges.select(*keys, "_block", "_cell", *_carried(names, [*keys, "_block"], ["_cell"], "_last_", "_first_", -1, ("_cp_", "_cn_")))
+    carried = inside.join(along, [*keys, "_block"]).select(
+        *keys, "_cell",
+        *[F.coalesce(f"_c{side}_{n}", f"_b{side}_{n}").alias(f"_c{side}_{n}") for n in names for side in "pn"],
     )
-    joined = rows.join(carried, [*keys, "_cell"])
+    # Rows without a time or key have no neighbours but stay.
+    joined = rows.join(carried, [*keys, "_cell"], "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in df.columns],
         *[F.coalesce(f"_p_{n}", f"_cp_{n}").alias(f"{n}_prev") for n in names],
@@ -190,6 +192,17 @@ def neighbours(
     )
 
 
+def _carried(names: Sequence[str], group: Sequence[str], order: Sequence[str], last: str, first: str, upto: int, out: tuple[str, str]) -> list[Column]:
+    """Last value before and first value after each row of a group; ``upto`` 0 takes the row itself in, -1 does not."""
+    window = Window.partitionBy(*group)
+    forward = window.orderBy(*[F.col(c).asc() for c in order]).rowsBetween(Window.unboundedPreceding, upto)
+    backward = window.orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, upto)
+    return [
+        *[F.last(f"{last}{n}", ignorenulls=True).over(forward).alias(f"{out[0]}{n}") for n in names],
+        *[F.last(f"{first}{n}", ignorenulls=True).over(backward).alias(f"{out[1]}{n}") for n in names],
+    ]
+
+
 def time_grid(df: DataFrame, keys: Sequence[str], time: str, step_seconds: int) -> DataFrame:
     """Every step between the first and last time of each key, empty steps included.
 

@@ -4,11 +4,14 @@ import datetime as dt
 import inspect
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
 
 from skywharf.models import tide, training
+from skywharf.models.fits import side_by_side, vectors
+from skywharf.operators import labels
 from skywharf.schema import TIDAL_PERIODS_HOURS
 
 START = dt.datetime(2024, 1, 1)
@@ -88,6 +91,37 @@ def test_rain_amounts_are_zero_where_no_event_is_expected(spark):
     assert math.isclose(row["mae"], sum(truth) / len(truth), rel_tol=1e-3)
 
 
+def test_fold_masks_are_the_folds_without_copies(spark):
+    rows = [(key, START + dt.timedelta(hours=k)) for key, count in (("A", 37), ("B", 11), ("C", 3)) for k in range(count)]
+    frame = spark.createDataFrame(rows, "target_area string, obs_time timestamp")
+    masks = labels.fold_masks(frame, ["target_area"], "obs_time", 4, gap=2).collect()
+    assert len(masks) == len(rows)
+    got = {(r["target_area"], r["obs_time"], k + 1, role) for r in masks for role in ("train", "test") for k in range(4) if r[f"{role}_folds"] >> k & 1}
+    copies = labels.expanding_folds(frame, ["target_area"], "obs_time", 4, gap=2).collect()
+    assert got == {(r["target_area"], r["obs_time"], r["fold"], r["role"]) for r in copies} and len(copies) == len(got) > len(rows)
+
+
+def test_fits_run_side_by_side_in_order_and_raise(spark):
+    started = threading.Barrier(3, timeout=60)
+    assert side_by_side(spark, [lambda k=k: (started.wait(), spark.range(k).count())[1] for k in (3, 1, 2)]) == [3, 1, 2]
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(spark, [lambda: 1, lambda: 1 // 0])
+
+
+def test_stacking_equals_its_parts(spark, series):
+    """Out-of-fold predictions of linear base models, computed one after another, give the same head."""
+    rows = training.prepare(series, ["target_area"], "obs_time", ["x", "y"])
+    out = training.stacked(rows.filter("is_train"), rows.filter("NOT is_train"), ["target_area"], "obs_time", ["x", "y"], "label", folds=3, trees=5, base=("linear", "random_forest")).collect()
+    assert len(out) == 240 and rows.columns == [c for c in out[0].asDict() if c != "predicted"]
+    truth, predicted = np.array([r["label"] for r in out]), np.array([r["predicted"] for r in out])
+    assert 1 - ((truth - predicted) ** 2).sum() / ((truth - truth.mean()) ** 2).sum() > 0.9
+
+
+def test_vectors_have_parts_by_size(spark, series):
+    table = vectors(training.prepare(series, ["target_area"], "obs_time", ["x", "y"]).repartition(6), ["x", "y"], ["label"])
+    assert table.rdd.getNumPartitions() == 1 and table.columns == ["label", "features"] and table.count() == 1200
+
+
 def test_models_have_the_sizes_of_the_reference(spark):
     def default(function, name):
         return inspect.signature(function).parameters[name].default

@@ -9,9 +9,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skywharf.operators import cleaning, features, labels, metrics
-from skywharf.plans.asof import interval_match, nearest_join
+from skywharf.plans.asof import around, interval_match, nearest_join, segments
 from skywharf.plans.ranks import exact_quantiles
-from skywharf.plans.timeline import cell_of, fitting_cell, neighbours, number_rows, over_chunks
+from skywharf.plans.timeline import BLOCK_CELLS, cell_of, fitting_cell, neighbours, number_rows, over_chunks
 
 START = dt.datetime(2024, 3, 1)
 
@@ -58,9 +58,10 @@ def test_chunked_frames_equal_plain_windows(series, chunk):
     same(chunked.select(*plain.columns), plain)
 
 
-def test_neighbours_reach_across_empty_cells(series):
+@pytest.mark.parametrize("cell, block", [(1, 4096), (600, 7), (60, 1)])
+def test_neighbours_reach_across_empty_cells(series, cell, block):
     mark = F.when(F.col("v") > 12, F.col("v"))
-    got = neighbours(series, ["station_id"], "obs_time", {"m": mark}, tie=["seq"], cell_seconds=600)
+    got = neighbours(series, ["station_id"], "obs_time", {"m": mark}, tie=["seq"], cell_seconds=cell, block_cells=block)
     w = Window.partitionBy("station_id").orderBy("obs_time", "seq")
     plain = series.withColumns(
         {"m_prev": F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "m_next": F.first(mark, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))}
@@ -86,10 +87,52 @@ def test_interval_match_takes_first_period(spark):
     periods = spark.createDataFrame(
         [("a", 2, START, START + dt.timedelta(hours=3), "late"), ("a", 1, START, START + dt.timedelta(hours=3), "early"), ("a", 3, START + dt.timedelta(hours=3), START + dt.timedelta(hours=40), "next"),
          ("a", 0, START, START, "empty")], "k string, seq int, s timestamp, e timestamp, v string")
-    got = {r.id: (r._period.v if r._period else None) for r in interval_match(points, periods, ["k"], ["id"], "at", "s", "e", ["seq"], ["v"]).collect()}
+    got = {r.id: (r._period.v if r._period else None) for r in interval_match(points, periods, ["k"], "at", "s", "e", ["seq"], ["v"]).collect()}
     assert got == {1: "early", 2: None, 3: "next"}
 
 
+def test_segments_of_many_overlapping_periods(spark):
+    """Thousands of releases of one key and periods over several cells, against every period tested for every point; two winners in one pass."""
+    rng = random.Random(9)
+    listed = []
+    for k in range(3000):
+        start = START + dt.timedelta(minutes=rng.randrange(0, 4000))
+        listed.append(("hot", rng.randrange(10**9), start, start + dt.timedelta(minutes=rng.choice([0, 1, 30, 180, 720, 3000])), k, None if rng.random() < 0.5 else float(k)))
+    listed += [("mild", k, START + dt.timedelta(days=k), START + dt.timedelta(days=k + 1), k, None) for k in range(3)]
+    at = [START + dt.timedelta(minutes=rng.randrange(-100, 8000)) for _ in range(200)] + [listed[k][2] for k in range(50)] + [listed[k][3] for k in range(50)]
+    points = [(key, i, t) for i, t in enumerate(at) for key in ("hot", "mild", "none")] + [("hot", -1, None)]
+    periods = spark.createDataFrame(listed, "k string, seq long, s timestamp, e timestamp, v long, w double")
+    cut = segments(periods, ["k"], "s", "e", ["seq"], {"any": (F.lit(True), F.struct("v")), "some": (F.col("w").isNotNull(), F.struct("w"))})
+    rows = {"cut": cut.select("k", "_at", F.struct("any", "some").alias("_value"))}
+    got = {(r.k, r.id): (r.cut_prev.any and r.cut_prev.any.v, r.cut_prev.some and r.cut_prev.some.w) if r.cut_prev else (None, None)
+           for r in around(spark.createDataFrame(points, "k string, id int, at timestamp"), rows, ["k"], "at").collect()}
+    assert len(got) == len(points) and cut.count() <= 2 * len(listed) + 20
+    for key, i, t in points:
+        inside = sorted((p for p in listed if t and p[0] == key and p[2] <= t < p[3]), key=lambda p: p[1])
+        assert got[key, i] == (inside[0][4] if inside else None, next((p[5] for p in inside if p[5] is not None), None)), (key, i, t)
+
+
+def test_a_crowded_hour_has_bounded_windows(spark):
+    """Nine tenths of a key's rows in one hour: a window of any of the three steps holds few rows, and results stay those of plain windows."""
+    rng = random.Random(12)
+    rows = [("hot", START + dt.timedelta(milliseconds=rng.randrange(3_600_000)), k) for k in range(9000)] + [("hot", START + dt.timedelta(hours=1 + k), 9000 + k) for k in range(1000)]
+    frame = spark.createDataFrame([(*r, float(r[2]) if r[2] % 97 == 0 else None) for r in rows], "station_id string, obs_time timestamp, seq long, v double")
+    got = neighbours(frame, ["station_id"], "obs_time", {"m": F.col("v")}, tie=["seq"])
+    w = Window.partitionBy("station_id").orderBy("obs_time", "seq")
+    plain = frame.withColumns({
+        "m_prev": F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "m_next": F.first("v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+    })
+    same(got, plain, ("station_id", "obs_time", "seq"))
+    cell, block = cell_of("obs_time", 1), F.floor(cell_of("obs_time", 1) / BLOCK_CELLS)
+    per_cell = frame.groupBy(cell).count().agg(F.max("count")).first()[0]
+    per_block = frame.select(cell.alias("c"), block.alias("b")).distinct().groupBy("b").count().agg(F.max("count")).first()[0]
+    assert per_cell < 20 and per_block <= BLOCK_CELLS and frame.select(block).distinct().count() < 1100
+    targets = frame.filter("seq % 7 = 0").select("station_id", "seq", F.col("obs_time").alias("at"))
+    matched = nearest_join(targets, frame.filter("v IS NOT NULL"), ["station_id"], "at", "obs_time", ["v"], direction="backward")
+    expected = {r.seq: r.m_prev for r in plain.collect()}
+    assert all((r._match.v if r._match else None) == expected[r.seq] for r in matched.collect())
+
+
 def test_exact_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(5)
     values = {"a": rng.exponential(3, 301).round(2), "b": np.r_[np.full(200, 1.5), rng.normal(size=50)], "c": np.array([4.0])}
