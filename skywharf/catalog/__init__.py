@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalar", "cleaning", "aggregates", "windows", "joins", "metrics", "decisions", "sources", "models", "streams"]
+MODULES = ["scalar", "cleaning", "aggregates", "windows", "joins", "metrics", "decisions", "sources", "sinks", "models", "streams"]
 
 
 def load() -> None:

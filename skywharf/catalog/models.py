@@ -32,6 +32,11 @@ def dataset(v):
     return area_dataset(clean_distance(v), AREA, "obs_time")
 
 
+def stored(v):
+    """The dataset for many fits: built once."""
+    return cut_lineage(dataset(v))
+
+
 PIPE = ["wind_speed_lag_1h", "wind_speed_roll_3h_mean", "wind_speed_change_1h", "hour_sin", "is_night", "pressure_change_3h", "pressure_temp"]
 
 
@@ -117,7 +122,7 @@ def each_horizon(spark, build):
 
 @query("ml01_wind_regressors")
 def _(v):
-    return reports(dataset(v), WIND_FEATURES, WIND_TARGETS, "target_nearby_{}_{}")
+    return reports(stored(v), WIND_FEATURES, WIND_TARGETS, "target_nearby_{}_{}")
 
 
 RAIN_FEATURES = ["nearby_cwa_precipitation_1hr_mean", "nearby_cwa_precipitation_1hr_max", "nearby_cwa_precipitation_roll3", "nearby_cwa_rainy_station_count", "hour_sin", "hour_cos"]
@@ -129,7 +134,7 @@ def split_rain(data, label):
 
 @query("ml02_rain_event_classifier")
 def _(v):
-    data = dataset(v)
+    data = stored(v)
 
     def one(horizon):
         label = f"target_rain_event_{horizon}"
@@ -142,7 +147,7 @@ def _(v):
 
 @query("ml03_rain_amount")
 def _(v):
-    data = dataset(v)
+    data = stored(v)
 
     def one(horizon):
         label = f"target_nearby_precipitation_1hr_{horizon}"
@@ -168,7 +173,7 @@ def irregular_rows(v):
 
 @query("ml05_two_stage_rain")
 def _(v):
-    data = dataset(v)
+    data = stored(v)
 
     def one(horizon):
         label = f"target_nearby_precipitation_1hr_{horizon}"
@@ -181,7 +186,7 @@ def _(v):
 
 @query("ml07_stacking")
 def _(v):
-    data = dataset(v)
+    data = stored(v)
 
     def one(horizon):
         label = f"target_nearby_wind_speed_{horizon}"
@@ -196,14 +201,14 @@ ALGORITHMS = ["random_forest", "gradient_boosting", "linear"]
 
 @query("ml08_algorithm_benchmark")
 def _(v):
-    data = dataset(v)
+    data = stored(v)
     return each_horizon(v.spark, lambda h: training.benchmark(data, AREA, "obs_time", WIND_FEATURES, f"target_nearby_wind_speed_{h}", ALGORITHMS))
 
 
 @query("ml09_rain_benchmark")
 def _(v):
     names = cleaning.rain_benchmark_features(RAIN_FEATURES)
-    return training.rain_benchmark(dataset(v), AREA, "obs_time", names, list(HORIZONS), ALGORITHMS[:2])
+    return training.rain_benchmark(stored(v), AREA, "obs_time", names, list(HORIZONS), ALGORITHMS[:2])
 
 
 @query("ml12_batch_scoring")
@@ -243,7 +248,7 @@ def _(v):
 
 @query("ml14_staged_ablation")
 def _(v):
-    clean, raw = dataset(v), area_dataset(v.obs.withColumn("obs_time", F.col("obs_hour")), AREA, "obs_time")
+    clean, raw = stored(v), cut_lineage(area_dataset(v.obs.withColumn("obs_time", F.col("obs_hour")), AREA, "obs_time"))
     return each_horizon(v.spark, lambda h: training.staged_ablation(raw, clean, AREA, "obs_time", RAIN_FEATURES, f"target_nearby_precipitation_1hr_{h}", f"target_rain_event_{h}"))
 
 
@@ -252,7 +257,7 @@ def _(v):
     def rmse(truth, predicted):
         return F.sqrt(F.avg(F.pow(truth - predicted, 2)))
 
-    data = dataset(v)
+    data = stored(v)
     return each_horizon(v.spark, lambda h: training.validate_folds(data, AREA, "obs_time", WIND_FEATURES, f"target_nearby_wind_speed_{h}", rmse))
 
 

@@ -230,16 +230,17 @@ def _(v):
 @query(
     "src15_key_values",
     with_views(
-        """SELECT seq, wind_speed AS ws_avg, CASE WHEN k % 5 = 0 THEN NULL ELSE wind_direction END AS wd_avg, 3 AS n_keys FROM clean WHERE wind_speed IS NOT NULL""",
+        """SELECT seq, wind_speed AS ws_avg, CASE WHEN k % 5 = 0 THEN NULL ELSE wind_direction END AS wd_avg, 3 AS n_keys FROM clean""",
         "clean",
     ),
 )
 def _(v):
     raw = F.concat(
-        F.lit("[WS_AVG]="), F.col("wind_speed").cast("string"), F.lit(",broken,WD_AVG="), F.when(F.col("k") % 5 == 0, "-").otherwise(F.col("wind_direction").cast("string")),
+        F.lit("[WS_AVG]="), F.coalesce(F.col("wind_speed").cast("string"), F.lit("-")), F.lit(",broken,WD_AVG="),
+        F.coalesce(F.when(F.col("k") % 5 != 0, F.col("wind_direction").cast("string")), F.lit("-")),
         F.lit(",=orphan,[MAX_T]=2024/1/1 08:00=x"),
     )
-    parsed = v.clean.filter("wind_speed IS NOT NULL").select("seq", text.key_values(raw).alias("m"))
+    parsed = v.clean.select("seq", text.key_values(raw).alias("m"))
     return parsed.select(
         "seq", F.element_at("m", "WS_AVG").try_cast("double").alias("ws_avg"), F.element_at("m", "WD_AVG").try_cast("double").alias("wd_avg"), F.size(F.map_keys("m")).alias("n_keys")
     )
@@ -249,18 +250,20 @@ def _(v):
     "src16_panel_rows",
     with_views(
         f"""SELECT station_id, device_type, {tsql("CASE WHEN device_type = 'WIND' OR k % 2 = 0 THEN date_trunc('second', obs_time) ELSE date_trunc('second', obs_time) + INTERVAL 10 MINUTE END")} AS obs_time, CASE WHEN device_type = 'WIND' OR k % 2 = 0 THEN wind_speed ELSE 77.0::DOUBLE END AS wind_speed,
-            CASE WHEN device_type = 'WIND' OR k % 2 = 0 THEN tide_level END AS tide_level, seq FROM clean WHERE wind_speed IS NOT NULL AND tide_level IS NOT NULL""",
+            CASE WHEN device_type = 'WIND' OR k % 2 = 0 THEN tide_level END AS tide_level, seq FROM clean""",
         "clean",
     ),
 )
 def _(v):
     at = F.col("obs_time")
     later = F.date_format(at + F.expr("interval 10 minutes"), "yyyy/MM/dd HH:mm:ss")
-    rows = v.clean.filter("wind_speed IS NOT NULL AND tide_level IS NOT NULL").select(
+    rows = v.clean.select(
         F.lit("KHH").alias("PortCode"), F.col("device_type").alias("DeviceType"), F.lit(None).cast("string").alias("DataType"), F.col("station_id").alias("OriginalStationID9"),
         F.lit("T").alias("TableName"), F.lit("I").alias("ID"), F.lit("-").alias("StationName"), F.col("seq").cast("string").alias("LocationMemo"),
         F.date_format(at, "yyyy/MM/dd HH:mm:ss").alias("LastData_DT"),
-        F.concat(F.lit("[WS_AVG]="), F.col("wind_speed").cast("string"), F.lit(",Tide_Value="), F.col("tide_level").cast("string")).alias("LastData_Str"),
+        F.concat(
+            F.lit("[WS_AVG]="), F.coalesce(F.col("wind_speed").cast("string"), F.lit("-")), F.lit(",Tide_Value="), F.coalesce(F.col("tide_level").cast("string"), F.lit("-"))
+        ).alias("LastData_Str"),
         later.alias("Y112_LastData_DT"), F.when(F.col("k") % 2 == 1, "WS_AVG=77.0").otherwise("-").alias("Y112_LastData_Str"),
         F.lit("").alias("Y113_Wind15minData_DT"), F.lit("WS_AVG=99.0").alias("Y113_Wind15minData_Str"), F.lit(FETCHED).cast("timestamp").alias("fetched_at"),
     )
@@ -271,8 +274,10 @@ def _(v):
 @query(
     "src17_panel_text",
     with_views(
-        f"""SELECT seq, 'KHWD0' || (k % 5) AS station_id, 'KHWD0' || (k % 5) || 'M01' AS raw_station_ref, {tsql('obs_time')} AS obs_time, wind_speed, wind_gust, wind_gust IS NULL AS missing_gust FROM clean WHERE wind_speed IS NOT NULL
-            UNION ALL SELECT seq, 'KHWD07', 'KHWD07', {tsql('obs_time')}, 5.5::DOUBLE, 8.5::DOUBLE, FALSE FROM clean WHERE wind_speed IS NOT NULL""",
+        f"""SELECT seq, 'KHWD0' || (k % 5) AS station_id, 'KHWD0' || (k % 5) || CASE WHEN silent THEN 'M10' ELSE 'M01' END AS raw_station_ref,
+              CASE WHEN silent THEN '2020-01-01 00:00:00' ELSE {tsql('obs_time')} END AS obs_time, CASE WHEN silent THEN 1.0::DOUBLE ELSE wind_speed END AS wind_speed, wind_gust, wind_gust IS NULL AS missing_gust
+            FROM (SELECT *, wind_speed IS NULL AND wind_gust IS NULL AS silent FROM clean)
+            UNION ALL SELECT seq, 'KHWD07', 'KHWD07', {tsql('obs_time')}, 5.5::DOUBLE, 8.5::DOUBLE, FALSE FROM clean""",
         "clean",
     ),
 )
@@ -281,17 +286,21 @@ def _(v):
     stamp = F.date_format("obs_time", "yyyy/MM/dd HH:mm:ss")
     gust = F.when(F.col("wind_gust").isNotNull(), F.concat(F.lit("; WS_MAX="), F.format_string("%.6f", F.col("wind_gust")))).otherwise("")
     page = F.concat(
-        F.lit("<td>Panel</td><b>"), station, F.lit("M01</b><i>WS_AVG="), F.format_string("%.6f", F.col("wind_speed")), gust, F.lit("; MAX_T="), stamp, F.lit("</i> "),
+        F.lit("<td>Panel</td><b>"), station, F.lit("M01</b><i>WS_AVG="), F.when(F.col("wind_speed").isNull(), "-").otherwise(F.format_string("%.6f", F.col("wind_speed"))), gust, F.lit("; MAX_T="), stamp, F.lit("</i> "),
         station, F.lit("M10 WS_AVG=1.0; MAX_T=2020/01/01 00:00:00 KHWD07 WS_AVG = 5.5 WS_MAX = 8.5 "), stamp,
     )
-    docs = v.clean.filter("wind_speed IS NOT NULL").select("seq", page.alias("page"))
+    docs = v.clean.select("seq", page.alias("page"))
     out = payloads.parse_panel_text(docs, "page", [f"KHWD0{i}" for i in (0, 1, 2, 3, 4, 7)], "seq")
     exact = v.clean.select("seq", F.col("wind_speed").alias("_s"), F.col("wind_gust").alias("_g"))
     joined = out.join(exact, "seq")
-    near = (F.abs(F.col("wind_speed") - F.col("_s")) < 1e-6) & (F.col("station_id") != "KHWD07")
+
+    def near(found, told):
+        """The text has six decimals: a value that close is the one told, and a missing one stays missing."""
+        return F.coalesce(F.abs(F.col(found) - F.col(told)) < 1e-6, F.col(found).isNull() & F.col(told).isNull()) & (F.col("station_id") != "KHWD07")
+
     return joined.select(
-        "seq", "station_id", "raw_station_ref", F.date_format("obs_time", "yyyy-MM-dd HH:mm:ss").alias("obs_time"), F.when(near, F.col("_s")).otherwise(F.col("wind_speed")).alias("wind_speed"),
-        F.when(near, F.col("_g")).otherwise(F.col("wind_gust")).alias("wind_gust"), (F.col("quality_flag") == "missing_gust").alias("missing_gust"),
+        "seq", "station_id", "raw_station_ref", F.date_format("obs_time", "yyyy-MM-dd HH:mm:ss").alias("obs_time"), F.when(near("wind_speed", "_s"), F.col("_s")).otherwise(F.col("wind_speed")).alias("wind_speed"),
+        F.when(near("wind_gust", "_g"), F.col("_g")).otherwise(F.col("wind_gust")).alias("wind_gust"), (F.col("quality_flag") == "missing_gust").alias("missing_gust"),
     )
 
 

@@ -28,6 +28,8 @@ from skywharf.session import cut_lineage
 
 # Forest size and leaf of every tree model, and the random seed.
 TREES, MIN_LEAF, SEED = 80, 2, 42
+#: Levels of a forest's trees. The reference sets no limit; each further level doubles what a fit may shuffle and the driver holds.
+FOREST_DEPTH = 10
 TRAIN_SHARE = 0.8
 RAIN_CAP_MM = 200.0
 EVENT_CUT = 0.5
@@ -45,8 +47,7 @@ def rounds(algorithm: str) -> int:
 def regressor(algorithm: str, label: str, trees: int = TREES, weight: str | None = None, depth: int | None = None):
     """MLlib estimator by name; every boosting name maps to gradient-boosted trees. ``depth`` is that of a forest."""
     if algorithm == "random_forest":
-        model = RandomForestRegressor(numTrees=trees, minInstancesPerNode=MIN_LEAF, seed=SEED)
-        model = model.setMaxDepth(depth) if depth else model
+        model = RandomForestRegressor(numTrees=trees, maxDepth=depth or FOREST_DEPTH, minInstancesPerNode=MIN_LEAF, seed=SEED)
     elif algorithm in ("gradient_boosting", "lightgbm", "xgboost"):
         model = GBTRegressor(maxIter=rounds(algorithm), maxDepth=BOOSTED_DEPTH, minInstancesPerNode=MIN_LEAF, seed=SEED)
     elif algorithm == "linear":
@@ -138,7 +139,7 @@ def regression_report(held_out: DataFrame, groups: Sequence[str] = ("horizon",))
 def classifier(algorithm: str, label: str, trees: int = TREES):
     """MLlib classifier by name; every boosting name maps to gradient-boosted trees."""
     if algorithm == "random_forest":
-        model = RandomForestClassifier(numTrees=trees, minInstancesPerNode=MIN_LEAF, seed=SEED)
+        model = RandomForestClassifier(numTrees=trees, maxDepth=FOREST_DEPTH, minInstancesPerNode=MIN_LEAF, seed=SEED)
     elif algorithm in ("gradient_boosting", "lightgbm", "xgboost"):
         model = GBTClassifier(maxIter=rounds(algorithm), maxDepth=BOOSTED_DEPTH, minInstancesPerNode=MIN_LEAF, seed=SEED)
     else:

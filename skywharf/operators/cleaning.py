@@ -97,8 +97,8 @@ def archive_time_column(columns: Sequence[str]) -> Column:
     raise ValueError("no recognisable time column")
 
 
-def normalize_archive(df: DataFrame, station_id: str | Column | None = None) -> DataFrame:
-    """Archive columns to canonical names, typed, masked; rows without a time dropped."""
+def normalize_archive(df: DataFrame, station_id: str | Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Archive columns to canonical names, typed, masked; rows without a time dropped. ``carry`` names columns to keep as they are."""
     cleaned = df.toDF(*[c.replace("﻿", "").strip() for c in df.columns])
     renamed = cleaned.withColumnsRenamed({c: ARCHIVE_COLUMNS[c] for c in cleaned.columns if c in ARCHIVE_COLUMNS})
     time = archive_time_column(renamed.columns)
@@ -111,6 +111,7 @@ def normalize_archive(df: DataFrame, station_id: str | Column | None = None) ->
     typed = renamed.select(
         time.try_cast("timestamp").alias("obs_time"),
         station.cast("string").alias("station_id"),
+        *carry,
         *[text.nan_to_null(F.col(m).try_cast("double")).alias(m) for m in measures],
     ).filter(F.col("obs_time").isNotNull())
     return mask_ranges(typed, ARCHIVE_LIMITS)
@@ -316,9 +317,14 @@ def align_features(df: DataFrame, source_features: Sequence[str], keep: Sequence
 FORBIDDEN_PREFIXES = ("nearby_", "cwa_", "qpe_")
 
 
+def forbidden(columns: Sequence[str], prefixes: Sequence[str] = FORBIDDEN_PREFIXES) -> list[str]:
+    """External features, which a temporal model must not see."""
+    return [c for c in columns if c.startswith(tuple(prefixes))]
+
+
 def refuse_forbidden(columns: Sequence[str], prefixes: Sequence[str] = FORBIDDEN_PREFIXES) -> None:
     """Raise before any job when an external feature reaches a temporal model."""
-    bad = [c for c in columns if c.startswith(tuple(prefixes))]
+    bad = forbidden(columns, prefixes)
     if bad:
         raise ValueError(f"forbidden model inputs: {bad}")
 

@@ -80,18 +80,31 @@ def collect_data(spark: SparkSession, paths: dict[str, str], start: str | None =
     return out
 
 
-def load_archive_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", station_id: str | None = None) -> DataFrame:
+def java_charset(spark: SparkSession, encoding: str) -> None:
+    if encoding in JAVA_CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
+def load_archive_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", station_id: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """Historical archive CSV in one encoding, normalised.
 
-    Landing folders hold one encoding each; the station defaults to the part
-    of the file name before the first underscore.
+    Landing folders hold one encoding each. The station is ``station_id``,
+    else that of the folder (``station_id=...``), else the part of the file
+    name before the first underscore. A mark before the first column name is
+    ignored; ``carry`` names columns to keep as text.
     """
-    if encoding in JAVA_CHARSETS:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    java_charset(spark, encoding)
     raw = spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE").csv(path)
-    station = F.lit(station_id) if station_id else F.split(F.col("_metadata.file_name"), r"[_.]")[0]
-    columns = [F.col(f"`{c}`") for c in raw.columns]
-    return normalize_archive(raw.select(*columns, station.alias("_station")), F.col("_station"))
+    by_folder = F.col("station_id") if "station_id" in raw.columns else F.split(F.col("_metadata.file_name"), r"[_.]")[0]
+    station = F.lit(station_id) if station_id else by_folder
+    columns = [F.col(f"`{c}`") for c in raw.columns if c != "station_id"]
+    return normalize_archive(raw.select(*columns, station.cast("string").alias("_station")), F.col("_station"), carry)
+
+
+def write_archive_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
+    """Archive CSV in one encoding with a folder for each station. Runs a job."""
+    java_charset(df.sparkSession, encoding)
+    df.hint("rebalance", "station_id").write.option("header", True).option("encoding", encoding).partitionBy("station_id").csv(path)
 
 
 def write_observations(df: DataFrame, path: str, mode: str = "overwrite") -> None:
