@@ -2,7 +2,7 @@
 
 A text begins as its characters. Every adjacent pair that makes a piece of the vocabulary waits in an agenda; the pair of
 the best score, the leftmost of equal ones, is merged, and the pairs that the new symbol makes with its neighbours join
-the agenda. Two characters that stand next to each other in no piece can never be joined, so a text falls apart between
+the agenda. Short parts of a text go through it many at a time, in arrays; a long one has a heap. Two characters that stand next to each other in no piece can never be joined, so a text falls apart between
 them into parts that do not influence each other, and a task encodes each distinct part once. Arrow batches carry
 the texts; the sentencepiece library checks each batch.
 """
@@ -28,7 +28,7 @@ MERGES = 2
 #: What the library writes for an unknown id and for bytes that are no character.
 UNKNOWN_TEXT, REPLACEMENT = " ⁇ ", "�"
 #: Distinct parts that a task keeps encoded, and the longest one kept. Others are encoded each time they come.
-KEPT_PARTS, KEPT_CHARS = 200_000, 64
+KEPT_PARTS, KEPT_CHARS = 500_000, 64
 BATCH_BYTES = 1_000_000
 _BASE, _SPREAD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 _UNDO = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -93,20 +93,58 @@ class Vocabulary:
         np.minimum.at(first, which, np.arange(len(which)))
         return which, [whole[a:b] for a, b in zip(cuts[first].tolist(), cuts[first + 1].tolist())], np.searchsorted(cuts, begins)
 
+    @cached_property
+    def merges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]], int]:
+        """Pairs of symbols that make a piece, as sorted numbers, with the rank of the piece's cost and its symbol; the ids of each symbol; the number of symbols."""
+        of, _ = self.joined
+        names = ["", *(chr(c) for c in np.flatnonzero(of)[np.argsort(of[of > 0])]), *(x for x in self.costs if len(x) > 1)]
+        symbol = {name: k for k, name in enumerate(names)}
+        rank = {cost: k for k, cost in enumerate(sorted(set(self.costs.values())))}
+        rows = sorted(
+            (symbol[piece[:k]] * len(names) + symbol[piece[k:]], rank[cost], symbol[piece])
+            for piece, cost in self.costs.items() for k in range(1, len(piece)) if piece[:k] in symbol and piece[k:] in symbol
+        )
+        pairs, ranks, made = (np.array(x, dtype=np.int64) for x in zip(*rows))
+        return pairs, ranks, made, [self.ids_of_symbol(name) for name in names], len(names)
+
+    def ids_of_parts(self, parts: list[str]) -> list[list[int]]:
+        """``ids_of_part`` of many short parts at once: in each round every part merges the best pair of its agenda."""
+        pairs, ranks, made, ids, count = self.merges
+        none = np.int64(1) << 62
+        symbols = self.joined[0][np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
+        owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        done_symbols, done_owner = [], []
+        while len(symbols):
+            pair = symbols[:-1] * count + symbols[1:]
+            at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+            fits = (pairs[at] == pair) & (owner[:-1] == owner[1:])
+            # The smallest cost goes first, the leftmost of equal ones.
+            offered = np.append(np.where(fits, ranks[at] << 32 | np.arange(len(pair)), none), none)
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            best = np.minimum.reduceat(offered, first)
+            sizes = np.diff(np.append(first, len(symbols)))
+            active = np.repeat(best < none, sizes)
+            done_symbols.append(symbols[~active])
+            done_owner.append(owner[~active])
+            left = best[best < none] & 0xFFFFFFFF
+            symbols[left] = made[at[left]]
+            active[left + 1] = False
+            symbols, owner = symbols[active], owner[active]
+        owner = np.concatenate(done_owner) if done_owner else np.empty(0, dtype=np.int64)
+        by = np.argsort(owner, kind="stable")
+        flat = np.concatenate(done_symbols)[by].tolist() if done_symbols else []
+        cuts = np.searchsorted(owner[by], np.arange(len(parts) + 1)).tolist()
+        return [[i for k in flat[a:b] for i in ids[k]] for a, b in zip(cuts, cuts[1:])]
+
     def encode(self, texts: list[str], known: dict[str, list[int]] | None = None) -> list[list[int]]:
         """Ids of each text, without begin and end; ``known`` keeps the ids of short parts."""
         known = {} if known is None else known
         which, parts, offsets = self.cut(texts)
-        made = []
-        for part in parts:
-            found = known.get(part)
-            if found is None:
-                found = self.ids_of_part(part)
-                if len(part) <= KEPT_CHARS:
-                    if len(known) >= KEPT_PARTS:
-                        known.clear()
-                    known[part] = found
-            made.append(found)
+        if len(known) + len(parts) > KEPT_PARTS:
+            known.clear()
+        short = [part for part in parts if part not in known and 1 < len(part) <= KEPT_CHARS]
+        known.update(zip(short, self.ids_of_parts(short)))
+        made = [known[part] if part in known else self.ids_of_part(part) for part in parts]
         sizes = np.array([len(x) for x in made], dtype=np.int64)
         flat = np.array([i for x in made for i in x], dtype=np.int64)
         own = sizes[which]
@@ -149,12 +187,12 @@ class Vocabulary:
                     heapq.heappush(agenda, (c, previous, left, len(pair)))
         return [s for s in symbols if s]
 
+    def ids_of_symbol(self, symbol: str) -> list[int]:
+        own = self.ids.get(symbol)
+        return [own] if own is not None else [self.bytes[b] for b in symbol.encode("utf-8", "surrogatepass")]
+
     def ids_of_part(self, part: str) -> list[int]:
-        out: list[int] = []
-        for symbol in self.merged(part):
-            own = self.ids.get(symbol)
-            out.extend([own] if own is not None else [self.bytes[b] for b in symbol.encode("utf-8", "surrogatepass")])
-        return out
+        return [i for symbol in self.merged(part) for i in self.ids_of_symbol(symbol)]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: one leading space goes, control pieces are silent, bytes that make no character become a mark each."""
@@ -221,8 +259,15 @@ def digests(docs: DataFrame, model: bytes, check: bool = True) -> DataFrame:
     def sha(value: str) -> str:
         return hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()
 
+    decimal: list[str] = []
+
+    def joined(ids: list[int]) -> str:
+        while ids and len(decimal) <= max(ids):
+            decimal.append(str(len(decimal)))
+        return ",".join([decimal[i] for i in ids])
+
     return _each(docs, model, check, "n_tokens long, ids_sha256 string, decoded_sha256 string", {
-        "n_tokens": lambda text, ids, decoded: len(ids), "ids_sha256": lambda text, ids, decoded: sha(",".join(map(str, ids))),
+        "n_tokens": lambda text, ids, decoded: len(ids), "ids_sha256": lambda text, ids, decoded: sha(joined(ids)),
         "decoded_sha256": lambda text, ids, decoded: sha(decoded),
     }, [pa.int64(), pa.string(), pa.string()])
 
