@@ -193,7 +193,8 @@ def discounts(counts: DataFrame, positive: bool = False) -> DataFrame:
     context, and texts with one get an infinite surprise.
     """
     seen = [F.count(F.when(F.col("c") == k, 1)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    # Without n-grams seen once or twice there is no share, and the plain sides below apply.
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     usable = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
     raw = {k: F.lit(float(k)) - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")) for k in (1, 2, 3)}
     sides = {f"d{k}": F.when(usable & (d > 0) if positive else usable, F.greatest(F.lit(0.0), d)).otherwise(k / 2.0) for k, d in raw.items()}

@@ -23,7 +23,7 @@ from skywharf.session import cut_lineage
 #: Turns of a conversation that one shard holds; later ones are further segments.
 SEGMENT = 1000
 #: Rows of a shard, and rows of the given table that are numbered as one.
-SHARD_ROWS, CELL = 200_000, 1024
+SHARD_ROWS, CELL = 20_000, 1024
 #: Ids that one row of a member list holds.
 LISTED = 4096
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]

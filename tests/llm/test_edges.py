@@ -1,9 +1,10 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from skywharf.llm import chat, decontaminate, html_text, language_model, licenses, mixing, ngram_join, quality_rules, secret_scan, shards
+from skywharf.llm import chat, decontaminate, html_text, language_model, licenses, mixing, ngram_join, periodic_runs, piece_codec, quality_rules, secret_scan, shards
 
 import corpus_pipeline
 
@@ -47,6 +48,9 @@ OPERATORS = {
     "mix": lambda d, i, b: mixing.mix(d),
     "overlaps": lambda d, i, b: decontaminate.overlaps(d, i),
     "shards": lambda d, i, b: shards.assign(d),
+    "quality": lambda d, i, b: language_model.quality(d, b),
+    "pieces": lambda d, i, b: piece_codec.encode(d, open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()),
+    "runs": lambda d, i, b: periodic_runs.runs(d, periodic_runs.repeated_tail),
 }
 
 

@@ -1,13 +1,13 @@
 """Thresholds and n-grams of the quality queries."""
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import oracle
 
 from skywharf.llm import language_model
 
-from test_stages import KneserNey, letters  # noqa: E402
+from test_stages import Long, given, plain_quality  # noqa: E402
 
 
 def test_threshold_is_a_quantile_of_held_out_texts(spark):
@@ -26,36 +26,22 @@ def test_threshold_is_a_quantile_of_held_out_texts(spark):
         assert sum(v <= limit[lang] for v in values) >= 0.99 * len(values)
 
 
-class Long(KneserNey):
-    """Interpolated modified Kneser-Ney n-grams of DEPTH characters, in plain dictionaries."""
-
-    def __init__(self, texts):
-        n = language_model.DEPTH
-        self.counts = {n: Counter()}
-        for text in texts:
-            chars = ["\x02"] * (n - 1) + letters(text)
-            self.counts[n].update(tuple(chars[k : k + n]) for k in range(len(chars) - n + 1))
-        for order in range(n - 1, 0, -1):
-            self.counts[order] = Counter(g[1:] for g in self.counts[order + 1])
-        self.discounts, self.totals, self.freed = {}, {}, {}
-        for order, counts in self.counts.items():
-            seen = Counter(counts.values())
-            if seen[1] and seen[2] and seen[3]:
-                y = seen[1] / (seen[1] + 2 * seen[2])
-                raw = [k - (k + 1) * y * seen[k + 1] / seen[k] for k in (1, 2, 3)]
-                self.discounts[order] = [d if d > 0 else (k + 1) / 2 for k, d in enumerate(raw)]
-            else:
-                self.discounts[order] = [0.5, 1.0, 1.5]
-            self.totals[order], self.freed[order] = Counter(), Counter()
-            for g, c in counts.items():
-                self.totals[order][g[:-1]] += c
-                self.freed[order][g[:-1]] += self.discounts[order][min(c, 3) - 1]
-
-    def mean(self, text):
-        n = language_model.DEPTH
-        chars = ["\x02"] * (n - 1) + letters(text)
-        each = [-math.log(self.probability(tuple(chars[k : k + n]))) for k in range(len(chars) - n + 1)]
-        return sum(each) / len(each)
+def test_query_on_given_documents(spark):
+    """Perplexity, threshold and verdict of every document, with the settings of the query."""
+    docs, labels = given(spark)
+    expected = plain_quality(spark, [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()], labels, language_model.QUANTILE, 1.0, Long)
+    rows = language_model.quality(docs.repartition(3), spark.read.parquet(f"{oracle.DATA}/sf0.001/labels.parquet")).collect()
+    assert len(rows) == len(expected)
+    for r in rows:
+        perplexity, threshold, kept = expected[r["doc_id"]]
+        assert math.isclose(r["perplexity"], perplexity, rel_tol=1e-9) and math.isclose(r["threshold"], threshold, rel_tol=1e-9) and r["kept"] == kept
+
+
+def test_one_trusted_text_repeated(spark):
+    """No n-gram is seen once or twice: the plain discounts apply, and nothing divides by 0."""
+    docs = spark.createDataFrame([(k, "the same words again", "en") for k in range(3)] + [(9, "other words", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(3)], "doc_id long, quality int, toxic int")
+    assert all(r["perplexity"] > 0 for r in language_model.quality(docs, labels).collect())
 
 
 def test_long_grams_equal_plain_kneser_ney(spark):
