@@ -11,13 +11,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skywharf.functions import clock, wind
 from skywharf.functions.weather import saturation_ratio
-from skywharf.plans.ranks import exact_quantiles
-from skywharf.plans.timeline import CHUNK_ROWS, HOUR, Stage, fitting_cell, over_chunks
+from skywharf.plans.ranks import counted_quantiles
+from skywharf.plans.timeline import CHUNK_ROWS, HOUR, MOST_ROWS, Stage, cell_of, fitting_cell, over_chunks
+from skywharf.session import cut_lineage
 
 DEFAULT_STEPS_PER_HOUR = 2
 
@@ -37,16 +38,34 @@ def hour_label(hours: float) -> str:
     return f"{hours:g}h"
 
 
+def gap_counts(df: DataFrame, keys: Sequence[str], time: str) -> tuple[DataFrame, DataFrame]:
+    """Counted gaps between the rows of a key (keys, ``_gap`` in minutes, ``_gaps``), and the rows of its hours (``_rows``).
+
+    Gaps inside an hour and gaps between an hour's last row and the next one's first are counted apart, so no row gets a
+    position for it; counts are combined before they are shuffled.
+    """
+    rows = df.select(*keys, F.unix_micros(time).alias("_us"), cell_of(time, HOUR).alias("_cell")).filter(F.col("_us").isNotNull())
+    step = F.col("_us") - F.lag("_us").over(Window.partitionBy(*keys, "_cell").orderBy("_us"))
+    inside = rows.select(*keys, step.alias("_us")).groupBy(*keys, "_us").agg(F.count(F.lit(1)).alias("_gaps"))
+    hours = rows.groupBy(*keys, "_cell").agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"), F.count(F.lit(1)).alias("_rows"))
+    across = F.col("_lo") - F.lag("_hi").over(Window.partitionBy(*keys).orderBy("_cell"))
+    between = hours.select(*keys, across.alias("_us")).groupBy(*keys, "_us").agg(F.count(F.lit(1)).alias("_gaps"))
+    both = inside.unionByName(between).filter(F.col("_us").isNotNull()).groupBy(*keys, "_us").agg(F.sum("_gaps").alias("_gaps"))
+    return both.select(*keys, (F.col("_us") / 60e6).alias("_gap"), "_gaps"), hours
+
+
 def steps_per_hour(df: DataFrame, keys: Sequence[str], time: str, default: int = DEFAULT_STEPS_PER_HOUR) -> DataFrame:
     """Rows per hour of each key, from the exact median gap between its rows."""
-    gaps = over_chunks(
-        df.select(*keys, time), keys, time,
-        [lambda w: {"_gap": (F.unix_micros(time) - F.lag(F.unix_micros(time)).over(w)) / 60e6}], reach_back=1,
-    )
-    medians = exact_quantiles(gaps, keys, "_gap", {"median_gap_minutes": 0.5})
+    return _shape(df, keys, time, default).drop("_fullest")
+
+
+def _shape(df: DataFrame, keys: Sequence[str], time: str, default: int = DEFAULT_STEPS_PER_HOUR) -> DataFrame:
+    """``steps_per_hour`` with ``_fullest``, the rows of the key's fullest hour."""
+    gaps, hours = gap_counts(df, keys, time)
+    medians = counted_quantiles(gaps, keys, "_gap", "_gaps", {"median_gap_minutes": 0.5})
     per_hour = F.greatest(F.lit(1), F.bround(60.0 / F.col("median_gap_minutes"), 0).cast("int"))
     inferred = F.when(F.col("median_gap_minutes") > 0, per_hour).otherwise(default)
-    counted = df.select(*keys).distinct()
+    counted = hours.groupBy(*keys).agg(F.max("_rows").alias("_fullest"))
     return counted.join(medians.withColumn("steps_per_hour", inferred), list(keys), "left").withColumn(
         "steps_per_hour", F.coalesce("steps_per_hour", F.lit(default))
     )
@@ -75,15 +94,19 @@ def hourly_features(df: DataFrame, keys: Sequence[str], time: str, build: Callab
                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Features named by hours, with the rows per hour that each key's own gaps show.
 
-    Only the distinct rates reach the driver: whole numbers, one for each kind of feed. Keys of one rate share a pass.
-    Cells are as narrow as the fullest one needs.
+    The rows are stored once; one job over their keys and times gives the rates and how full an hour is. Only the distinct
+    rates reach the driver: whole numbers, one for each kind of feed. Keys of one rate share a pass. Cells are as narrow
+    as the fullest one needs.
     """
-    cell_seconds = fitting_cell(df, keys, time)
-    rates = steps_per_hour(df, keys, time).select(*keys, "steps_per_hour")
-    found = sorted(row[0] for row in rates.select("steps_per_hour").distinct().collect()) or [DEFAULT_STEPS_PER_HOUR]
+    stored = cut_lineage(df)
+    rates = cut_lineage(_shape(stored, keys, time).select(*keys, "steps_per_hour", "_fullest"))
+    shape = rates.groupBy("steps_per_hour").agg(F.max("_fullest").alias("rows")).collect()
+    found = sorted(row["steps_per_hour"] for row in shape) or [DEFAULT_STEPS_PER_HOUR]
+    crowded = max((row["rows"] for row in shape), default=0) > MOST_ROWS
+    cell_seconds = fitting_cell(stored, keys, time) if crowded else HOUR
     parts = []
     for steps in found:
-        own = df.join(rates.where(F.col("steps_per_hour") == steps), list(keys), "left_semi") if len(found) > 1 else df
+        own = stored.join(rates.where(F.col("steps_per_hour") == steps), list(keys), "left_semi") if len(found) > 1 else stored
         parts.append(apply_features(own, keys, time, build(steps), tie, chunk_rows, cell_seconds))
     return reduce(DataFrame.unionByName, parts)
 

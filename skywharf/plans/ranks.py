@@ -72,8 +72,17 @@ def exact_quantiles(
     Positions are ``p * (n - 1)``; the two neighbouring order statistics are
     picked from running counts over distinct values.
     """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_weight"))
+    return counted_quantiles(counted, groups, value, "_weight", probabilities)
+
+
+def counted_quantiles(
+    counted: DataFrame, groups: Sequence[str], value: str, weight: str, probabilities: dict[str, float]
+) -> DataFrame:
+    """``exact_quantiles`` of values that are counted already: one row for each distinct value, with its count."""
     groups = list(groups)
-    ranked = cumulative_counts(value_buckets(df, groups, value), groups, value, ["_count"])
+    shaped = bordered(counted, groups, value, weight).withColumnsRenamed({weight: "_count", "_total": "_n"})
+    ranked = cumulative_counts(shaped, groups, value, ["_count"])
     first, last = F.col("_count_before"), F.col("_count_before") + F.col("_count") - 1
 
     def at(position: Column) -> Column:

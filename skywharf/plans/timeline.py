@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 HOUR = 3600
 DAY = 86400
 CHUNK_ROWS = 100_000
+#: Rows that a time cell may hold before it is cut narrower.
+MOST_ROWS = 10 * CHUNK_ROWS
 #: Cells that one window scans at most where marked values are carried along a key.
 BLOCK_CELLS = 4096
 
@@ -38,7 +40,7 @@ def cell_of(time: str, seconds: int) -> Column:
     return F.floor(F.unix_seconds(F.col(time)) / F.lit(seconds)).cast("long")
 
 
-def fitting_cell(df: DataFrame, keys: Sequence[str], time: str, widest: int = HOUR, most_rows: int = 10 * CHUNK_ROWS) -> int:
+def fitting_cell(df: DataFrame, keys: Sequence[str], time: str, widest: int = HOUR, most_rows: int = MOST_ROWS) -> int:
     """Seconds of a cell so that the fullest one holds about ``most_rows`` at most. Runs a job over keys and times.
 
     Cells are counted at the widest width and narrowed until the fullest fits;
