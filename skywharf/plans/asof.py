@@ -7,21 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skywharf.plans.timeline import BLOCK_CELLS, DAY, neighbours
+from skywharf.plans.timeline import DAY, neighbours
 
 #: Levels of a dyadic cover: enough for 2^LEVELS borders in one cell.
 LEVELS = 40
 
 
-def around(points: DataFrame, sources: dict[str, DataFrame], keys: Sequence[str], at: str, cell_seconds: int = 1, block_cells: int = BLOCK_CELLS) -> DataFrame:
+def around(
+    points: DataFrame, sources: dict[str, DataFrame], keys: Sequence[str], at: str, sides: Sequence[str] = ("prev", "next"), cell_seconds: int | None = None
+) -> DataFrame:
     """Attach to each point the row of every source before (``<name>_prev``) and after it (``<name>_next``), in one scan.
 
-    A source has the keys, a time ``_at`` and a struct ``_value``. A row at exactly the time of a point counts as both.
-    All sources and the points are merged into one ordered stream per key, so several values and both directions cost
-    one shuffle of the points.
+    A source has the keys, a time ``_at`` and a struct ``_value``, whose field ``_time``, if it has one, is that time: a row
+    at exactly the time of a point then counts as both. All sources and the points are merged into one ordered stream per
+    key, so several values and both directions cost one shuffle of the points.
     """
     keys, names = list(keys), list(sources)
     shape = {n: sources[n].schema["_value"].dataType for n in names}
+    looked = ("prev", "next") if "next" in sides else sides
 
     def payload(own: str | None) -> list[Column]:
         return [(F.col("_value") if n == own else F.lit(None).cast(shape[n])).alias(f"_pay_{n}") for n in names]
@@ -30,11 +33,13 @@ def around(points: DataFrame, sources: dict[str, DataFrame], keys: Sequence[str]
     for n in names:
         rows = sources[n].select(*keys, F.col("_at").alias("_event_time"), F.lit(0).alias("_is_target"), *payload(n))
         merged = merged.unionByName(rows.dropna(subset=[*keys, "_event_time"]), allowMissingColumns=True)
-    found = neighbours(merged, keys, "_event_time", {n: F.col(f"_pay_{n}") for n in names}, ["_is_target"], cell_seconds, block_cells)
+    found = neighbours(merged, keys, "_event_time", {n: F.col(f"_pay_{n}") for n in names}, ["_is_target"], cell_seconds, sides=looked)
     rows = found.filter(F.col("_is_target") == 1)
     # The scan meets a source row before a point of the same time, so only the look ahead has to be told of it.
-    ahead = {f"{n}_next": F.when(F.col(f"{n}_prev._time") == F.col(at), F.col(f"{n}_prev")).otherwise(F.col(f"{n}_next")) for n in names if "_time" in shape[n].names}
-    return rows.withColumns(ahead).drop("_event_time", "_is_target", *[f"_pay_{n}" for n in names])
+    exact = {n: F.col(f"{n}_prev._time") == F.col(at) for n in names if "next" in sides and "_time" in shape[n].names}
+    ahead = {f"{n}_next": F.when(same, F.col(f"{n}_prev")).otherwise(F.col(f"{n}_next")) for n, same in exact.items()}
+    unasked = [f"{n}_{side}" for n in names for side in looked if side not in sides]
+    return rows.withColumns(ahead).drop("_event_time", "_is_target", *[f"_pay_{n}" for n in names], *unasked)
 
 
 def nearest_join(
@@ -46,7 +51,7 @@ def nearest_join(
     values: Sequence[str],
     tolerance_seconds: float | None = None,
     direction: str = "nearest",
-    cell_seconds: int = 1,
+    cell_seconds: int | None = None,
 ) -> DataFrame:
     """Attach to each target the source row nearest in time, as struct ``_match``.
 
@@ -56,7 +61,10 @@ def nearest_join(
     """
     fields = [source_time, *[v for v in values if v != source_time]]
     rows = source.select(*keys, F.col(source_time).alias("_at"), F.struct(F.col(source_time).alias("_time"), F.struct(*fields).alias("row")).alias("_value"))
-    found = around(targets, {"_near": rows}, keys, target_time, cell_seconds)
+    sides = {"backward": ("prev",), "forward": ("next",)}.get(direction, ("prev", "next"))
+    found = around(targets, {"_near": rows}, keys, target_time, sides, cell_seconds)
+    if direction != "nearest":
+        found = found.withColumn("_near_next" if direction == "backward" else "_near_prev", F.lit(None).cast(rows.schema["_value"].dataType))
     back_gap = F.col(target_time).cast("double") - F.col("_near_prev._time").cast("double")
     ahead_gap = F.col("_near_next._time").cast("double") - F.col(target_time).cast("double")
     before, after = F.col("_near_prev.row"), F.col("_near_next.row")
@@ -151,4 +159,4 @@ def interval_match(
     fields = [start, end, *[v for v in values if v not in (start, end)]]
     cut = segments(periods, keys, start, end, order, {"_period": (F.lit(True), F.struct(*fields))}, cell_seconds)
     rows = cut.select(*keys, "_at", F.struct(F.col("_period").alias("row")).alias("_value"))
-    return around(points, {"_held": rows}, keys, at).withColumn("_period", F.col("_held_prev.row")).drop("_held_prev", "_held_next")
+    return around(points, {"_held": rows}, keys, at, ("prev",)).withColumn("_period", F.col("_held_prev.row")).drop("_held_prev")

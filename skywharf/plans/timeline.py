@@ -10,7 +10,7 @@ safe window. Three shapes replace it:
   into chunks of fixed length; the rows a neighbour chunk can reach are copied
   into it and dropped afterwards, so frames stay exact.
 * ``neighbours``   - previous / next marked row at any distance: a scan over
-  seconds, blocks of seconds and the blocks of a key.
+  time cells, blocks of cells and the blocks of a key.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from skywharf.session import cut_lineage
+
 HOUR = 3600
 DAY = 86400
 CHUNK_ROWS = 100_000
@@ -149,60 +151,59 @@ def neighbours(
     time: str,
     payloads: dict[str, Column],
     tie: Sequence[str] = (),
-    cell_seconds: int = 1,
+    cell_seconds: int | None = None,
     block_cells: int = BLOCK_CELLS,
+    sides: Sequence[str] = ("prev", "next"),
 ) -> DataFrame:
     """Nearest non-null payload at or before, and at or after, each row.
 
-    Adds ``<name>_prev`` and ``<name>_next`` per payload. A scan in three
-    steps: rows look inside their own cell (one second), cells inside their
-    block of ``block_cells`` cells, and blocks along the key; each step passes
-    on the first and last marked value of its parts. So however crowded an
-    hour is, a window holds the rows of one second, the cells of one block or
-    the blocks of one key. Results do not depend on the widths.
+    Adds ``<name>_prev`` and ``<name>_next`` per payload, or one of ``sides``.
+    A scan in three steps: rows look inside their own time cell, cells inside
+    their block of ``block_cells`` cells, and blocks along the key; each step
+    passes on the first and last marked value of its parts. The rows are
+    stored once, and one job over their keys and times finds the widest cell
+    whose fullest one stays below MOST_ROWS, down to a second. So however
+    crowded an hour is, a window holds few rows of one cell, the cells of one
+    block or the blocks of one key. Results do not depend on the widths.
     """
     keys, names, order = list(keys), list(payloads), [time, *tie]
-    celled = df.withColumn("_cell", cell_of(time, cell_seconds)).withColumns(
-        {f"_mark_{n}": payloads[n] for n in names}
-    )
-    rows = celled.select("*", *_carried(names, [*keys, "_cell"], order, "_mark_", "_mark_", 0, ("_p_", "_n_")))
+    marked = df.withColumns({f"_mark_{n}": payloads[n] for n in names})
+    if cell_seconds is None:
+        marked = cut_lineage(marked)
+        cell_seconds = fitting_cell(marked, keys, time, DAY)
+    celled = marked.withColumn("_cell", cell_of(time, cell_seconds))
+    rows = celled.select("*", *_carried(names, [*keys, "_cell"], order, "_mark_", "_mark_", 0, "_own_", sides))
     edge_aggs = []
     for n in names:
-        marked = F.when(F.col(f"_mark_{n}").isNotNull(), F.struct(*[F.col(c) for c in order]))
-        edge_aggs += [
-            F.max_by(f"_mark_{n}", marked).alias(f"_last_{n}"),
-            F.min_by(f"_mark_{n}", marked).alias(f"_first_{n}"),
-        ]
+        place = F.when(F.col(f"_mark_{n}").isNotNull(), F.struct(*[F.col(c) for c in order]))
+        edge_aggs += [F.max_by(f"_mark_{n}", place).alias(f"_last_{n}"), F.min_by(f"_mark_{n}", place).alias(f"_first_{n}")]
     edges = celled.groupBy(*keys, "_cell").agg(*edge_aggs).withColumn("_block", F.floor(F.col("_cell") / block_cells))
     block_aggs = []
     for n in names:
-        marked = F.when(F.col(f"_last_{n}").isNotNull(), F.col("_cell"))
-        block_aggs += [F.max_by(f"_last_{n}", marked).alias(f"_last_{n}"), F.min_by(f"_first_{n}", marked).alias(f"_first_{n}")]
+        place = F.when(F.col(f"_last_{n}").isNotNull(), F.col("_cell"))
+        block_aggs += [F.max_by(f"_last_{n}", place).alias(f"_last_{n}"), F.min_by(f"_first_{n}", place).alias(f"_first_{n}")]
     blocks = edges.groupBy(*keys, "_block").agg(*block_aggs)
-    along = blocks.select(*keys, "_block", *_carried(names, keys, ["_block"], "_last_", "_first_", -1, ("_bp_", "_bn_")))
-    inside = edges.select(*keys, "_block", "_cell", *_carried(names, [*keys, "_block"], ["_cell"], "_last_", "_first_", -1, ("_cp_", "_cn_")))
+    along = blocks.select(*keys, "_block", *_carried(names, keys, ["_block"], "_last_", "_first_", -1, "_along_", sides))
+    inside = edges.select(*keys, "_block", "_cell", *_carried(names, [*keys, "_block"], ["_cell"], "_last_", "_first_", -1, "_inside_", sides))
     carried = inside.join(along, [*keys, "_block"]).select(
-        *keys, "_cell",
-        *[F.coalesce(f"_c{side}_{n}", f"_b{side}_{n}").alias(f"_c{side}_{n}") for n in names for side in "pn"],
+        *keys, "_cell", *[F.coalesce(f"_inside_{n}_{side}", f"_along_{n}_{side}").alias(f"_far_{n}_{side}") for n in names for side in sides],
     )
     # Rows without a time or key have no neighbours but stay.
     joined = rows.join(carried, [*keys, "_cell"], "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in df.columns],
-        *[F.coalesce(f"_p_{n}", f"_cp_{n}").alias(f"{n}_prev") for n in names],
-        *[F.coalesce(f"_n_{n}", f"_cn_{n}").alias(f"{n}_next") for n in names],
+        *[F.coalesce(f"_own_{n}_{side}", f"_far_{n}_{side}").alias(f"{n}_{side}") for n in names for side in sides],
     )
 
 
-def _carried(names: Sequence[str], group: Sequence[str], order: Sequence[str], last: str, first: str, upto: int, out: tuple[str, str]) -> list[Column]:
+def _carried(names: Sequence[str], group: Sequence[str], order: Sequence[str], last: str, first: str, upto: int, out: str, sides: Sequence[str]) -> list[Column]:
     """Last value before and first value after each row of a group; ``upto`` 0 takes the row itself in, -1 does not."""
     window = Window.partitionBy(*group)
-    forward = window.orderBy(*[F.col(c).asc() for c in order]).rowsBetween(Window.unboundedPreceding, upto)
-    backward = window.orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, upto)
-    return [
-        *[F.last(f"{last}{n}", ignorenulls=True).over(forward).alias(f"{out[0]}{n}") for n in names],
-        *[F.last(f"{first}{n}", ignorenulls=True).over(backward).alias(f"{out[1]}{n}") for n in names],
-    ]
+    at = {
+        "prev": (last, window.orderBy(*[F.col(c).asc() for c in order]).rowsBetween(Window.unboundedPreceding, upto)),
+        "next": (first, window.orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, upto)),
+    }
+    return [F.last(f"{at[side][0]}{n}", ignorenulls=True).over(at[side][1]).alias(f"{out}{n}_{side}") for side in sides for n in names]
 
 
 def time_grid(df: DataFrame, keys: Sequence[str], time: str, step_seconds: int) -> DataFrame:

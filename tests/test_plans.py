@@ -58,7 +58,7 @@ def test_chunked_frames_equal_plain_windows(series, chunk):
     same(chunked.select(*plain.columns), plain)
 
 
-@pytest.mark.parametrize("cell, block", [(1, 4096), (600, 7), (60, 1)])
+@pytest.mark.parametrize("cell, block", [(1, 4096), (600, 7), (60, 1), (None, 4096)])
 def test_neighbours_reach_across_empty_cells(series, cell, block):
     mark = F.when(F.col("v") > 12, F.col("v"))
     got = neighbours(series, ["station_id"], "obs_time", {"m": mark}, tie=["seq"], cell_seconds=cell, block_cells=block)
@@ -117,7 +117,9 @@ def test_a_crowded_hour_has_bounded_windows(spark):
     rng = random.Random(12)
     rows = [("hot", START + dt.timedelta(milliseconds=rng.randrange(3_600_000)), k) for k in range(9000)] + [("hot", START + dt.timedelta(hours=1 + k), 9000 + k) for k in range(1000)]
     frame = spark.createDataFrame([(*r, float(r[2]) if r[2] % 97 == 0 else None) for r in rows], "station_id string, obs_time timestamp, seq long, v double")
-    got = neighbours(frame, ["station_id"], "obs_time", {"m": F.col("v")}, tie=["seq"])
+    got = neighbours(frame, ["station_id"], "obs_time", {"m": F.col("v")}, tie=["seq"], cell_seconds=1)
+    same(got, neighbours(frame, ["station_id"], "obs_time", {"m": F.col("v")}, tie=["seq"]), ("station_id", "obs_time", "seq"))
+    assert fitting_cell(frame, ["station_id"], "obs_time", 86400, most_rows=20) <= 8 and fitting_cell(frame, ["station_id"], "obs_time", 86400) == 86400
     w = Window.partitionBy("station_id").orderBy("obs_time", "seq")
     plain = frame.withColumns({
         "m_prev": F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "m_next": F.first("v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
