@@ -18,6 +18,7 @@ from skywharf.catalog.views import Views, rounded, ts, tsql, with_views
 from skywharf.operators import cleaning
 from skywharf.session import checkpoint_dir
 from skywharf.streaming import jobs
+from skywharf.streaming.parts import part_sink, read_parts
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -31,7 +32,7 @@ class StreamViews(Views):
         return self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.sf_dir)
 
 
-def drained(v, build, sink=None, mode="append"):
+def drained(v, build, sink=None, mode="append", read=lambda spark, path: spark.read.parquet(path)):
     """Run a streaming plan to the end and return what it wrote."""
     spark = v.spark
     folder = os.path.join(checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
@@ -39,7 +40,7 @@ def drained(v, build, sink=None, mode="append"):
     stream = build(StreamViews(spark, v.sf_dir))
 
     jobs.run(stream, f"{folder}/state", sink(target) if sink else jobs.batch_sink(target), mode=mode).awaitTermination()
-    return spark.read.parquet(target)
+    return read(spark, target)
 
 
 def masked(sv):
@@ -124,7 +125,8 @@ def _(v):
 )
 def _(v):
     measures = ["wind_speed", "wind_gust"]
-    parts = drained(v, masked, lambda path: jobs.batch_sink(path, lambda batch: jobs.tumbling_parts(batch, measures)))
+    sink = lambda path: part_sink(path, lambda batch: jobs.tumbling_parts(batch, measures), lambda parts: jobs.tumbling_merged(parts, measures))
+    parts = drained(v, masked, sink, read=read_parts)
     return rounded(jobs.tumbling_mean(parts, measures), *measures).withColumn("obs_time", ts("obs_time"))
 
 
@@ -139,7 +141,7 @@ def _(v):
     ),
 )
 def _(v):
-    parts = drained(v, masked, lambda path: jobs.batch_sink(path, jobs.trend_parts))
+    parts = drained(v, masked, lambda path: part_sink(path, jobs.trend_parts, jobs.trend_merged), read=read_parts)
     return jobs.sliding_trend(parts).withColumn("window_end", ts("window_end"))
 
 

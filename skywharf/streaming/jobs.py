@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,6 +131,35 @@ def freshness(latest: DataFrame, as_of: Column) -> DataFrame:
     return latest.withColumns({"age_minutes": age, "threshold_minutes": threshold, "status": clock.status_level(age, threshold)})
 
 
+SILENCE_SCHEMA = "station_id string, last_time timestamp, status string"
+
+
+def silence(stream: DataFrame, limit_seconds: float, time: str = "obs_time") -> DataFrame:
+    """A row when a station falls silent and one when it comes back, in append mode.
+
+    Each station has a keyed state with a timer of the processing clock, set anew by every batch that has rows of it. When
+    no row came for ``limit_seconds``, the timer itself gives the ``outage`` row: no event of any station is needed. The
+    first rows after it give ``recovered``. ``last_time`` is the newest observation seen; rows without a station or a time
+    count for nothing. A batch hands a station over in Arrow batches, so no station is held whole.
+    """
+
+    def watch(key, frames, state):
+        last, silent = state.get if state.exists else (None, False)
+        if state.hasTimedOut:
+            state.update((last, True))
+            yield pd.DataFrame({"station_id": [key[0]], "last_time": [last], "status": ["outage"]})
+            return
+        newest = max((frame[time].max() for frame in frames if len(frame)), default=None)
+        last = newest if last is None else max(last, newest)
+        state.update((last, False))
+        state.setTimeoutDuration(int(limit_seconds * 1000))
+        if silent:
+            yield pd.DataFrame({"station_id": [key[0]], "last_time": [last], "status": ["recovered"]})
+
+    seen = stream.filter(F.col("station_id").isNotNull() & F.col(time).isNotNull()).select("station_id", time)
+    return seen.groupBy("station_id").applyInPandasWithState(watch, SILENCE_SCHEMA, "last timestamp, silent boolean", "append", "ProcessingTimeTimeout")
+
+
 def stamped_stale(stream: DataFrame, limit_minutes: int = 20) -> DataFrame:
     """Flag set at ingest: the row was already old when it was fetched."""
     age = F.col("fetched_at").cast("double") - F.col("obs_time").cast("double")
@@ -143,6 +173,11 @@ def tumbling_parts(rows: DataFrame, measures: Sequence[str], minutes: int = 10,
     ).select("station_id", F.col("_w.start").alias(time), *[f"{m}_{x}" for m in measures for x in ("sum", "n")])
 
 
+def tumbling_merged(parts: DataFrame, measures: Sequence[str], time: str = "obs_time") -> DataFrame:
+    """Parts of several batches added up to parts."""
+    return parts.groupBy("station_id", time).agg(*[F.sum(f"{m}_{x}").alias(f"{m}_{x}") for m in measures for x in ("sum", "n")])
+
+
 def tumbling_mean(parts: DataFrame, measures: Sequence[str], time: str = "obs_time") -> DataFrame:
     """Mean per station and grid step from the parts of all batches."""
     return parts.groupBy("station_id", time).agg(*[(F.sum(f"{m}_sum") / F.nullif(F.sum(f"{m}_n"), F.lit(0))).alias(m) for m in measures])
@@ -159,9 +194,14 @@ def trend_parts(rows: DataFrame, time: str = "obs_time") -> DataFrame:
     ).select("station_id", "device_type", F.col("_w.end").alias("window_end"), "first", "last", "points")
 
 
+def trend_merged(parts: DataFrame) -> DataFrame:
+    """Parts of several batches as parts."""
+    return parts.groupBy(*TREND_KEYS).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("points").alias("points"))
+
+
 def sliding_trend(parts: DataFrame, offsets: Sequence[int] = (10, 30, 60, 90)) -> DataFrame:
     """Straight-line wind forecast from the first and last point of each two-hour window."""
-    ends = parts.groupBy(*TREND_KEYS).agg(F.min("first").alias("a"), F.max("last").alias("b"), F.sum("points").alias("points"))
+    ends = trend_merged(parts).withColumnsRenamed({"first": "a", "last": "b"})
     minutes = F.greatest((F.col("b.t").cast("double") - F.col("a.t").cast("double")) / 60, F.lit(1.0))
     slope = (F.col("b.v") - F.col("a.v")) / minutes
     spread = ends.withColumn("offset_minutes", F.explode(F.array(*[F.lit(o) for o in offsets])))

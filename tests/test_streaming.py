@@ -2,12 +2,14 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from skywharf.operators import cleaning
 from skywharf.streaming import jobs
+from skywharf.streaming.parts import live_parts, part_sink, read_parts
 
 SCHEMA = "station_id string, device_type string, obs_time timestamp, seq long, wind_speed double"
 START = dt.datetime(2024, 3, 1)
@@ -113,3 +115,47 @@ def test_a_broken_file_fails_its_source_alone(spark, rows, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/good/*").count() == len(rows)
     only = jobs.run_sources(jobs.landing_streams(spark, {"bad": bad}, schema), str(tmp_path / "again"), lambda b, k: b.count()).collect()
     assert [r["all_failed"] for r in only] == [True]
+
+
+def test_parts_stay_few_over_many_batches(spark, tmp_path):
+    """100 batches with late rows, a repeat of a merged batch and of a new one: few folders, and the means of all rows."""
+    path, rng, rows = str(tmp_path / "parts"), random.Random(3), []
+    sink = part_sink(path, lambda b: jobs.tumbling_parts(b, ["wind_speed"]), lambda p: jobs.tumbling_merged(p, ["wind_speed"]), fold=4)
+    for k in range(100):
+        batch = [("A", "WIND", START + dt.timedelta(minutes=10 * rng.randrange(6)), k, float(rng.randrange(20)))]
+        frame = spark.createDataFrame(batch, SCHEMA).coalesce(1)
+        sink(frame, k)
+        rows += batch
+        if k in (37, 98):
+            sink(frame, k)
+        if k == 60:
+            sink(spark.createDataFrame(rows[3:4], SCHEMA), 3)
+        assert len(live_parts(spark, path)) <= 3 * 4
+    assert len(list((tmp_path / "parts").iterdir())) <= 2 * 3 * 4
+    (tmp_path / "parts" / "part-3-0-99").mkdir()
+    merged, whole = read_parts(spark, path), jobs.tumbling_parts(spark.createDataFrame(rows, SCHEMA), ["wind_speed"])
+    names = ["station_id", "obs_time", "wind_speed"]
+    assert table(jobs.tumbling_mean(merged, ["wind_speed"]), *names) == table(jobs.tumbling_mean(whole, ["wind_speed"]), *names)
+    assert merged.agg(F.sum("wind_speed_n")).first()[0] == 100
+
+
+def test_a_silent_station_is_reported_without_an_event(spark, tmp_path):
+    """The clock passes the limit and the outage row appears by itself; the next row of the station ends it."""
+    folder, out = str(tmp_path / "landing"), []
+    land(spark, [("A", "WIND", START, 1, 1.0), ("A", "WIND", START + dt.timedelta(hours=1), 2, 1.0), (None, "WIND", START, 3, 1.0)], folder, 1)
+    query = jobs.run(jobs.silence(stream(spark, folder), 5), str(tmp_path / "state"), lambda b, k: out.extend(map(tuple, b.collect())), every="1 second")
+
+    def wait(count):
+        until = time.time() + 90
+        while len(out) < count and time.time() < until:
+            assert query.exception() is None
+            time.sleep(0.5)
+
+    try:
+        wait(1)
+        assert out == [("A", START + dt.timedelta(hours=1), "outage")]
+        land(spark, [("A", "WIND", START + dt.timedelta(hours=2), 4, 1.0)], folder, 1)
+        wait(2)
+        assert out[1] == ("A", START + dt.timedelta(hours=2), "recovered")
+    finally:
+        query.stop()
