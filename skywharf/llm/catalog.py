@@ -66,7 +66,7 @@ WITH told AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id
 last AS (SELECT conv_id, max(turn) AS last, max({'t': turn, 'x': text}).x AS answer FROM told WHERE role = 'assistant' GROUP BY conv_id),
 rows AS (
   SELECT t.*, l.last, o.conv_id IS NOT NULL AS has_other, o.answer AS other FROM told t LEFT JOIN last l USING (conv_id) LEFT JOIN last o ON o.conv_id = xor(t.conv_id, 1)
-  WHERE l.last IS NULL OR turn <= l.last
+  WHERE l.last IS NULL OR turn IS NULL OR turn <= l.last
 ), turns AS (
   SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM rows UNION ALL
   SELECT conv_id, 'rejected', turn, role, CASE WHEN turn = last AND role = 'assistant' THEN other ELSE text END FROM rows

@@ -2,7 +2,7 @@
 
 Paragraphs pass points for length and commas to their parent and, halved, to their grandparent; a container's points
 are discounted by the share of its text inside links. The best container is kept, with those siblings that score well
-or are paragraphs of plain text. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+or are paragraphs, headings, lists, quotes or tables of plain text. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are taken out of the tree before.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +21,8 @@ from skywharf.llm.words import bounded
 #: Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noframes".split())
+#: Raw elements that reach to the end of a page where nothing closes them, and those that may close themselves.
+ENDLESS, DRAWN = frozenset("script style textarea title xmp noframes".split()), frozenset(("svg", "math"))
 CUT = RAW | frozenset("head nav header footer aside form button select option dialog menu object applet canvas audio video label fieldset".split())
 BLOCK = frozenset(
     "html body address article section main div p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr td th hr "
@@ -28,6 +31,8 @@ BLOCK = frozenset(
 PARAGRAPH = frozenset("p pre td blockquote".split())
 #: Elements that are never the whole of a text: the container around them is.
 PARTS = frozenset("tr td th tbody thead tfoot table li ul ol dl dd dt p pre blockquote span b i em strong a font".split())
+#: Siblings of the best container that are kept for their own text.
+ALONGSIDE = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol dl blockquote pre table figure".split())
 #: What an opening tag closes, and the elements beyond which it closes nothing.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -60,9 +65,20 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """Tree of a page; unclosed and stray tags are tolerated, text of raw elements is skipped."""
+    """Tree of a page; unclosed and stray tags are tolerated, text of raw elements is skipped.
+
+    Open elements are counted by name, so a tag that closes nothing costs nothing, and others walk over what they close.
+    """
     root = node = Node("html", None)
-    at, low = 0, None
+    at, low, opened = 0, None, Counter()
+
+    def up_to(to: Node) -> Node:
+        up = node
+        while up is not to:
+            opened[up.tag] -= 1
+            up = up.parent
+        return to
+
     while at < len(page):
         token = TOKEN.match(page, at)
         at = token.end()
@@ -73,28 +89,30 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if token[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if opened[tag] > 0:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = up_to(up.parent)
             continue
         if tag in ("html", "body"):
             continue
         if tag in RAW:
+            if tag in DRAWN and token[3].rstrip().endswith("/"):
+                continue
             if low is None:
                 low = page.lower() if len(page.lower()) == len(page) else re.sub("[A-Z]", lambda m: m[0].lower(), page)
             end = low.find(f"</{tag}", at)
             if end >= 0:
                 close = page.find(">", end)
                 at = len(page) if close < 0 else close + 1
-            else:
+            elif tag in ENDLESS:
                 at = len(page)
             continue
-        if tag in BLOCK:
-            node = _close_paragraph(node, root)
+        if tag in BLOCK and opened["p"] > 0:
+            node = up_to(_close_paragraph(node, root))
         if tag in CLOSES:
-            node = _close(node, root, *CLOSES[tag])
+            node = up_to(_close(node, root, *CLOSES[tag], opened))
         hint, cut = "", tag in CUT
         if tag not in ("p", "b", "br", "i", "em", "strong", "li", "h1") or token[3]:
             found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(token[3])} if token[3] else {}
@@ -104,6 +122,7 @@ def parse(page: str) -> Node:
         child = Node(tag, node, hint, cut)
         node.items.append(child)
         if tag not in VOID:
+            opened[tag] += 1
             node = child
     return root
 
@@ -116,11 +135,11 @@ def _close_paragraph(node: Node, root: Node) -> Node:
     return up.parent if up.tag == "p" and up is not root else node
 
 
-def _close(node: Node, root: Node, what: set, beyond: set) -> Node:
-    up, to = node, node
-    while up is not root and up.tag not in beyond:
+def _close(node: Node, root: Node, what: set, beyond: set, opened: Counter) -> Node:
+    up, to, left = node, node, sum(opened[tag] for tag in what)
+    while left and up is not root and up.tag not in beyond:
         if up.tag in what:
-            to = up.parent
+            to, left = up.parent, left - 1
         up = up.parent
     return to
 
@@ -186,7 +205,7 @@ def chosen(root: Node) -> list[Node]:
         if not isinstance(item, Node) or item.cut:
             continue
         same = item.tag == best.tag and item.tag in ("article", "main") and density(item) < 0.5
-        plain = item.tag in ("p", "h1", "h2", "h3") and item.size and density(item) < 0.25
+        plain = item.tag in ALONGSIDE and item.size and density(item) < 0.25
         if item is best or same or plain or item.points * (1 - density(item)) >= least:
             kept.append(item)
     return kept

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import oracle
 import pytest
@@ -64,6 +65,11 @@ PAGES = [
      "<section id='comments'><p>nice, very, very long, comment, with commas</p></section></div>", "T First, with, commas. Second Third one two"),
     ("<article><p>in</p><script>var x='</p>';</script><style>p{}</style><!-- <p>no</p> --><p style='display: none'>hid</p><p>out</article>", "in out"),
     ("<article><p>" + "long, " * 50_000 + "</p></article>", ("long, " * 50_000).strip()),
+    ("<article><p>a</p><svg width=9 viewBox='0 0 1 1'/><p>b</p><math/><p>c</p><svg><title>no</title></svg><p>d</p></article>", "a b c d"),
+    ("<article><p>a<noscript>b</p><p>c</p></article>", "ab c"), ("<article><p>a</p><template><p>b</p></article>", "a b"), ("<article><p>a</p><script>b</article>", "a"),
+    ("<body><div><p>One, two, three, four.</p></div><h4>H</h4><ul><li>first<li>second</ul><blockquote>Quote</blockquote><table><tr><td>cell</table><ul><li><a href=x>elsewhere</a></ul></body>",
+     "One, two, three, four. H first second Quote cell"),
+    ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul></i></b></span>", "a b c d"),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"), ("<article><p>a</p></article><article><p>b</p></article>", "a b"),
 ]
 
@@ -73,6 +79,12 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("page", ["<p>" + "<i>" * 30_000 + "x" + "</b>" * 30_000, "<b>" * 30_000 + "<li>x" * 30_000, "<i>" * 30_000 + "x" + "</i>" * 30_000, "<div>" * 30_000 + "x" + "</i>" * 30_000])
+def test_long_pages_take_time_by_their_length(page):
+    started = time.time()
+    assert html_text.main_text(page).replace(" ", "").strip("x") == "" and time.time() - started < 10
+
+
 def test_main_text_of_given_pages(spark):
     for row in html_text.extract(spark.read.parquet(f"{oracle.DATA}/sf0.01/pages.parquet")).join(spark.read.parquet(f"{oracle.DATA}/sf0.01/pages.parquet").select("page_id", "html"), "page_id").collect():
         import html
