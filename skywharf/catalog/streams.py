@@ -18,7 +18,7 @@ from skywharf.catalog.views import Views, rounded, ts, tsql, with_views
 from skywharf.operators import cleaning
 from skywharf.session import checkpoint_dir
 from skywharf.streaming import jobs
-from skywharf.streaming.parts import part_sink, read_parts
+from skywharf.streaming.parts import keyed_sink, keyed_table, part_sink, read_parts
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -61,16 +61,19 @@ def _(v):
     def build(sv):
         return masked(sv).select("station_id", F.col("obs_hour").alias("obs_time"), "seq", "wind_speed")
 
-    out = drained(v, build, lambda path: jobs.append_last_sink(path, ["station_id", "obs_time"], ["seq"]))
+    keys = ["station_id", "obs_time"]
+    out = drained(v, build, lambda path: keyed_sink(path, keys, ["seq"]), read=lambda spark, path: keyed_table(spark, path, keys))
     return out.select("station_id", ts("obs_time").alias("obs_time"), "seq", "wind_speed")
 
 
 @query("str02_first_wins_keys", with_views("SELECT COUNT(*) AS n_rows, COUNT(DISTINCT station_id) AS n_stations FROM (SELECT DISTINCT station_id, obs_hour FROM obs)", "obs"))
 def _(v):
     def build(sv):
-        return sv.obs.select("station_id", F.col("obs_hour").alias("obs_time"), "seq")
+        return sv.obs.select("station_id", F.col("obs_hour").alias("obs_time"), "seq", "k")
 
-    return drained(v, build, lambda path: jobs.first_sink(path, ["station_id", "obs_time"], ["seq"])).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("station_id").alias("n_stations"))
+    keys, rest = ["station_id", "obs_time"], ["k"]
+    out = drained(v, build, lambda path: keyed_sink(path, keys, ["seq"], rest), read=lambda spark, path: keyed_table(spark, path, keys, rest))
+    return out.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("station_id").alias("n_stations"))
 
 
 @query(
@@ -83,7 +86,8 @@ def _(v):
     def build(sv):
         return masked(sv).select("source", "station_id", F.col("obs_hour").alias("obs_time"), "seq", F.coalesce("wind_speed", F.lit(-1.0)).alias("wind_speed"), F.col("k").alias("port_code"))
 
-    out = drained(v, build, lambda path: jobs.upsert_sink(path, ["seq"], keys, ["port_code"], ["wind_speed"]))
+    kept = ["port_code"]
+    out = drained(v, build, lambda path: keyed_sink(path, keys, ["seq"], kept), read=lambda spark, path: keyed_table(spark, path, keys, kept))
     return out.select("source", "station_id", ts("obs_time").alias("obs_time"), "seq", "wind_speed", "port_code")
 
 

@@ -9,10 +9,11 @@ merge that died is written again, and a repeated batch that was merged already i
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FOLD = 16
 
@@ -83,3 +84,43 @@ def part_sink(path: str, build: Callable[[DataFrame], DataFrame], merge: Callabl
             level += 1
 
     return write
+
+
+def keyed_parts(batch: DataFrame, batch_id: int, keys: Sequence[str], order: Sequence[str], kept: Sequence[str] = ()) -> DataFrame:
+    """One row for each key of a batch: its last version, and its first one for the ``kept`` columns.
+
+    Versions are ordered by batch and then by ``order``; what a later batch brings is newer.
+    """
+    place = F.struct(F.lit(batch_id).cast("long").alias("_batch"), *order)
+    last = [c for c in batch.columns if c not in keys and c not in kept]
+    return batch.groupBy(*keys).agg(
+        F.max(place).alias("_last_place"), F.max_by(F.struct(*last), place).alias("_last"), F.min(place).alias("_first_place"),
+        F.min_by(F.struct(*(kept or order)), place).alias("_first"),
+    )
+
+
+def keyed_merged(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Parts of several batches as parts: combined by key before they are shuffled."""
+    return parts.groupBy(*keys).agg(
+        F.max("_last_place").alias("_last_place"), F.max_by("_last", "_last_place").alias("_last"), F.min("_first_place").alias("_first_place"),
+        F.min_by("_first", "_first_place").alias("_first"),
+    )
+
+
+def keyed_sink(path: str, keys: Sequence[str], order: Sequence[str], kept: Sequence[str] = (), fold: int = FOLD) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer of an upserted table as deltas: a batch writes its own keys and nothing else.
+
+    Columns but keys and ``kept`` are those of the last version of a key, ``kept`` ones those of the first. Deltas are
+    folded as all parts are, so a row is written again once for each level.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        part_sink(path, lambda rows: keyed_parts(rows, batch_id, keys, order, kept), lambda parts: keyed_merged(parts, keys), fold)(batch, batch_id)
+
+    return write
+
+
+def keyed_table(spark: SparkSession, path: str, keys: Sequence[str], kept: Sequence[str] = ()) -> DataFrame:
+    """The upserted table: deltas merged as they are read."""
+    merged = keyed_merged(read_parts(spark, path), keys)
+    return merged.select(*keys, "_last.*", *[F.col(f"_first.{c}").alias(c) for c in kept])

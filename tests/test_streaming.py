@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skywharf.operators import cleaning
 from skywharf.streaming import jobs
-from skywharf.streaming.parts import live_parts, part_sink, read_parts
+from skywharf.streaming.parts import keyed_sink, keyed_table, live_parts, part_sink, read_parts
 
 SCHEMA = "station_id string, device_type string, obs_time timestamp, seq long, wind_speed double"
 START = dt.datetime(2024, 3, 1)
@@ -56,7 +56,7 @@ def run_twice(spark, rows, tmp_path, sink):
     jobs.run(stream(spark, folder), str(tmp_path / "state"), remembered).awaitTermination()
     assert last["id"] >= 6
     sink(path)(spark.createDataFrame(last["rows"], SCHEMA), last["id"])
-    return spark.read.parquet(path)
+    return spark.read.option("recursiveFileLookup", not any(tmp_path.glob("table/*=*"))).parquet(path)
 
 
 def table(df, *names):
@@ -159,3 +159,29 @@ def test_a_silent_station_is_reported_without_an_event(spark, tmp_path):
         assert out[1] == ("A", START + dt.timedelta(hours=2), "recovered")
     finally:
         query.stop()
+
+
+def test_deltas_equal_rewritten_days(spark, rows, frame, tmp_path):
+    """Last and first versions by deltas, over batches, a restart and a repeat, against the sinks that rewrite days."""
+    keys, names = ["station_id", "obs_time"], ["station_id", "obs_time", "seq", "wind_speed"]
+    run_twice(spark, rows, tmp_path / "a", lambda path: keyed_sink(path, keys, ["seq"], fold=3))
+    days = run_twice(spark, rows, tmp_path / "b", lambda path: jobs.append_last_sink(path, keys, ["seq"]))
+    assert table(keyed_table(spark, str(tmp_path / "a" / "table"), keys), *names) == table(days, *names)
+    rest = ["device_type", "seq", "wind_speed"]
+    run_twice(spark, rows, tmp_path / "c", lambda path: keyed_sink(path, keys, ["seq"], rest[:1] + rest[2:], fold=3))
+    first = run_twice(spark, rows, tmp_path / "d", lambda path: jobs.first_sink(path, keys, ["seq"]))
+    kept = keyed_table(spark, str(tmp_path / "c" / "table"), keys, ["wind_speed"])
+    assert table(kept, "station_id", "obs_time", "wind_speed") == table(first, "station_id", "obs_time", "wind_speed")
+
+
+def test_bytes_of_a_delta_follow_its_batch(spark, tmp_path):
+    """A batch of one row writes a few kilobytes, however full its day is."""
+    path, keys = tmp_path / "table", ["station_id", "obs_time"]
+    day = spark.range(200_000).select(F.lit("A").alias("station_id"), F.lit("WIND").alias("device_type"), F.timestamp_millis(F.col("id") * 400).alias("obs_time"), F.col("id").alias("seq"), F.rand(1).alias("wind_speed"))
+    sink = keyed_sink(str(path), keys, ["seq"])
+    sink(day, 0)
+    sink(day.limit(1).withColumn("wind_speed", F.lit(-5.0)), 1)
+    size = {k: sum(f.stat().st_size for f in (path / f"part-0-{k}-{k}").glob("*.parquet")) for k in (0, 1)}
+    assert size[0] > 1_000_000 and size[1] < 20_000
+    out = keyed_table(spark, str(path), keys)
+    assert out.count() == 200_000 and out.filter("wind_speed = -5").count() == 1
