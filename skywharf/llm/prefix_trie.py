@@ -22,7 +22,7 @@ from skywharf.session import cut_lineage
 
 #: Turns of a conversation that one shard holds; later ones are further segments.
 SEGMENT = 1000
-#: Rows of a shard, and rows of the given table that are numbered as one.
+#: Rows of a shard at most (small tables have a shard for each shuffle partition), and rows of the given table that are numbered as one.
 SHARD_ROWS, CELL = 20_000, 1024
 #: Ids that one row of a member list holds.
 LISTED = 4096
@@ -232,7 +232,7 @@ def trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     paths = paths_of(turns, conversations)
     paths = cut_lineage(paths)
     many = paths.count()
-    shards = many // SHARD_ROWS + 1
+    shards = max(many // SHARD_ROWS + 1, int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def shard(owner: str):
         return F.pmod(F.xxhash64(F.col(owner), F.col("segment")), F.lit(shards)).cast("int").alias("shard")
