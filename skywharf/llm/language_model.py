@@ -5,13 +5,16 @@ counts, discounts and back-off weights are tables sharded by language and n-gram
 blocks by hash. A block asks the shards once for each of its distinct n-grams, and the answers meet the texts of the
 block again, so what moves are the distinct n-grams of blocks and never one row for each character.
 Orders up to ORDER are joined as tables. Longer n-grams (the queries use DEPTH characters) grow with the texts: their
-counts and the requests of blocks meet in shards by language and the three characters before the last, which hold every
-n-gram and context of four characters or more that a request can back off to.
+counts and the requests of blocks meet in shards by the three characters before the last, which hold every n-gram and
+context of four characters or more that a request can back off to. Texts, counts, requests and answers travel as packed
+arrays; the counts of a shard with far more n-grams than others are repeated, and the blocks dealt among the copies.
 A text is kept while its perplexity is below a threshold from quantiles of held-out trusted texts of its language.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skywharf.llm.packing import pack_grams, pack_halves, pack_rows, pack_whole, unpack_grams, unpack_halves, unpack_rows, unpack_whole
 from skywharf.llm.rows import matching, text_batches
 from skywharf.llm.words import bounded
 from skywharf.session import cut_lineage
@@ -30,7 +34,12 @@ POOLED = "*"
 START = 2
 #: Of five trusted texts, one sets the thresholds and the others train the model.
 HELD_OUT = 5
-BLOCK_BYTES = 8_000_000
+#: Bytes of text in a block, and of all texts for each shard of the counts.
+BLOCK_BYTES = 32_000_000
+#: N-grams a task holds while it counts or answers.
+HELD_GRAMS = 2_000_000
+#: Bytes of text a task holds while it deals documents into blocks.
+DEALT_BYTES = 16_000_000
 #: Bits of the filter of trusted ids: its size is fixed, so it can go to every task.
 FILTER_BITS = 23
 #: Characters of average surprise that every text gets on top, so that a short text is not judged by a few characters.
@@ -41,7 +50,7 @@ TABLE_FILES = 8
 STEPS = 1000
 #: The queries keep a text up to this quantile of the held-out trusted texts of its language.
 QUANTILE = 0.99
-#: ``u`` of requests and answers for the last three characters alone.
+#: ``shard`` of requests for the last three characters alone.
 SHORT = -1
 
 
@@ -111,13 +120,9 @@ def back_off(u: np.ndarray, g: np.ndarray, counts: tuple[np.ndarray, np.ndarray,
     """
     codes, u, g = distinct(u, g)
     a, b = np.zeros(len(u)), np.ones(len(u))
-    levels = {max(cuts): counts}
-    for n in range(max(cuts) - 1, ORDER, -1):
-        above_u, above_g, _ = levels[n + 1]
-        seen, own_u, own_g = distinct(above_u & ((1 << 16 * (n - ORDER)) - 1), above_g)
-        levels[n] = own_u, own_g, np.bincount(seen, minlength=len(own_u))
+    found = levels(counts, max(cuts))
     for n in range(ORDER + 1, max(cuts) + 1):
-        own_u, own_g, c = levels[n]
+        own_u, own_g, c = found[n]
         discount = np.asarray(cuts[n])[np.minimum(c, 3) - 1]
         of, context_u, context_g = distinct(*context(own_u, own_g))
         total, freed = np.bincount(of, c, len(context_u)), np.bincount(of, discount, len(context_u))
@@ -158,28 +163,143 @@ def trusted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """lang, u (above ORDER), g, c: n-gram counts of each language and of all languages together."""
-    key = ["g"] if order == ORDER else ["u", "g"]
+    if order > ORDER:
+
+        def opened(batches):
+            for batch in batches:
+                for lang, grams, counts in zip(*(batch.column(x).to_pylist() for x in ("lang", "grams", "counts"))):
+                    u, g = unpack_grams(grams)
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(g), pa.string()), "u": u, "g": g, "c": unpack_whole(counts)})
+
+        return shard_counts(texts, order, shard_number(texts)).select("lang", "grams", "counts").mapInArrow(opened, "lang string, u long, g long, c long")
+
+    def count(batches):
+        for lang, part in _by_language(batches):
+            codes, _, g = distinct(*pairs(part, order)[:2])
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(g), pa.string()), "g": g, "c": np.bincount(codes, minlength=len(g))})
+
+    own = cut_lineage(texts.mapInArrow(count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c")).coalesce(TABLE_FILES))
+    return own.unionByName(own.groupBy("g").agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("lang"), "g", "c"))
+
+
+def _by_language(batches):
+    """(language key, texts) of pieces of a task's rows."""
+    for batch in bounded(batches, "text", 1_000_000):
+        frame = pd.DataFrame({"lang": batch.column("lang").to_pylist(), "text": batch.column("text").to_pylist()})
+        for lang, part in frame.groupby(frame["lang"].fillna("").map(lambda x: f"={x}"), sort=False):
+            yield lang, [t for t in part["text"] if t]
+
+
+def shard_number(texts: DataFrame) -> int:
+    return int((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES) + 1
+
+
+def shard_of(u: np.ndarray, g: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of n-grams by the three characters before the last."""
+    mixed = ((g >> 16) | ((u & 0xFFFF) << 32)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of several lists, with the sums of their counts."""
+    codes, u, g = distinct(*(np.concatenate(x) for x in zip(*((u, g) for u, g, _ in parts))))
+    return u, g, np.bincount(codes, np.concatenate([c for _, _, c in parts]), len(g)).astype(np.int64)
+
+
+def by_shard(u: np.ndarray, g: np.ndarray, shards: int):
+    """(shard, places) of the n-grams of each shard, sorted by u and g."""
+    shard = shard_of(u, g, shards)
+    order = np.lexsort((g, u, shard))
+    for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+        if len(part):
+            yield int(shard[part[0]]), part
+
+
+def shard_counts(texts: DataFrame, order: int, shards: int) -> DataFrame:
+    """shard, lang, n, grams, counts: packed n-gram counts, a row for each shard and language and for all together.
+
+    A task adds up what it counts until it holds HELD_GRAMS, so few n-grams are sent twice.
+    """
+
+    def send(held):
+        for lang, parts in held.items():
+            u, g, c = summed(parts)
+            for shard, at in by_shard(u, g, shards):
+                yield pa.RecordBatch.from_pydict({
+                    "shard": pa.array([shard], pa.int32()), "lang": pa.array([lang], pa.string()),
+                    "grams": pa.array([pack_grams(u[at], g[at])], pa.binary()), "counts": pa.array([pack_whole(c[at])], pa.binary()),
+                })
 
     def count(batches):
-        for batch in bounded(batches, "text", 1_000_000):
-            frame = pd.DataFrame({"lang": batch.column("lang").to_pylist(), "text": batch.column("text").to_pylist()})
-            for lang, part in frame.groupby(frame["lang"].fillna("").map(lambda x: f"={x}"), sort=False):
-                codes, u, g = distinct(*pairs([t for t in part["text"] if t], order)[:2])
-                columns = {"lang": pa.array([lang] * len(g), pa.string()), "u": pa.array(u, pa.int64()), "g": pa.array(g, pa.int64()), "c": pa.array(np.bincount(codes, minlength=len(g)), pa.int64())}
-                yield pa.RecordBatch.from_pydict({x: columns[x] for x in ("lang", *key, "c")})
+        held: dict[str, list] = {}
+        many = 0
+        for lang, part in _by_language(batches):
+            codes, u, g = distinct(*pairs(part, order)[:2])
+            held.setdefault(lang, []).append((u, g, np.bincount(codes, minlength=len(g))))
+            many += len(g)
+            if many > HELD_GRAMS:
+                held = {x: [summed(parts)] for x, parts in held.items()}
+                many = sum(len(parts[0][1]) for parts in held.values())
+                if many > HELD_GRAMS // 2:
+                    yield from send(held)
+                    held, many = {}, 0
+        yield from send(held)
+
+    def merge(table: pa.Table) -> pa.Table:
+        held: dict[str, list] = {}
+        for lang, grams, counts in zip(*(table.column(x).to_pylist() for x in ("lang", "grams", "counts"))):
+            held.setdefault(lang, []).append((*unpack_grams(grams), unpack_whole(counts)))
+        sums = {lang: summed(parts) for lang, parts in held.items()}
+        sums[POOLED] = summed(list(sums.values()))
+        sums = {lang: [x[np.lexsort((found[1], found[0]))] for x in found] for lang, found in sums.items()}
+        return pa.table({
+            "shard": pa.array([table.column("shard")[0].as_py()] * len(sums), pa.int32()), "lang": pa.array(list(sums), pa.string()),
+            "n": pa.array([len(g) for _, g, _ in sums.values()], pa.int64()),
+            "grams": pa.array([pack_grams(u, g) for u, g, _ in sums.values()], pa.binary()), "counts": pa.array([pack_whole(c) for *_, c in sums.values()], pa.binary()),
+        })
+
+    sent = texts.mapInArrow(count, "shard int, lang string, grams binary, counts binary")
+    return cut_lineage(sent.groupBy("shard").applyInArrow(merge, "shard int, lang string, n long, grams binary, counts binary"))
+
+
+def levels(counts: tuple[np.ndarray, np.ndarray, np.ndarray], order: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Order -> (u, g, c) above ORDER; lower orders count the distinct characters seen before."""
+    out = {order: counts}
+    for n in range(order - 1, ORDER, -1):
+        above_u, above_g, _ = out[n + 1]
+        seen, own_u, own_g = distinct(above_u & ((1 << 16 * (n - ORDER)) - 1), above_g)
+        out[n] = own_u, own_g, np.bincount(seen, minlength=len(own_u))
+    return out
+
+
+def summaries(counts: DataFrame, order: int) -> DataFrame:
+    """lang, n, g, n1, n2, n3, n4 of packed counts: how many n-grams of each order above ORDER are seen once to four times
+    (g null), and for order ORDER the distinct characters seen before each (n1), to be added up over the shards."""
 
-    own = texts.mapInArrow(count, f"lang string, {', '.join(f'{x} long' for x in key)}, c long").groupBy("lang", *key).agg(F.sum("c").alias("c"))
-    own = cut_lineage(own.coalesce(TABLE_FILES) if order == ORDER else own)
-    return own.unionByName(own.groupBy(*key).agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("lang"), *key, "c"))
+    def summarise(batches):
+        for batch in batches:
+            for lang, grams, counted in zip(*(batch.column(x).to_pylist() for x in ("lang", "grams", "counts"))):
+                found = levels((*unpack_grams(grams), unpack_whole(counted)), order)
+                orders = sorted(found)
+                often = np.array([[np.count_nonzero(found[n][2] == k) for k in (1, 2, 3, 4)] for n in orders], dtype=np.int64)
+                codes, g = pd.factorize(found[ORDER + 1][1])
+                none = np.zeros(len(g), dtype=np.int64)
+                yield pa.RecordBatch.from_pydict({
+                    "lang": pa.array([lang] * (len(orders) + len(g)), pa.string()), "n": pa.array(orders + [ORDER] * len(g), pa.int32()),
+                    "g": pa.concat_arrays([pa.nulls(len(orders), pa.int64()), pa.array(g, pa.int64())]), "n1": np.append(often[:, 0], np.bincount(codes, minlength=len(g))),
+                    **{f"n{k}": np.append(often[:, k - 1], none) for k in (2, 3, 4)},
+                })
+
+    return counts.select("lang", "grams", "counts").mapInArrow(summarise, "lang string, n int, g long, n1 long, n2 long, n3 long, n4 long").groupBy("lang", "n", "g").agg(
+        *(F.sum(f"n{k}").alias(f"n{k}") for k in (1, 2, 3, 4))
+    )
 
 
 def shorter(counts: DataFrame, order: int) -> DataFrame:
     """Counts of the distinct characters seen before the n-grams of an order, from the counts of the order above."""
-    if order > ORDER:
-        key = [_last(F.col("u"), order - ORDER).alias("u"), F.col("g")]
-    else:
-        key = [_last(F.col("g"), order).alias("g")]
-    return counts.groupBy("lang", *key).agg(F.count("*").alias("c"))
+    return counts.groupBy("lang", _last(F.col("g"), order).alias("g")).agg(F.count("*").alias("c"))
 
 
 def _last(g: Column, characters: int) -> Column:
@@ -192,13 +312,18 @@ def discounts(counts: DataFrame, positive: bool = False) -> DataFrame:
     ``positive`` takes k / 2 where these give none above 0: a discount of 0 can leave nothing to n-grams not seen in a
     context, and texts with one get an infinite surprise.
     """
-    seen = [F.count(F.when(F.col("c") == k, 1)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
+    return from_seen(counts.groupBy("lang").agg(*(F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4))), positive)
+
+
+def from_seen(seen: DataFrame, positive: bool) -> DataFrame:
+    """``discounts`` from lang, n1, n2, n3, n4; other columns stay."""
+    seen = seen.withColumns({f"n{k}": F.col(f"n{k}").cast("double") for k in (1, 2, 3, 4)})
     # Without n-grams seen once or twice there is no share, and the plain sides below apply.
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     usable = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
     raw = {k: F.lit(float(k)) - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")) for k in (1, 2, 3)}
     sides = {f"d{k}": F.when(usable & (d > 0) if positive else usable, F.greatest(F.lit(0.0), d)).otherwise(k / 2.0) for k, d in raw.items()}
-    return counts.groupBy("lang").agg(*seen).select("lang", *(c.alias(x) for x, c in sides.items()))
+    return seen.withColumns(sides).drop("n1", "n2", "n3", "n4")
 
 
 def level(counts: DataFrame, order: int, lower: DataFrame | None, positive: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -221,53 +346,77 @@ def level(counts: DataFrame, order: int, lower: DataFrame | None, positive: bool
     return full.select("lang", "g", (own + F.col("w") * F.col("_p")).alias("p")), weights.select("lang", "h", "w")
 
 
-def fit(texts: DataFrame, order: int = ORDER) -> dict[int, tuple]:
+def fit(texts: DataFrame, order: int = ORDER, shards: int | None = None) -> dict[int, tuple]:
     """Order -> (probabilities, back-off weights). Lower orders count the distinct characters seen before.
 
-    An order above ORDER adds itself -> (counts, discounts by language and order), for the shards of ``long_answers``.
+    An order above ORDER adds itself -> (packed counts, discounts by language and order, number of shards), for ``long_answers``.
     """
-    counts = {order: count_grams(texts, order)}
-    for n in range(order - 1, 0, -1):
+    tables: dict[int, tuple] = {}
+    if order > ORDER:
+        shards = shards or shard_number(texts)
+        packed = shard_counts(texts, order, shards)
+        found = cut_lineage(summaries(packed, order).coalesce(TABLE_FILES))
+        cuts: dict[str, dict[int, tuple[float, float, float]]] = {}
+        # One row for each language and order.
+        for row in from_seen(found.where("g IS NULL"), True).toLocalIterator():
+            cuts.setdefault(row["lang"], {})[row["n"]] = row["d1"], row["d2"], row["d3"]
+        tables[order] = packed, cuts, shards
+        counts = {ORDER: found.where("g IS NOT NULL").select("lang", "g", F.col("n1").alias("c"))}
+    else:
+        counts = {ORDER: count_grams(texts)}
+    for n in range(ORDER - 1, 0, -1):
         counts[n] = shorter(counts[n + 1], n)
-        if n == ORDER:
-            counts[n] = cut_lineage(counts[n].coalesce(TABLE_FILES))
-    tables, lower = {}, None
+    lower = None
     for n in range(1, ORDER + 1):
         probabilities, weights = level(counts[n], n, lower, order > ORDER)
         lower = cut_lineage(probabilities.coalesce(TABLE_FILES))
         tables[n] = lower, cut_lineage(weights.coalesce(TABLE_FILES))
-    if order > ORDER:
-        cuts: dict[str, dict[int, tuple[float, float, float]]] = {}
-        for n in range(ORDER + 1, order + 1):
-            # One row for each language.
-            for row in discounts(counts[n], True).toLocalIterator():
-                cuts.setdefault(row["lang"], {})[n] = row["d1"], row["d2"], row["d3"]
-        tables[order] = counts[order], cuts
     return tables
 
 
-def long_answers(asked: DataFrame, counts: DataFrame, cuts: dict[str, dict[int, tuple[float, float, float]]], shards: int) -> DataFrame:
-    """block, lang, u, g, a, b of requests (block, lang, u, g); see ``back_off``. Languages without a model use the pooled one."""
-    known = [x for x in cuts if x != POOLED]
+def copies(counts: DataFrame) -> dict[tuple[int, str], int]:
+    """(shard, lang) -> copies of the counts of each shard with over twice the n-grams of the mean; fewer than half of the shards."""
+    mean = counts.groupBy("lang").agg(F.avg("n").alias("mean"))
+    many = counts.select("shard", "lang", "n").join(F.broadcast(mean), "lang").where("n > 2 * mean")
+    return {(r["shard"], r["lang"]): math.ceil(r["n"] / r["mean"]) for r in many.toLocalIterator()}
 
-    def sharded(rows: DataFrame) -> DataFrame:
-        middle = F.shiftright("g", 16).bitwiseOR(F.shiftleft(_last(F.col("u"), 1), 32))
-        return rows.withColumn("shard", F.pmod(F.xxhash64("model", middle), F.lit(shards)).cast("int"))
 
-    def answer(wanted: pa.Table, own: pa.Table) -> pa.Table:
-        a, b = np.zeros(wanted.num_rows), np.ones(wanted.num_rows)
-        models, names = (t.column("model").to_numpy(zero_copy_only=False) for t in (wanted, own))
-        u, g = wanted.column("u").to_numpy(), wanted.column("g").to_numpy()
-        table = [own.column(x).to_numpy() for x in ("u", "g", "c")]
-        for model in pd.unique(models):
-            rows, mine = np.flatnonzero(models == model), np.flatnonzero(names == model)
-            if len(mine):
-                a[rows], b[rows] = back_off(u[rows], g[rows], tuple(x[mine] for x in table), cuts[model])
-        return pa.table([*(wanted.column(x) for x in ("block", "lang", "u", "g")), pa.array(a), pa.array(b)], ["block", "lang", "u", "g", "a", "b"])
+def long_answers(asked: DataFrame, counts: DataFrame, cuts: dict[str, dict[int, tuple[float, float, float]]], split: dict[tuple[int, str], int]) -> DataFrame:
+    """block, lang, grams, a, b of packed requests (block, lang, shard, model, copy, grams); see ``back_off``."""
 
-    model = F.when(F.col("lang").isin(known), F.col("lang")).otherwise(POOLED)
-    left, right = sharded(asked.withColumn("model", model)), sharded(counts.withColumnRenamed("lang", "model"))
-    return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(answer, "block int, lang string, u long, g long, a double, b double")
+    def repeated(batches):
+        for batch in batches:
+            times = np.array([split.get(x, 1) for x in zip(*(batch.column(x).to_pylist() for x in ("shard", "model")))], dtype=np.int64)
+            for copy in range(times.max(initial=0)):
+                part = batch.filter(pa.array(times > copy))
+                yield part.append_column("copy", pa.array(np.full(part.num_rows, copy), pa.int32()))
+
+    def answer(wanted: pa.Table, own: pa.Table) -> pa.Table:
+        rows = []
+        blocks, langs, grams = (wanted.column(x).to_pylist() for x in ("block", "lang", "grams"))
+        table = None
+        if own.num_rows:
+            model = own.column("model")[0].as_py()
+            table = (*unpack_grams(own.column("grams")[0].as_py()), unpack_whole(own.column("counts")[0].as_py()))
+        at = 0
+        while at < len(grams):
+            parts, many, first = [], 0, at
+            while at < len(grams) and (not parts or many < HELD_GRAMS):
+                parts.append(unpack_grams(grams[at]))
+                many += len(parts[-1][0])
+                at += 1
+            if table:
+                a, b = back_off(*(np.concatenate(x) for x in zip(*parts)), table, cuts[model])
+            else:
+                a, b = np.zeros(many), np.ones(many)
+            cut = np.cumsum([len(u) for u, _ in parts])[:-1]
+            rows += zip(blocks[first:at], langs[first:at], grams[first:at], map(pack_halves, np.split(a, cut)), map(pack_halves, np.split(b, cut)))
+        kinds = {"block": pa.int32(), "lang": pa.string(), "grams": pa.binary(), "a": pa.binary(), "b": pa.binary()}
+        return pa.table([pa.array(x, kind) for x, kind in zip(list(zip(*rows)) or [[]] * 5, kinds.values())], list(kinds))
+
+    key = ["shard", "model", "copy"]
+    own = counts.select("shard", F.col("lang").alias("model"), "grams", "counts").mapInArrow(repeated, "shard int, model string, grams binary, counts binary, copy int")
+    return asked.groupBy(*key).cogroup(own.groupBy(*key)).applyInArrow(answer, "block int, lang string, grams binary, a binary, b binary")
 
 
 def look_up(wanted: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
@@ -290,12 +439,40 @@ def _joined(rows: DataFrame, side: DataFrame, key: str, value: str, at: Column,
     return rows.withColumn("_k", at).join(right, ["_m", "_k"], "left").drop("_k")
 
 
-def surprises(docs: DataFrame, tables: dict[int, tuple]) -> DataFrame:
-    """doc_id, text_key, lang, n_chars, surprise (mean over the characters; null without any) of every row of ``docs``."""
-    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, order = int(text_bytes // BLOCK_BYTES) + 1, max(tables)
+def deal(docs: DataFrame, blocks: int) -> DataFrame:
+    """block, rows: documents (doc_id, text_key, lang, text) dealt into blocks by hash, packed by task and block."""
     key = F.xxhash64("text")
-    blocked = docs.select("doc_id", "lang", "text", key.alias("text_key"), F.pmod(F.xxhash64("doc_id", key), F.lit(blocks)).cast("int").alias("block"))
+    placed = docs.select("doc_id", key.alias("text_key"), "lang", "text", F.pmod(F.xxhash64("doc_id", key), F.lit(blocks)).cast("int").alias("block"))
+
+    def send(held):
+        table = pa.Table.from_batches(held)
+        block = table.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            rows = table.select(["doc_id", "text_key", "lang", "text"]).take(pa.array(part))
+            yield pa.RecordBatch.from_pydict({"block": pa.array(block[part[:1]], pa.int32()), "rows": pa.array([pack_rows(rows)], pa.binary())})
+
+    def run(batches):
+        held, size = [], 0
+        for batch in bounded(batches, "text", DEALT_BYTES):
+            held.append(batch)
+            size += batch.nbytes
+            if size > DEALT_BYTES:
+                yield from send(held)
+                held, size = [], 0
+        if held:
+            yield from send(held)
+
+    return placed.mapInArrow(run, "block int, rows binary")
+
+
+def surprises(docs: DataFrame, tables: dict[int, tuple], blocks: int | None = None) -> DataFrame:
+    """doc_id, text_key, lang, n_chars, surprise (mean over the characters; null without any) of every row of ``docs``."""
+    blocks, order = blocks or shard_number(docs), max(tables)
+    long = order > ORDER
+    packed, cuts, shards = tables[order] if long else (None, {}, 1)
+    split = copies(packed) if long else {}
+    dealt = deal(docs, blocks)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def by_language(table: pa.Table):
@@ -304,61 +481,75 @@ def surprises(docs: DataFrame, tables: dict[int, tuple]) -> DataFrame:
         for lang in sorted(set(langs)):
             yield lang, np.flatnonzero(langs == lang)
 
-    def asking(length: int):
-        def ask(table: pa.Table) -> pa.Table:
-            text, block = table.column("text"), table.column("block")[0].as_py()
-            parts = []
-            for lang, rows in by_language(table):
-                runs = [distinct(*pairs(texts, length)[:2])[1:] for _, texts in runs_of(text, rows)]
-                parts.append((lang, *distinct(*(np.concatenate(x) for x in zip(*runs)))[1:]))
-            found = {"u": np.concatenate([u for _, u, _ in parts]), "g": np.concatenate([g for _, _, g in parts])}
-            names = np.repeat(np.array([lang for lang, _, _ in parts], dtype=object), [len(g) for _, _, g in parts])
-            out = {"block": pa.array(np.full(len(names), block), pa.int32()), "lang": pa.array(names, pa.string())}
-            return pa.table(out | {x: pa.array(found[x], pa.int64()) for x in (("g",) if length == ORDER else ("u", "g"))})
-
-        return ask
+    def ask(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        texts = unpack_rows(table.column("rows").to_pylist())
+        rows = []
+        for lang, own in by_language(texts):
+            u, g = np.empty(0, np.int64), np.empty(0, np.int64)
+            for _, part in runs_of(texts.column("text"), own, 4_000_000):
+                more_u, more_g = distinct(*pairs(part, order)[:2])[1:]
+                u, g = distinct(np.append(u, more_u), np.append(g, more_g))[1:]
+            rows.append((lang, SHORT, "", 0, pack_whole(np.unique(g))))
+            model = lang if lang in cuts else POOLED
+            for shard, at in by_shard(u, g, shards) if long else ():
+                rows.append((lang, shard, model, block % split.get((shard, model), 1), pack_grams(u[at], g[at])))
+        kinds = {"lang": pa.string(), "shard": pa.int32(), "model": pa.string(), "copy": pa.int32(), "grams": pa.binary()}
+        return pa.table([pa.array([block] * len(rows), pa.int32()), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds.values()))], ["block", *kinds])
+
+    def short(batches):
+        for batch in batches:
+            for block, lang, grams in zip(*(batch.column(x).to_pylist() for x in ("block", "lang", "grams"))):
+                g = unpack_whole(grams)
+                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(g), block), pa.int32()), "lang": pa.array([lang] * len(g), pa.string()), "g": g})
 
     def tell(table: pa.Table, answers: pa.Table) -> pa.Table:
-        count, mean = np.zeros(table.num_rows, dtype=np.int64), np.full(table.num_rows, np.nan)
+        texts = unpack_rows(table.column("rows").to_pylist())
+        count, mean = np.zeros(texts.num_rows, dtype=np.int64), np.full(texts.num_rows, np.nan)
+        is_short = answers.column("grams").is_null().to_numpy()
         langs = answers.column("lang").to_numpy(zero_copy_only=False)
-        asked_u, asked_g, a, b = (answers.column(x).to_numpy(zero_copy_only=False) for x in ("u", "g", "a", "b"))
-        for lang, rows in by_language(table):
-            own = langs == lang
-            short, long = np.flatnonzero(own & (asked_u == SHORT)), np.flatnonzero(own & (asked_u != SHORT))
-            short = short[np.argsort(asked_g[short])]
-            known, surprise = asked_g[short], a[short]
-            # A long n-gram as one number: the places of its two parts among those of the block.
-            before = np.unique(asked_u[long])
-            number = np.searchsorted(before, asked_u[long]) * len(known) + np.searchsorted(known, asked_g[long])
-            long = long[np.argsort(number)]
-            number = np.sort(number)
-            for part, texts in runs_of(table.column("text"), rows):
-                u, g, offsets = pairs(texts, order)
+        short_g, short_s = (answers.column(x).to_numpy(zero_copy_only=False) for x in ("g", "surprise"))
+        for lang, rows in by_language(texts):
+            own = np.flatnonzero((langs == lang) & is_short)
+            own = own[np.argsort(short_g[own])]
+            known, surprise = short_g[own].astype(np.int64), short_s[own]
+            if long:
+                given = answers.filter(pa.array((langs == lang) & ~is_short))
+                parts = [unpack_grams(x) for x in given.column("grams").to_pylist()]
+                asked_u, asked_g = (np.concatenate([np.empty(0, np.int64), *x]) for x in (list(zip(*parts)) or [[], []]))
+                a, b = (np.concatenate([np.empty(0), *map(unpack_halves, given.column(x).to_pylist())]) for x in ("a", "b"))
+                # An n-gram as one number: the places of its two parts among those of the block.
+                before = np.unique(asked_u)
+                number = np.searchsorted(before, asked_u) * len(known) + np.searchsorted(known, asked_g)
+                place = np.argsort(number)
+                number, a, b = number[place], a[place], b[place]
+            for part, run in runs_of(texts.column("text"), rows):
+                u, g, offsets = pairs(run, order)
                 codes, found = pd.factorize(g)
                 at = np.searchsorted(known, found)
                 each = surprise[at][codes]
-                if order > ORDER:
+                if long:
                     first, starts = pd.factorize(u)
                     wanted, which = pd.factorize(np.searchsorted(before, starts)[first] * len(known) + at[codes])
-                    which = long[np.searchsorted(number, which)]
+                    which = np.searchsorted(number, which)
                     each = -np.log(a[which][wanted] + b[which][wanted] * np.exp(-each))
                 sums = np.add.reduceat(np.append(each, 0.0), offsets[:-1])
                 sizes = np.diff(offsets)
                 count[part] = sizes
                 mean[part] = np.where(sizes > 0, sums / np.maximum(sizes, 1), np.nan)
         return pa.table([
-            table.column("doc_id"), table.column("text_key"), table.column("lang"), pa.array(count), pa.array(mean, from_pandas=True),
+            texts.column("doc_id"), texts.column("text_key"), texts.column("lang"), pa.array(count), pa.array(mean, from_pandas=True),
         ], ["doc_id", "text_key", "lang", "n_chars", "surprise"])
 
-    asked = blocked.groupBy("block").applyInArrow(asking(ORDER), "block int, lang string, g long").repartition("lang", "g")
-    answers = asked.join(look_up(asked.select("lang", "g").distinct(), tables), ["lang", "g"]).select(
-        "block", "lang", F.lit(SHORT).cast("long").alias("u"), "g", F.col("surprise").alias("a"), F.lit(0.0).alias("b")
-    )
-    if order > ORDER:
-        requests = blocked.groupBy("block").applyInArrow(asking(order), "block int, lang string, u long, g long")
-        answers = answers.unionByName(long_answers(requests, *tables[order], blocks))
+    requests = cut_lineage(dealt.groupBy("block").applyInArrow(ask, "block int, lang string, shard int, model string, copy int, grams binary").coalesce(blocks))
+    asked = requests.where(F.col("shard") == SHORT).select("block", "lang", "grams").mapInArrow(short, "block int, lang string, g long").repartition("lang", "g")
+    nothing = {x: F.lit(None).cast("binary") for x in ("grams", "a", "b")}
+    answers = asked.join(look_up(asked.select("lang", "g").distinct(), tables), ["lang", "g"]).select("block", "lang", "g", "surprise", *(c.alias(x) for x, c in nothing.items()))
+    if long:
+        told = long_answers(requests.where(F.col("shard") != SHORT), packed, cuts, split)
+        answers = answers.unionByName(told.withColumns({"g": F.lit(None).cast("long"), "surprise": F.lit(None).cast("double")}))
     # No more files than blocks: small inputs leave few, large ones as many as there are partitions.
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         tell, f"doc_id {kind}, text_key long, lang string, n_chars long, surprise double"
     ).coalesce(blocks)
 
@@ -406,7 +597,8 @@ def judge(docs: DataFrame, labels: DataFrame, part: float = 0.95, stretch: float
     """
     text_batches(docs.sparkSession)
     ids = trusted_ids(labels)
-    raw = cut_lineage(surprises(docs, fit(trusted_texts(docs, ids.where("NOT held")), order)))
+    blocks = shard_number(docs)
+    raw = cut_lineage(surprises(docs, fit(trusted_texts(docs, ids.where("NOT held")), order, blocks), blocks))
     scores = smoothed(raw, cut_lineage(averages(raw, ids).coalesce(TABLE_FILES)))
     fences = cut_lineage(limits(scores, ids, part, stretch).coalesce(TABLE_FILES))
     pooled = fences.where(F.col("key") == POOLED).agg(F.max("limit")).first()[0]
