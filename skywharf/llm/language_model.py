@@ -35,7 +35,7 @@ START = 2
 #: Of five trusted texts, one sets the thresholds and the others train the model.
 HELD_OUT = 5
 #: Bytes of text in a block, and of all texts for each shard of the counts.
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 24_000_000
 #: N-grams a task holds while it counts or answers.
 HELD_GRAMS = 2_000_000
 #: Bytes of text a task holds while it deals documents into blocks.
@@ -382,7 +382,7 @@ def copies(counts: DataFrame) -> dict[tuple[int, str], int]:
 
 
 def long_answers(asked: DataFrame, counts: DataFrame, cuts: dict[str, dict[int, tuple[float, float, float]]], split: dict[tuple[int, str], int]) -> DataFrame:
-    """block, lang, grams, a, b of packed requests (block, lang, shard, model, copy, grams); see ``back_off``."""
+    """block, lang, grams, a, b of packed requests (block, lang, shard, model, copy, grams) but those of SHORT; see ``back_off``."""
 
     def repeated(batches):
         for batch in batches:
@@ -393,7 +393,7 @@ def long_answers(asked: DataFrame, counts: DataFrame, cuts: dict[str, dict[int,
 
     def answer(wanted: pa.Table, own: pa.Table) -> pa.Table:
         rows = []
-        blocks, langs, grams = (wanted.column(x).to_pylist() for x in ("block", "lang", "grams"))
+        blocks, langs, grams = ([] if SHORT in wanted.column("shard").to_pylist()[:1] else wanted.column(x).to_pylist() for x in ("block", "lang", "grams"))
         table = None
         if own.num_rows:
             model = own.column("model")[0].as_py()
@@ -486,11 +486,16 @@ def surprises(docs: DataFrame, tables: dict[int, tuple], blocks: int | None = No
         texts = unpack_rows(table.column("rows").to_pylist())
         rows = []
         for lang, own in by_language(texts):
-            u, g = np.empty(0, np.int64), np.empty(0, np.int64)
-            for _, part in runs_of(texts.column("text"), own, 4_000_000):
-                more_u, more_g = distinct(*pairs(part, order)[:2])[1:]
-                u, g = distinct(np.append(u, more_u), np.append(g, more_g))[1:]
-            rows.append((lang, SHORT, "", 0, pack_whole(np.unique(g))))
+            found, many = [], 0
+            for _, part in runs_of(texts.column("text"), own):
+                found.append(distinct(*pairs(part, order)[:2])[1:])
+                many += len(found[-1][0])
+                if many > HELD_GRAMS:
+                    found = [distinct(*map(np.concatenate, zip(*found)))[1:]]
+                    many = len(found[0][0])
+            u, g = distinct(*map(np.concatenate, zip(*found)))[1:]
+            # One key for each block, so that no task gets these requests of all blocks.
+            rows.append((lang, SHORT, "", block, pack_whole(np.unique(g))))
             model = lang if lang in cuts else POOLED
             for shard, at in by_shard(u, g, shards) if long else ():
                 rows.append((lang, shard, model, block % split.get((shard, model), 1), pack_grams(u[at], g[at])))
@@ -499,8 +504,8 @@ def surprises(docs: DataFrame, tables: dict[int, tuple], blocks: int | None = No
 
     def short(batches):
         for batch in batches:
-            for block, lang, grams in zip(*(batch.column(x).to_pylist() for x in ("block", "lang", "grams"))):
-                g = unpack_whole(grams)
+            for block, lang, shard, grams in zip(*(batch.column(x).to_pylist() for x in ("block", "lang", "shard", "grams"))):
+                g = unpack_whole(grams) if shard == SHORT else np.empty(0, dtype=np.int64)
                 yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(g), block), pa.int32()), "lang": pa.array([lang] * len(g), pa.string()), "g": g})
 
     def tell(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -541,12 +546,13 @@ def surprises(docs: DataFrame, tables: dict[int, tuple], blocks: int | None = No
             texts.column("doc_id"), texts.column("text_key"), texts.column("lang"), pa.array(count), pa.array(mean, from_pandas=True),
         ], ["doc_id", "text_key", "lang", "n_chars", "surprise"])
 
-    requests = cut_lineage(dealt.groupBy("block").applyInArrow(ask, "block int, lang string, shard int, model string, copy int, grams binary").coalesce(blocks))
-    asked = requests.where(F.col("shard") == SHORT).select("block", "lang", "grams").mapInArrow(short, "block int, lang string, g long").repartition("lang", "g")
+    # Both kinds of requests read one shuffle of them: no filter or choice of columns tells the two plans apart below it.
+    requests = dealt.groupBy("block").applyInArrow(ask, "block int, lang string, shard int, model string, copy int, grams binary").repartition("shard", "model", "copy")
+    asked = requests.mapInArrow(short, "block int, lang string, g long").repartition("lang", "g")
     nothing = {x: F.lit(None).cast("binary") for x in ("grams", "a", "b")}
     answers = asked.join(look_up(asked.select("lang", "g").distinct(), tables), ["lang", "g"]).select("block", "lang", "g", "surprise", *(c.alias(x) for x, c in nothing.items()))
     if long:
-        told = long_answers(requests.where(F.col("shard") != SHORT), packed, cuts, split)
+        told = long_answers(requests, packed, cuts, split)
         answers = answers.unionByName(told.withColumns({"g": F.lit(None).cast("long"), "surprise": F.lit(None).cast("double")}))
     # No more files than blocks: small inputs leave few, large ones as many as there are partitions.
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(

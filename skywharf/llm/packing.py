@@ -6,9 +6,9 @@ import numpy as np
 import pyarrow as pa
 
 
-def _zstd() -> pa.Codec:
+def _zstd(level: int = 3) -> pa.Codec:
     """Made where it is used: a codec cannot be sent to tasks."""
-    return pa.Codec("zstd", compression_level=3)
+    return pa.Codec("zstd", compression_level=level)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -56,7 +56,7 @@ def unpack_halves(data: bytes) -> np.ndarray:
 
 def pack_rows(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=_zstd())) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=_zstd(9))) as writer:
         writer.write_table(table.combine_chunks())
     return sink.getvalue().to_pybytes()
 
