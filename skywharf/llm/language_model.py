@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skywharf.llm.packing import pack_grams, pack_halves, pack_rows, pack_whole, unpack_grams, unpack_halves, unpack_rows, unpack_whole
+from skywharf.llm.packing import expand, pack_grams, pack_rows, pack_shares, pack_whole, squeeze, unpack_grams, unpack_rows, unpack_shares, unpack_whole
 from skywharf.llm.rows import matching, text_batches
 from skywharf.llm.words import bounded
 from skywharf.session import cut_lineage
@@ -154,11 +154,16 @@ def trusted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def passing(batches):
         own = np.unpackbits(np.frombuffer(bits.value, dtype=np.uint8)).astype(bool)
         for batch in batches:
-            yield batch.filter(pa.array(own[batch.column("place").to_numpy()])).select(["doc_id", "lang", "text"])
+            found = batch.filter(pa.array(own[batch.column("place").to_numpy()]))
+            yield pa.RecordBatch.from_arrays([found.column("doc_id"), found.column("lang"), squeeze(found.column("text"))], ["doc_id", "lang", "packed"])
+
+    def opened(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), expand(batch.column("packed"))], ["lang", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    near = docs.where("doc_id IS NOT NULL").select("doc_id", "lang", "text", place.alias("place")).mapInArrow(passing, f"doc_id {kind}, lang string, text string")
-    return near.join(ids, "doc_id", "left_semi").select("lang", "text")
+    near = docs.where("doc_id IS NOT NULL").select("doc_id", "lang", "text", place.alias("place")).mapInArrow(passing, f"doc_id {kind}, lang string, packed binary")
+    return near.join(ids, "doc_id", "left_semi").select("lang", "packed").mapInArrow(opened, "lang string, text string")
 
 
 def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -410,7 +415,7 @@ def long_answers(asked: DataFrame, counts: DataFrame, cuts: dict[str, dict[int,
             else:
                 a, b = np.zeros(many), np.ones(many)
             cut = np.cumsum([len(u) for u, _ in parts])[:-1]
-            rows += zip(blocks[first:at], langs[first:at], grams[first:at], map(pack_halves, np.split(a, cut)), map(pack_halves, np.split(b, cut)))
+            rows += zip(blocks[first:at], langs[first:at], grams[first:at], map(pack_shares, np.split(a, cut)), map(pack_shares, np.split(b, cut)))
         kinds = {"block": pa.int32(), "lang": pa.string(), "grams": pa.binary(), "a": pa.binary(), "b": pa.binary()}
         return pa.table([pa.array(x, kind) for x, kind in zip(list(zip(*rows)) or [[]] * 5, kinds.values())], list(kinds))
 
@@ -522,7 +527,7 @@ def surprises(docs: DataFrame, tables: dict[int, tuple], blocks: int | None = No
                 given = answers.filter(pa.array((langs == lang) & ~is_short))
                 parts = [unpack_grams(x) for x in given.column("grams").to_pylist()]
                 asked_u, asked_g = (np.concatenate([np.empty(0, np.int64), *x]) for x in (list(zip(*parts)) or [[], []]))
-                a, b = (np.concatenate([np.empty(0), *map(unpack_halves, given.column(x).to_pylist())]) for x in ("a", "b"))
+                a, b = (np.concatenate([np.empty(0), *map(unpack_shares, given.column(x).to_pylist())]) for x in ("a", "b"))
                 # An n-gram as one number: the places of its two parts among those of the block.
                 before = np.unique(asked_u)
                 number = np.searchsorted(before, asked_u) * len(known) + np.searchsorted(known, asked_g)
