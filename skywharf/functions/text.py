@@ -68,23 +68,16 @@ def local_time(text: Column, zone: str = "Asia/Taipei") -> Column:
 
 def meridiem_time(text: Column) -> Column:
     """``2026/6/30 下午 08:35:00`` as zone-less wall-clock time."""
-    pattern = r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2})\s*(上午|下午)?\s*(\d{1,2}):(\d{2}):(\d{2})$"
+    pattern = r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2})\s*(上午|下午)?\s*(\d{1,2}):(\d{2}):(\d{2})$[\s\S]*"
     trimmed = F.trim(text)
-
-    def part(index: int) -> Column:
-        return F.regexp_extract(trimmed, pattern, index)
-
-    hour = part(5).try_cast("int")
-    hour24 = (
-        F.when((part(4) == "下午") & (hour < 12), hour + 12)
-        .when((part(4) == "上午") & (hour == 12), F.lit(0))
-        .otherwise(hour)
-    )
-    stamp = F.concat(
-        part(1), F.lit("-"), F.lpad(part(2), 2, "0"), F.lit("-"), F.lpad(part(3), 2, "0"), F.lit(" "),
-        F.lpad(hour24.cast("string"), 2, "0"), F.lit(":"), part(6), F.lit(":"), part(7),
+    # The T tells a text that matched from one that did not.
+    plain = F.regexp_replace(trimmed, pattern, "$1-$2-$3T$5:$6:$7")
+    clock = F.when(plain != trimmed, plain.try_cast("timestamp_ntz"))
+    return (
+        F.when(trimmed.contains("下午") & (F.hour(clock) < 12), clock + F.expr("interval 12 hours"))
+        .when(trimmed.contains("上午") & (F.hour(clock) == 12), clock - F.expr("interval 12 hours"))
+        .otherwise(clock)
     )
-    return F.when(trimmed.rlike(pattern), stamp.try_cast("timestamp_ntz"))
 
 
 def record_id(source: Column, device: Column, station: Column, is_forecast: Column, observed_at: Column) -> Column:

@@ -284,22 +284,27 @@ def parse_panel_text(df: DataFrame, document: str, station_ids: Sequence[str], d
 
     Text is cut at every station reference; each piece holds one reference
     and its values, however long. The newest, then the most complete record
-    wins, and of equal ones the first.
+    wins, and of equal ones the first. A small file of many texts is dealt out
+    first: reading a text costs far more than moving it.
     """
     groups = [doc_id] if doc_id else []
-    plain = F.regexp_replace(F.regexp_replace(F.col(document), r"<[^>]+>", "\n"), r"[\r;\t]+", "\n")
-    pieces = F.regexp_extract_all(plain, F.lit(rf"(\b{station_pattern}(?:(?!\b{station_pattern})[\s\S])*)"), F.lit(1))
-    cut = df.select(*groups, F.posexplode(pieces).alias("_place", "_piece"))
+    spread = df.select(*groups, F.col(document).alias("_text")).repartition(*groups, "_text")
+    plain = F.regexp_replace("_text", r"<[^>]+>|[\r;\t]+", "\n")
+    # No tab is left in the text, so a tab can stand before every reference; what precedes the first is no record.
+    pieces = F.split(F.regexp_replace(plain, rf"\b(?:{station_pattern})", "\t$0"), "\t")
+    cut = spread.select(*groups, F.posexplode(pieces).alias("_place", "_piece")).filter("_place > 0")
     reference = F.regexp_extract("_piece", rf"^({station_pattern})", 1)
 
     def number(key: str) -> Column:
         return F.regexp_extract("_piece", key + PANEL_VALUE, 1).try_cast("double")
 
-    stamp = F.coalesce(F.nullif(F.regexp_extract("_piece", r"MAX_T\s*=\s*" + PANEL_TIME, 1), F.lit("")), F.nullif(F.regexp_extract("_piece", PANEL_TIME, 1), F.lit("")))
-    station = F.coalesce(*[F.when(reference.startswith(s), F.lit(s)) for s in station_ids])
-    rows = cut.select(
-        *groups, "_place", station.alias("station_id"), reference.alias("raw_station_ref"), meridiem_time(stamp).alias("obs_time"), number("WS_AVG").alias("wind_speed"),
-        number("WD_AVG").alias("wind_direction"), number("WS_MAX").alias("wind_gust"), number("WD_MAX").alias("wind_gust_direction"),
+    named = F.regexp_extract("_piece", r"MAX_T\s*=\s*" + PANEL_TIME, 1)
+    stamp = F.when(named != "", named).otherwise(F.regexp_extract("_piece", PANEL_TIME, 1))
+    station = F.coalesce(*[F.when(F.col("raw_station_ref").startswith(s), F.lit(s)) for s in station_ids])
+    read = cut.select(*groups, "_place", "_piece", reference.alias("raw_station_ref"), number("WS_AVG").alias("wind_speed"), number("WS_MAX").alias("wind_gust"))
+    rows = read.select("*", station.alias("station_id"), stamp.alias("_stamp")).select(
+        *groups, "_place", "station_id", "raw_station_ref", meridiem_time(F.col("_stamp")).alias("obs_time"), "wind_speed",
+        number("WD_AVG").alias("wind_direction"), "wind_gust", number("WD_MAX").alias("wind_gust_direction"),
     ).filter(F.col("station_id").isNotNull() & (F.col("wind_speed").isNotNull() | F.col("wind_gust").isNotNull()))
     flagged = rows.withColumn(
         "quality_flag", F.when(F.col("wind_gust").isNull(), "missing_gust").when(F.col("obs_time").isNull(), "degraded").otherwise("ok")

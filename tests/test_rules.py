@@ -184,3 +184,20 @@ def test_stored_models_score_all_horizons(spark, tmp_path):
     out = training.score_stored(frame, ["x"], {"H1": str(tmp_path / "m")}, ["station_id", "obs_time"])
     assert out.filter("prediction_H1 IS NULL").count() == 0
     assert out.first().available is False
+
+
+def test_panel_texts_of_one_file_are_dealt_out_before_they_are_read(spark):
+    texts = [(k, f"KHWD01M01 WS_AVG={k}.5 MAX_T=2024/1/2 下午 3:04:05") for k in range(20)]
+    out = payloads.parse_panel_text(spark.createDataFrame(texts, "k long, page string").coalesce(1), "page", ["KHWD01"], "k")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan[plan.index("Generate") :]
+    assert {(r["k"], r["wind_speed"], str(r["obs_time"])) for r in out.collect()} == {(k, k + 0.5, "2024-01-02 15:04:05") for k in range(20)}
+
+
+def test_meridiem_times_at_the_edges(spark):
+    told = {
+        "2024/1/1 下午 00:00:00": "2024-01-01 12:00:00", "2024-01-02上午12:00:00": "2024-01-02 00:00:00", "2024/01/0110:00:00": "2024-01-01 10:00:00", "2024/1/1 下午 13:00:00": "2024-01-01 13:00:00",
+        " 2024/1/1 9:08:07\n": "2024-01-01 09:08:07", "2024/2/31 9:08:07": "None", "2024/1/1 24:00:00": "None", "2024-01-01T10:00:00": "None", "2024/1/1 10:00": "None",
+    }
+    rows = spark.createDataFrame([(x,) for x in told], "x string").select("x", text.meridiem_time(F.col("x")).alias("t")).collect()
+    assert {r["x"]: str(r["t"]) for r in rows} == told
