@@ -36,8 +36,10 @@ START = 2
 HELD_OUT = 5
 #: Bytes of text in a block, and of all texts for each shard of the counts.
 BLOCK_BYTES = 24_000_000
-#: N-grams a task holds while it counts or answers.
-HELD_GRAMS = 2_000_000
+#: N-grams a task holds while it counts or answers: its Python worker lives beside the heap of the executor.
+HELD_GRAMS = 500_000
+#: Bytes of text whose n-grams are counted at once.
+COUNTED_BYTES = 250_000
 #: Bytes of text a task holds while it deals documents into blocks.
 DEALT_BYTES = 16_000_000
 #: Bits of the filter of trusted ids: its size is fixed, so it can go to every task.
@@ -113,14 +115,13 @@ def context(u, g):
     return u >> 16, (g >> 16) | ((u & 0xFFFF) << 32)
 
 
-def back_off(u: np.ndarray, g: np.ndarray, counts: tuple[np.ndarray, np.ndarray, np.ndarray], cuts: dict[int, tuple[float, float, float]]) -> tuple[np.ndarray, np.ndarray]:
+def back_off(u: np.ndarray, g: np.ndarray, found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], cuts: dict[int, tuple[float, float, float]]) -> tuple[np.ndarray, np.ndarray]:
     """a and b of n-grams, whose probability is a + b * the probability of their last three characters.
 
-    ``counts`` (u, g, c) has all n-grams of the highest order with the contexts asked for; ``cuts`` the discounts of the orders above ORDER.
+    ``found`` are the ``levels`` of counts with all contexts asked for; ``cuts`` the discounts of the orders above ORDER.
     """
     codes, u, g = distinct(u, g)
     a, b = np.zeros(len(u)), np.ones(len(u))
-    found = levels(counts, max(cuts))
     for n in range(ORDER + 1, max(cuts) + 1):
         own_u, own_g, c = found[n]
         discount = np.asarray(cuts[n])[np.minimum(c, 3) - 1]
@@ -143,7 +144,10 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def trusted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """lang and text of the trusted documents; a fixed-size filter spares most others the shuffle of the exact join."""
+    """lang and packed text of the trusted documents; a fixed-size filter spares most others the shuffle of the exact join.
+
+    Whoever counts the texts opens them: a step of its own would hold a second Python worker beside each that counts.
+    """
     spark = docs.sparkSession
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS).cast("int")
     present = np.zeros(1 << FILTER_BITS, dtype=np.bool_)
@@ -157,13 +161,9 @@ def trusted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
             found = batch.filter(pa.array(own[batch.column("place").to_numpy()]))
             yield pa.RecordBatch.from_arrays([found.column("doc_id"), found.column("lang"), squeeze(found.column("text"))], ["doc_id", "lang", "packed"])
 
-    def opened(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), expand(batch.column("packed"))], ["lang", "text"])
-
     kind = docs.schema["doc_id"].dataType.simpleString()
     near = docs.where("doc_id IS NOT NULL").select("doc_id", "lang", "text", place.alias("place")).mapInArrow(passing, f"doc_id {kind}, lang string, packed binary")
-    return near.join(ids, "doc_id", "left_semi").select("lang", "packed").mapInArrow(opened, "lang string, text string")
+    return near.join(ids, "doc_id", "left_semi").select("lang", "packed")
 
 
 def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -187,15 +187,26 @@ def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return own.unionByName(own.groupBy("g").agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("lang"), "g", "c"))
 
 
+def _opened(batches):
+    """Arrow batches of lang and text, packed or not; few packed texts are open at once."""
+    for batch in batches:
+        if "packed" not in batch.schema.names:
+            yield batch
+            continue
+        for part in bounded([batch], "packed", COUNTED_BYTES):
+            yield pa.RecordBatch.from_arrays([part.column("lang"), expand(part.column("packed"))], ["lang", "text"])
+
+
 def _by_language(batches):
     """(language key, texts) of pieces of a task's rows."""
-    for batch in bounded(batches, "text", 1_000_000):
+    for batch in bounded(_opened(batches), "text", COUNTED_BYTES):
         frame = pd.DataFrame({"lang": batch.column("lang").to_pylist(), "text": batch.column("text").to_pylist()})
         for lang, part in frame.groupby(frame["lang"].fillna("").map(lambda x: f"={x}"), sort=False):
             yield lang, [t for t in part["text"] if t]
 
 
 def shard_number(texts: DataFrame) -> int:
+    """Shards and blocks for texts; not for packed ones."""
     return int((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES) + 1
 
 
@@ -399,14 +410,15 @@ def long_answers(asked: DataFrame, counts: DataFrame, cuts: dict[str, dict[int,
     def answer(wanted: pa.Table, own: pa.Table) -> pa.Table:
         rows = []
         blocks, langs, grams = ([] if SHORT in wanted.column("shard").to_pylist()[:1] else wanted.column(x).to_pylist() for x in ("block", "lang", "grams"))
-        table = None
+        table, most = None, HELD_GRAMS
         if own.num_rows:
             model = own.column("model")[0].as_py()
-            table = (*unpack_grams(own.column("grams")[0].as_py()), unpack_whole(own.column("counts")[0].as_py()))
+            table = levels((*unpack_grams(own.column("grams")[0].as_py()), unpack_whole(own.column("counts")[0].as_py())), max(cuts[model]))
+            most = max(most, len(table[max(table)][1]))
         at = 0
         while at < len(grams):
             parts, many, first = [], 0, at
-            while at < len(grams) and (not parts or many < HELD_GRAMS):
+            while at < len(grams) and (not parts or many < most):
                 parts.append(unpack_grams(grams[at]))
                 many += len(parts[-1][0])
                 at += 1
@@ -491,13 +503,15 @@ def surprises(docs: DataFrame, tables: dict[int, tuple], blocks: int | None = No
         texts = unpack_rows(table.column("rows").to_pylist())
         rows = []
         for lang, own in by_language(texts):
-            found, many = [], 0
-            for _, part in runs_of(texts.column("text"), own):
+            found, many, most = [], 0, HELD_GRAMS
+            for _, part in runs_of(texts.column("text"), own, COUNTED_BYTES):
                 found.append(distinct(*pairs(part, order)[:2])[1:])
                 many += len(found[-1][0])
-                if many > HELD_GRAMS:
+                if many > most:
                     found = [distinct(*map(np.concatenate, zip(*found)))[1:]]
                     many = len(found[0][0])
+                    # What stays is only added to twice its size, so that it is not sorted out anew for each part.
+                    most = max(HELD_GRAMS, 2 * many)
             u, g = distinct(*map(np.concatenate, zip(*found)))[1:]
             # One key for each block, so that no task gets these requests of all blocks.
             rows.append((lang, SHORT, "", block, pack_whole(np.unique(g))))

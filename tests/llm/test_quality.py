@@ -69,3 +69,14 @@ def test_counts_grow_with_the_texts(spark):
     rows = spark.read.parquet(f"{oracle.DATA}/sf0.01/documents.parquet").where("lang = 'en'").orderBy("doc_id").select("lang", "text")
     few, many = (language_model.count_grams(rows.limit(n), language_model.DEPTH).where("lang = '=en'").count() for n in (50, 200))
     assert many > 2 * few
+
+
+def test_trusted_texts_are_opened_where_they_are_counted(spark):
+    """One Python worker a task: no step before the count opens the texts, and the counts are those of the plain texts."""
+    texts = [(k, lang, f"text {k} of the words {k % 3}") for k, lang in enumerate(["en", "de", None, "en"] * 5)]
+    docs = spark.createDataFrame([*texts, (90, "en", None), (91, "en", "")], "doc_id long, lang string, text string")
+    packed = language_model.trusted_texts(docs, docs.select("doc_id"))
+    assert packed._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    for order in (language_model.ORDER, language_model.DEPTH):
+        plain, opened = (sorted(map(tuple, language_model.shard_counts(x, order, 1).select("shard", "lang", "n", "counts").collect())) for x in (docs, packed))
+        assert plain == opened and plain
