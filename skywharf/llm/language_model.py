@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skywharf.llm.packing import expand, pack_grams, pack_rows, pack_shares, pack_whole, squeeze, unpack_grams, unpack_rows, unpack_shares, unpack_whole
+from skywharf.llm.packing import expand, pack_grams, pack_rows, pack_whole, squeeze, starts_of, turned, unpack_all, unpack_grams, unpack_rows, unpack_whole
 from skywharf.llm.rows import matching, text_batches
 from skywharf.llm.words import bounded
 from skywharf.session import cut_lineage
@@ -35,11 +35,16 @@ START = 2
 #: Of five trusted texts, one sets the thresholds and the others train the model.
 HELD_OUT = 5
 #: Bytes of text in a block, and of all texts for each shard of the counts.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 16_000_000
+SHARD_BYTES = 24_000_000
 #: N-grams a task holds while it counts or answers: its Python worker lives beside the heap of the executor.
 HELD_GRAMS = 500_000
 #: Bytes of text whose n-grams are counted at once.
 COUNTED_BYTES = 250_000
+#: Bytes of a block's texts that are open at once while its n-grams are told apart.
+OPENED_BYTES = 4_000_000
+#: Numbers that three characters of a text may have: a table of them is small.
+NUMBERED = 1 << 20
 #: Bytes of text a task holds while it deals documents into blocks.
 DEALT_BYTES = 16_000_000
 #: Bits of the filter of trusted ids: its size is fixed, so it can go to every task.
@@ -65,42 +70,72 @@ def runs_of(column: pa.ChunkedArray, rows: np.ndarray, most: int = 500_000):
             yield part, [t or "" for t in column.take(pa.array(part)).to_pylist()]
 
 
-def pairs(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed n-grams (16 bits a character; all but the last three characters, and those) of texts end to end, and the offsets of the texts.
+def characters(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (16 bits) of texts end to end, each after ``order`` - 1 start marks; places where n-grams begin; offsets of the texts among these.
 
-    White space runs count as one space and digits as 0; characters above U+FFFF share one code. Every character gives
-    one n-gram; a text is preceded by ``order`` - 1 start marks.
+    White space runs count as one space and digits as 0; characters above U+FFFF share one code. Every character ends one n-gram.
     """
     clean, marks = [" ".join(t.split()) for t in texts], order - 1
     sizes = np.array([len(t) for t in clean], dtype=np.int64)
     joined = "".join("\x02" * marks + t for t in clean)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    codes = np.minimum(codes, 0xFFFF)
+    codes = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 0xFFFF).astype(np.int64)
     codes[(codes >= 48) & (codes <= 57)] = 48
-    many = max(len(codes) - marks, 0)
-    u, g = np.zeros(many, dtype=np.int64), np.zeros(many, dtype=np.int64)
-    for k in range(order):
-        part = u if k < order - ORDER else g
-        part <<= 16
-        part |= codes[k : k + many]
     offsets = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum(sizes, out=offsets[1:])
     # Each text has marks before it, so its n-grams begin so many places further on than those of the text before.
-    begins = offsets[:-1] + marks * np.arange(len(texts))
-    keep = np.repeat(begins - offsets[:-1], sizes) + np.arange(offsets[-1])
-    return u[keep], g[keep], offsets
+    return codes, np.repeat(marks * np.arange(len(texts)), sizes) + np.arange(offsets[-1]), offsets
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed trigrams of texts end to end, and the offsets of the texts."""
-    return pairs(texts, ORDER)[1:]
+def told_apart(texts: list[str], order: int, each: bool = True) -> tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]:
+    """Code of each n-gram of texts end to end (null unless ``each``), u and g of each code, and the offsets of the texts.
+
+    ``u`` packs all but the last three characters (16 bits each), ``g`` those. An n-gram is told by the numbers of its first three
+    characters and of its last three among those of the texts.
+    """
+    codes, begins, offsets = characters(texts, order)
+    seen = np.flatnonzero(np.bincount(codes))
+    base = max(len(seen), 1)
+    if base**3 <= NUMBERED:
+        digits = np.zeros(1 << 16, dtype=np.int32)
+        digits[seen] = np.arange(len(seen))
+        digits = digits[codes]
+        number = (digits[:-2] * base + digits[1:-1]) * base + digits[2:]
+        found = np.flatnonzero(np.bincount(number))
+        at = np.zeros(base**3, dtype=np.int64)
+        at[found] = np.arange(len(found))
+        at = at[number]
+        threes = (seen[found // base**2] << 32) | (seen[found // base % base] << 16) | seen[found % base]
+    else:
+        at, threes = pd.factorize((codes[:-2] << 32) | (codes[1:-1] << 16) | codes[2:])
+    which, first, last = numbered(at[begins], at[begins + order - ORDER], len(threes), each)
+    return which, threes[first] >> 16 * (2 * ORDER - order), threes[last], offsets
+
+
+def numbered(first: np.ndarray, last: np.ndarray, many: int, each: bool) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+    """Code of each pair of numbers (the last below ``many``), null unless ``each``, and the pairs of the codes, sorted.
+
+    Numbers of 32 bits take half the memory and time where they are enough.
+    """
+    key = first * many + last
+    if key.max(initial=0) < 1 << 31:
+        key = key.astype(np.int32)
+    if each:
+        codes, found = pd.factorize(key)
+        order = np.argsort(found)
+        place = np.empty(len(found), dtype=np.int64)
+        place[order] = np.arange(len(found))
+        codes, found = place[codes], found[order]
+    else:
+        key.sort()
+        codes, found = None, key[np.flatnonzero(np.diff(key, prepend=-1))]
+    return codes, *(x.astype(np.int64) for x in np.divmod(found, max(many, 1)))
 
 
-def distinct(u: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code of each pair, and u and g of each code."""
+def distinct(u: np.ndarray, g: np.ndarray, each: bool = True) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+    """Code of each pair (null unless ``each``), and u and g of each code."""
     (cu, nu), (cg, ng) = pd.factorize(u), pd.factorize(g)
-    codes, found = pd.factorize(cu.astype(np.int64) * max(len(ng), 1) + cg)
-    return codes, nu[found // max(len(ng), 1)], ng[found % max(len(ng), 1)]
+    codes, first, last = numbered(cu, cg, len(ng), each)
+    return codes, nu[first], ng[last]
 
 
 def places(u: np.ndarray, g: np.ndarray, among_u: np.ndarray, among_g: np.ndarray) -> np.ndarray:
@@ -115,26 +150,57 @@ def context(u, g):
     return u >> 16, (g >> 16) | ((u & 0xFFFF) << 32)
 
 
-def back_off(u: np.ndarray, g: np.ndarray, found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], cuts: dict[int, tuple[float, float, float]]) -> tuple[np.ndarray, np.ndarray]:
+def joined(parts, many: int) -> list[np.ndarray]:
+    """Arrays of whole numbers end to end, from parts of ``many`` arrays each."""
+    return [np.concatenate([np.empty(0, np.int64), *x]) for x in (list(zip(*parts)) or [[]] * many)]
+
+
+def contexts(found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[int, tuple[np.ndarray, ...]]:
+    """Order -> u, g of the contexts of its ``levels``; the sum of their counts, and how many n-grams are counted once, twice, more often."""
+    out = {}
+    for n, (own_u, own_g, c) in found.items():
+        of, u, g = distinct(*context(own_u, own_g))
+        out[n] = u, g, *(np.bincount(of, x, len(u)).astype(np.int64) for x in (c, c == 1, c == 2, c > 2))
+    return out
+
+
+def answers_to(parts: list[tuple[np.ndarray, np.ndarray]], found: dict[int, tuple[np.ndarray, ...]], around: dict[int, tuple[np.ndarray, ...]]):
+    """Packed counts that lists of n-grams, sorted by ``turned``, need: for each order above ORDER those of the n-grams, and those of
+    ``contexts`` once for each run of n-grams with that context. What was not counted has 0."""
+    codes, u, g = distinct(*(np.concatenate(x) for x in zip(*parts)))
+    own = {}
+    for n in sorted(found):
+        asked = u & ((1 << 16 * (n - ORDER)) - 1)
+        at, inside = places(asked, g, *found[n][:2]), places(*context(asked, g), *around[n][:2])
+        own[n] = np.append(found[n][2], 0)[at], inside
+    sums = {n: [np.append(x, 0) for x in around[n][2:]] for n in own}
+    begin = 0
+    for part_u, part_g in parts:
+        which = codes[begin : begin + len(part_u)]
+        begin += len(part_u)
+        key = turned(part_u, part_g)
+        out = []
+        for n, (c, inside) in own.items():
+            at = inside[which[starts_of(*key, n - ORDER - 1)]]
+            out += [c[which], *(x[at] for x in sums[n])]
+        yield pack_whole(*out)
+
+
+def back_off(u: np.ndarray, g: np.ndarray, told: list[np.ndarray], cuts: dict[int, tuple[float, float, float]]) -> tuple[np.ndarray, np.ndarray]:
     """a and b of n-grams, whose probability is a + b * the probability of their last three characters.
 
-    ``found`` are the ``levels`` of counts with all contexts asked for; ``cuts`` the discounts of the orders above ORDER.
+    ``told`` are the counts of ``answers_to``; ``cuts`` the discounts of the orders above ORDER, none without trusted texts.
     """
-    codes, u, g = distinct(u, g)
     a, b = np.zeros(len(u)), np.ones(len(u))
-    for n in range(ORDER + 1, max(cuts) + 1):
-        own_u, own_g, c = found[n]
-        discount = np.asarray(cuts[n])[np.minimum(c, 3) - 1]
-        of, context_u, context_g = distinct(*context(own_u, own_g))
-        total, freed = np.bincount(of, c, len(context_u)), np.bincount(of, discount, len(context_u))
-        asked = u & ((1 << 16 * (n - ORDER)) - 1)
-        at, inside = places(asked, g, own_u, own_g), places(*context(asked, g), context_u, context_g)
-        known = inside >= 0
-        mass = np.where(at >= 0, np.maximum(c - discount, 0.0)[at], 0.0)
-        own = np.where(known, mass / total[inside], 0.0)
-        weight = np.where(known, freed[inside] / total[inside], 1.0)
+    key = turned(u, g)
+    for n, (c, total, *often) in zip(sorted(cuts), (told[k : k + 5] for k in range(0, len(told), 5))):
+        starts = starts_of(*key, n - ORDER - 1)
+        known, total = total > 0, np.maximum(total, 1)
+        weight = np.where(known, sum(d * x for d, x in zip(cuts[n], often)) / total, 1.0)
+        weight, total = (np.repeat(x, np.diff(starts, append=len(u))) for x in (weight, total))
+        own = np.maximum(c - np.array([0.0, *cuts[n]])[np.minimum(c, 3)], 0.0) / total
         a, b = own + weight * a, weight * b
-    return a[codes], b[codes]
+    return a, b
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -180,7 +246,7 @@ def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
     def count(batches):
         for lang, part in _by_language(batches):
-            codes, _, g = distinct(*pairs(part, order)[:2])
+            codes, _, g, _ = told_apart(part, order)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(g), pa.string()), "g": g, "c": np.bincount(codes, minlength=len(g))})
 
     own = cut_lineage(texts.mapInArrow(count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c")).coalesce(TABLE_FILES))
@@ -205,14 +271,18 @@ def _by_language(batches):
             yield lang, [t for t in part["text"] if t]
 
 
+def text_bytes(texts: DataFrame) -> int:
+    """Bytes of texts; not for packed ones."""
+    return int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
 def shard_number(texts: DataFrame) -> int:
-    """Shards and blocks for texts; not for packed ones."""
-    return int((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES) + 1
+    return text_bytes(texts) // SHARD_BYTES + 1
 
 
 def shard_of(u: np.ndarray, g: np.ndarray, shards: int) -> np.ndarray:
     """Shard of n-grams by the three characters before the last."""
-    mixed = ((g >> 16) | ((u & 0xFFFF) << 32)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = turned(u, g)[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(32)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     return ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
@@ -224,10 +294,23 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     return u, g, np.bincount(codes, np.concatenate([c for _, _, c in parts]), len(g)).astype(np.int64)
 
 
+def unpacked(parts: pa.ChunkedArray, most: int):
+    """Tables of packed rows, opened until they hold about ``most`` bytes."""
+    held, size = [], 0
+    for part in parts:
+        held.append(unpack_rows([part.as_buffer()]))
+        size += held[-1].nbytes
+        if size > most:
+            yield pa.concat_tables(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_tables(held)
+
+
 def by_shard(u: np.ndarray, g: np.ndarray, shards: int):
-    """(shard, places) of the n-grams of each shard, sorted by u and g."""
+    """(shard, places) of the n-grams of each shard, sorted by ``turned``."""
     shard = shard_of(u, g, shards)
-    order = np.lexsort((g, u, shard))
+    order = np.lexsort((*turned(u, g)[::-1], shard))
     for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
         if len(part):
             yield int(shard[part[0]]), part
@@ -252,7 +335,7 @@ def shard_counts(texts: DataFrame, order: int, shards: int) -> DataFrame:
         held: dict[str, list] = {}
         many = 0
         for lang, part in _by_language(batches):
-            codes, u, g = distinct(*pairs(part, order)[:2])
+            codes, u, g, _ = told_apart(part, order)
             held.setdefault(lang, []).append((u, g, np.bincount(codes, minlength=len(g))))
             many += len(g)
             if many > HELD_GRAMS:
@@ -269,7 +352,7 @@ def shard_counts(texts: DataFrame, order: int, shards: int) -> DataFrame:
             held.setdefault(lang, []).append((*unpack_grams(grams), unpack_whole(counts)))
         sums = {lang: summed(parts) for lang, parts in held.items()}
         sums[POOLED] = summed(list(sums.values()))
-        sums = {lang: [x[np.lexsort((found[1], found[0]))] for x in found] for lang, found in sums.items()}
+        sums = {lang: [x[np.lexsort(turned(*found[:2])[::-1])] for x in found] for lang, found in sums.items()}
         return pa.table({
             "shard": pa.array([table.column("shard")[0].as_py()] * len(sums), pa.int32()), "lang": pa.array(list(sums), pa.string()),
             "n": pa.array([len(g) for _, g, _ in sums.values()], pa.int64()),
@@ -397,8 +480,8 @@ def copies(counts: DataFrame) -> dict[tuple[int, str], int]:
     return {(r["shard"], r["lang"]): math.ceil(r["n"] / r["mean"]) for r in many.toLocalIterator()}
 
 
-def long_answers(asked: DataFrame, counts: DataFrame, cuts: dict[str, dict[int, tuple[float, float, float]]], split: dict[tuple[int, str], int]) -> DataFrame:
-    """block, lang, grams, a, b of packed requests (block, lang, shard, model, copy, grams) but those of SHORT; see ``back_off``."""
+def long_answers(asked: DataFrame, counts: DataFrame, order: int, split: dict[tuple[int, str], int]) -> DataFrame:
+    """block, lang, grams, counts of packed requests (block, lang, shard, model, copy, grams) but those of SHORT; see ``answers_to``."""
 
     def repeated(batches):
         for batch in batches:
@@ -410,11 +493,12 @@ def long_answers(asked: DataFrame, counts: DataFrame, cuts: dict[str, dict[int,
     def answer(wanted: pa.Table, own: pa.Table) -> pa.Table:
         rows = []
         blocks, langs, grams = ([] if SHORT in wanted.column("shard").to_pylist()[:1] else wanted.column(x).to_pylist() for x in ("block", "lang", "grams"))
-        table, most = None, HELD_GRAMS
-        if own.num_rows:
-            model = own.column("model")[0].as_py()
-            table = levels((*unpack_grams(own.column("grams")[0].as_py()), unpack_whole(own.column("counts")[0].as_py())), max(cuts[model]))
-            most = max(most, len(table[max(table)][1]))
+        most = HELD_GRAMS
+        if grams:
+            held = (*unpack_grams(own.column("grams")[0].as_py()), unpack_whole(own.column("counts")[0].as_py())) if own.num_rows else [np.empty(0, np.int64)] * 3
+            table = levels(held, order)
+            around = contexts(table)
+            most = max(most, len(table[order][1]))
         at = 0
         while at < len(grams):
             parts, many, first = [], 0, at
@@ -422,18 +506,13 @@ def long_answers(asked: DataFrame, counts: DataFrame, cuts: dict[str, dict[int,
                 parts.append(unpack_grams(grams[at]))
                 many += len(parts[-1][0])
                 at += 1
-            if table:
-                a, b = back_off(*(np.concatenate(x) for x in zip(*parts)), table, cuts[model])
-            else:
-                a, b = np.zeros(many), np.ones(many)
-            cut = np.cumsum([len(u) for u, _ in parts])[:-1]
-            rows += zip(blocks[first:at], langs[first:at], grams[first:at], map(pack_shares, np.split(a, cut)), map(pack_shares, np.split(b, cut)))
-        kinds = {"block": pa.int32(), "lang": pa.string(), "grams": pa.binary(), "a": pa.binary(), "b": pa.binary()}
-        return pa.table([pa.array(x, kind) for x, kind in zip(list(zip(*rows)) or [[]] * 5, kinds.values())], list(kinds))
+            rows += zip(blocks[first:at], langs[first:at], grams[first:at], answers_to(parts, table, around))
+        kinds = {"block": pa.int32(), "lang": pa.string(), "grams": pa.binary(), "counts": pa.binary()}
+        return pa.table([pa.array(x, kind) for x, kind in zip(list(zip(*rows)) or [[]] * 4, kinds.values())], list(kinds))
 
     key = ["shard", "model", "copy"]
     own = counts.select("shard", F.col("lang").alias("model"), "grams", "counts").mapInArrow(repeated, "shard int, model string, grams binary, counts binary, copy int")
-    return asked.groupBy(*key).cogroup(own.groupBy(*key)).applyInArrow(answer, "block int, lang string, grams binary, a binary, b binary")
+    return asked.groupBy(*key).cogroup(own.groupBy(*key)).applyInArrow(answer, "block int, lang string, grams binary, counts binary")
 
 
 def look_up(wanted: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
@@ -485,7 +564,7 @@ def deal(docs: DataFrame, blocks: int) -> DataFrame:
 
 def surprises(docs: DataFrame, tables: dict[int, tuple], blocks: int | None = None) -> DataFrame:
     """doc_id, text_key, lang, n_chars, surprise (mean over the characters; null without any) of every row of ``docs``."""
-    blocks, order = blocks or shard_number(docs), max(tables)
+    blocks, order = blocks or text_bytes(docs) // BLOCK_BYTES + 1, max(tables)
     long = order > ORDER
     packed, cuts, shards = tables[order] if long else (None, {}, 1)
     split = copies(packed) if long else {}
@@ -500,19 +579,21 @@ def surprises(docs: DataFrame, tables: dict[int, tuple], blocks: int | None = No
 
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        texts = unpack_rows(table.column("rows").to_pylist())
-        rows = []
-        for lang, own in by_language(texts):
-            found, many, most = [], 0, HELD_GRAMS
-            for _, part in runs_of(texts.column("text"), own, COUNTED_BYTES):
-                found.append(distinct(*pairs(part, order)[:2])[1:])
-                many += len(found[-1][0])
-                if many > most:
-                    found = [distinct(*map(np.concatenate, zip(*found)))[1:]]
-                    many = len(found[0][0])
-                    # What stays is only added to twice its size, so that it is not sorted out anew for each part.
-                    most = max(HELD_GRAMS, 2 * many)
-            u, g = distinct(*map(np.concatenate, zip(*found)))[1:]
+        rows, asked = [], {}
+        for texts in unpacked(table.column("rows"), OPENED_BYTES):
+            for lang, own in by_language(texts):
+                found, many, most = asked.get(lang, ([], 0, HELD_GRAMS))
+                for _, part in runs_of(texts.column("text"), own, COUNTED_BYTES):
+                    found.append(told_apart(part, order, each=False)[1:3])
+                    many += len(found[-1][0])
+                    if many > most:
+                        found = [distinct(*map(np.concatenate, zip(*found)), each=False)[1:]]
+                        many = len(found[0][0])
+                        # What stays is only added to twice its size, so that it is not sorted out anew for each part.
+                        most = max(HELD_GRAMS, 2 * many)
+                asked[lang] = found, many, most
+        for lang in sorted(asked):
+            u, g = distinct(*map(np.concatenate, zip(*asked.pop(lang)[0])), each=False)[1:]
             # One key for each block, so that no task gets these requests of all blocks.
             rows.append((lang, SHORT, "", block, pack_whole(np.unique(g))))
             model = lang if lang in cuts else POOLED
@@ -528,7 +609,7 @@ def surprises(docs: DataFrame, tables: dict[int, tuple], blocks: int | None = No
                 yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(g), block), pa.int32()), "lang": pa.array([lang] * len(g), pa.string()), "g": g})
 
     def tell(table: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = unpack_rows(table.column("rows").to_pylist())
+        texts = unpack_rows([x.as_buffer() for x in table.column("rows")])
         count, mean = np.zeros(texts.num_rows, dtype=np.int64), np.full(texts.num_rows, np.nan)
         is_short = answers.column("grams").is_null().to_numpy()
         langs = answers.column("lang").to_numpy(zero_copy_only=False)
@@ -539,24 +620,23 @@ def surprises(docs: DataFrame, tables: dict[int, tuple], blocks: int | None = No
             known, surprise = short_g[own].astype(np.int64), short_s[own]
             if long:
                 given = answers.filter(pa.array((langs == lang) & ~is_short))
-                parts = [unpack_grams(x) for x in given.column("grams").to_pylist()]
-                asked_u, asked_g = (np.concatenate([np.empty(0, np.int64), *x]) for x in (list(zip(*parts)) or [[], []]))
-                a, b = (np.concatenate([np.empty(0), *map(unpack_shares, given.column(x).to_pylist())]) for x in ("a", "b"))
+                asked_u, asked_g = joined((unpack_grams(x) for x in given.column("grams").to_pylist()), 2)
+                # Shards have no context in common, so their runs of contexts stay apart end to end.
+                told = joined((unpack_all(x) for x in given.column("counts").to_pylist()), 5 * (order - ORDER))
+                a, b = back_off(asked_u, asked_g, told, cuts.get(lang if lang in cuts else POOLED, {}))
                 # An n-gram as one number: the places of its two parts among those of the block.
                 before = np.unique(asked_u)
                 number = np.searchsorted(before, asked_u) * len(known) + np.searchsorted(known, asked_g)
                 place = np.argsort(number)
                 number, a, b = number[place], a[place], b[place]
             for part, run in runs_of(texts.column("text"), rows):
-                u, g, offsets = pairs(run, order)
-                codes, found = pd.factorize(g)
-                at = np.searchsorted(known, found)
-                each = surprise[at][codes]
+                codes, u, g, offsets = told_apart(run, order)
+                at = np.searchsorted(known, g)
+                each = surprise[at]
                 if long:
-                    first, starts = pd.factorize(u)
-                    wanted, which = pd.factorize(np.searchsorted(before, starts)[first] * len(known) + at[codes])
-                    which = np.searchsorted(number, which)
-                    each = -np.log(a[which][wanted] + b[which][wanted] * np.exp(-each))
+                    which = np.searchsorted(number, np.searchsorted(before, u) * len(known) + at)
+                    each = -np.log(a[which] + b[which] * np.exp(-each))
+                each = each[codes]
                 sums = np.add.reduceat(np.append(each, 0.0), offsets[:-1])
                 sizes = np.diff(offsets)
                 count[part] = sizes
@@ -568,10 +648,10 @@ def surprises(docs: DataFrame, tables: dict[int, tuple], blocks: int | None = No
     # Both kinds of requests read one shuffle of them: no filter or choice of columns tells the two plans apart below it.
     requests = dealt.groupBy("block").applyInArrow(ask, "block int, lang string, shard int, model string, copy int, grams binary").repartition("shard", "model", "copy")
     asked = requests.mapInArrow(short, "block int, lang string, g long").repartition("lang", "g")
-    nothing = {x: F.lit(None).cast("binary") for x in ("grams", "a", "b")}
+    nothing = {x: F.lit(None).cast("binary") for x in ("grams", "counts")}
     answers = asked.join(look_up(asked.select("lang", "g").distinct(), tables), ["lang", "g"]).select("block", "lang", "g", "surprise", *(c.alias(x) for x, c in nothing.items()))
     if long:
-        told = long_answers(requests, packed, cuts, split)
+        told = long_answers(requests, packed, order, split)
         answers = answers.unionByName(told.withColumns({"g": F.lit(None).cast("long"), "surprise": F.lit(None).cast("double")}))
     # No more files than blocks: small inputs leave few, large ones as many as there are partitions.
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
@@ -622,8 +702,9 @@ def judge(docs: DataFrame, labels: DataFrame, part: float = 0.95, stretch: float
     """
     text_batches(docs.sparkSession)
     ids = trusted_ids(labels)
-    blocks = shard_number(docs)
-    raw = cut_lineage(surprises(docs, fit(trusted_texts(docs, ids.where("NOT held")), order, blocks), blocks))
+    size = text_bytes(docs)
+    tables = fit(trusted_texts(docs, ids.where("NOT held")), order, size // SHARD_BYTES + 1)
+    raw = cut_lineage(surprises(docs, tables, size // BLOCK_BYTES + 1))
     scores = smoothed(raw, cut_lineage(averages(raw, ids).coalesce(TABLE_FILES)))
     fences = cut_lineage(limits(scores, ids, part, stretch).coalesce(TABLE_FILES))
     pooled = fences.where(F.col("key") == POOLED).agg(F.max("limit")).first()[0]

@@ -16,33 +16,53 @@ def _planes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
+def _whole(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").reshape(-1).astype(np.int64, copy=False)
+
+
 def pack_whole(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers from 0, after their lengths."""
-    sizes = np.array([len(arrays), *map(len, arrays)], dtype="<u8").tobytes()
-    return sizes + _zstd(9).compress(b"".join(map(_planes, arrays)), asbytes=True)
+    """Arrays of whole numbers, after how many they are and how many numbers they hold; small where these are from 0."""
+    sizes = np.array([len(x) for x in arrays], dtype=np.int64)
+    head = np.array([len(arrays), sizes.sum()], dtype="<u8").tobytes()
+    return head + _zstd(9).compress(b"".join(map(_planes, [sizes, *arrays])), asbytes=True)
 
 
 def unpack_all(data: bytes) -> list[np.ndarray]:
-    many = int(np.frombuffer(data, "<u8", 1)[0])
-    sizes = np.frombuffer(data, "<u8", many, 8).astype(np.int64)
-    plain = np.frombuffer(_zstd().decompress(data[8 + 8 * many :], int(sizes.sum()) * 8), dtype=np.uint8)
-    parts = np.split(plain, np.cumsum(sizes * 8)[:-1])
-    return [np.ascontiguousarray(part.reshape(8, -1).T).view("<i8").reshape(-1).astype(np.int64, copy=False) for part in parts]
+    many, total = np.frombuffer(data, "<u8", 2).astype(np.int64)
+    plain = np.frombuffer(_zstd().decompress(data[16:], int(many + total) * 8), dtype=np.uint8)
+    sizes = _whole(plain[: many * 8])
+    return list(map(_whole, np.split(plain[many * 8 :], np.cumsum(sizes * 8))[:many]))
 
 
 def unpack_whole(data: bytes) -> np.ndarray:
     return unpack_all(data)[0]
 
 
+def turned(u: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Six characters (three in u, three in g) as the three before the last, and the second, the first and the last.
+
+    Sorted by these, n-grams with equal characters before the last stand together, whatever their length.
+    """
+    return (g >> 16) | ((u & 0xFFFF) << 32), ((u >> 16 & 0xFFFF) << 32) | (u >> 32 << 16) | (g & 0xFFFF)
+
+
+def starts_of(inner: np.ndarray, outer: np.ndarray, characters: int) -> np.ndarray:
+    """Where ``turned`` n-grams begin to differ in the three characters before the last or so many before these."""
+    return np.flatnonzero((np.diff(inner, prepend=-1) != 0) | (np.diff(outer >> 16 * (3 - characters), prepend=-1) != 0))
+
+
 def pack_grams(u: np.ndarray, g: np.ndarray) -> bytes:
-    """Pairs sorted by u and g: steps of the distinct u, how many pairs each has, and all g."""
-    starts = np.flatnonzero(np.diff(u, prepend=-1)) if len(u) else np.empty(0, dtype=np.int64)
-    return pack_whole(np.diff(u[starts], prepend=0), np.diff(starts, append=len(u)), g)
+    """Pairs in their order, small where it is that of ``turned``: characters that stay are held once."""
+    inner, outer = turned(u, g)
+    first, starts = np.flatnonzero(np.diff(inner, prepend=-1)), starts_of(inner, outer, 2)
+    inside = np.diff(np.searchsorted(starts, first), append=len(starts))
+    return pack_whole(np.diff(inner[first], prepend=0), inside, outer[starts] >> 16, np.diff(starts, append=len(u)), outer & 0xFFFF)
 
 
 def unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    steps, sizes, g = unpack_all(data)
-    return np.repeat(np.cumsum(steps), sizes), g
+    steps, inside, before, sizes, last = unpack_all(data)
+    inner, before = np.repeat(np.repeat(np.cumsum(steps), inside), sizes), np.repeat(before, sizes)
+    return ((before & 0xFFFF) << 32) | (before >> 16 << 16) | (inner >> 32), ((inner & 0xFFFFFFFF) << 16) | last
 
 
 def pack_shares(values: np.ndarray) -> bytes:

@@ -1,11 +1,16 @@
 """Thresholds and n-grams of the quality queries."""
 
 import math
+import random
 from collections import defaultdict
 
+import numpy as np
 import oracle
+import pyarrow as pa
+import pytest
 
 from skywharf.llm import language_model
+from skywharf.llm.packing import pack_grams, pack_rows, turned
 
 from test_stages import Long, given, plain_quality  # noqa: E402
 
@@ -80,3 +85,47 @@ def test_trusted_texts_are_opened_where_they_are_counted(spark):
     for order in (language_model.ORDER, language_model.DEPTH):
         plain, opened = (sorted(map(tuple, language_model.shard_counts(x, order, 1).select("shard", "lang", "n", "counts").collect())) for x in (docs, packed))
         assert plain == opened and plain
+
+
+def test_answers_keep_every_bit(spark):
+    """Answers are whole counts, so a surprise is off by rounding alone."""
+    texts = [("en", "abracadabra banana bandana and a cabana band"), ("en", "a bad cad had a banana 12 times"), ("de", "das band der bananen und das bad der anden")]
+    tables = language_model.fit(spark.createDataFrame(texts, "lang string, text string"), language_model.DEPTH)
+    models = {x: Long([t for lang, t in texts if x in (lang, None)]) for x in ("en", "de", None)}
+    asked = [(1, "en", "a banana band"), (2, "de", "das bad der bananen"), (3, "fr", "a bad band and das bad")]
+    for r in language_model.surprises(spark.createDataFrame(asked, "doc_id long, lang string, text string"), tables).collect():
+        _, lang, text = asked[r["doc_id"] - 1]
+        assert math.isclose(r["surprise"], models[lang if lang in models else None].mean(text), rel_tol=2e-14)
+
+
+def test_answers_are_small(spark):
+    """Requests and answers of a block take under five bytes for each n-gram."""
+    rows = spark.read.parquet(f"{oracle.DATA}/sf0.01/documents.parquet").where("lang = 'en'").orderBy("doc_id").select("text").limit(400).collect()
+    texts = [r["text"] for r in rows]
+    held = language_model.summed([(u, g, np.bincount(codes)) for codes, u, g, _ in [language_model.told_apart(texts[:200], language_model.DEPTH)]])
+    found = language_model.levels(held, language_model.DEPTH)
+    _, u, g, _ = language_model.told_apart(texts, language_model.DEPTH, each=False)
+    at = np.lexsort(turned(u, g)[::-1])
+    told = next(language_model.answers_to([(u[at], g[at])], found, language_model.contexts(found)))
+    assert len(u) > 50_000 and len(pack_grams(u[at], g[at])) + len(told) < 5 * len(u)
+
+
+@pytest.mark.parametrize("order", [3, 4, 5, 6])
+def test_n_grams_are_told_apart(order):
+    """As plain n-grams, with few and with very many different characters, and where there are none."""
+    rnd = random.Random(1)
+    wide = ["".join(chr(rnd.choice([rnd.randint(0x4E00, 0x9FFF), rnd.randint(32, 120), 0x1F600])) for _ in range(3000)) for _ in range(2)]
+    for texts in ([], [""], ["a", "  ", "", "abc  12\t9"], ["ab cd ef" * 50, "ab"], wide):
+        clean = ["".join("0" if c.isascii() and c.isdigit() else min(c, "￿") for c in " ".join(t.split())) for t in texts]
+        plain = [("\x02" * (order - 1) + t)[k : k + order] for t in clean for k in range(len(t))]
+        codes, u, g, offsets = language_model.told_apart(texts, order)
+        grams = ["".join(chr((x >> 16 * k) & 0xFFFF) for x, many in ((int(a), order - 3), (int(b), 3)) for k in range(many)[::-1]) for a, b in zip(u, g)]
+        assert [grams[k] for k in codes] == plain and len(set(grams)) == len(grams) and np.diff(offsets).tolist() == [len(t) for t in clean]
+        none, only_u, only_g, _ = language_model.told_apart(texts, order, each=False)
+        assert none is None and (only_u == u).all() and (only_g == g).all()
+
+
+def test_few_texts_of_a_block_are_open_at_once():
+    parts = [pack_rows(pa.table({"text": [f"{k} " * 5000]})) for k in range(8)]
+    opened = list(language_model.unpacked(pa.chunked_array([pa.array(parts, pa.binary())]), 20_000))
+    assert len(opened) == 4 and [r[:1] for t in opened for r in t.column("text").to_pylist()] == list("01234567")
