@@ -213,6 +213,7 @@ def trusted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """lang and packed text of the trusted documents; a fixed-size filter spares most others the shuffle of the exact join.
 
     Whoever counts the texts opens them: a step of its own would hold a second Python worker beside each that counts.
+    So would a broadcast join, with the filter in the same tasks; executors keep such workers, and use all in turn.
     """
     spark = docs.sparkSession
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS).cast("int")
@@ -229,7 +230,7 @@ def trusted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     near = docs.where("doc_id IS NOT NULL").select("doc_id", "lang", "text", place.alias("place")).mapInArrow(passing, f"doc_id {kind}, lang string, packed binary")
-    return near.join(ids, "doc_id", "left_semi").select("lang", "packed")
+    return near.join(ids.hint("merge"), "doc_id", "left_semi").select("lang", "packed")
 
 
 def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:

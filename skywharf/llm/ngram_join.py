@@ -31,6 +31,8 @@ SHARD_BYTES = 16_000_000
 CHUNK = 750_000
 #: Frequencies are counted for the upper 48 bits of a shingle's hash: shingles that share them share a frequency.
 COUNTED = np.uint64(16)
+#: Shingles of a shard that a task counts at once: its Python worker lives beside the heap of the executor.
+HELD_GRAMS = 200_000
 
 
 def _bytes(text: str | None) -> bytes:
@@ -65,8 +67,8 @@ def pack(values: np.ndarray, width: int) -> bytes:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def unpack(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(width, -1)
+def unpack(data: bytes, width: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(width, -1)[:, first:last]
     out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
     out[:, :width] = planes.T
     return out.view("<u8").ravel()
@@ -86,10 +88,10 @@ def _ask(shards: int):
 
     def ask(table: pa.Table) -> pa.Table:
         found, _ = shingle_sets(table.column("text").to_pylist())
-        codes, distinct = pd.factorize(found >> COUNTED)
-        counts = np.bincount(codes, minlength=len(distinct))
-        order = np.argsort(distinct)
-        distinct, counts = distinct[order], np.minimum(counts[order], 65535)
+        found >>= COUNTED
+        found.sort()
+        starts = np.flatnonzero(np.diff(found, prepend=~found[:1]))
+        distinct, counts = found[starts], np.minimum(np.diff(starts, append=len(found)), 65535)
         cuts = np.searchsorted(distinct >> bits, np.arange(shards + 1).astype(np.uint64))
         full = [s for s in range(shards) if cuts[s + 1] > cuts[s]]
         return pa.table({
@@ -102,17 +104,28 @@ def _ask(shards: int):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """For each block, the grams that occur in two documents or more, with their frequencies."""
-    grams = [unpack(x, 6) for x in table.column("grams").to_pylist()]
-    codes, distinct = pd.factorize(np.concatenate(grams))
-    frequency = np.bincount(codes, weights=np.concatenate([unpack(x, 2) for x in table.column("counts").to_pylist()]).astype(np.float64), minlength=len(distinct)).astype(np.uint64)
-    each = np.minimum(frequency[codes], np.uint64(2**32 - 1))
-    cuts = np.cumsum([0, *map(len, grams)])
-    kept = [each[a:b] >= 2 for a, b in zip(cuts[:-1], cuts[1:])]
-    return pa.table({
-        "block": table.column("block"), "grams": pa.array([pack(g[k], 6) for g, k in zip(grams, kept)], pa.binary()),
-        "counts": pa.array([pack(each[a:b][k], 4) for a, b, k in zip(cuts[:-1], cuts[1:], kept)], pa.binary()),
-    })
+    """For each block, the grams that occur in two documents or more, with their frequencies.
+
+    The sorted grams of all blocks are opened and counted range by range, HELD_GRAMS or so at once.
+    """
+    packed, counted = ([x.as_buffer() for x in table.column(k)] for k in ("grams", "counts"))
+    least, most = min(int(unpack(x, 6, 0, 1)[0]) for x in packed), max(int(unpack(x, 6, -1)[0]) for x in packed) + 1
+    ranges = sum(x.size for x in packed) // (6 * HELD_GRAMS) + 1
+    borders = np.array([least + (most - least) * k // ranges for k in range(1, ranges)], dtype=np.uint64)
+    cuts = np.array([[0, *np.searchsorted(unpack(x, 6), borders), x.size // 6] for x in packed])
+    found: list[list] = [[] for _ in packed]
+    for first, last in zip(cuts.T[:-1].tolist(), cuts.T[1:].tolist()):
+        grams = np.concatenate([unpack(x, 6, a, b) for x, a, b in zip(packed, first, last)])
+        counts = np.concatenate([unpack(x, 2, a, b) for x, a, b in zip(counted, first, last)])
+        codes, distinct = pd.factorize(grams)
+        frequency = np.bincount(codes, weights=counts, minlength=len(distinct)).astype(np.uint64)
+        each = np.minimum(frequency, np.uint64(2**32 - 1))[codes]
+        ends = np.cumsum(np.subtract(last, first)).tolist()
+        for own, a, b in zip(found, [0, *ends], ends):
+            kept = each[a:b] >= 2
+            own.append((grams[a:b][kept], each[a:b][kept].astype(np.uint32)))
+    columns = [pa.array([pack(np.concatenate([part[k] for part in own]), width) for own in found], pa.binary()) for k, width in ((0, 6), (1, 4))]
+    return pa.table([table.column("block"), *columns], ["block", "grams", "counts"])
 
 
 def _post(table: pa.Table, answers: pa.Table) -> pa.Table:

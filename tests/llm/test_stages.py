@@ -132,6 +132,17 @@ def test_model_on_given_documents(spark):
     assert len(rows) == len(expected)
 
 
+def test_trusted_texts_are_not_read_and_counted_by_one_task(spark, tmp_path):
+    """A broadcast join would put both steps in a task, and an executor would keep two Python workers for each of its cores."""
+    spark.createDataFrame([(k, k % 2, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels")
+    spark.createDataFrame([(k, "en", f"text {k}") for k in range(30)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/docs")
+    ids = language_model.trusted_ids(spark.read.parquet(f"{tmp_path}/labels"))
+    texts = language_model.trusted_texts(spark.read.parquet(f"{tmp_path}/docs"), ids)
+    assert texts.count() == 10
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_probabilities_of_a_context_sum_to_one(spark):
     texts = ["abracadabra banana", "cabana band", "a bad cad", "dab", "abc abd abe"]
     model = KneserNey(texts)

@@ -2,10 +2,12 @@
 
 import random
 import re
-from collections import defaultdict
+import tracemalloc
+from collections import Counter, defaultdict
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 
 from skywharf.llm import ngram_join
@@ -41,6 +43,44 @@ def test_packed_numbers_return():
     assert len(ngram_join.unpack(ngram_join.pack(values[:0], 6), 6)) == 0
 
 
+def requests(rows):
+    """Requests of blocks to one shard, from (grams, counts) of each."""
+    return pa.table({
+        "shard": pa.array([3] * len(rows), pa.int32()), "block": pa.array(range(len(rows)), pa.int32()),
+        "grams": pa.array([ngram_join.pack(g, 6) for g, _ in rows], pa.binary()), "counts": pa.array([ngram_join.pack(c, 2) for _, c in rows], pa.binary()),
+    })
+
+
+@pytest.mark.parametrize("held", [1, 7, 1000])
+def test_answers_of_a_shard(monkeypatch, held):
+    monkeypatch.setattr(ngram_join, "HELD_GRAMS", held, raising=False)
+    rnd = np.random.default_rng(5)
+    grams = [np.unique(rnd.integers(1 << 47, (1 << 47) + 60, size, dtype=np.uint64)) for size in (1, 5, 40, 200)]
+    grams.append(np.array([0, (1 << 48) - 1], dtype=np.uint64))
+    rows = [(g, rnd.choice(np.array([1, 1, 2, 65535], dtype=np.uint64), len(g))) for g in grams]
+    total = Counter()
+    for g, c in rows:
+        total.update(dict(zip(g.tolist(), c.tolist())))
+    answers = ngram_join._answer(requests(rows)).to_pylist()
+    assert [a["block"] for a in answers] == list(range(len(rows)))
+    for (g, _), a in zip(rows, answers):
+        got = list(zip(ngram_join.unpack(a["grams"], 6).tolist(), ngram_join.unpack(a["counts"], 4).tolist()))
+        assert got == [(x, total[x]) for x in g.tolist() if total[x] >= 2]
+
+
+def test_answers_of_a_large_shard_take_little_memory():
+    """A task's Python worker lives beside the heap of the executor: what it holds must not be many times the requests."""
+    rnd = np.random.default_rng(6)
+    pool = rnd.integers(0, 1 << 48, 1_000_000, dtype=np.uint64)
+    rows = [(g, np.ones_like(g)) for g in (np.unique(rnd.choice(pool, 30_000)) for _ in range(60))]
+    table, many = requests(rows), sum(len(g) for g, _ in rows)
+    tracemalloc.start()
+    ngram_join._answer(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * many
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rnd = random.Random(seed)
